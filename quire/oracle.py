@@ -1,0 +1,424 @@
+"""DuckDB statements that restate each registered query independently.
+
+They are the correctness oracle run next to the Spark plans (tables are
+registered as views under their own names).  They share only the character
+classes of :mod:`quire.functions.text`; the folds are re-expressed with
+``list_reduce``.  DuckDB's regex engine has no lookaround, so the word-wrap
+oracle marks hyphen and em-dash break points with a control character first.
+"""
+
+from __future__ import annotations
+
+from quire.functions.text import TOKEN, WS
+from quire.operators import qa as Q
+from quire.operators import rag as R
+from quire.operators import squad as S
+
+LETTER_RE2 = r"[\p{L}\p{Nl}\p{No}_]"
+WORD_RE2 = r"[\p{L}\p{N}_]"
+WORD_PUNCT_RE2 = r"""[\p{L}\p{N}_!"'&.,?]"""
+
+
+def lit(s: str) -> str:
+    """SQL string literal; control characters spelled with chr()."""
+    out, buf = [], []
+    for ch in s:
+        if ch == "'":
+            buf.append("''")
+        elif ord(ch) < 32:
+            if buf:
+                out.append("'" + "".join(buf) + "'")
+                buf = []
+            out.append(f"chr({ord(ch)})")
+        else:
+            buf.append(ch)
+    if buf or not out:
+        out.append("'" + "".join(buf) + "'")
+    return "(" + " || ".join(out) + ")"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, {lit('^' + WS + '+|' + WS + '+\\z')}, '', 'g')"
+
+
+def split_ws(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {lit(WS + '+')}), lambda _t: _t <> '')"
+
+
+def blank(x: str) -> str:
+    return f"regexp_full_match({x}, {lit(WS + '*')})"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {lit(TOKEN)}, 0)"
+
+
+def iso(ts: str) -> str:
+    return (f"CASE WHEN strftime({ts}, '%f') = '000000' THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+def bucket(tok: str, dim: int = 64) -> str:
+    return f"((('0x' || substr(md5({tok}), 1, 8))::BIGINT) % {dim})::INTEGER"
+
+
+def sentence_pack(text: str, max_length: int = 512, min_length: int = 50) -> str:
+    sents = (f"list_filter(list_transform(regexp_split_to_array({text}, '[.!?]+'), "
+             f"lambda _s: {strip('_s')}), lambda _s: _s <> '')")
+    fold = (f"list_reduce({sents}, lambda acc, s: CASE WHEN length(acc.cur) + length(s) < {max_length} "
+            f"THEN {{'chunks': acc.chunks, 'cur': acc.cur || s || '. '}} "
+            f"ELSE {{'chunks': CASE WHEN acc.cur <> '' THEN list_append(acc.chunks, {strip('acc.cur')}) "
+            f"ELSE acc.chunks END, 'cur': s || '. '}} END, "
+            f"{{'chunks': []::VARCHAR[], 'cur': ''}})")
+    return (f"list_filter((SELECT CASE WHEN f.cur <> '' THEN list_append(f.chunks, {strip('f.cur')}) "
+            f"ELSE f.chunks END FROM (SELECT {fold} AS f)), lambda _c: length(_c) > {min_length})")
+
+
+def sentence_spans(ctx: str) -> str:
+    return (f"list_filter(list_transform(regexp_extract_all({ctx}, '[^.!?]+[.!?]*', 0), "
+            f"lambda _s: {strip('_s')}), lambda _s: _s <> '')")
+
+
+def rule_questions(text: str) -> str:
+    words = split_ws(text)
+    lw = f"list_transform({words}, lambda _w: lower(_w))"
+
+    def arr(xs):
+        return "[" + ", ".join(lit(x) for x in xs) + "]"
+    who = f"list_has_any({lw}, {arr(Q.WHO_WORDS)})"
+    what = f"list_has_any({lw}, {arr(Q.WHAT_WORDS)})"
+    when = (f"(coalesce(list_bool_or(list_transform({words}, lambda _w: regexp_full_match(_w, '\\p{{Nd}}+'))), false) "
+            f"OR list_has_any({lw}, {arr(Q.WHEN_WORDS)}))")
+    where = f"list_has_any({lw}, {arr(Q.WHERE_WORDS)})"
+    fired = (f"list_filter([CASE WHEN {who} THEN {lit(Q.WHO_QUESTION)} END, "
+             f"CASE WHEN {what} THEN {lit(Q.WHAT_QUESTION)} END, "
+             f"CASE WHEN {when} THEN {lit(Q.WHEN_QUESTION)} END, "
+             f"CASE WHEN {where} THEN {lit(Q.WHERE_QUESTION)} END], lambda _q: _q IS NOT NULL)")
+    return (f"(SELECT CASE WHEN len(fq) = 0 THEN {arr(Q.DEFAULT_QUESTIONS)} ELSE fq[1:3] END "
+            f"FROM (SELECT {fired} AS fq))")
+
+
+def best_sentence_cols(question: str, ctx: str) -> str:
+    """SELECT-list fragment producing answer, overlap, score from columns."""
+    return f"""(SELECT {{'answer': coalesce(sents[list_position(sc, list_max(sc))], ''),
+                  'overlap': coalesce(list_max(sc), 0),
+                  'score': CASE WHEN len(qt) > 0 THEN coalesce(list_max(sc), 0) / len(qt) ELSE 0.0 END}}
+        FROM (SELECT sents, qt, list_transform(sents, lambda _s: len(list_intersect(qt, list_distinct({tokens('_s')})))) AS sc
+              FROM (SELECT {sentence_spans(ctx)} AS sents, list_distinct({tokens(question)}) AS qt)))"""
+
+
+# --- word wrap -------------------------------------------------------------
+
+def _munge(text: str) -> str:
+    seg_expand = ("list_reduce(string_split(_seg, chr(9))[2:], "
+                  "lambda acc, p: acc || repeat(' ', 8 - length(acc) % 8) || p, string_split(_seg, chr(9))[1])")
+    expanded = (f"CASE WHEN instr({text}, chr(9)) > 0 THEN array_to_string(list_transform("
+                f"regexp_split_to_array({text}, '[' || chr(10) || chr(13) || ']'), lambda _seg: {seg_expand}), ' ') "
+                f"ELSE {text} END")
+    return f"translate({expanded}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')"
+
+
+def wrap_tokens(text: str) -> str:
+    t = _munge(text)
+    hy1 = f"'({LETTER_RE2}{LETTER_RE2}-)({LETTER_RE2}-?{LETTER_RE2})'"
+    hy2 = f"'({LETTER_RE2}-{LETTER_RE2}-)({LETTER_RE2}-?{LETTER_RE2})'"
+    em = f"{lit('(' + WORD_PUNCT_RE2 + ')(-{2,})(' + WORD_RE2 + ')')}"
+    mark = "'\\1' || chr(1) || '\\2'"
+    mark3 = "'\\1' || chr(1) || '\\2' || chr(1) || '\\3'"
+    x = t
+    for _ in range(2):
+        x = f"regexp_replace({x}, {em}, {mark3}, 'g')"
+    for _ in range(2):
+        x = f"regexp_replace({x}, {hy1}, {mark}, 'g')"
+        x = f"regexp_replace({x}, {hy2}, {mark}, 'g')"
+    return f"regexp_extract_all({x}, '( +|[^ ' || chr(1) || ']+)', 1)"
+
+
+def _state(lines, cur, curlen, nparts, tailblank, taillen, fresh):
+    return (f"{{'lines': {lines}, 'cur': {cur}, 'curlen': {curlen}, 'nparts': {nparts}, "
+            f"'tailblank': {tailblank}, 'taillen': {taillen}, 'fresh': {fresh}}}")
+
+
+def _emitted(lines, cur, curlen, nparts, tailblank, taillen):
+    return (f"(CASE WHEN (CASE WHEN {tailblank} THEN {nparts} - 1 ELSE {nparts} END) > 0 "
+            f"THEN list_append({lines}, CASE WHEN {tailblank} THEN substr({cur}, 1, {curlen} - {taillen}) "
+            f"ELSE {cur} END) ELSE {lines} END)")
+
+
+def _cut(chunk, space):
+    win = f"substr({chunk}, 1, {space})"
+    hyph = f"(length(regexp_extract({win}, '^.*-', 0)) - 1)"
+    return (f"(CASE WHEN {hyph} > 0 AND regexp_matches(substr({win}, 1, greatest({hyph}, 0)), '[^-]') "
+            f"THEN {hyph} + 1 ELSE {space} END)")
+
+
+def wrap(text: str, width: int = 500) -> str:
+    W = str(width)
+    a = "acc"
+    L, C, CL, NP, TB, TL, FR = (f"{a}.lines", f"{a}.cur", f"{a}.curlen", f"{a}.nparts",
+                                f"{a}.tailblank", f"{a}.taillen", f"{a}.fresh")
+    n = "length(t)"
+    b = blank("t")
+    closed = _emitted(L, C, CL, NP, TB, TL)
+    restart = (f"CASE WHEN {b} AND len({closed}) > 0 "
+               f"THEN {_state(closed, chr(39)*2, 0, 0, 'false', 0, 'false')} "
+               f"ELSE {_state(closed, 't', n, 1, b, n, 'false')} END")
+    space = f"({W} - {CL})"
+    end = _cut("t", space)
+    head = f"substr(t, 1, {end})"
+    rest = f"substr(t, {end} + 1)"
+    after = _emitted(L, f"({C} || {head})", f"({CL} + length({head}))", f"({NP} + 1)",
+                     blank(head), f"length({head})")
+    inner = (f"list_reduce(range(1, (length({rest}) // {W}) * 2 + 4), lambda pc, _i: "
+             f"CASE WHEN length(pc.rest) > {W} THEN {{'pieces': list_append(pc.pieces, "
+             f"substr(pc.rest, 1, {_cut('pc.rest', W)})), 'rest': substr(pc.rest, {_cut('pc.rest', W)} + 1)}} "
+             f"ELSE pc END, {{'pieces': []::VARCHAR[], 'rest': {rest}}})")
+    full = f"list_concat({after}, list_filter(({inner}).pieces, lambda _p: NOT {blank('_p')}))"
+    carry = f"({inner}).rest"
+    long_word = (f"CASE WHEN {blank(rest)} AND len({after}) > 0 "
+                 f"THEN {_state(after, chr(39)*2, 0, 0, 'false', 0, 'false')} "
+                 f"ELSE {_state(full, carry, f'length({carry})', 1, blank(carry), f'length({carry})', 'false')} END")
+    step = (f"CASE WHEN {FR} AND {b} AND len({L}) > 0 THEN {_state(L, C, CL, NP, TB, TL, 'false')} "
+            f"WHEN {CL} + {n} <= {W} THEN {_state(L, f'({C} || t)', f'({CL} + {n})', f'({NP} + 1)', b, n, 'false')} "
+            f"WHEN {n} <= {W} THEN {restart} "
+            f"ELSE {long_word} END")
+    zero = _state("[]::VARCHAR[]", "''", 0, 0, "false", 0, "true")
+    fold = f"list_reduce({wrap_tokens(text)}, lambda acc, t: {step}, {zero})"
+    return (f"(SELECT {_emitted('f.lines', 'f.cur', 'f.curlen', 'f.nparts', 'f.tailblank', 'f.taillen')} "
+            f"FROM (SELECT {fold} AS f))")
+
+
+# --- composed statements ----------------------------------------------------
+
+def wrap_chunks_cte(width: int = 500) -> str:
+    return f"""wc AS (
+  SELECT doc_id, source, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS chunk_no
+  FROM (SELECT doc_id, source, {wrap('text', width)} AS w FROM documents))"""
+
+
+def sentence_chunks_cte(min_doc_chars: int | None = 100) -> str:
+    where = f"WHERE length({strip('text')}) >= {min_doc_chars}" if min_doc_chars else ""
+    return f"""sc AS (
+  SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS chunk_no
+  FROM (SELECT doc_id, {sentence_pack('text')} AS p FROM documents {where}))"""
+
+
+def qa_rows_cte(chunks: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT *, instr(context, b.answer) - 1 AS answer_start
+  FROM (SELECT *, {best_sentence_cols('question', 'context')} AS b
+        FROM (SELECT doc_id, chunk_no, src, context, unnest(qs) AS question,
+                     generate_subscripts(qs, 1) - 1 AS q_no
+              FROM (SELECT doc_id, chunk_no, src, text AS context, {rule_questions('text')} AS qs
+                    FROM {chunks}))))"""
+
+
+def sentence_qa_sql() -> str:
+    return f"""WITH {sentence_chunks_cte()},
+{qa_rows_cte('(SELECT doc_id, chunk_no, NULL AS src, text FROM sc)', 'qa')}
+SELECT printf('%s_chunk_%d_qa_%d', doc_id::VARCHAR, chunk_no, q_no) AS id, doc_id, chunk_no, q_no,
+       context, question, b.answer AS answer, answer_start, round(b.score, 6) AS score
+FROM qa"""
+
+
+def wrapped_qa_sql() -> str:
+    return f"""WITH {wrap_chunks_cte()},
+{qa_rows_cte('(SELECT doc_id, chunk_no, source AS src, text FROM wc)', 'qa')}
+SELECT md5(concat_ws(chr(1), doc_id::VARCHAR, chunk_no::VARCHAR, q_no::VARCHAR)) AS id,
+       src AS title, context, question, b.answer AS answer_text, answer_start
+FROM qa"""
+
+
+def normalize(x: str) -> str:
+    punct = "[" + "".join("\\" + ch for ch in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + "]"
+    s = f"regexp_replace(lower({x}), {lit(punct)}, '', 'g')"
+    art = f"{lit('(^|[^' + WORD_RE2[1:-1] + '])(a|an|the)([^' + WORD_RE2[1:-1] + ']|$)')}"
+    for _ in range(2):
+        s = f"regexp_replace({s}, {art}, '\\1 \\3', 'g')"
+    return f"array_to_string({split_ws(s)}, ' ')"
+
+
+def rag_index_ctes(width: int = 500, dim: int = 64) -> str:
+    return f"""{wrap_chunks_cte(width)},
+ix AS (
+  SELECT (doc_id << 20) + chunk_no AS vec_id, doc_id, chunk_no, text,
+         {dense_embedding('text', dim)} AS emb
+  FROM wc),
+qs AS (SELECT item_id AS qid, text AS query, {dense_embedding('text', dim)} AS emb FROM benchmark),
+dist AS (
+  SELECT qs.qid, ix.vec_id,
+         list_reduce(list_transform(range(1, {dim} + 1),
+             lambda i: (qs.emb[i]::DOUBLE - ix.emb[i]::DOUBLE) * (qs.emb[i]::DOUBLE - ix.emb[i]::DOUBLE)),
+             lambda a, d: a + d, 0.0::DOUBLE) AS dist
+  FROM qs, ix),
+top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank
+                 FROM dist) WHERE rank <= 3),
+ctx AS (
+  SELECT top.qid, string_agg(ix.text, chr(10) ORDER BY top.rank) AS context, count(*) AS n_hits
+  FROM top JOIN ix USING (vec_id) GROUP BY top.qid)"""
+
+
+def dense_embedding(text: str, dim: int = 64) -> str:
+    counts = (f"list_transform(range({dim}), lambda i: len(list_filter(list_transform({tokens(text)}, "
+              f"lambda _k: {bucket('_k', dim)}), lambda _b: _b = i)))")
+    return (f"(SELECT list_transform(c, lambda x: CASE WHEN nrm > 0 THEN (x / nrm)::FLOAT ELSE 0.0::FLOAT END) "
+            f"FROM (SELECT c, sqrt(list_sum(list_transform(c, lambda x: (x * x)::DOUBLE))) AS nrm "
+            f"FROM (SELECT {counts} AS c)))")
+
+
+def statements() -> dict[str, str]:
+    strip_text = strip("text")
+    url_path = "regexp_replace(url, '[?#].*$', '')"
+    base = f"string_split({url_path}, '/')[-1]"
+    sfx = f"regexp_extract({base}, '^.+(\\.[^.]+)$', 1)"
+    return {
+        "knn_topk": """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS qid, c.vec_id AS vec_id,
+        list_reduce(list_transform(range(1, len(q.embedding) + 1),
+          lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)),
+          lambda a, x: a + x, 0.0::DOUBLE) AS dist
+      FROM e q, e c WHERE len(q.embedding) = len(c.embedding))
+SELECT qid, rank::INTEGER AS rank, vec_id, round(dist, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank FROM d)
+WHERE rank <= 3""",
+        "index_stats": """
+SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+       count(*) FILTER (WHERE embedding IS NULL) AS n_null,
+       min(len(embedding)) = max(len(embedding)) AS uniform
+FROM embeddings""",
+        "argmax_em": """
+SELECT count(*) AS n,
+       round(avg(CASE WHEN list_position(embedding, list_max(embedding)) - 1 = label THEN 1.0 ELSE 0.0 END), 6)
+         AS exact_match
+FROM embeddings""",
+        "ext_filter": f"SELECT page_id, url FROM pages WHERE lower({sfx}) IN ('.html')",
+        "ext_audit": f"""
+SELECT lower({sfx}) AS ext, count(*) AS n_files FROM pages
+WHERE lower({sfx}) NOT IN ('.html') GROUP BY 1""",
+        "path_parts": f"""
+SELECT page_id, {base} AS basename,
+       substr({base}, 1, length({base}) - length({sfx})) AS stem, lower({sfx}) AS ext,
+       concat_ws('/', 'pages', regexp_replace(regexp_replace({url_path}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '^/+', '')) AS key
+FROM pages""",
+        "min_text_filter": f"""
+SELECT doc_id, length({strip_text}) AS stripped_len FROM documents WHERE length({strip_text}) >= 100""",
+        "text_prefix": "SELECT doc_id, substr(text, 1, 1000) AS prefix FROM documents",
+        "qgen_prompt": f"""
+SELECT doc_id, {lit('Write 3 questions that the following passage answers, one per line.' + chr(10))}
+       || substr(text, 1, 1000) AS prompt FROM documents""",
+        "page_concat": """
+SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, count(*) AS n_pages
+FROM conversations GROUP BY conv_id""",
+        "page_concat_nl": """
+SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_pages
+FROM conversations GROUP BY conv_id""",
+        "corpus_union": """
+SELECT 'documents' AS corpus, doc_id, text FROM documents
+UNION ALL
+SELECT 'conversations' AS corpus, conv_id AS doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""",
+        "incremental_anti": """
+SELECT d.doc_id, d.n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+        "quarantine": f"""
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason
+FROM (SELECT doc_id,
+        CASE WHEN text IS NULL THEN 'null_text'
+             WHEN instr(text, chr(65533)) > 0 THEN 'bad_utf8'
+             WHEN length({strip_text}) = 0 THEN 'blank_text'
+             WHEN length({strip_text}) < 100 THEN 'too_short' END AS reason
+      FROM documents)""",
+        "latest_status": f"""
+SELECT task_id, status, CASE WHEN status IN ('error', 'failed') THEN err END AS error_message,
+       {iso('ts')} AS updated_at, n_events
+FROM (SELECT user_id AS task_id, event_type AS status, props AS err, ts,
+             count(*) OVER (PARTITION BY user_id) AS n_events,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) WHERE rn = 1""",
+        "run_counters": """
+SELECT user_id AS task_id, count(*) AS total,
+       count(*) FILTER (WHERE event_type NOT IN ('error', 'failed')) AS processed,
+       count(*) FILTER (WHERE event_type IN ('error', 'failed')) AS failed,
+       round(sum(value), 6) AS value_sum
+FROM events GROUP BY user_id""",
+        "status_progress": f"""
+SELECT user_id AS task_id, {iso('min(ts)')} AS started_at, {iso('max(ts)')} AS last_update_at
+FROM events GROUP BY user_id""",
+        "active_tasks": """
+SELECT status, count(*) AS n_tasks, status NOT IN ('completed', 'failed', 'ready', 'error') AS active
+FROM (SELECT event_type AS status,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) WHERE rn = 1 GROUP BY status""",
+        "parse_questions": f"""
+SELECT doc_id, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS q_no
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda _s: {strip('_s')}),
+                                 lambda _q: _q <> '')[1:3] AS qs FROM documents)""",
+        "truncate_tokens": f"""
+SELECT doc_id, array_to_string({split_ws('text')}[1:512], ' ') AS text FROM documents""",
+        "token_windows": f"""
+SELECT doc_id, win_no, tok_start, len(w) AS n_tokens, array_to_string(w, ' ') AS text
+FROM (SELECT doc_id, win_no, tok_start, toks[tok_start + 1 : tok_start + 384] AS w
+      FROM (SELECT doc_id, toks, unnest(starts) AS tok_start, generate_subscripts(starts, 1) - 1 AS win_no
+            FROM (SELECT doc_id, toks,
+                         list_transform(range(0, greatest(ceil((len(toks) - 384) / 256)::INTEGER, 0) + 1),
+                                        lambda i: i * 256) AS starts
+                  FROM (SELECT doc_id, {split_ws('text')} AS toks FROM documents))))""",
+        "sentence_pack": f"""WITH {sentence_chunks_cte(None)}
+SELECT doc_id, chunk_no, text FROM sc""",
+        "rule_questions": f"""WITH {sentence_chunks_cte()}
+SELECT doc_id, chunk_no, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS q_no
+FROM (SELECT doc_id, chunk_no, {rule_questions('text')} AS qs FROM sc)""",
+        "qa_pairs": sentence_qa_sql(),
+        "squad_nested": f"""WITH q AS ({sentence_qa_sql()})
+SELECT arg_min(doc_id, (doc_id, chunk_no, q_no)) AS first_doc_id,
+       arg_min(chunk_no, (doc_id, chunk_no, q_no)) AS first_chunk_no,
+       arg_min(q_no, (doc_id, chunk_no, q_no)) AS first_q_no,
+       0 AS part, {lit(S.TITLE_FORMAT % 'corpus')} AS title, context, count(*) AS n_qas,
+       string_agg(id, ',' ORDER BY doc_id, chunk_no, q_no) AS qa_ids
+FROM q GROUP BY context""",
+        "train_eval_split": f"""WITH q AS ({sentence_qa_sql()})
+SELECT id, CASE WHEN (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0 THEN 'eval' ELSE 'train' END AS split
+FROM q""",
+        "squad_em_f1": f"""WITH q AS ({sentence_qa_sql()}),
+ev AS (SELECT id, answer AS answer_text, ({sentence_spans('context')})[1] AS prediction_text FROM q
+       WHERE (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0),
+nz AS (SELECT id, {normalize('prediction_text')} AS p, {normalize('answer_text')} AS g FROM ev),
+tk AS (SELECT id, p, g, {split_ws('p')} AS pt, {split_ws('g')} AS gt FROM nz),
+sc AS (SELECT id, CASE WHEN p = g THEN 1.0 ELSE 0.0 END AS em,
+              coalesce(list_sum(list_transform(list_distinct(pt), lambda t:
+                 least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))), 0) AS common,
+              len(pt) AS np, len(gt) AS ng FROM tk)
+SELECT count(*) AS n, count(*) - count(DISTINCT id) AS n_dup_ids,
+       round(avg(em) * 100, 6) AS exact_match,
+       round(avg(CASE WHEN common = 0 THEN 0.0
+                      ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END) * 100, 6) AS f1
+FROM sc""",
+        "wrap_chunks": f"""WITH {wrap_chunks_cte()}
+SELECT doc_id, chunk_no, text FROM wc""",
+        "hash_embed": f"""
+WITH t AS (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents),
+b AS (SELECT doc_id, {bucket('tok')} AS bucket, count(*) AS cnt FROM t GROUP BY ALL)
+SELECT doc_id, bucket,
+       round((cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS weight
+FROM b""",
+        "qa_flat": wrapped_qa_sql(),
+        "train_examples": f"""WITH f AS ({wrapped_qa_sql()})
+SELECT id, context, question, answer_text, answer_start FROM f WHERE answer_start <> -1""",
+        "rag_context": f"""WITH {rag_index_ctes()}
+SELECT qid, context, n_hits FROM ctx""",
+        "rag_prompt": f"""WITH {rag_index_ctes()},
+a AS (SELECT qs.qid, qs.query, coalesce(ctx.context, '') AS context FROM qs LEFT JOIN ctx USING (qid))
+SELECT qid,
+       'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'
+         AS zero_shot,
+       array_to_string({split_ws(lit(R._FEW_SHOT_HEAD) + " || context || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'")}[1:512], ' ')
+         AS few_shot_truncated
+FROM a""",
+        "rag_answer": f"""WITH {rag_index_ctes()},
+a AS (SELECT qs.qid, qs.query, coalesce(ctx.context, '') AS context FROM qs LEFT JOIN ctx USING (qid))
+SELECT qid, query, context,
+       CASE WHEN b.overlap > 0 THEN b.answer ELSE {lit(Q.NOT_AVAILABLE)} END AS response
+FROM (SELECT *, {best_sentence_cols('query', 'context')} AS b FROM a)""",
+    }
