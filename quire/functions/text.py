@@ -44,6 +44,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Spark re-evaluates an expression each time a lambda body references it,
+    so an array computed outside ``transform``/``filter`` and used inside would
+    be recomputed per element.  Binding it through a one-element ``transform``
+    makes it a variable holding the computed value.
+    """
+    return F.transform(F.array(_col(value)), body)[0]
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: trims the full Unicode whitespace set (Spark's
     ``trim`` only removes ASCII spaces)."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -42,18 +44,19 @@ def bucket_counts_dense(buckets, dim: int) -> Column:
     def finish(acc):
         keys = F.when(acc["run"] > 0, F.concat(acc["keys"], F.array(acc["prev"]))).otherwise(acc["keys"])
         cnts = F.when(acc["run"] > 0, F.concat(acc["cnts"], F.array(acc["run"]))).otherwise(acc["cnts"])
-        m = F.map_from_arrays(keys, cnts)
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: F.coalesce(F.element_at(m, i), F.lit(0)))
+        return let(F.map_from_arrays(keys, cnts), lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0))))
 
     return F.aggregate(sorted_b, zero, step, finish)
 
 
 def l2_normalise(counts) -> Column:
     """Counts divided by their L2 norm, narrowed to float32 (all-zero stays zero)."""
-    c = _col(counts)
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x))
-    return F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    def scale(c):
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x))
+        return let(norm, lambda nv: F.transform(
+            c, lambda x: F.when(nv > 0, x / nv).otherwise(F.lit(0.0)).cast("float")))
+    return let(counts, scale)
 
 
 def squared_l2(a, b) -> Column:

@@ -47,15 +47,22 @@ def _tokens(norm: Column) -> Column:
 def em_f1_columns(pred, truth) -> tuple[Column, Column]:
     """Per-pair exact match and token-multiset F1, both in [0, 1]."""
     p, g = normalize_answer(pred), normalize_answer(truth)
-    pt, gt = _tokens(p), _tokens(g)
-    common = F.aggregate(
-        F.array_distinct(pt), F.lit(0),
-        lambda acc, t: acc + F.least(F.size(F.filter(pt, lambda x: x == t)),
-                                     F.size(F.filter(gt, lambda x: x == t))))
-    prec = common / F.size(pt)
-    rec = common / F.size(gt)
-    f1 = F.when(common == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
     em = F.when(p == g, F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def with_tokens(pair):
+        pt, gt = pair["p"], pair["g"]
+        common = F.aggregate(
+            F.array_distinct(pt), F.lit(0),
+            lambda acc, t: acc + F.least(F.size(F.filter(pt, lambda x: x == t)),
+                                         F.size(F.filter(gt, lambda x: x == t))))
+
+        def f1_of(c):
+            prec = c / F.size(pt)
+            rec = c / F.size(gt)
+            return F.when(c == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+        return T.let(common, f1_of)
+
+    f1 = T.let(F.struct(_tokens(p).alias("p"), _tokens(g).alias("g")), with_tokens)
     return em, f1
 
 

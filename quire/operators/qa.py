@@ -38,17 +38,20 @@ def rule_questions(text, limit: int = MAX_QUESTIONS) -> Column:
     """who/what/when/where questions fired by whole whitespace tokens
     (compared lower-case), in that order, at most ``limit``; two default
     questions when none fires.  A token of decimal digits also fires "when"."""
-    words = T.py_split(text)
-    lw = F.transform(words, F.lower)
-    who = F.arrays_overlap(lw, _lit_array(WHO_WORDS))
-    what = F.arrays_overlap(lw, _lit_array(WHAT_WORDS))
-    when = F.exists(words, lambda w: w.rlike(r"^\p{Nd}+\z")) | \
-        F.arrays_overlap(lw, _lit_array(WHEN_WORDS))
-    where = F.arrays_overlap(lw, _lit_array(WHERE_WORDS))
-    fired = F.array_compact(F.array(
-        F.when(who, F.lit(WHO_QUESTION)), F.when(what, F.lit(WHAT_QUESTION)),
-        F.when(when, F.lit(WHEN_QUESTION)), F.when(where, F.lit(WHERE_QUESTION))))
-    return F.when(F.size(fired) == 0, _lit_array(DEFAULT_QUESTIONS)).otherwise(F.slice(fired, 1, limit))
+    def fire(words):
+        def by_lower(lw):
+            who = F.arrays_overlap(lw, _lit_array(WHO_WORDS))
+            what = F.arrays_overlap(lw, _lit_array(WHAT_WORDS))
+            when = F.exists(words, lambda w: w.rlike(r"^\p{Nd}+\z")) | \
+                F.arrays_overlap(lw, _lit_array(WHEN_WORDS))
+            where = F.arrays_overlap(lw, _lit_array(WHERE_WORDS))
+            return F.array_compact(F.array(
+                F.when(who, F.lit(WHO_QUESTION)), F.when(what, F.lit(WHAT_QUESTION)),
+                F.when(when, F.lit(WHEN_QUESTION)), F.when(where, F.lit(WHERE_QUESTION))))
+        return T.let(F.transform(words, F.lower), by_lower)
+
+    return T.let(T.let(T.py_split(text), fire), lambda fired: F.when(
+        F.size(fired) == 0, _lit_array(DEFAULT_QUESTIONS)).otherwise(F.slice(fired, 1, limit)))
 
 
 def parse_questions(raw, limit: int = MAX_QUESTIONS) -> Column:
@@ -77,13 +80,16 @@ def sentence_index(context) -> Column:
 def best_sentence(question, sentences: Column) -> Column:
     """F6 default: the sentence sharing most distinct word tokens with the
     question (earliest on ties) -> ``struct(answer, overlap, score)``."""
-    qtok = F.array_distinct(T.word_tokens(question))
-    scored = F.transform(sentences, lambda x: F.size(F.array_intersect(qtok, x["tok"])))
-    best = F.array_position(scored, F.array_max(scored))
-    answer = F.coalesce(F.element_at(sentences, best.cast("int"))["s"], F.lit(""))
-    overlap = F.coalesce(F.array_max(scored), F.lit(0))
-    score = F.when(F.size(qtok) > 0, overlap / F.size(qtok)).otherwise(F.lit(0.0))
-    return F.struct(answer.alias("answer"), overlap.alias("overlap"), score.alias("score"))
+    def with_q(qtok):
+        def pick(scored):
+            top = F.array_max(scored)
+            best = F.array_position(scored, top)
+            answer = F.coalesce(F.element_at(sentences, best.cast("int"))["s"], F.lit(""))
+            overlap = F.coalesce(top, F.lit(0))
+            score = F.when(F.size(qtok) > 0, overlap / F.size(qtok)).otherwise(F.lit(0.0))
+            return F.struct(answer.alias("answer"), overlap.alias("overlap"), score.alias("score"))
+        return T.let(F.transform(sentences, lambda x: F.size(F.array_intersect(qtok, x["tok"]))), pick)
+    return T.let(F.array_distinct(T.word_tokens(question)), with_q)
 
 
 def answer_offset(answer, context) -> Column:

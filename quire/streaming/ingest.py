@@ -26,14 +26,26 @@ def _run_available_now(df: DataFrame, out_path: str, ckpt: str, mode: str = "app
 
 
 def stream_documents(spark: SparkSession, path: str, schema=None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of a documents table folder/file (schema taken from the batch reader)."""
+    """Streaming read of a table folder, or of one file inside a folder (the
+    folder is watched with a glob filter on that file name); the schema is
+    taken from the batch reader, never inferred per micro-batch."""
     schema = schema or spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if path.rstrip("/").endswith(".parquet") and not _is_dir(spark, path):
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def ingest_sentence_chunks(spark: SparkSession, source: str, out_path: str, ckpt: str) -> None:
     """One incremental run: new documents -> sentence chunks appended to ``out_path``."""
     docs = stream_documents(spark, source)
