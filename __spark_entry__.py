@@ -16,7 +16,7 @@ from quire.functions import text as T
 from quire.operators import chunking, corpus, embed, evaluate, knn, qa, rag, squad, status
 from quire.plans import dataset, rag as rag_plan
 from quire.sources import files
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 from quire.streaming import ingest
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -40,7 +40,7 @@ def _benchmark_queries(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return _t(spark, sf_dir, "documents")
+    return spread(_t(spark, sf_dir, "documents"), "doc_id")
 
 
 # --- queries ------------------------------------------------------------------
@@ -202,24 +202,23 @@ def q_train_examples(spark, sf_dir):
     return qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
 
 
-def _rag_index(spark, sf_dir):
-    return rag_plan.build_index(_documents(spark, sf_dir))
-
-
 def q_rag_context(spark, sf_dir):
-    return rag_plan.contexts(_rag_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), 3)
+    docs = _documents(spark, sf_dir)
+    return rag_plan.contexts(rag_plan.build_index(docs), _benchmark_queries(spark, sf_dir), 3, docs)
 
 
 def q_rag_prompt(spark, sf_dir):
     q = _benchmark_queries(spark, sf_dir)
-    ctx = rag_plan.contexts(_rag_index(spark, sf_dir), q, 3)
+    docs = _documents(spark, sf_dir)
+    ctx = rag_plan.contexts(rag_plan.build_index(docs), q, 3, docs)
     a = q.join(ctx, "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
     return a.select("qid", rag.zero_shot_prompt("context", "query").alias("zero_shot"),
                     T.truncate_tokens(rag.few_shot_prompt("context", "query"), 512).alias("few_shot_truncated"))
 
 
 def q_rag_answer(spark, sf_dir):
-    return rag_plan.answers(_rag_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), 3) \
+    docs = _documents(spark, sf_dir)
+    return rag_plan.answers(rag_plan.build_index(docs), _benchmark_queries(spark, sf_dir), 3, docs) \
         .select("qid", "query", "context", "response")
 
 

@@ -111,19 +111,24 @@ def _last_hyphen_cut(chunk: Column, space: Column) -> Column:
     return F.when(ok, hyphen + 1).otherwise(space)
 
 
-def _state(lines, cur, curlen, nparts, tailblank, taillen, fresh) -> Column:
-    return F.struct(
-        lines.alias("lines"), cur.alias("cur"), curlen.alias("curlen"),
-        nparts.alias("nparts"), tailblank.alias("tailblank"),
-        taillen.alias("taillen"), fresh.alias("fresh"))
+_FIELDS = ("lines", "pre", "start", "cnt", "curlen", "nparts", "tailblank", "taillen", "fresh", "idx")
 
 
-def _emitted(lines, cur, curlen, nparts, tailblank, taillen) -> Column:
-    """Lines after closing the current line: a trailing blank part is dropped
-    and an empty line is not emitted."""
+def _state(**kw) -> Column:
+    return F.struct(*[kw[f].alias(f) for f in _FIELDS])
+
+
+def _line_text(toks: Column, pre: Column, start: Column, cnt: Column) -> Column:
+    # the open line is an optional carried piece plus a run of whole tokens
+    return F.concat(pre, F.array_join(F.slice(toks, start, cnt), ""))
+
+
+def _emitted(lines, text, curlen, nparts, tailblank, taillen) -> Column:
+    """Lines after closing the open line: a trailing blank part is dropped and
+    an empty line is not emitted."""
     remaining = F.when(tailblank, nparts - 1).otherwise(nparts)
-    text = F.when(tailblank, cur.substr(F.lit(1), curlen - taillen)).otherwise(cur)
-    return F.when(remaining > 0, F.concat(lines, F.array(text))).otherwise(lines)
+    out = F.when(tailblank, text.substr(F.lit(1), curlen - taillen)).otherwise(text)
+    return F.when(remaining > 0, F.concat(lines, F.array(out))).otherwise(lines)
 
 
 def wrap(text, width: int = 500) -> Column:
@@ -135,67 +140,81 @@ def wrap(text, width: int = 500) -> Column:
     width-sized, hyphen-aware pieces.  Whitespace at the start of every line but
     the first and at the end of every line is dropped.  Blank or null text gives
     an empty array / null.
+
+    The fold state keeps the open line as a token index range, so each step is
+    constant work and a line's string is built once, when it is emitted.
     """
     W = F.lit(width)
-    tokens = F.regexp_extract_all(_munge(_col(text)), F.lit(WRAP_TOKEN), 1)
     empty = F.array().cast("array<string>")
-    zero = _state(empty, F.lit(""), F.lit(0), F.lit(0), F.lit(False), F.lit(0), F.lit(True))
-
-    def step(acc: Column, t: Column) -> Column:
-        lines, cur, curlen = acc["lines"], acc["cur"], acc["curlen"]
-        nparts, tailblank, taillen = acc["nparts"], acc["tailblank"], acc["taillen"]
-        fresh = acc["fresh"]
-        n = F.length(t)
-        blank = is_blank(t)
-        f = F.lit(False)
-
-        dropped_here = fresh & blank & (F.size(lines) > 0)
-        appended = _state(lines, F.concat(cur, t), curlen + n, nparts + 1, blank, n, f)
-
-        # token fits an empty line: close the current one and start over with t
-        closed = _emitted(lines, cur, curlen, nparts, tailblank, taillen)
-        restart = F.when(blank & (F.size(closed) > 0),
-                         _state(closed, F.lit(""), F.lit(0), F.lit(0), f, F.lit(0), f)) \
-            .otherwise(_state(closed, t, n, F.lit(1), blank, n, f))
-
-        # token longer than the width: fill the line, then cut the rest
-        space = W - curlen
-        end = _last_hyphen_cut(t, space)
-        head = t.substr(F.lit(1), end)
-        rest = t.substr(end + 1, n)
-        head_blank = is_blank(head)
-        after_head = _emitted(lines, F.concat(cur, head), curlen + F.length(head),
-                              nparts + 1, head_blank, F.length(head))
-        cut = F.aggregate(
-            F.sequence(F.lit(1), (F.length(rest) / W).cast("int") * 2 + 3),
-            F.struct(empty.alias("pieces"), rest.alias("rest")),
-            lambda a, _i: F.when(
-                F.length(a["rest"]) > W,
-                F.struct(
-                    F.concat(a["pieces"], F.array(a["rest"].substr(
-                        F.lit(1), _last_hyphen_cut(a["rest"], W)))).alias("pieces"),
-                    a["rest"].substr(_last_hyphen_cut(a["rest"], W) + 1,
-                                     F.length(a["rest"])).alias("rest"),
-                )).otherwise(a),
-        )
-        full_lines = F.concat(after_head, F.filter(cut["pieces"], lambda p: ~is_blank(p)))
-        carry = cut["rest"]
-        long_word = F.when(
-            is_blank(rest) & (F.size(after_head) > 0),
-            _state(after_head, F.lit(""), F.lit(0), F.lit(0), f, F.lit(0), f),
-        ).otherwise(_state(full_lines, carry, F.length(carry), F.lit(1),
-                           is_blank(carry), F.length(carry), f))
-
-        return (F.when(dropped_here, _state(lines, cur, curlen, nparts, tailblank, taillen, f))
-                .when(curlen + n <= W, appended)
-                .when(n <= W, restart)
-                .otherwise(long_word))
+    zero_ = F.lit(0)
+    f = F.lit(False)
+
+    def fold(toks: Column) -> Column:
+        zero = _state(lines=empty, pre=F.lit(""), start=F.lit(1), cnt=zero_, curlen=zero_,
+                      nparts=zero_, tailblank=f, taillen=zero_, fresh=F.lit(True), idx=zero_)
+
+        def step(acc: Column, t: Column) -> Column:
+            lines, pre, start, cnt = acc["lines"], acc["pre"], acc["start"], acc["cnt"]
+            curlen, nparts, tailblank, taillen = acc["curlen"], acc["nparts"], acc["tailblank"], acc["taillen"]
+            i = acc["idx"] + 1
+            n = F.length(t)
+            blank = is_blank(t)
+            empty_line = dict(pre=F.lit(""), start=i + 1, cnt=zero_, curlen=zero_, nparts=zero_,
+                              tailblank=f, taillen=zero_, fresh=f, idx=i)
+
+            dropped = _state(lines=lines, **empty_line)
+            appended = _state(lines=lines, pre=pre, start=start, cnt=cnt + 1, curlen=curlen + n,
+                              nparts=nparts + 1, tailblank=blank, taillen=n, fresh=f, idx=i)
+
+            # the token fits an empty line: close the open line, start over with t
+            closed = _emitted(lines, _line_text(toks, pre, start, cnt), curlen, nparts, tailblank, taillen)
+            restart = F.when(blank & (F.size(closed) > 0), _state(lines=closed, **empty_line)) \
+                .otherwise(_state(lines=closed, pre=F.lit(""), start=i, cnt=F.lit(1), curlen=n,
+                                  nparts=F.lit(1), tailblank=blank, taillen=n, fresh=f, idx=i))
+
+            # the token is longer than the width: fill the line, then cut the rest
+            end = _last_hyphen_cut(t, W - curlen)
+            head = t.substr(F.lit(1), end)
+            rest = t.substr(end + 1, n)
+            after_head = _emitted(lines, F.concat(_line_text(toks, pre, start, cnt), head),
+                                  curlen + F.length(head), nparts + 1, is_blank(head), F.length(head))
+
+            def cut_rest(r: Column) -> Column:
+                return F.aggregate(
+                    F.sequence(F.lit(1), (F.length(r) / W).cast("int") * 2 + 3),
+                    F.struct(empty.alias("pieces"), r.alias("rest")),
+                    lambda a, _i: F.when(
+                        F.length(a["rest"]) > W,
+                        let(_last_hyphen_cut(a["rest"], W), lambda e: F.struct(
+                            F.concat(a["pieces"], F.array(a["rest"].substr(F.lit(1), e))).alias("pieces"),
+                            a["rest"].substr(e + 1, F.length(a["rest"])).alias("rest")))
+                    ).otherwise(a))
+
+            def long_word(cut: Column) -> Column:
+                carry = cut["rest"]
+                full = F.concat(after_head, F.filter(cut["pieces"], lambda p: ~is_blank(p)))
+                # a blank remainder at the start of a later line is dropped too
+                return F.when(is_blank(rest) & (F.size(after_head) > 0),
+                              _state(lines=after_head, **empty_line)) \
+                    .when(is_blank(carry) & (F.size(full) > 0), _state(lines=full, **empty_line)) \
+                    .otherwise(_state(
+                        lines=full, pre=carry, start=i + 1, cnt=zero_, curlen=F.length(carry),
+                        nparts=F.lit(1), tailblank=is_blank(carry), taillen=F.length(carry),
+                        fresh=f, idx=i))
+
+            return (F.when(acc["fresh"] & blank & (F.size(lines) > 0), dropped)
+                    .when(curlen + n <= W, appended)
+                    .when(n <= W, restart)
+                    .otherwise(let(cut_rest(rest), long_word)))
+
+        def finish(acc: Column) -> Column:
+            return _emitted(acc["lines"], _line_text(toks, acc["pre"], acc["start"], acc["cnt"]),
+                            acc["curlen"], acc["nparts"], acc["tailblank"], acc["taillen"])
+
+        return F.aggregate(toks, zero, step, finish)
 
-    def finish(acc: Column) -> Column:
-        return _emitted(acc["lines"], acc["cur"], acc["curlen"], acc["nparts"],
-                        acc["tailblank"], acc["taillen"])
-
-    return F.aggregate(tokens, zero, step, finish)
+    tokens = F.regexp_extract_all(_munge(_col(text)), F.lit(WRAP_TOKEN), 1)
+    return let(tokens, fold)
 
 
 # --- E4: sentence split and greedy pack -------------------------------------

@@ -120,6 +120,19 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     return out
 
 
+def materialize(top: DataFrame) -> DataFrame:
+    """Cut the lineage of a top-k result with a reliable checkpoint in the
+    session's checkpoint folder, so several consumers (hit lookup, context
+    join) do not re-run the corpus scan and a lost executor does not either.
+    The result is bounded by ``queries x k`` rows."""
+    from quire.session import checkpoint_dir
+    checkpoint_dir(top.sparkSession)
+    bound = getattr(top, "_quire_max_rows", None)
+    out = top.checkpoint(eager=True)
+    out._quire_max_rows = bound
+    return out
+
+
 def attach_text(topk: DataFrame, corpus: DataFrame, *, corpus_id: str = "vec_id",
                 text_col: str = "text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Look the winning ids up in the corpus after ranking, so texts never

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, corpus, qa, squad
+from quire.sources.tables import spread
 
 
 def sentence_qa(docs: DataFrame, max_length: int = 512, min_length: int = 50) -> DataFrame:
     """``(id, doc_id, chunk_no, q_no, context, question, answer, answer_start, score)``."""
-    kept = corpus.min_text_filter(docs.select("doc_id", "text"), "text")
+    kept = corpus.min_text_filter(spread(docs.select("doc_id", "text"), "doc_id"), "text")
     chunks = chunking.sentence_chunks(kept, ("doc_id",), "text", max_length, min_length)
     rows = qa.questions_with_answers(chunks, ("doc_id", "chunk_no"), "text")
     return rows.select(qa.structured_id().alias("id"), "doc_id", "chunk_no", "q_no", "context",
@@ -25,7 +26,7 @@ def sentence_qa(docs: DataFrame, max_length: int = 512, min_length: int = 50) ->
 
 def wrapped_qa(docs: DataFrame, width: int = 500, title_col: str = "source") -> DataFrame:
     """``(id, title, doc_id, chunk_no, q_no, context, question, answer_text, answer_start)``."""
-    chunks = chunking.wrap_chunks(docs, ("doc_id",), "text", width, keep=(title_col,))
+    chunks = chunking.wrap_chunks(spread(docs, "doc_id"), ("doc_id",), "text", width, keep=(title_col,))
     rows = qa.questions_with_answers(chunks, ("doc_id", "chunk_no"), "text", keep=(title_col,))
     return rows.select(qa.record_id("doc_id", "chunk_no", "q_no").alias("id"),
                        F.col(title_col).alias("title"), "doc_id", "chunk_no", "q_no", "context",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, embed, knn, rag
+from quire.sources.tables import spread
 
 DEFAULT_K = 3
 CHUNK_WIDTH = 500
@@ -16,6 +17,7 @@ CHUNK_WIDTH = 500
 def build_index(docs: DataFrame, width: int = CHUNK_WIDTH, dim: int = embed.DEFAULT_DIM,
                 source_col: str = "source") -> DataFrame:
     """H1: ``(vec_id, doc_id, chunk_no, source, text, embedding)``; narrow end to end."""
+    docs = spread(docs, "doc_id")
     chunks = chunking.wrap_chunks(docs, ("doc_id",), "text", width, keep=(source_col,))
     return embed.hash_embed(chunks, "text", "embedding", dim) \
         .withColumn("vec_id", knn.chunk_vec_id("doc_id", "chunk_no")) \
@@ -30,16 +32,38 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                         query_id="qid", query_vec="embedding")
 
 
-def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """``(qid, context, n_hits)``; texts joined after ranking."""
-    top = retrieve(index, queries, k)
-    return knn.assemble_context(knn.attach_text(top, index))
+def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH,
+              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Texts of the winning chunks, re-chunking only the documents that hold a
+    hit (the chunker is deterministic), so a lazily defined index is not
+    wrapped twice.  The hit side is bounded by ``queries x k``."""
+    hits = top.select("qid", "rank", "vec_id",
+                      F.shiftright("vec_id", 20).alias("doc_id"),
+                      (F.col("vec_id") - F.shiftleft(F.shiftright("vec_id", 20), 20)).cast("int")
+                      .alias("chunk_no"))
+    bound = getattr(top, "_quire_max_rows", None)
+    small = bound is not None and bound <= max_broadcast_rows
+    hit_docs = hits.select("doc_id").distinct()
+    needed = docs.join(F.broadcast(hit_docs) if small else hit_docs, "doc_id", "left_semi")
+    chunks = chunking.wrap_chunks(needed, ("doc_id",), "text", width)
+    return chunks.join(F.broadcast(hits) if small else hits, ["doc_id", "chunk_no"]) \
+        .select("qid", "rank", "vec_id", "text")
 
 
-def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
+             docs: DataFrame | None = None) -> DataFrame:
+    """``(qid, context, n_hits)``; texts joined after ranking, either
+    from a materialised index or (``docs`` given) by re-chunking hit documents."""
+    top = knn.materialize(retrieve(index, queries, k))
+    texts = hit_texts(top, docs) if docs is not None else knn.attach_text(top, index)
+    return knn.assemble_context(texts)
+
+
+def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
+            docs: DataFrame | None = None) -> DataFrame:
     """F3 with the default extractive answerer: ``(qid, query, context, prompt, response)``.
     Queries without any hit keep an empty context."""
-    ctx = contexts(index, queries, k)
+    ctx = contexts(index, queries, k, docs)
     joined = queries.select("qid", "query").join(ctx, "qid", "left") \
         .withColumn("context", F.coalesce("context", F.lit("")))
     return joined.select("qid", "query", "context",

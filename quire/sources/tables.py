@@ -12,3 +12,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread rows on ``key`` when the scan yields too few partitions.
+
+    A table stored as one file with one row group scans as a single task, so
+    CPU-heavy row folds (wrap, sentence pack, embedding) would run on one core.
+    When the input already has at least ``min_partitions`` partitions (the
+    normal case for a large table stored as many files) nothing is added; a
+    repartition with an explicit count is not coalesced back by AQE.
+    """
+    spark = df.sparkSession
+    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
