@@ -136,8 +136,8 @@ def q_active_tasks(spark, sf_dir):
 
 
 def q_parse_questions(spark, sf_dir):
-    return _documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(qa.parse_questions("text")).alias("q_no", "question"))
+    return T.explode_indexed(_documents(spark, sf_dir), ["doc_id"], qa.parse_questions("text"),
+                             "q_no", "question")
 
 
 def q_truncate_tokens(spark, sf_dir):
@@ -155,8 +155,7 @@ def q_sentence_pack(spark, sf_dir):
 def q_rule_questions(spark, sf_dir):
     kept = corpus.min_text_filter(_documents(spark, sf_dir))
     chunks = chunking.sentence_chunks(kept, ["doc_id"], "text")
-    return chunks.select("doc_id", "chunk_no",
-                         F.posexplode(qa.rule_questions("text")).alias("q_no", "question"))
+    return T.explode_indexed(chunks, ["doc_id", "chunk_no"], qa.rule_questions("text"), "q_no", "question")
 
 
 def q_qa_pairs(spark, sf_dir):

@@ -55,6 +55,18 @@ def let(value, body) -> Column:
     return F.transform(F.array(_col(value)), body)[0]
 
 
+def explode_indexed(df, keep, arr, pos: str, val: str):
+    """``posexplode`` that does not make Catalyst duplicate ``arr``.
+
+    For a plain ``posexplode`` the optimiser infers ``size(arr) > 0`` and pushes
+    that filter below the generator (even below an exchange), so an expensive
+    array expression such as a fold would run twice.  The ``_outer`` form infers
+    nothing; its single null row for an empty or null array is dropped here.
+    """
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, val))
+            .where(F.col(val).isNotNull()))
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: trims the full Unicode whitespace set (Spark's
     ``trim`` only removes ASCII spaces)."""

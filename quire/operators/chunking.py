@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -21,8 +21,7 @@ PAGE_BLOCK = 4096
 def wrap_chunks(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
                 width: int = 500, keep: Sequence[str] = ()) -> DataFrame:
     """Fixed-width word wrap -> ``(*id_cols, *keep, chunk_no, text)``."""
-    return docs.select(*id_cols, *keep,
-                       F.posexplode(T.wrap(text_col, width)).alias("chunk_no", "text"))
+    return T.explode_indexed(docs, [*id_cols, *keep], T.wrap(text_col, width), "chunk_no", "text")
 
 
 def sentence_chunks(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
@@ -30,9 +29,8 @@ def sentence_chunks(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_
                     keep: Sequence[str] = ()) -> DataFrame:
     """Sentence split and greedy pack -> ``(*id_cols, chunk_no, text)``;
     ordinals count the kept chunks only."""
-    return docs.select(*id_cols, *keep,
-                       F.posexplode(T.sentence_pack(text_col, max_length, min_length))
-                       .alias("chunk_no", "text"))
+    return T.explode_indexed(docs, [*id_cols, *keep], T.sentence_pack(text_col, max_length, min_length),
+                             "chunk_no", "text")
 
 
 def assemble_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text",
@@ -72,13 +70,16 @@ def token_windows(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
         budget = F.greatest(F.lit(window) - F.size(T.py_split(question_col)), F.lit(overlap + 1))
     else:
         budget = F.lit(window)
-    stride = budget - overlap
-    n = F.size(toks)
-    starts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil((n - budget) / stride).cast("int"), F.lit(0))),
-        lambda i: i * stride)
-    return (df.select(*id_cols, toks.alias("_tok"), budget.alias("_bud"),
-                      F.posexplode(starts).alias("win_no", "tok_start"))
+
+    def starts_of(tok: Column, bud: Column) -> Column:
+        stride = bud - overlap
+        n = F.size(tok)
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil((n - bud) / stride).cast("int"), F.lit(0))),
+            lambda i: i * stride)
+    base = df.select(*id_cols, toks.alias("_tok"), budget.alias("_bud"))
+    return (T.explode_indexed(base, [*id_cols, "_tok", "_bud"], starts_of(F.col("_tok"), F.col("_bud")),
+                              "win_no", "tok_start")
             .select(*id_cols, "win_no", "tok_start",
                     F.slice("_tok", F.col("tok_start") + 1, F.col("_bud")).alias("_w"))
             .select(*id_cols, "win_no", "tok_start", F.size("_w").alias("n_tokens"),

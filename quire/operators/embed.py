@@ -39,7 +39,7 @@ def hash_embed_sparse(df: DataFrame, id_cols: Sequence[str], text_col: str = "te
     then exploded, so this needs no shuffle either.
     """
     dense = df.select(*id_cols, embedding_column(text_col, dim).alias("_v"))
-    return (dense.select(*id_cols, F.posexplode("_v").alias("bucket", "weight"))
+    return (T.explode_indexed(dense, id_cols, F.col("_v"), "bucket", "weight")
             .where(F.col("weight") != 0)
             .select(*id_cols, F.col("bucket").cast("int").alias("bucket"),
                     F.col("weight").cast("double").alias("weight")))

@@ -105,8 +105,8 @@ def questions_with_answers(chunks: DataFrame, id_cols: Sequence[str], context_co
     qs = questions if questions is not None else rule_questions(context_col)
     base = chunks.select(*id_cols, *keep, F.col(context_col).alias("context"),
                          sentence_index(context_col).alias("_sent"), qs.alias("_qs"))
-    exploded = base.select(*id_cols, *keep, "context", "_sent",
-                           F.posexplode("_qs").alias("q_no", "question"))
+    exploded = T.explode_indexed(base, [*id_cols, *keep, "context", "_sent"], F.col("_qs"),
+                                 "q_no", "question")
     best = best_sentence("question", F.col("_sent"))
     return (exploded.select(*id_cols, *keep, "context", "q_no", "question", best.alias("_b"))
             .select(*id_cols, *keep, "context", "q_no", "question",
