@@ -4,6 +4,8 @@ Listing and reading go through Spark's ``binaryFile`` source, so the same code
 lists a local folder or an object-store prefix (Hadoop FS pages through every
 key; there is no first-page cap).  Listing selects only ``path/length/
 modificationTime`` and the ``content`` column is pruned from the scan.
+Spark's file scan skips zero-length files, so they appear in no listing;
+they could not yield text anyway.
 """
 
 from __future__ import annotations
