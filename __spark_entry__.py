@@ -163,7 +163,7 @@ def q_qa_pairs(spark, sf_dir):
 
 
 def q_squad_nested(spark, sf_dir):
-    paras = squad.paragraphs(dataset.sentence_qa(_documents(spark, sf_dir)), TASK_ID)
+    paras = dataset.nested_dataset(_documents(spark, sf_dir), TASK_ID)
     return paras.select("first_doc_id", "first_chunk_no", "first_q_no", "part", "title", "context",
                         F.size("qas").alias("n_qas"),
                         F.array_join(F.transform("qas", lambda x: x["id"]), ",").alias("qa_ids"))

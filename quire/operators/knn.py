@@ -144,10 +144,9 @@ def materialize(top: DataFrame) -> DataFrame:
     session's checkpoint folder, so several consumers (hit lookup, context
     join) do not re-run the corpus scan and a lost executor does not either.
     The result is bounded by ``queries x k`` rows."""
-    from quire.session import checkpoint_dir
-    checkpoint_dir(top.sparkSession)
+    from quire.session import materialize as _materialize
     bound = getattr(top, "_quire_max_rows", None)
-    out = top.checkpoint(eager=True)
+    out = _materialize(top)
     out._quire_max_rows = bound
     return out
 

@@ -69,13 +69,18 @@ def paragraphs(qa: DataFrame, task_id: str,
     Output: ``(first_doc_id, first_chunk_no, first_q_no, part, title, context,
     qas array<struct<id, question, answers array<struct<text, answer_start>>>>)``.
     """
-    counts = (qa.groupBy("context")
-              .agg(F.count(F.lit(1)).alias("_n")))
-    keyed = (qa.join(counts, "context")
-             .withColumn("part", F.when(F.col("_n") > max_qas_per_paragraph,
-                                        F.pmod(F.xxhash64("id"),
-                                               F.ceil(F.col("_n") / max_qas_per_paragraph)))
-                         .otherwise(F.lit(0)).cast("int")))
+    # context sizes keyed by a 64-bit hash: a map-side partial count, so only
+    # (hash, partial count) pairs are shuffled; the hash only decides how many
+    # paragraphs a context is split into, grouping below is on the exact text
+    with_h = qa.withColumn("_h", F.xxhash64("context"))
+    sizes = (with_h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > max_qas_per_paragraph)
+             .select("_h", F.ceil(F.col("_n") / max_qas_per_paragraph).cast("long").alias("_parts")))
+    # only hot contexts are on the right side; AQE broadcasts it when small and
+    # otherwise splits a skewed join partition (the aggregate re-shuffles anyway)
+    keyed = (with_h.join(sizes, "_h", "left")
+             .withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0))
+                         .cast("int")))
     qa_struct = F.struct(
         F.col("doc_id"), F.col("chunk_no"), F.col("q_no"), F.col("id"), F.col("question"),
         F.array(F.struct(F.col("answer").alias("text"),

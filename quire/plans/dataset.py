@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, corpus, qa, squad
+from quire.session import materialize
 from quire.sources.tables import spread
 
 
@@ -34,5 +35,7 @@ def wrapped_qa(docs: DataFrame, width: int = 500, title_col: str = "source") ->
 
 
 def nested_dataset(docs: DataFrame, task_id: str) -> DataFrame:
-    """B2 input: paragraphs of the sentence flow, grouped by context."""
-    return squad.paragraphs(sentence_qa(docs), task_id)
+    """B2 input: paragraphs of the sentence flow, grouped by context.  The QA
+    rows are checkpointed first: paragraph building reads them twice (context
+    sizes, then grouping) and they are the expensive part."""
+    return squad.paragraphs(materialize(sentence_qa(docs)), task_id)

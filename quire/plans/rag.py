@@ -69,3 +69,33 @@ def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     return joined.select("qid", "query", "context",
                          rag.few_shot_prompt("context", "query").alias("prompt"),
                          rag.default_answer("context", "query").alias("response"))
+
+
+def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist the index as Parquet (one table: ids, text, source, vector)."""
+    index.write.mode(mode).parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    """Read a persisted index."""
+    return spark.read.parquet(path)
+
+
+def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
+                 dim: int = embed.DEFAULT_DIM) -> int:
+    """Index only documents whose id is not in the stored index yet
+    (left anti join on ``doc_id``) and append them; returns the number of
+    documents added.  The first call builds the whole index."""
+    from quire.operators import corpus as C
+    try:
+        existing = load_index(spark, path).select("doc_id")
+    except Exception:  # no index yet: everything is new
+        existing = None
+    new_docs = docs if existing is None else C.incremental_anti(docs, existing, ["doc_id"])
+    new_docs = spread(new_docs, "doc_id")
+    from quire.session import materialize
+    new_docs = materialize(new_docs)
+    n = new_docs.count()
+    if n:
+        save_index(build_index(new_docs, width, dim), path, mode="append")
+    return n

@@ -55,3 +55,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written tables and stream state."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Reliable checkpoint into the session's checkpoint folder: cuts lineage so
+    several consumers of ``df`` do not recompute it, and a lost executor does
+    not force recomputation from the sources (never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
