@@ -36,6 +36,9 @@ WRAP_TOKEN = (
     "))"
 )
 
+# Whitespace other than the ASCII space that can remain after munging.
+_OTHER_SPACE = r"[\x1C-\x1F\x85\p{Z}&&[^ ]]"
+
 # Lower-cased word tokens used by embeddings, answer overlap and metrics.
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -225,8 +228,21 @@ def wrap(text, width: int = 500) -> Column:
 
         return F.aggregate(toks, zero, step, finish)
 
-    tokens = F.regexp_extract_all(_munge(_col(text)), F.lit(WRAP_TOKEN), 1)
-    return let(tokens, fold)
+    def wrap_munged(munged: Column) -> Column:
+        # Fast path.  With no '-' (no hyphen or em-dash breaks), no word longer
+        # than the width, no leading space and no whitespace other than ' ',
+        # greedy filling is exactly: each line is the longest run of at most
+        # ``width`` characters that starts and ends on a non-space and is
+        # followed by a space or the end.  Every other text takes the fold.
+        plain = (~munged.contains("-")) & (~munged.rlike(f"[^ ]{{{width + 1}}}")) & \
+            (~munged.startswith(" ")) & (~munged.rlike(_OTHER_SPACE))
+        greedy = F.regexp_extract_all(
+            munged, F.lit(f"[^ ](?:.{{0,{max(width - 2, 0)}}}[^ ])?(?= |\\z)" if width > 1
+                          else "[^ ](?= |\\z)"), 0)
+        tokens = F.regexp_extract_all(munged, F.lit(WRAP_TOKEN), 1)
+        return F.when(plain, greedy).otherwise(let(tokens, fold))
+
+    return let(_munge(_col(text)), wrap_munged)
 
 
 # --- E4: sentence split and greedy pack -------------------------------------

@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,17 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
             n = batch.num_rows
             if n == 0:
                 continue
+            col = batch.column(1)
+            lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            ok = np.nan_to_num(lens.astype(np.float64), nan=-1.0) == dim
+            if not ok.all():  # ragged or null vectors are not comparable: skip them
+                batch = batch.filter(pa.array(ok))
+                col = batch.column(1)
+                n = batch.num_rows
+                if n == 0:
+                    continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vecs = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            vecs = col.flatten().to_numpy(zero_copy_only=False)
             mat = vecs.astype(np.float64, copy=False).reshape(n, dim)
             out_q, out_c, out_d = [], [], []
             for lo in range(0, n, step):
@@ -107,9 +117,10 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     dim = int(dim)
     n_blocks = max(1, math.ceil(n_q * dim * 4 / max_block_bytes))
 
+    # the dimension check runs inside the kernel: a Spark filter on the vector
+    # column would be pushed below a lazily computed embedding and evaluate it twice
     c = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"),
-                      F.col(corpus_vec).cast("array<float>").alias("cv")) \
-        .where(F.size("cv") == dim)
+                      F.col(corpus_vec).cast("array<float>").alias("cv"))
 
     parts = []
     for b in range(n_blocks):

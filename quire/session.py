@@ -57,9 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
-def materialize(df):
-    """Reliable checkpoint into the session's checkpoint folder: cuts lineage so
-    several consumers of ``df`` do not recompute it, and a lost executor does
-    not force recomputation from the sources (never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str | None = None):
+    """Cut lineage by writing ``df`` as a Parquet table into the session's
+    checkpoint folder (shared storage on a cluster) and reading it back.
+
+    One pass: Spark's eager reliable ``checkpoint()`` runs the plan once to
+    count and again to write unless the data is cached; a written table is
+    computed exactly once, survives lost executors, and several consumers
+    then read it instead of recomputing the plan.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"materialized/{name or 'df'}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
