@@ -45,7 +45,7 @@ def bucket_counts_dense(buckets, dim: int) -> Column:
         keys = F.when(acc["run"] > 0, F.concat(acc["keys"], F.array(acc["prev"]))).otherwise(acc["keys"])
         cnts = F.when(acc["run"] > 0, F.concat(acc["cnts"], F.array(acc["run"]))).otherwise(acc["cnts"])
         return let(F.map_from_arrays(keys, cnts), lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0))))
+            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
 
     return F.aggregate(sorted_b, zero, step, finish)
 

@@ -84,7 +84,7 @@ def best_sentence(question, sentences: Column) -> Column:
         def pick(scored):
             top = F.array_max(scored)
             best = F.array_position(scored, top)
-            answer = F.coalesce(F.element_at(sentences, best.cast("int"))["s"], F.lit(""))
+            answer = F.coalesce(F.try_element_at(sentences, best.cast("int"))["s"], F.lit(""))
             overlap = F.coalesce(top, F.lit(0))
             score = F.when(F.size(qtok) > 0, overlap / F.size(qtok)).otherwise(F.lit(0.0))
             return F.struct(answer.alias("answer"), overlap.alias("overlap"), score.alias("score"))

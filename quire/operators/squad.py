@@ -57,8 +57,8 @@ def read_flat(spark: SparkSession, path: str, multiline_wrapper: bool = False) -
 def unflatten_answers(records: DataFrame) -> DataFrame:
     """C8 projection: first answer text and start as scalar columns."""
     return records.select("id", "title", "context", "question",
-                          F.col("answers.text")[0].alias("answer_text"),
-                          F.col("answers.answer_start")[0].alias("answer_start"))
+                          F.try_element_at(F.col("answers.text"), F.lit(1)).alias("answer_text"),
+                          F.try_element_at(F.col("answers.answer_start"), F.lit(1)).alias("answer_start"))
 
 
 def paragraphs(qa: DataFrame, task_id: str,
@@ -132,5 +132,5 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return (df.select("title", F.explode("paragraphs").alias("p"))
             .select("title", "p.context", F.explode("p.qas").alias("qa"))
             .select("title", "context", "qa.id", "qa.question",
-                    F.col("qa.answers")[0]["text"].alias("answer"),
-                    F.col("qa.answers")[0]["answer_start"].alias("answer_start")))
+                    F.try_element_at(F.col("qa.answers"), F.lit(1))["text"].alias("answer"),
+                    F.try_element_at(F.col("qa.answers"), F.lit(1))["answer_start"].alias("answer_start")))
