@@ -200,6 +200,12 @@ def q_qa_flat(spark, sf_dir):
         "id", "title", "context", "question", "answer_text", "answer_start")
 
 
+def q_qa_flat_json(spark, sf_dir):
+    flat = dataset.wrapped_qa(_documents(spark, sf_dir)).select(
+        "id", "title", "context", "question", "answer_text", "answer_start")
+    return squad.json_lines(squad.flat_records(flat))
+
+
 def q_train_examples(spark, sf_dir):
     return qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
 
@@ -266,6 +272,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wrap_chunks": q_wrap_chunks,
     "hash_embed": q_hash_embed,
     "qa_flat": q_qa_flat,
+    "qa_flat_json": q_qa_flat_json,
     "train_examples": q_train_examples,
     "rag_context": q_rag_context,
     "rag_prompt": q_rag_prompt,

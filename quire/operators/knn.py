@@ -122,12 +122,12 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     c = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"),
                       F.col(corpus_vec).cast("array<float>").alias("cv"))
 
-    parts = []
-    for b in range(n_blocks):
-        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) if n_blocks > 1 else q
-        rows = block.where(F.size("qv") == dim).collect()
+    w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), F.col("vec_id"))
+
+    def block_topk(block: DataFrame) -> DataFrame | None:
+        rows = block.where(F.size("qv") == dim).collect()  # bounded: one block
         if not rows:
-            continue
+            return None
         q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
         q_mat = np.array([r["qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
@@ -136,16 +136,32 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
             ids, mat = _bc.value
             yield from _local_topk(ids, mat, k, dim, rows_per_step)(batches)
 
-        parts.append(c.mapInArrow(run, "qid long, vec_id long, dist double"))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), F.col("vec_id"))
-    out = (cand.withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= k)
-           .select("qid", "rank", "vec_id", "dist"))
+        cand = c.mapInArrow(run, "qid long, vec_id long, dist double")
+        return (cand.withColumn("rank", F.row_number().over(w))
+                .where(F.col("rank") <= k)
+                .select("qid", "rank", "vec_id", "dist"))
+
+    if n_blocks == 1:
+        out = block_topk(q)
+        if out is None:
+            return spark.createDataFrame([], out_schema)
+    else:
+        # Many query blocks: each block is its own bounded job whose top-k is
+        # appended to one table in the checkpoint folder, so the plan does not
+        # grow with the number of blocks and finished blocks survive failures.
+        import uuid
+
+        from quire.session import scratch_path
+        path = scratch_path(spark, f"knn-{uuid.uuid4().hex}")
+        wrote = False
+        for b in range(n_blocks):
+            part = block_topk(q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b))
+            if part is not None:
+                part.write.mode("append").parquet(path)
+                wrote = True
+        if not wrote:
+            return spark.createDataFrame([], out_schema)
+        out = spark.read.parquet(path)
     out._quire_max_rows = n_q * k  # proven bound, used to decide broadcasts downstream
     return out
 

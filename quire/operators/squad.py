@@ -39,6 +39,12 @@ def flat_records(qa: DataFrame) -> DataFrame:
                      .alias("answers"))
 
 
+def json_lines(records: DataFrame) -> DataFrame:
+    """Each flat record as the JSON text of its line (field order kept,
+    non-ASCII written as is): ``(id, json)``."""
+    return records.select("id", F.to_json(F.struct(*records.columns)).alias("json"))
+
+
 def write_flat(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     """B1 sink: JSON lines, one QA record per line (splittable, no driver merge)."""
     records.write.mode(mode).json(path)

@@ -404,6 +404,10 @@ SELECT doc_id, bucket,
        round((cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS weight
 FROM b""",
         "qa_flat": wrapped_qa_sql(),
+        "qa_flat_json": f"""WITH f AS ({wrapped_qa_sql()})
+SELECT id, to_json({{'id': id, 'title': title, 'context': context, 'question': question,
+                    'answers': {{'text': [answer_text], 'answer_start': [answer_start::INTEGER]}}}}) AS json
+FROM f""",
         "train_examples": f"""WITH f AS ({wrapped_qa_sql()})
 SELECT id, context, question, answer_text, answer_start FROM f WHERE answer_start <> -1""",
         "rag_context": f"""WITH {rag_index_ctes()}

@@ -47,10 +47,20 @@ def file_manifest(spark: SparkSession, base: str, recursive: bool = True,
     return df.select("path", _rel(base).alias("rel_path"), "length", "modificationTime")
 
 
+def extension_glob(extensions: Sequence[str]) -> str:
+    """Case-insensitive Hadoop glob for the extensions, e.g. ``*.{[tT][xX][tT]}``:
+    lets the listing skip other files before any is opened."""
+    def ci(ext: str) -> str:
+        return "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in ext.lstrip("."))
+    return "*.{" + ",".join(ci(e) for e in extensions) + "}"
+
+
 def list_supported(spark: SparkSession, base: str, extensions: Sequence[str] = C.SUPPORTED_EXTENSIONS,
                    recursive: bool = True) -> DataFrame:
-    """Manifest restricted to supported extensions, case-insensitively."""
-    return C.ext_filter(file_manifest(spark, base, recursive), "path", extensions)
+    """Manifest restricted to supported extensions, case-insensitively
+    (glob at listing time, exact suffix test as a residual filter)."""
+    return C.ext_filter(file_manifest(spark, base, recursive, extension_glob(extensions)),
+                        "path", extensions)
 
 
 def load_corpus(spark: SparkSession, base: str, extensions: Sequence[str] = (".txt",),
@@ -62,7 +72,7 @@ def load_corpus(spark: SparkSession, base: str, extensions: Sequence[str] = (".t
     them to quarantine instead of losing them.  ``doc_id`` is the relative
     path, so ``a/x.txt`` and ``b/x.txt`` stay distinct.
     """
-    df = _reader(spark, recursive, None).load(base)
+    df = _reader(spark, recursive, extension_glob(extensions)).load(base)
     df = C.ext_filter(df, "path", extensions)
     valid = F.call_function("is_valid_utf8", F.col("content"))
     return df.select(

@@ -59,3 +59,13 @@ def test_context_assembly_in_rank_order(spark):
                                  "qid long, rank int, text string")
     got = {r.qid: r.context for r in knn.assemble_context(hits).collect()}
     assert got == {1: "first\nsecond", 2: "only"}
+
+
+def test_knn_many_blocks_written_path(spark, sf_small):
+    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("qid"), "embedding")
+    one = knn.knn_topk(emb, q, 2).collect()
+    many = knn.knn_topk(emb, q, 2, max_block_bytes=1024).collect()  # > 8 blocks
+    key = lambda r: (r.qid, r.rank)
+    assert [(r.qid, r.rank, r.vec_id) for r in sorted(one, key=key)] == \
+        [(r.qid, r.rank, r.vec_id) for r in sorted(many, key=key)]

@@ -69,3 +69,29 @@ def test_train_examples_drop_missing_answers(spark):
         [("1", "ctx", "q", "a", 0), ("2", "ctx", "q", "zz", -1)],
         "id string, context string, question string, answer_text string, answer_start int")
     assert [r.id for r in qa.train_examples(flat).collect()] == ["1"]
+
+
+def test_page_assembly_two_levels_and_windows_with_question(spark):
+    from quire.operators import chunking
+    pages = spark.createDataFrame([(1, p, f"p{p}") for p in range(10)] + [(2, 0, None)],
+                                  "doc long, page int, text string")
+    got = {r.doc: (r.text, r.n_pages) for r in
+           chunking.assemble_pages(pages, "doc", "page", "text", "|", block=3).collect()}
+    assert got == {1: ("|".join(f"p{p}" for p in range(10)), 10), 2: ("", 1)}
+    ctx = " ".join(f"w{i}" for i in range(1000))
+    df = spark.createDataFrame([(1, "a b c d", ctx)], "id int, q string, text string")
+    wins = chunking.token_windows(df, ["id"], "text", 384, 128, question_col="q").orderBy("win_no").collect()
+    budget = 384 - 4
+    assert all(w.n_tokens <= budget for w in wins)
+    assert [w.tok_start for w in wins] == list(range(0, 1000 - budget + (budget - 128), budget - 128))[:len(wins)]
+    assert wins[-1].tok_start + wins[-1].n_tokens == 1000
+
+
+def test_quarantine_reasons(spark):
+    from quire.operators import corpus
+    rows = [(1, None), (2, ""), (3, " \\t\\n "), (4, "short"), (5, "x" * 150), (6, "bad � " * 30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.status, r.reason) for r in corpus.quarantine(df, ["doc_id"]).collect()}
+    assert got == {1: ("quarantine", "null_text"), 2: ("quarantine", "blank_text"),
+                   3: ("quarantine", "too_short"), 4: ("quarantine", "too_short"),
+                   5: ("ok", None), 6: ("quarantine", "bad_utf8")}
