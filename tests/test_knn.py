@@ -69,3 +69,18 @@ def test_knn_many_blocks_written_path(spark, sf_small):
     key = lambda r: (r.qid, r.rank)
     assert [(r.qid, r.rank, r.vec_id) for r in sorted(one, key=key)] == \
         [(r.qid, r.rank, r.vec_id) for r in sorted(many, key=key)]
+
+
+def test_hash_embedding_matches_python(spark, sf_small):
+    import hashlib
+    import re
+
+    from quire.operators import embed
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: np.array(r.embedding) for r in embed.hash_embed(docs, "text").collect()}
+    for r in docs.collect():
+        counts = np.zeros(64)
+        for tok in re.findall(r"[^\W_]+", r.text.lower()):
+            counts[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % 64] += 1
+        want = (counts / np.sqrt((counts ** 2).sum())).astype(np.float32) if counts.any() else counts
+        assert np.allclose(got[r.doc_id], want, atol=1e-7), r.doc_id
