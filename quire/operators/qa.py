@@ -101,18 +101,29 @@ def questions_with_answers(chunks: DataFrame, id_cols: Sequence[str], context_co
                            questions: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Chunk x its questions (lateral posexplode), each answered by the
     default extractive rule.  Output: ``(*id_cols, *keep, context, q_no,
-    question, answer, answer_start, score)``."""
+    question, answer, answer_start, score)``.
+
+    The chunk's sentences are indexed once and every question is answered in
+    the same per-chunk expression; the answers are generator output, so a
+    later filter on them (e.g. ``answer_start <> -1``) cannot be pushed below
+    and re-run the extraction.
+    """
     qs = questions if questions is not None else rule_questions(context_col)
-    base = chunks.select(*id_cols, *keep, F.col(context_col).alias("context"),
-                         sentence_index(context_col).alias("_sent"), qs.alias("_qs"))
-    exploded = T.explode_indexed(base, [*id_cols, *keep, "context", "_sent"], F.col("_qs"),
-                                 "q_no", "question")
-    best = best_sentence("question", F.col("_sent"))
-    return (exploded.select(*id_cols, *keep, "context", "q_no", "question", best.alias("_b"))
-            .select(*id_cols, *keep, "context", "q_no", "question",
-                    F.col("_b.answer").alias("answer"),
-                    answer_offset(F.col("_b.answer"), F.col("context")).alias("answer_start"),
-                    F.col("_b.score").alias("score")))
+    ctx = F.col(context_col)
+
+    def answer_all(sent: Column) -> Column:
+        def one(q: Column) -> Column:
+            return T.let(best_sentence(q, sent), lambda b: F.struct(
+                q.alias("question"), b["answer"].alias("answer"),
+                answer_offset(b["answer"], ctx).alias("answer_start"),
+                b["score"].alias("score")))
+        return F.transform(qs, one)
+
+    answered = T.let(sentence_index(context_col), answer_all)
+    base = chunks.select(*id_cols, *keep, ctx.alias("context"), answered.alias("_qa"))
+    return (T.explode_indexed(base, [*id_cols, *keep, "context"], F.col("_qa"), "q_no", "_a")
+            .select(*id_cols, *keep, "context", "q_no", "_a.question", "_a.answer",
+                    "_a.answer_start", "_a.score"))
 
 
 def structured_id(doc_col: str = "doc_id", chunk_col: str = "chunk_no", q_col: str = "q_no") -> Column:
