@@ -280,7 +280,7 @@ d AS (SELECT q.vec_id AS qid, c.vec_id AS vec_id,
           lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)),
           lambda a, x: a + x, 0.0::DOUBLE) AS dist
       FROM e q, e c WHERE len(q.embedding) = len(c.embedding))
-SELECT qid, rank::INTEGER AS rank, vec_id, round(dist, 6) AS dist
+SELECT qid, rank::BIGINT AS rank, vec_id, round(dist, 6) AS dist
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank FROM d)
 WHERE rank <= 3""",
         "index_stats": """
@@ -375,7 +375,7 @@ FROM (SELECT doc_id, chunk_no, {rule_questions('text')} AS qs FROM sc)""",
 SELECT arg_min(doc_id, (doc_id, chunk_no, q_no)) AS first_doc_id,
        arg_min(chunk_no, (doc_id, chunk_no, q_no)) AS first_chunk_no,
        arg_min(q_no, (doc_id, chunk_no, q_no)) AS first_q_no,
-       0 AS part, {lit(S.TITLE_FORMAT % 'corpus')} AS title, context, count(*) AS n_qas,
+       0::BIGINT AS part, {lit(S.TITLE_FORMAT % 'corpus')} AS title, context, count(*) AS n_qas,
        string_agg(id, ',' ORDER BY doc_id, chunk_no, q_no) AS qa_ids
 FROM q GROUP BY context""",
         "train_eval_split": f"""WITH q AS ({sentence_qa_sql()})
@@ -400,13 +400,13 @@ SELECT doc_id, chunk_no, text FROM wc""",
         "hash_embed": f"""
 WITH t AS (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents),
 b AS (SELECT doc_id, {bucket('tok')} AS bucket, count(*) AS cnt FROM t GROUP BY ALL)
-SELECT doc_id, bucket,
+SELECT doc_id, bucket::BIGINT AS bucket,
        round((cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS weight
 FROM b""",
         "qa_flat": wrapped_qa_sql(),
         "qa_flat_json": f"""WITH f AS ({wrapped_qa_sql()})
 SELECT id, to_json({{'id': id, 'title': title, 'context': context, 'question': question,
-                    'answers': {{'text': [answer_text], 'answer_start': [answer_start::INTEGER]}}}}) AS json
+                    'answers': {{'text': [answer_text], 'answer_start': [answer_start::INTEGER]}}}})::VARCHAR AS json
 FROM f""",
         "train_examples": f"""WITH f AS ({wrapped_qa_sql()})
 SELECT id, context, question, answer_text, answer_start FROM f WHERE answer_start <> -1""",
