@@ -39,11 +39,26 @@ def min_text_filter(df: DataFrame, text_col: str = "text", min_chars: int = MIN_
     return df.where(F.length(T.py_strip(text_col)) >= min_chars)
 
 
-def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``done`` (left anti join).
-    Only the key columns of ``done`` are read; Spark broadcasts them when small
-    and shuffles both sides on the key otherwise."""
-    return new.join(done.select(*keys).distinct(), list(keys), "left_anti")
+def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str],
+                     max_broadcast_keys: int = 5_000_000) -> DataFrame:
+    """Rows of ``new`` whose key is not yet in ``done``.
+
+    Keys first: the anti join runs on key columns only, so only ids are
+    shuffled.  When the new keys number at most ``max_broadcast_keys`` (the
+    usual incremental case) they are broadcast into a semi join, so the wide
+    rows of ``new`` (document texts) are never shuffled; otherwise a plain
+    left anti join against the distinct done keys is used.
+    """
+    keys = list(keys)
+    done_keys = done.select(*keys).distinct()
+    new_keys = new.select(*keys).join(done_keys, keys, "left_anti").distinct()
+    n_new = new_keys.count()
+    if n_new <= max_broadcast_keys:
+        # null-safe: a null key never matches ``done``, so such rows stay new
+        nk = F.broadcast(new_keys.select(*[F.col(k).alias(f"_nk_{k}") for k in keys]))
+        cond = [new[k].eqNullSafe(nk[f"_nk_{k}"]) for k in keys]
+        return new.join(nk, cond, "left_semi")
+    return new.join(done_keys, keys, "left_anti")
 
 
 def corpus_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:

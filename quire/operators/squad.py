@@ -68,12 +68,16 @@ def unflatten_answers(records: DataFrame) -> DataFrame:
 
 
 def paragraphs(qa: DataFrame, task_id: str,
-               max_qas_per_paragraph: int = MAX_QAS_PER_PARAGRAPH) -> DataFrame:
+               max_qas_per_paragraph: int = MAX_QAS_PER_PARAGRAPH,
+               qa_rows: int | None = None, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """H3/I4: QA rows ``(id, doc_id, chunk_no, q_no, context, question, answer,
     answer_start)`` -> one row per paragraph with its ordered ``qas``.
 
     Output: ``(first_doc_id, first_chunk_no, first_q_no, part, title, context,
     qas array<struct<id, question, answers array<struct<text, answer_start>>>>)``.
+
+    ``qa_rows`` (the input row count, when known) proves the hot-context table
+    has at most ``qa_rows / max_qas_per_paragraph`` rows; it is then broadcast.
     """
     # context sizes keyed by a 64-bit hash: a map-side partial count, so only
     # (hash, partial count) pairs are shuffled; the hash only decides how many
@@ -84,6 +88,9 @@ def paragraphs(qa: DataFrame, task_id: str,
              .select("_h", F.ceil(F.col("_n") / max_qas_per_paragraph).cast("long").alias("_parts")))
     # only hot contexts are on the right side; AQE broadcasts it when small and
     # otherwise splits a skewed join partition (the aggregate re-shuffles anyway)
+    bound = None if qa_rows is None else qa_rows // max_qas_per_paragraph
+    if bound is not None and bound <= max_broadcast_rows:
+        sizes = F.broadcast(sizes)
     keyed = (with_h.join(sizes, "_h", "left")
              .withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0))
                          .cast("int")))

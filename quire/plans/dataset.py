@@ -38,4 +38,5 @@ def nested_dataset(docs: DataFrame, task_id: str) -> DataFrame:
     """B2 input: paragraphs of the sentence flow, grouped by context.  The QA
     rows are checkpointed first: paragraph building reads them twice (context
     sizes, then grouping) and they are the expensive part."""
-    return squad.paragraphs(materialize(sentence_qa(docs)), task_id)
+    rows = materialize(sentence_qa(docs))
+    return squad.paragraphs(rows, task_id, qa_rows=rows.count())  # count from Parquet footers

@@ -95,3 +95,16 @@ def test_quarantine_reasons(spark):
     assert got == {1: ("quarantine", "null_text"), 2: ("quarantine", "blank_text"),
                    3: ("quarantine", "too_short"), 4: ("quarantine", "too_short"),
                    5: ("ok", None), 6: ("quarantine", "bad_utf8")}
+
+
+def test_incremental_anti_keeps_null_keys_and_drops_done(spark):
+    from quire.operators import corpus
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "d2")], "doc_id long, text string")
+    done = spark.createDataFrame([(2,), (None,), (4,)], "doc_id long")
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=lambda t: (t[0] is None, t[0] or 0, t[1]))
+    want = rows(new.join(done, "doc_id", "left_anti"))
+    got = rows(corpus.incremental_anti(new, done, ["doc_id"]))
+    big = rows(corpus.incremental_anti(new, done, ["doc_id"], max_broadcast_keys=0))
+    assert got == want == big
+    assert (None, "c") in got and (3, "d2") in got
