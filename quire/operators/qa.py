@@ -169,3 +169,16 @@ def answer_with_model(df: DataFrame, make_model: Callable, question_col: str = "
             .withColumn("answer_start", F.coalesce(F.col("_m.start"),
                                                    answer_offset(F.col("_m.answer"), F.col(context_col))))
             .withColumn("score", F.col("_m.score")).drop("_m"))
+
+
+def generate_questions(chunks: DataFrame, make_model: Callable, text_col: str = "text",
+                       n: int = MAX_QUESTIONS, out_col: str = "questions",
+                       batch_size: int = 16) -> DataFrame:
+    """ask a caller-supplied generator for ``n`` questions per chunk
+    (prompt D17 on Arrow batches), then parse its raw text natively: lines,
+    stripped, blanks dropped, at most ``n``.  Feed the result to
+    :func:`questions_with_answers` with ``questions=F.col(out_col)``."""
+    from quire.operators.rag import generate_with_model
+    prompted = chunks.withColumn("_prompt", question_prompt(text_col, n))
+    raw = generate_with_model(prompted, make_model, "_prompt", "_raw", batch_size)
+    return raw.withColumn(out_col, parse_questions("_raw", n)).drop("_prompt", "_raw")

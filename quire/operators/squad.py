@@ -117,6 +117,11 @@ def data_entries(paras: DataFrame) -> DataFrame:
                  F.array(F.struct("context", "qas")).alias("paragraphs")).alias("entry"))
 
 
+def dataset_path(base: str, task_id: str) -> str:
+    """Default location of a task's nested dataset under a corpus root."""
+    return f"{base.rstrip('/')}/generated_datasets/squad_dataset_{task_id}"
+
+
 def write_nested(paras: DataFrame, path: str, mode: str = "overwrite") -> None:
     """B2 sink: the ``data`` array as JSON lines in first-seen order (a
     distributed range sort), plus a one-line ``_version.json`` header.  Non-ASCII

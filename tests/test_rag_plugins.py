@@ -64,3 +64,17 @@ def test_answer_and_generation_plugins(spark):
     p = df.select(rag.zero_shot_prompt("context", "question").alias("prompt"))
     out = rag.generate_with_model(p, make_generator).first()
     assert out.response == "Answer:"
+
+
+def test_model_question_generation_feeds_answers(spark):
+    chunks = spark.createDataFrame([(1, 0, "Rivers flow to the sea. Mountains are tall.")],
+                                   "doc_id long, chunk_no int, text string")
+
+    def make_generator():
+        return lambda prompts: np.array(["  Where do rivers flow?\n\nWhat is tall?\nQ3\nQ4"] * len(prompts))
+
+    gen = qa.generate_questions(chunks, make_generator)
+    rows = qa.questions_with_answers(gen, ("doc_id", "chunk_no"), "text",
+                                     questions=F.col("questions")).orderBy("q_no").collect()
+    assert [r.question for r in rows] == ["Where do rivers flow?", "What is tall?", "Q3"]
+    assert rows[0].answer == "Rivers flow to the sea." and rows[1].answer == "Mountains are tall."
