@@ -241,6 +241,12 @@ def q_stream_sentence_pack(spark, sf_dir):
     return ingest.stream_sentence_chunks(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def q_stream_latest_status(spark, sf_dir):
+    """M2: latest status per task kept by an incremental streaming aggregation
+    over the events table; same rows as the batch view."""
+    return ingest.stream_latest_status(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_topk": q_knn_topk,
     "index_stats": q_index_stats,
@@ -279,6 +285,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_answer": q_rag_answer,
     "file_manifest": q_file_manifest,
     "stream_sentence_pack": q_stream_sentence_pack,
+    "stream_latest_status": q_stream_latest_status,
 }
 
 
@@ -309,4 +316,5 @@ def oracle_sql() -> dict[str, str]:
     sql = oracle.statements()
     # the stream writes exactly what the batch chunker produces
     sql["stream_sentence_pack"] = sql["sentence_pack"]
+    sql["stream_latest_status"] = sql["latest_status"]
     return {k: v for k, v in sql.items() if k in _QUERIES}

@@ -63,16 +63,47 @@ def stream_sentence_chunks(spark: SparkSession, source: str, run_id: str | None
     return spark.read.parquet(out_path)
 
 
-def stream_status(spark: SparkSession, events: DataFrame, query_name: str) -> "object":
-    """M2: latest status per task maintained by a streaming aggregation in
-    ``complete`` mode into a memory table named ``query_name``; the caller
-    stops the returned query."""
+def _latest_status_agg(events: DataFrame) -> DataFrame:
     last = F.max_by(F.struct(F.col("status"), F.col("error_message").alias("err"), F.col("ts")),
                     F.struct(F.col("ts"), F.col("seq")))
-    agg = (events.groupBy("task_id").agg(last.alias("_l"), F.count(F.lit(1)).alias("n_events"))
-           .select("task_id", F.col("_l.status").alias("status"),
-                   F.when(F.col("_l.status").isin(*status.ERROR_STATES), F.col("_l.err")).alias("error_message"),
-                   status.iso_timestamp(F.col("_l.ts")).alias("updated_at"), "n_events"))
-    return (agg.writeStream.format("memory").queryName(query_name).outputMode("complete")
+    return (events.groupBy("task_id").agg(last.alias("_l"), F.count(F.lit(1)).alias("n_events"))
+            .select("task_id", F.col("_l.status").alias("status"),
+                    F.when(F.col("_l.status").isin(*status.ERROR_STATES), F.col("_l.err"))
+                    .alias("error_message"),
+                    status.iso_timestamp(F.col("_l.ts")).alias("updated_at"), "n_events"))
+
+
+def stream_status(spark: SparkSession, events: DataFrame, query_name: str) -> "object":
+    """M2 (interactive): latest status per task maintained by a streaming
+    aggregation in ``complete`` mode into a memory table named ``query_name``;
+    the caller stops the returned query.  For tests and notebooks."""
+    return (_latest_status_agg(events).writeStream.format("memory").queryName(query_name)
+            .outputMode("complete")
             .option("checkpointLocation", scratch_path(spark, f"status-{query_name}-{uuid.uuid4().hex}"))
             .start())
+
+
+def stream_status_table(spark: SparkSession, events: DataFrame, out_path: str, ckpt: str) -> None:
+    """M2: the same aggregation run incrementally (``availableNow``); each
+    epoch's complete result replaces a Parquet table, so readers always see a
+    consistent current view and a re-run resumes from the checkpointed state."""
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    q = (_latest_status_agg(events).writeStream.outputMode("complete")
+         .foreachBatch(publish).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def stream_latest_status(spark: SparkSession, events_path: str, run_id: str | None = None) -> DataFrame:
+    """Runs :func:`stream_status_table` over a status-event table (events as a
+    status log: user = task, event_type = state, props = error text) and
+    returns the published view."""
+    run = run_id or uuid.uuid4().hex
+    raw = stream_documents(spark, events_path)
+    ev = raw.select(F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"),
+                    F.col("event_type").alias("status"), F.col("props").alias("error_message"))
+    out_path = scratch_path(spark, f"stream-status-{run}/view")
+    stream_status_table(spark, ev, out_path, scratch_path(spark, f"stream-status-{run}/_checkpoint"))
+    return spark.read.parquet(out_path)

@@ -123,3 +123,18 @@ def test_incremental_stream_picks_up_only_new_files(spark, scratch, sf_small):
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select("doc_id", "chunk_no", "text").collect())
     batch = sorted(tuple(r) for r in chunking.sentence_chunks(docs, ["doc_id"], "text").collect())
     assert streamed == batch
+
+
+def test_status_table_stream_incremental_equals_batch(spark, scratch):
+    ev = _events(spark)
+    src = os.path.join(scratch, "ev")
+    ev.where(F.col("seq") == 1).write.parquet(src)
+    out, ckpt = os.path.join(scratch, "view"), os.path.join(scratch, "ckpt")
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    ingest.stream_status_table(spark, stream, out, ckpt)
+    ev.where(F.col("seq") > 1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    ingest.stream_status_table(spark, stream, out, ckpt)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    want = sorted(tuple(r) for r in status.latest_status(ev).collect())
+    assert got == want
