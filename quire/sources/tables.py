@@ -23,6 +23,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     normal case for a large table stored as many files) nothing is added; a
     repartition with an explicit count is not coalesced back by AQE.
     """
+    if df.isStreaming:  # micro-batches are partitioned by the source
+        return df
     spark = df.sparkSession
     target = min_partitions or 2 * spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

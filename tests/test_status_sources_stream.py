@@ -138,3 +138,15 @@ def test_status_table_stream_incremental_equals_batch(spark, scratch):
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     want = sorted(tuple(r) for r in status.latest_status(ev).collect())
     assert got == want
+
+
+def test_dataset_plan_runs_on_a_stream(spark, scratch, sf_small):
+    from quire.plans import dataset
+    src = os.path.join(scratch, "docs")
+    spark.read.parquet(f"{sf_small}/documents.parquet").write.parquet(src)
+    stream = ingest.stream_documents(spark, src)
+    out, ckpt = os.path.join(scratch, "qa"), os.path.join(scratch, "qa_ckpt")
+    ingest._run_available_now(dataset.sentence_qa(stream), out, ckpt)
+    batch = dataset.sentence_qa(spark.read.parquet(src))
+    assert sorted(r.id for r in spark.read.parquet(out).select("id").collect()) == \
+        sorted(r.id for r in batch.select("id").collect())
