@@ -179,13 +179,19 @@ def materialize(top: DataFrame) -> DataFrame:
 
 
 def attach_text(topk: DataFrame, corpus: DataFrame, *, corpus_id: str = "vec_id",
-                text_col: str = "text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                text_col: str = "text", max_broadcast_rows: int = 2_000_000,
+                max_in_list: int = 10_000) -> DataFrame:
     """Look the winning ids up in the corpus after ranking, so texts never
-    travel through the distance scan.  The top-k side is small (queries x k);
-    it is broadcast when its proven bound is under ``max_broadcast_rows``."""
+    travel through the distance scan.  The top-k side is small (queries x k):
+    up to ``max_in_list`` ids become a literal ``IN`` filter pushed into the
+    index scan; otherwise the top-k side is broadcast when under
+    ``max_broadcast_rows``."""
     bound = getattr(topk, "_quire_max_rows", None)
-    right = F.broadcast(topk) if bound is not None and bound <= max_broadcast_rows else topk
     texts = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"), F.col(text_col).alias("text"))
+    if bound is not None and bound <= max_in_list:
+        ids = [r.vec_id for r in topk.select("vec_id").distinct().collect()]
+        texts = texts.where(F.col("vec_id").isin(ids))
+    right = F.broadcast(topk) if bound is not None and bound <= max_broadcast_rows else topk
     return texts.join(right, "vec_id")
 
 

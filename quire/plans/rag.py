@@ -33,10 +33,15 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
 
 def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+              max_broadcast_rows: int = 2_000_000, max_in_list: int = 10_000) -> DataFrame:
     """Texts of the winning chunks, re-chunking only the documents that hold a
     hit (the chunker is deterministic), so a lazily defined index is not
-    wrapped twice.  The hit side is bounded by ``queries x k``."""
+    wrapped twice.  The hit side is bounded by ``queries x k``.
+
+    Up to ``max_in_list`` hit documents are selected with a literal ``IN``
+    filter, which Spark pushes into the Parquet scan (row groups whose id range
+    misses every hit are skipped); beyond that a broadcast semi join is used.
+    """
     hits = top.select("qid", "rank", "vec_id",
                       F.shiftright("vec_id", 20).alias("doc_id"),
                       (F.col("vec_id") - F.shiftleft(F.shiftright("vec_id", 20), 20)).cast("int")
@@ -44,7 +49,11 @@ def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH,
     bound = getattr(top, "_quire_max_rows", None)
     small = bound is not None and bound <= max_broadcast_rows
     hit_docs = hits.select("doc_id").distinct()
-    needed = docs.join(F.broadcast(hit_docs) if small else hit_docs, "doc_id", "left_semi")
+    if bound is not None and bound <= max_in_list:
+        ids = [r.doc_id for r in hit_docs.collect()]  # at most queries x k ids
+        needed = docs.where(F.col("doc_id").isin(ids))
+    else:
+        needed = docs.join(F.broadcast(hit_docs) if small else hit_docs, "doc_id", "left_semi")
     chunks = chunking.wrap_chunks(needed, ("doc_id",), "text", width)
     return chunks.join(F.broadcast(hits) if small else hits, ["doc_id", "chunk_no"]) \
         .select("qid", "rank", "vec_id", "text")
@@ -72,8 +81,10 @@ def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
 
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist the index as Parquet (one table: ids, text, source, vector)."""
-    index.write.mode(mode).parquet(path)
+    """Persist the index as Parquet (one table: ids, text, source, vector).
+    Rows are sorted by ``vec_id`` within each partition (no shuffle), so row
+    groups carry tight id ranges and id lookups skip most of them."""
+    index.sortWithinPartitions("vec_id").write.mode(mode).parquet(path)
 
 
 def load_index(spark, path: str) -> DataFrame:
