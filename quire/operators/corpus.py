@@ -71,21 +71,26 @@ def corpus_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def quarantine(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
-               min_chars: int = MIN_DOC_CHARS) -> DataFrame:
-    """Every row gets a ``status`` (ok/quarantine) and a ``reason``, so
-    failed records are kept and counted rather than silently lost.  Reasons, in
-    order: null text, malformed UTF-8 (U+FFFD from a lenient decode), blank
-    text, stripped text shorter than ``min_chars``."""
+def quarantine_columns(text_col: str = "text", min_chars: int = MIN_DOC_CHARS):
+    """N1 rule as ``(status, reason)`` columns.  Reasons, in order: null text,
+    malformed UTF-8 (U+FFFD from a lenient decode), blank text, stripped text
+    shorter than ``min_chars``; status is ok when there is no reason."""
     t = F.col(text_col)
     stripped_len = F.length(T.py_strip(t))
     reason = (F.when(t.isNull(), F.lit("null_text"))
-              .when(F.instr(t, "�") > 0, F.lit("bad_utf8"))
+              .when(F.instr(t, "\ufffd") > 0, F.lit("bad_utf8"))
               .when(stripped_len == 0, F.lit("blank_text"))
               .when(stripped_len < min_chars, F.lit("too_short")))
-    return df.select(*id_cols,
-                     F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("quarantine")).alias("status"),
-                     reason.alias("reason"))
+    status = F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("quarantine"))
+    return status, reason
+
+
+def quarantine(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
+               min_chars: int = MIN_DOC_CHARS) -> DataFrame:
+    """Every row gets a ``status`` (ok/quarantine) and a ``reason``, so
+    failed records are kept and counted rather than silently lost."""
+    status, reason = quarantine_columns(text_col, min_chars)
+    return df.select(*id_cols, status.alias("status"), reason.alias("reason"))
 
 
 def index_stats(index: DataFrame, vec_col: str = "embedding") -> DataFrame:

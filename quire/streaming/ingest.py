@@ -107,3 +107,39 @@ def stream_latest_status(spark: SparkSession, events_path: str, run_id: str | No
     out_path = scratch_path(spark, f"stream-status-{run}/view")
     stream_status_table(spark, ev, out_path, scratch_path(spark, f"stream-status-{run}/_checkpoint"))
     return spark.read.parquet(out_path)
+
+
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def ingest_corpus_files(spark: SparkSession, base: str, qa_path: str, quarantine_path: str,
+                        ckpt: str, extensions=(".txt",)) -> None:
+    """One incremental run of the dataset job over a folder of text
+    files: new files only -> UTF-8 decode -> QA rows appended to ``qa_path``;
+    files that are malformed or too short are appended to ``quarantine_path``
+    with their reason instead of disappearing.  Progress lives in ``ckpt``;
+    each micro-batch is written by ``foreachBatch``."""
+    from quire.functions import text as T
+    from quire.operators import corpus as C
+    from quire.plans import dataset
+    from quire.sources.files import extension_glob
+
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("pathGlobFilter", extension_glob(extensions))
+             .option("recursiveFileLookup", "true").load(base))
+    # undecodable bytes become U+FFFD, which the quarantine rule reports as bad_utf8
+    docs = files.select(F.col("path").alias("doc_id"),
+                        F.call_function("make_valid_utf8", F.col("content")).alias("text"),
+                        F.lower(T.suffix("path")).alias("ext"))
+    status_col, reason_col = C.quarantine_columns("text")
+    routed = docs.select("doc_id", "text", status_col.alias("status"), reason_col.alias("reason"))
+
+    def run(batch: DataFrame, _epoch: int) -> None:
+        batch.where(F.col("status") != "ok").select("doc_id", "reason") \
+            .write.mode("append").parquet(quarantine_path)
+        good = batch.where(F.col("status") == "ok").select("doc_id", "text")
+        dataset.sentence_qa(good).write.mode("append").parquet(qa_path)
+
+    q = (routed.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()

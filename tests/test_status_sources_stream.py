@@ -150,3 +150,24 @@ def test_dataset_plan_runs_on_a_stream(spark, scratch, sf_small):
     batch = dataset.sentence_qa(spark.read.parquet(src))
     assert sorted(r.id for r in spark.read.parquet(out).select("id").collect()) == \
         sorted(r.id for r in batch.select("id").collect())
+
+
+def test_corpus_file_stream_ingests_new_files_and_quarantines(spark, scratch):
+    base = os.path.join(scratch, "files")
+    good = ("Rivers flow to the sea in 2020. They carry water from the mountains to the city. "
+            "Where does the water go after that? It evaporates and falls again as rain. ") * 3
+    _write(base, "a/one.txt", good.encode())
+    _write(base, "a/short.txt", b"too short")
+    qa_out, q_out, ckpt = (os.path.join(scratch, n) for n in ("qa", "quarantine", "ckpt"))
+    ingest.ingest_corpus_files(spark, base, qa_out, q_out, ckpt)
+    first = spark.read.parquet(qa_out).count()
+    assert first > 0
+    _write(base, "b/two.TXT", good.replace("Rivers", "Streams").encode())
+    _write(base, "b/bad.txt", b"\xff\xfe" + good.encode())
+    ingest.ingest_corpus_files(spark, base, qa_out, q_out, ckpt)
+    ids = {r.doc_id.rsplit("/", 2)[-2] + "/" + r.doc_id.rsplit("/", 1)[-1]
+           for r in spark.read.parquet(qa_out).select("doc_id").distinct().collect()}
+    assert ids == {"a/one.txt", "b/two.TXT"}
+    assert spark.read.parquet(qa_out).count() == 2 * first
+    reasons = {r.doc_id.rsplit("/", 1)[-1]: r.reason for r in spark.read.parquet(q_out).collect()}
+    assert reasons == {"short.txt": "too_short", "bad.txt": "bad_utf8"}
