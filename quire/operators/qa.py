@@ -1,6 +1,6 @@
 """Question generation, answer extraction and QA rows.
 
-Questions and answers come from native rules by default, so every pipeline
+Questions and answers come from native rules by default, so every job
 runs and is checkable without model weights; a model plugs in through
 :func:`answer_with_model` (Arrow batches, one model per Python worker).
 """

@@ -50,6 +50,26 @@ def write_flat(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     records.write.mode(mode).json(path)
 
 
+def write_flat_document(records: DataFrame, path: str, order_by=("id",),
+                        max_rows: int = 200_000) -> int:
+    """B1 small-export option: one ``{"data": [...]}`` JSON document, as
+    consumers of the single-file format expect.  It passes every record
+    through one task, so the row count is checked first and larger datasets
+    are refused (use :func:`write_flat`).  Returns the number of records."""
+    n = records.count()
+    if n > max_rows:
+        raise ValueError(f"{n} records exceed the single-document limit {max_rows}; use write_flat")
+    keyed = records.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)],
+                           F.to_json(F.struct(*records.columns)).alias("json"))
+    doc = (keyed.coalesce(1)
+           .agg(F.array_sort(F.collect_list(F.struct(*[c for c in keyed.columns]))).alias("_j"))
+           .select(F.concat(F.lit('{"data": ['),
+                            F.array_join(F.transform("_j", lambda x: x["json"]), ", "),
+                            F.lit("]}")).alias("value")))
+    doc.write.mode("overwrite").text(path)
+    return n
+
+
 def read_flat(spark: SparkSession, path: str, multiline_wrapper: bool = False) -> DataFrame:
     """Read flat QA records with a declared schema.  ``multiline_wrapper``
     reads the single-document ``{"data": [...]}`` form (small exports only)."""

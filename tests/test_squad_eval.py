@@ -4,6 +4,7 @@ import collections
 import re
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import evaluate, squad
@@ -104,3 +105,19 @@ def test_argmax_first_maximum(spark):
                                "start_logits array<double>, label_start int")
     r = evaluate.argmax_em(df).first()
     assert r.n == 2 and r.exact_match == 0.5
+
+
+def test_single_document_export_round_trip(spark, sf_small, scratch):
+    flat = dataset.wrapped_qa(spark.read.parquet(f"{sf_small}/documents.parquet")).select(
+        "id", "title", "context", "question", "answer_text", "answer_start")
+    recs = squad.flat_records(flat)
+    n = squad.write_flat_document(recs, scratch)
+    back = squad.unflatten_answers(squad.read_flat(spark, scratch, multiline_wrapper=True))
+    assert back.count() == n
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in flat.collect())
+    import json
+    import glob
+    text = open(glob.glob(f"{scratch}/part-*")[0], encoding="utf-8").read()
+    assert list(json.loads(text)) == ["data"]
+    with pytest.raises(ValueError):
+        squad.write_flat_document(recs, scratch + "/x", max_rows=1)
