@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # and C1 control characters Python treats as whitespace.  Java regex and RE2
 # both accept this spelling, so the same class is used in Spark and DuckDB.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+# The same set as characters, derived from Python's own rule (29 code points).
+WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 # Python's \w (letters, all numerics, underscore).
 WORD = r"[\p{L}\p{N}_]"
 # Python's [^\d\W]: word characters that are not decimal digits.
@@ -72,13 +74,15 @@ def explode_indexed(df, keep, arr, pos: str, val: str):
 
 def py_strip(c) -> Column:
     """``str.strip()``: trims the full Unicode whitespace set (Spark's
-    ``trim`` only removes ASCII spaces)."""
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+\\z", "")
+    ``trim`` only removes ASCII spaces).  ``btrim`` with an explicit set only
+    inspects the two ends, unlike an anchored regex that is tried at every
+    position."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
     """``s.strip() == ''`` (true for the empty string)."""
-    return _col(c).rlike(f"^{WS}*\\z")
+    return F.btrim(_col(c), F.lit(WS_CHARS)) == F.lit("")
 
 
 def py_split(c) -> Column:
