@@ -151,10 +151,11 @@ def _emitted(lines, text, curlen, nparts, tailblank, taillen) -> Column:
 
 
 def wrap(text, width: int = 500) -> Column:
-    """``textwrap.wrap(text, width)`` with the standard defaults, as one fold.
+    """``textwrap.wrap(text, width)`` with the standard defaults.
 
-    The text is whitespace-normalised, tokenised by :data:`WRAP_TOKEN` and folded
-    greedily: a token that fits is appended; one that does not closes the line;
+    The text is whitespace-normalised.  Plain text (no hyphen, no over-long
+    word, no leading or exotic whitespace) is wrapped by one greedy regex;
+    anything else is tokenised by :data:`WRAP_TOKEN` and folded greedily: a token that fits is appended; one that does not closes the line;
     one longer than ``width`` fills the remaining space and is then cut into
     width-sized, hyphen-aware pieces.  Whitespace at the start of every line but
     the first and at the end of every line is dropped.  Blank or null text gives
