@@ -124,13 +124,15 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
 
     w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), F.col("vec_id"))
 
-    def block_topk(block: DataFrame) -> DataFrame | None:
+    def block_topk(block: DataFrame, keep: list | None = None) -> DataFrame | None:
         rows = block.where(F.size("qv") == dim).collect()  # bounded: one block
         if not rows:
             return None
         q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
         q_mat = np.array([r["qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
+        if keep is not None:
+            keep.append(bc)
 
         def run(batches, _bc=bc):
             ids, mat = _bc.value
@@ -155,10 +157,13 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
         path = scratch_path(spark, f"knn-{uuid.uuid4().hex}")
         wrote = False
         for b in range(n_blocks):
-            part = block_topk(q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b))
+            used: list = []
+            part = block_topk(q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b), used)
             if part is not None:
                 part.write.mode("append").parquet(path)
                 wrote = True
+            for bc in used:  # the block's job is done: free the executors' copies
+                bc.unpersist()
         if not wrote:
             return spark.createDataFrame([], out_schema)
         out = spark.read.parquet(path)

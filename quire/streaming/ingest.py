@@ -118,7 +118,8 @@ def ingest_corpus_files(spark: SparkSession, base: str, qa_path: str, quarantine
     files: new files only -> UTF-8 decode -> QA rows appended to ``qa_path``;
     files that are malformed or too short are appended to ``quarantine_path``
     with their reason instead of disappearing.  Progress lives in ``ckpt``;
-    each micro-batch is written by ``foreachBatch``."""
+    each micro-batch is written by ``foreachBatch`` into its own ``epoch=``
+    partition, so the output is exactly-once under retries."""
     from quire.functions import text as T
     from quire.operators import corpus as C
     from quire.plans import dataset
@@ -134,11 +135,13 @@ def ingest_corpus_files(spark: SparkSession, base: str, qa_path: str, quarantine
     status_col, reason_col = C.quarantine_columns("text")
     routed = docs.select("doc_id", "text", status_col.alias("status"), reason_col.alias("reason"))
 
-    def run(batch: DataFrame, _epoch: int) -> None:
+    def run(batch: DataFrame, epoch: int) -> None:
+        # one folder per epoch, overwritten: a micro-batch re-run after a
+        # failure replaces its own output instead of appending it twice
         batch.where(F.col("status") != "ok").select("doc_id", "reason") \
-            .write.mode("append").parquet(quarantine_path)
+            .write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/epoch={epoch}")
         good = batch.where(F.col("status") == "ok").select("doc_id", "text")
-        dataset.sentence_qa(good).write.mode("append").parquet(qa_path)
+        dataset.sentence_qa(good).write.mode("overwrite").parquet(f"{qa_path.rstrip('/')}/epoch={epoch}")
 
     q = (routed.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
