@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -29,4 +30,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     target = min_partitions or 2 * spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, key)
+    # rows without a key are spread by scan position (deterministic for a file
+    # scan) instead of all hashing to one partition
+    k = F.col(key)
+    return df.repartition(target, F.when(k.isNull(), F.monotonically_increasing_id())
+                          .otherwise(F.xxhash64(k)))

@@ -171,3 +171,13 @@ def test_corpus_file_stream_ingests_new_files_and_quarantines(spark, scratch):
     assert spark.read.parquet(qa_out).count() == 2 * first
     reasons = {r.doc_id.rsplit("/", 1)[-1]: r.reason for r in spark.read.parquet(q_out).collect()}
     assert reasons == {"short.txt": "too_short", "bad.txt": "bad_utf8"}
+
+
+def test_spread_balances_null_keys(spark):
+    from quire.sources.tables import spread
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"))
+    df = df.coalesce(1)
+    out = spread(df, "doc_id", min_partitions=8)
+    sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert out.count() == 4000 and len(sizes) == 8
+    assert max(r["count"] for r in sizes) < 4000 / 8 * 1.5
