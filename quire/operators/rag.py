@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import qa as Q
 
+# --- fixed values --------------------------------------------------------------
 PROMPT_TOKEN_BUDGET = 512
 MAX_NEW_TOKENS = 250
+# zero-shot layout: "Context:\n{context}\n\nQuestion: {question}\nAnswer:"
+ZERO_SHOT_PARTS = ("Context:\n", "\n\nQuestion: ", "\nAnswer:")
+# ---------------------------------------------------------------------------------
 
 _FEW_SHOT_HEAD = (
     "Answer the question using only the context. If the context does not contain "
@@ -27,8 +31,8 @@ _FEW_SHOT_HEAD = (
 
 def zero_shot_prompt(context, question) -> Column:
     """Context, blank line, question, answer cue."""
-    return F.concat(F.lit("Context:\n"), T._col(context), F.lit("\n\nQuestion: "),
-                    T._col(question), F.lit("\nAnswer:"))
+    head, mid, tail = ZERO_SHOT_PARTS
+    return F.concat(F.lit(head), T._col(context), F.lit(mid), T._col(question), F.lit(tail))
 
 
 def few_shot_prompt(context, question) -> Column:

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+# --- fixed values: dataset format version, title and location formats ----------
 SQUAD_VERSION = "2.0"
-# fixed format of the generated document title
 TITLE_FORMAT = "Generated_Document_%s"
+DATASET_PATH_FORMAT = "generated_datasets/squad_dataset_%s"
+# ---------------------------------------------------------------------------------
 MAX_QAS_PER_PARAGRAPH = 10_000
 
 ANSWERS_FLAT = Ty.StructType([
@@ -139,7 +141,7 @@ def data_entries(paras: DataFrame) -> DataFrame:
 
 def dataset_path(base: str, task_id: str) -> str:
     """Default location of a task's nested dataset under a corpus root."""
-    return f"{base.rstrip('/')}/generated_datasets/squad_dataset_{task_id}"
+    return f"{base.rstrip('/')}/{DATASET_PATH_FORMAT % task_id}"
 
 
 def write_nested(paras: DataFrame, path: str, mode: str = "overwrite") -> None:
