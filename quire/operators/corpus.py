@@ -39,15 +39,16 @@ def min_text_filter(df: DataFrame, text_col: str = "text", min_chars: int = MIN_
     return df.where(F.length(T.py_strip(text_col)) >= min_chars)
 
 
-def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str],
-                     max_broadcast_keys: int = 5_000_000) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``done``.
+def new_rows(new: DataFrame, done: DataFrame, keys: Sequence[str],
+             max_broadcast_keys: int = 5_000_000) -> tuple[DataFrame, int]:
+    """A10/G5 with its size: ``(rows of new whose key is not in done, number of
+    new distinct keys)``.
 
     Keys first: the anti join runs on key columns only, so only ids are
     shuffled.  When the new keys number at most ``max_broadcast_keys`` (the
-    usual incremental case) they are broadcast into a semi join, so the wide
-    rows of ``new`` (document texts) are never shuffled; otherwise a plain
-    left anti join against the distinct done keys is used.
+    usual incremental case) they are broadcast into a null-safe semi join, so
+    the wide rows of ``new`` (document texts) are never shuffled; otherwise a
+    plain left anti join against the distinct done keys is used.
     """
     keys = list(keys)
     done_keys = done.select(*keys).distinct()
@@ -57,8 +58,14 @@ def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str],
         # null-safe: a null key never matches ``done``, so such rows stay new
         nk = F.broadcast(new_keys.select(*[F.col(k).alias(f"_nk_{k}") for k in keys]))
         cond = [new[k].eqNullSafe(nk[f"_nk_{k}"]) for k in keys]
-        return new.join(nk, cond, "left_semi")
-    return new.join(done_keys, keys, "left_anti")
+        return new.join(nk, cond, "left_semi"), n_new
+    return new.join(done_keys, keys, "left_anti"), n_new
+
+
+def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str],
+                     max_broadcast_keys: int = 5_000_000) -> DataFrame:
+    """Rows of ``new`` whose key is not yet in ``done`` (see :func:`new_rows`)."""
+    return new_rows(new, done, keys, max_broadcast_keys)[0]
 
 
 def corpus_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:

@@ -101,12 +101,8 @@ def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
     try:
         existing = load_index(spark, path).select("doc_id")
     except Exception:  # no index yet: everything is new
-        existing = None
-    new_docs = docs if existing is None else C.incremental_anti(docs, existing, ["doc_id"])
-    new_docs = spread(new_docs, "doc_id")
-    from quire.session import materialize
-    new_docs = materialize(new_docs)
-    n = new_docs.count()
+        existing = spark.createDataFrame([], docs.select("doc_id").schema)
+    new_docs, n = C.new_rows(docs, existing, ["doc_id"])
     if n:
         save_index(build_index(new_docs, width, dim), path, mode="append")
     return n
