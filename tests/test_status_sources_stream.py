@@ -181,3 +181,13 @@ def test_spread_balances_null_keys(spark):
     sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert out.count() == 4000 and len(sizes) == 8
     assert max(r["count"] for r in sizes) < 4000 / 8 * 1.5
+
+
+def test_non_recursive_pdf_listing(spark, scratch):
+    base = os.path.join(scratch, "flat")
+    _write(base, "a.PDF", b"x")
+    _write(base, "b.pdf", b"x")
+    _write(base, "c.txt", b"x")
+    _write(base, "sub/d.pdf", b"x")
+    got = {r.rel_path for r in files.list_supported(spark, base, [".pdf"], recursive=False).collect()}
+    assert got == {"a.PDF", "b.pdf"}
