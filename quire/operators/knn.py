@@ -34,15 +34,27 @@ DEFAULT_MAX_BLOCK_BYTES = 64 << 20
 RANK_DECIMALS = 9
 
 
+def _topk_rows(qi: np.ndarray, ci: np.ndarray, dist: np.ndarray, k: int):
+    """Per query, the k best candidates under the global order
+    ``(round(dist, RANK_DECIMALS), id)``; ``ci`` holds corpus ids."""
+    order = np.lexsort((ci, np.round(dist, RANK_DECIMALS), qi))
+    qs = qi[order]
+    first = np.searchsorted(qs, qs, side="left")
+    keep = order[(np.arange(len(qs)) - first) < k]
+    return qi[keep], ci[keep], dist[keep]
+
+
 def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per_step: int):
     """Arrow-batch kernel: candidates from the BLAS identity
     ``|q|^2 + |c|^2 - 2 q.c`` widened by a bound on its rounding error (so no
-    true neighbour is missed), then exact squared distances for the
-    candidates only; every candidate within the k-th exact distance (plus the
-    rank rounding) is emitted, so ties are settled globally by id."""
+    true neighbour is missed), exact squared distances for the candidates
+    only, then per query the k best under the global order (rounded distance,
+    then id).  Ties never inflate the output: a batch emits at most k rows per
+    query, however many corpus rows are copies of one another."""
     slack = 10.0 ** (-RANK_DECIMALS + 1)
     q_norm = np.einsum("qd,qd->q", q_mat, q_mat)
-    step = max(64, min(rows_per_step, (32 << 20) // (8 * max(1, len(q_ids)))))
+    step = max(16, min(rows_per_step, (32 << 20) // (8 * max(1, len(q_ids)))))
+    q_index = np.arange(len(q_ids))
 
     def run(batches):
         for batch in batches:
@@ -58,10 +70,10 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
                 n = batch.num_rows
                 if n == 0:
                     continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vecs = col.flatten().to_numpy(zero_copy_only=False)
             mat = vecs.astype(np.float64, copy=False).reshape(n, dim)
-            out_q, out_c, out_d = [], [], []
+            best_q, best_c, best_d = [], [], []
             for lo in range(0, n, step):
                 block = mat[lo:lo + step]
                 c_norm = np.einsum("cd,cd->c", block, block)
@@ -69,25 +81,17 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
                 kk = min(k, block.shape[0])
                 kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
                 err = 1e-9 * (1.0 + q_norm + c_norm.max())
-                qi, ci = np.nonzero(approx <= (kth + 2 * err + slack)[:, None])
-                diff = q_mat[qi] - block[ci]
+                qi, cj = np.nonzero(approx <= (kth + 2 * err + slack)[:, None])
+                diff = q_mat[qi] - block[cj]
                 exact = np.einsum("pd,pd->p", diff, diff)
-                # k-th smallest exact distance per query among its candidates
-                order = np.lexsort((exact, qi))
-                qs, ex = qi[order], exact[order]
-                first = np.searchsorted(qs, qs, side="left")
-                rank_in_q = np.arange(len(qs)) - first
-                kth_exact = np.full(len(q_ids), np.inf)
-                sel = rank_in_q == (kk - 1)
-                kth_exact[qs[sel]] = ex[sel]
-                keep = ex <= kth_exact[qs] + slack
-                out_q.append(q_ids[qs[keep]])
-                out_c.append(ids[lo + ci[order][keep]])
-                out_d.append(ex[keep])
+                a, b, c = _topk_rows(q_index[qi], ids[lo + cj], exact, k)
+                best_q.append(a)
+                best_c.append(b)
+                best_d.append(c)
+            qi, ci, d = _topk_rows(np.concatenate(best_q), np.concatenate(best_c),
+                                   np.concatenate(best_d), k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q), pa.int64()),
-                 pa.array(np.concatenate(out_c), pa.int64()),
-                 pa.array(np.concatenate(out_d), pa.float64())],
+                [pa.array(q_ids[qi], pa.int64()), pa.array(ci, pa.int64()), pa.array(d, pa.float64())],
                 names=["qid", "vec_id", "dist"])
     return run
 

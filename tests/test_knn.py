@@ -84,3 +84,20 @@ def test_hash_embedding_matches_python(spark, sf_small):
             counts[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % 64] += 1
         want = (counts / np.sqrt((counts ** 2).sum())).astype(np.float32) if counts.any() else counts
         assert np.allclose(got[r.doc_id], want, atol=1e-7), r.doc_id
+
+
+def test_knn_duplicates_do_not_inflate_candidates(spark):
+    # a third of the corpus is copies of one vector: each query still gets
+    # exactly k rows, ties resolved by the smallest ids
+    rows = [(i, [1.0, 1.0]) for i in range(3000)] + [(3000 + i, [float(i % 7) + 5, 0.0]) for i in range(6000)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.1, 0.9])], "qid long, embedding array<float>")
+    got = knn.knn_topk(corpus, q, 3).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.vec_id) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    from quire.operators.knn import _local_topk
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()),
+         pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["vec_id", "cv"])
+    out = list(_local_topk(np.array([1, 2]), np.array([[1.0, 1.0], [1.1, 0.9]]), 3, 2, 4096)([batch]))
+    assert sum(b.num_rows for b in out) == 6
