@@ -266,25 +266,33 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     chunk may reach ``max_length``); a longer sentence becomes a chunk on its
     own and is never split.  Finished chunks lose the trailing space; only
     chunks longer than ``min_length`` are kept.
+
+    The fold runs over sentence lengths only and records where each chunk
+    starts; chunk strings are then built once from slices of the sentences
+    (``s1. s2.`` is exactly the stripped ``s1. s2. ``).
     """
-    empty = F.array().cast("array<string>")
-    zero = F.struct(empty.alias("chunks"), F.lit("").alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
-        grow = F.struct(acc["chunks"].alias("chunks"),
-                        F.concat(cur, s, F.lit(". ")).alias("cur"))
-        flushed = F.when(cur != F.lit(""),
-                         F.concat(acc["chunks"], F.array(py_strip(cur)))).otherwise(acc["chunks"])
-        start = F.struct(flushed.alias("chunks"), F.concat(s, F.lit(". ")).alias("cur"))
-        return F.when(F.length(cur) + F.length(s) < max_length, grow).otherwise(start)
-
-    def finish(acc: Column) -> Column:
-        out = F.when(acc["cur"] != F.lit(""),
-                     F.concat(acc["chunks"], F.array(py_strip(acc["cur"])))).otherwise(acc["chunks"])
-        return F.filter(out, lambda c: F.length(c) > min_length)
-
-    return F.aggregate(sentences_stripped(text), zero, step, finish)
+    def pack(sents: Column) -> Column:
+        zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("cur"),
+                        F.lit(0).alias("i"))
+
+        def step(acc: Column, n: Column) -> Column:
+            i = acc["i"] + 1
+            fits = acc["cur"] + n < max_length
+            starts = F.when(~fits & (acc["cur"] > 0), F.concat(acc["starts"], F.array(i))) \
+                .when(i == 1, F.array(i)).otherwise(acc["starts"])
+            cur = F.when(fits, acc["cur"] + n + 2).otherwise(n + 2)
+            return F.struct(starts.alias("starts"), cur.alias("cur"), i.alias("i"))
+
+        def build(starts: Column) -> Column:
+            total = F.size(sents)
+            chunks = F.transform(starts, lambda st, k: F.concat(F.array_join(F.slice(
+                sents, st, F.coalesce(F.try_element_at(starts, k + 2), total + 1) - st), ". "), F.lit(".")))
+            return F.filter(chunks, lambda c: F.length(c) > min_length)
+
+        lengths = F.transform(sents, F.length)
+        return let(F.aggregate(lengths, zero, step, lambda acc: acc["starts"]), build)
+
+    return let(sentences_stripped(text), pack)
 
 
 # --- sentence spans used by the extractive answerer -------------------------
