@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import corpus as C
 
-MANIFEST_SCHEMA = "path string, rel_path string, length long, modificationTime timestamp"
-
-
 def _reader(spark: SparkSession, recursive: bool, pattern: str | None):
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:

@@ -101,3 +101,14 @@ def test_knn_duplicates_do_not_inflate_candidates(spark):
          pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["vec_id", "cv"])
     out = list(_local_topk(np.array([1, 2]), np.array([[1.0, 1.0], [1.1, 0.9]]), 3, 2, 4096)([batch]))
     assert sum(b.num_rows for b in out) == 6
+
+
+def test_squared_l2_expression_matches_numpy(spark, sf_small):
+    from quire.functions import vectors as V
+    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet").limit(50)
+    a = emb.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
+    b = emb.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    pairs = a.join(b, F.col("a") < F.col("b") + 3).where(F.col("b") < F.col("a") + 3)
+    for r in pairs.select("va", "vb", V.squared_l2("va", "vb").alias("d")).collect():
+        va, vb = np.array(r.va, dtype=np.float64), np.array(r.vb, dtype=np.float64)
+        assert abs(r.d - ((va - vb) ** 2).sum()) < 1e-9

@@ -121,3 +121,8 @@ def test_single_document_export_round_trip(spark, sf_small, scratch):
     assert list(json.loads(text)) == ["data"]
     with pytest.raises(ValueError):
         squad.write_flat_document(recs, scratch + "/x", max_rows=1)
+
+
+def test_dataset_path_format():
+    assert squad.dataset_path("s3a://bucket/corpus/", "t7") == \
+        "s3a://bucket/corpus/generated_datasets/squad_dataset_t7"
