@@ -218,6 +218,18 @@ def q_train_examples(spark, sf_dir):
     return qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
 
 
+def q_rag_index_stats(spark, sf_dir):
+    """H1 on the chunk index built from the documents."""
+    return corpus.index_stats(rag_plan.build_index(_documents(spark, sf_dir)))
+
+
+def q_qa_token_windows(spark, sf_dir):
+    """E5 as training uses it: 384-token windows with 128 overlap over each
+    training example's context, the question kept whole in every window."""
+    ex = qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
+    return chunking.token_windows(ex, ["id"], "context", 384, 128, question_col="question")
+
+
 def q_rag_context(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return rag_plan.contexts(rag_plan.build_index(docs), _benchmark_queries(spark, sf_dir), 3, docs)
@@ -288,6 +300,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_flat": q_qa_flat,
     "qa_flat_json": q_qa_flat_json,
     "train_examples": q_train_examples,
+    "rag_index_stats": q_rag_index_stats,
+    "qa_token_windows": q_qa_token_windows,
     "rag_context": q_rag_context,
     "rag_prompt": q_rag_prompt,
     "rag_answer": q_rag_answer,

@@ -410,6 +410,23 @@ SELECT id, to_json({{'id': id, 'title': title, 'context': context, 'question': q
 FROM f""",
         "train_examples": f"""WITH f AS ({wrapped_qa_sql()})
 SELECT id, context, question, answer_text, answer_start FROM f WHERE answer_start <> -1""",
+        "rag_index_stats": f"""WITH {wrap_chunks_cte()},
+ix AS (SELECT {dense_embedding('text')} AS embedding FROM wc)
+SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+       count(*) FILTER (WHERE embedding IS NULL) AS n_null,
+       min(len(embedding)) = max(len(embedding)) AS uniform
+FROM ix""",
+        "qa_token_windows": f"""WITH f AS ({wrapped_qa_sql()}),
+ex AS (SELECT id, {split_ws('context')} AS toks,
+              greatest(384 - len({split_ws('question')}), 129) AS bud
+       FROM f WHERE answer_start <> -1),
+st AS (SELECT id, toks, bud,
+              list_transform(range(0, greatest(ceil((len(toks) - bud) / (bud - 128))::INTEGER, 0) + 1),
+                             lambda i: i * (bud - 128)) AS starts FROM ex),
+w AS (SELECT id, unnest(starts) AS tok_start, generate_subscripts(starts, 1) - 1 AS win_no, toks, bud FROM st)
+SELECT id, win_no, tok_start::BIGINT AS tok_start, len(toks[tok_start + 1 : tok_start + bud]) AS n_tokens,
+       array_to_string(toks[tok_start + 1 : tok_start + bud], ' ') AS text
+FROM w""",
         "rag_context": f"""WITH {rag_index_ctes()}
 SELECT qid, context, n_hits FROM ctx""",
         "rag_prompt": f"""WITH {rag_index_ctes()},
