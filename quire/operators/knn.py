@@ -129,11 +129,13 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), F.col("vec_id"))
 
     def block_topk(block: DataFrame, keep: list | None = None) -> DataFrame | None:
-        rows = block.where(F.size("qv") == dim).collect()  # bounded: one block
-        if not rows:
+        # bounded: one block; Arrow keeps the vectors columnar on the way to NumPy
+        tbl = block.where(F.size("qv") == dim).toArrow()
+        if tbl.num_rows == 0:
             return None
-        q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        q_mat = np.array([r["qv"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+        q_ids = tbl.column("qid").to_numpy().astype(np.int64)
+        q_mat = (pc.list_flatten(tbl.column("qv")).to_numpy(zero_copy_only=False)
+                 .astype(np.float64).reshape(tbl.num_rows, dim))
         bc = spark.sparkContext.broadcast((q_ids, q_mat))
         if keep is not None:
             keep.append(bc)

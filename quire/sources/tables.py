@@ -15,19 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str, min_partitions: int | None = None,
+           bytes_per_partition: int = 256 << 10) -> DataFrame:
     """Hash-spread rows on ``key`` when the scan yields too few partitions.
 
     A table stored as one file with one row group scans as a single task, so
     CPU-heavy row folds (wrap, sentence pack, embedding) would run on one core.
-    When the input already has at least ``min_partitions`` partitions (the
-    normal case for a large table stored as many files) nothing is added; a
-    repartition with an explicit count is not coalesced back by AQE.
+    The target is about one partition per ``bytes_per_partition`` of input (the
+    optimizer's estimate, i.e. compressed Parquet bytes; text folds cost much CPU
+    per byte), at most twice the default parallelism.  When
+    the input already has that many partitions (the normal case for a large
+    table stored as many files) nothing is added; a repartition with an
+    explicit count is not coalesced back by AQE.
     """
     if df.isStreaming:  # micro-batches are partitioned by the source
         return df
     spark = df.sparkSession
-    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    if min_partitions is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        target = min(2 * spark.sparkContext.defaultParallelism,
+                     max(1, -(-size // bytes_per_partition)))
+    else:
+        target = min_partitions
     if df.rdd.getNumPartitions() >= target:
         return df
     # rows without a key are spread by scan position (deterministic for a file
