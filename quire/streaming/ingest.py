@@ -146,3 +146,20 @@ def ingest_corpus_files(spark: SparkSession, base: str, qa_path: str, quarantine
     q = (routed.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def ingest_index(spark: SparkSession, docs_path: str, index_path: str, ckpt: str,
+                 width: int = 500) -> None:
+    """A10/B3 as a stream: documents arriving in ``docs_path`` are chunked,
+    embedded and appended to the index table, one ``epoch=`` partition per
+    micro-batch (overwritten on retry, so exactly-once).  Queries read the
+    table with :func:`quire.plans.rag.load_index`."""
+    from quire.plans import rag as rag_plan
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        rag_plan.build_index(batch, width).sortWithinPartitions("vec_id") \
+            .write.mode("overwrite").parquet(f"{index_path.rstrip('/')}/epoch={epoch}")
+
+    q = (stream_documents(spark, docs_path).writeStream.foreachBatch(run)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()

@@ -78,3 +78,16 @@ def test_model_question_generation_feeds_answers(spark):
                                      questions=F.col("questions")).orderBy("q_no").collect()
     assert [r.question for r in rows] == ["Where do rivers flow?", "What is tall?", "Q3"]
     assert rows[0].answer == "Rivers flow to the sea." and rows[1].answer == "Mountains are tall."
+
+
+def test_streamed_index_equals_full_build(spark, sf_small, scratch):
+    from quire.streaming import ingest
+    docs = _docs(spark, sf_small)
+    src, out, ckpt = f"{scratch}/docs", f"{scratch}/idx", f"{scratch}/ckpt"
+    docs.where(F.col("doc_id") < 100).write.parquet(src)
+    ingest.ingest_index(spark, src, out, ckpt)
+    docs.where(F.col("doc_id") >= 100).write.mode("append").parquet(src)
+    ingest.ingest_index(spark, src, out, ckpt)
+    stored = sorted((r.vec_id, r.text) for r in R.load_index(spark, out).select("vec_id", "text").collect())
+    full = sorted((r.vec_id, r.text) for r in R.build_index(docs).select("vec_id", "text").collect())
+    assert stored == full
