@@ -49,14 +49,20 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
     ``|q|^2 + |c|^2 - 2 q.c`` widened by a bound on its rounding error (so no
     true neighbour is missed), exact squared distances for the candidates
     only, then per query the k best under the global order (rounded distance,
-    then id).  Ties never inflate the output: a batch emits at most k rows per
-    query, however many corpus rows are copies of one another."""
+    then id), kept as a running top-k across the task's batches.  Ties never
+    inflate the output: a task emits at most k rows per query, however many
+    corpus rows are copies of one another."""
     slack = 10.0 ** (-RANK_DECIMALS + 1)
     q_norm = np.einsum("qd,qd->q", q_mat, q_mat)
     step = max(16, min(rows_per_step, (32 << 20) // (8 * max(1, len(q_ids)))))
     q_index = np.arange(len(q_ids))
 
     def run(batches):
+        # running top-k over every batch of this task, emitted once at the end:
+        # the shuffle on qid then carries at most k rows per query per task
+        run_q = np.empty(0, np.int64)
+        run_c = np.empty(0, np.int64)
+        run_d = np.empty(0, np.float64)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -73,7 +79,7 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vecs = col.flatten().to_numpy(zero_copy_only=False)
             mat = vecs.astype(np.float64, copy=False).reshape(n, dim)
-            best_q, best_c, best_d = [], [], []
+            best_q, best_c, best_d = [run_q], [run_c], [run_d]
             for lo in range(0, n, step):
                 block = mat[lo:lo + step]
                 c_norm = np.einsum("cd,cd->c", block, block)
@@ -88,10 +94,12 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
                 best_q.append(a)
                 best_c.append(b)
                 best_d.append(c)
-            qi, ci, d = _topk_rows(np.concatenate(best_q), np.concatenate(best_c),
-                                   np.concatenate(best_d), k)
+            run_q, run_c, run_d = _topk_rows(np.concatenate(best_q), np.concatenate(best_c),
+                                             np.concatenate(best_d), k)
+        if len(run_q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[qi], pa.int64()), pa.array(ci, pa.int64()), pa.array(d, pa.float64())],
+                [pa.array(q_ids[run_q], pa.int64()), pa.array(run_c, pa.int64()),
+                 pa.array(run_d, pa.float64())],
                 names=["qid", "vec_id", "dist"])
     return run
 
