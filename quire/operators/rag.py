@@ -44,8 +44,8 @@ def few_shot_prompt(context, question) -> Column:
 def default_answer(context, question) -> Column:
     """F3 default: the context sentence with most shared question words, or
     'Not available' when no sentence shares any."""
-    best = Q.best_sentence(question, Q.sentence_index(context))
-    return F.when(best["overlap"] > 0, best["answer"]).otherwise(F.lit(Q.NOT_AVAILABLE))
+    return T.let(Q.best_sentence(question, Q.sentence_index(context)), lambda best: F.when(
+        best["overlap"] > 0, best["answer"]).otherwise(F.lit(Q.NOT_AVAILABLE)))
 
 
 def generate_with_model(df: DataFrame, make_model: Callable, prompt_col: str = "prompt",
