@@ -16,7 +16,15 @@ CHUNK_WIDTH = 500
 
 def build_index(docs: DataFrame, width: int = CHUNK_WIDTH, dim: int = embed.DEFAULT_DIM,
                 source_col: str = "source") -> DataFrame:
-    """H1: ``(vec_id, doc_id, chunk_no, source, text, embedding)``; narrow end to end."""
+    """H1: ``(vec_id, doc_id, chunk_no, source, text, embedding)``; narrow end to end.
+
+    ``doc_id`` must be an integer below 2**43 (the vector id packs it with the
+    chunk ordinal); number path-keyed corpora first with
+    :func:`quire.sources.tables.number_rows`."""
+    from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+    if not isinstance(docs.schema["doc_id"].dataType, (LongType, IntegerType, ShortType, ByteType)):
+        raise TypeError("build_index needs an integer doc_id; number the documents first "
+                        "(quire.sources.tables.number_rows) and keep the path as `source`")
     docs = spread(docs, "doc_id")
     chunks = chunking.wrap_chunks(docs, ("doc_id",), "text", width, keep=(source_col,))
     return embed.hash_embed(chunks, "text", "embedding", dim) \
@@ -93,16 +101,17 @@ def load_index(spark, path: str) -> DataFrame:
 
 
 def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
-                 dim: int = embed.DEFAULT_DIM) -> int:
-    """Index only documents whose id is not in the stored index yet
-    (left anti join on ``doc_id``) and append them; returns the number of
-    documents added.  The first call builds the whole index."""
+                 dim: int = embed.DEFAULT_DIM, key: str = "doc_id") -> int:
+    """Index only documents whose ``key`` (``doc_id``, or e.g. the
+    ``source`` path) is not in the stored index yet (left anti join) and
+    append them; returns the number of documents added.  The first call
+    builds the whole index."""
     from quire.operators import corpus as C
     try:
-        existing = load_index(spark, path).select("doc_id")
+        existing = load_index(spark, path).select(key)
     except Exception:  # no index yet: everything is new
-        existing = spark.createDataFrame([], docs.select("doc_id").schema)
-    new_docs, n = C.new_rows(docs, existing, ["doc_id"])
+        existing = spark.createDataFrame([], docs.select(key).schema)
+    new_docs, n = C.new_rows(docs, existing, [key])
     if n:
         save_index(build_index(new_docs, width, dim), path, mode="append")
     return n

@@ -44,3 +44,30 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None,
     k = F.col(key)
     return df.repartition(target, F.when(k.isNull(), F.monotonically_increasing_id())
                           .otherwise(F.xxhash64(k)))
+
+
+def number_rows(df: DataFrame, col: str = "doc_id", start: int = 0) -> DataFrame:
+    """Contiguous 64-bit ids ``start, start + 1, ...`` without a shuffle (the
+    DataFrame form of zip-with-index): one job counts rows per partition (one
+    small row per partition reaches the driver), then each partition numbers
+    its rows from its offset in an Arrow map.  ``df`` must be deterministic
+    (a file scan or a materialised table) so both passes see the same rows."""
+    import pyarrow as pa
+
+    counts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    offsets, acc = {}, start
+    for r in sorted(counts, key=lambda r: r["p"]):
+        offsets[r["p"]] = acc
+        acc += r["count"]
+
+    def run(batches):
+        from pyspark import TaskContext
+        nxt = offsets.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            ids = pa.array(range(nxt, nxt + batch.num_rows), pa.int64())
+            nxt += batch.num_rows
+            yield pa.RecordBatch.from_arrays(batch.columns + [ids], names=batch.schema.names + [col])
+
+    from pyspark.sql.types import LongType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(col, LongType(), False)])
+    return df.mapInArrow(run, schema)

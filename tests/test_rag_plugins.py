@@ -91,3 +91,28 @@ def test_streamed_index_equals_full_build(spark, sf_small, scratch):
     stored = sorted((r.vec_id, r.text) for r in R.load_index(spark, out).select("vec_id", "text").collect())
     full = sorted((r.vec_id, r.text) for r in R.build_index(docs).select("vec_id", "text").collect())
     assert stored == full
+
+
+def test_path_keyed_corpus_is_numbered_then_indexed(spark, sf_small, scratch):
+    import os
+
+    import pytest
+
+    from quire.sources import files
+    from quire.sources.tables import number_rows
+    src = os.path.join(scratch, "corpus")
+    rows = _docs(spark, sf_small).limit(30).collect()
+    for r in rows:
+        os.makedirs(os.path.join(src, str(r.doc_id % 3)), exist_ok=True)
+        open(os.path.join(src, str(r.doc_id % 3), f"d{r.doc_id}.txt"), "w", encoding="utf-8").write(r.text)
+    docs = files.load_corpus(spark, src).where("text_ok") \
+        .select(F.col("rel_path").alias("source"), "text")
+    with pytest.raises(TypeError):
+        R.build_index(docs.withColumn("doc_id", F.col("source")))
+    numbered = number_rows(docs.repartition(3, "source"), "doc_id")
+    ids = [r.doc_id for r in numbered.select("doc_id").collect()]
+    assert sorted(ids) == list(range(len(rows)))
+    path = os.path.join(scratch, "idx")
+    assert R.update_index(spark, numbered, path, key="source") == len(rows)
+    again = number_rows(docs, "doc_id", start=1000)
+    assert R.update_index(spark, again, path, key="source") == 0
