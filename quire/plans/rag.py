@@ -58,7 +58,10 @@ def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH,
     small = bound is not None and bound <= max_broadcast_rows
     hit_docs = hits.select("doc_id").distinct()
     if bound is not None and bound <= max_in_list:
-        ids = [r.doc_id for r in hit_docs.collect()]  # at most queries x k ids
+        # at most queries x k ids, read columnar from the small top-k table
+        import numpy as np
+        vec = top.select("vec_id").toArrow().column("vec_id").to_numpy()
+        ids = [int(x) for x in np.unique(vec >> 20)]
         needed = docs.where(F.col("doc_id").isin(ids))
     else:
         needed = docs.join(F.broadcast(hit_docs) if small else hit_docs, "doc_id", "left_semi")
