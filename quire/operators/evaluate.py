@@ -36,7 +36,10 @@ def normalize_answer(c) -> Column:
     a/an/the as whole words, collapse whitespace."""
     punct = "[" + "".join("\\" + ch for ch in PUNCTUATION) + "]"
     s = F.regexp_replace(F.lower(T._col(c)), punct, "")
-    s = F.regexp_replace(s, r"(?U)\b(" + "|".join(ARTICLES) + r")\b", " ")
+    # whole words by Python's definition of a word character (letters, all
+    # numerics, underscore); Java's Unicode \b differs on marks and No digits
+    word = r"[\p{L}\p{N}_]"
+    s = F.regexp_replace(s, f"(?<!{word})(" + "|".join(ARTICLES) + f")(?!{word})", " ")
     return F.array_join(T.py_split(s), " ")
 
 
