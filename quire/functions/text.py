@@ -332,20 +332,28 @@ def strip_query(url) -> Column:
 
 
 def basename(path) -> Column:
+    """``os.path.basename``: the text after the last ``/`` ('' after a trailing slash)."""
     return F.element_at(F.split(_col(path), "/", -1), -1)
 
 
+def _pure_name(path) -> Column:
+    """``PurePath(path).name``: trailing ``/`` and ``/.`` segments are ignored
+    and ``.`` alone has no name."""
+    trimmed = F.regexp_replace(_col(path), r"(/+\.?)+$", "")
+    name = F.element_at(F.split(trimmed, "/", -1), -1)
+    return F.when(name == F.lit("."), F.lit("")).otherwise(name)
+
+
 def suffix(path) -> Column:
     """``PurePath.suffix``: from the last dot of the final component, when that
     dot is neither its first nor its last character."""
-    return F.regexp_extract(basename(path), r"^.+(\.[^.]+)$", 1)
+    return F.regexp_extract(_pure_name(path), r"^.+(\.[^.]+)$", 1)
 
 
 def stem(path) -> Column:
     """``PurePath.stem``: the final component without its suffix."""
-    base = basename(path)
-    sfx = suffix(path)
-    return base.substr(F.lit(1), F.length(base) - F.length(sfx))
+    name = _pure_name(path)
+    return name.substr(F.lit(1), F.length(name) - F.length(suffix(path)))
 
 
 def join_key(prefix, key) -> Column:

@@ -271,7 +271,10 @@ def statements() -> dict[str, str]:
     strip_text = strip("text")
     url_path = "regexp_replace(url, '[?#].*$', '')"
     base = f"string_split({url_path}, '/')[-1]"
-    sfx = f"regexp_extract({base}, '^.+(\\.[^.]+)$', 1)"
+    trimmed = f"regexp_replace({url_path}, '(/+\\.?)+$', '')"
+    pure = (f"CASE WHEN string_split({trimmed}, '/')[-1] = '.' THEN '' "
+            f"ELSE string_split({trimmed}, '/')[-1] END")
+    sfx = f"regexp_extract({pure}, '^.+(\\.[^.]+)$', 1)"
     return {
         "knn_topk": """
 WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
@@ -299,7 +302,7 @@ SELECT lower({sfx}) AS ext, count(*) AS n_files FROM pages
 WHERE lower({sfx}) NOT IN ('.html') GROUP BY 1""",
         "path_parts": f"""
 SELECT page_id, {base} AS basename,
-       substr({base}, 1, length({base}) - length({sfx})) AS stem, lower({sfx}) AS ext,
+       substr({pure}, 1, length({pure}) - length({sfx})) AS stem, lower({sfx}) AS ext,
        concat_ws('/', 'pages', regexp_replace(regexp_replace({url_path}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '^/+', '')) AS key
 FROM pages""",
         "min_text_filter": f"""

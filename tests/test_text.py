@@ -91,13 +91,15 @@ def test_strip_and_split_follow_python(spark):
 
 
 def test_path_parts_follow_purepath(spark):
-    paths = ["a/b/report.PDF", "x.tar.gz", ".bashrc", "dir/noext", "a/b.", "a/..b", "c/d/e.txt"]
+    import os.path
+    paths = ["a/b/report.PDF", "x.tar.gz", ".bashrc", "dir/noext", "a/b.", "a/..b", "c/d/e.txt",
+             "a/b/", "a/x.y/.", ".", "/", "x//y.z", "d/./e.f/", "..", "a.b/.."]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = df.select("p", T.basename("p").alias("b"), T.suffix("p").alias("s"),
                     T.stem("p").alias("st")).collect()
     for r in got:
         pp = PurePosixPath(r.p)
-        assert (r.b, r.s, r.st) == (pp.name, pp.suffix, pp.stem)
+        assert (r.b, r.s, r.st) == (os.path.basename(r.p), pp.suffix, pp.stem), r.p
 
 
 def test_token_windows_cover_and_overlap(spark):
