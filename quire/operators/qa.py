@@ -29,6 +29,11 @@ MAX_QUESTIONS = 3
 NOT_AVAILABLE = "Not available"
 # ------------------------------------------------------------------------------
 
+# ``str.isdigit``: decimal digits plus the digit-type characters (superscripts,
+# circled digits, ...), the latter derived from Python's own rule.
+DIGIT_EXTRA = "".join(ch for ch in map(chr, range(0x110000)) if ch.isdigit() and not ch.isdecimal())
+DIGIT_CLASS = "[\\p{Nd}" + DIGIT_EXTRA + "]"
+
 
 def _lit_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -37,12 +42,12 @@ def _lit_array(values: Sequence[str]) -> Column:
 def rule_questions(text, limit: int = MAX_QUESTIONS) -> Column:
     """who/what/when/where questions fired by whole whitespace tokens
     (compared lower-case), in that order, at most ``limit``; two default
-    questions when none fires.  A token of decimal digits also fires "when"."""
+    questions when none fires.  A token of digits (``str.isdigit``) also fires "when"."""
     def fire(words):
         def by_lower(lw):
             who = F.arrays_overlap(lw, _lit_array(WHO_WORDS))
             what = F.arrays_overlap(lw, _lit_array(WHAT_WORDS))
-            when = F.exists(words, lambda w: w.rlike(r"^\p{Nd}+\z")) | \
+            when = F.exists(words, lambda w: w.rlike(f"^{DIGIT_CLASS}+\\z")) | \
                 F.arrays_overlap(lw, _lit_array(WHEN_WORDS))
             where = F.arrays_overlap(lw, _lit_array(WHERE_WORDS))
             return F.array_compact(F.array(

@@ -87,7 +87,7 @@ def rule_questions(text: str) -> str:
         return "[" + ", ".join(lit(x) for x in xs) + "]"
     who = f"list_has_any({lw}, {arr(Q.WHO_WORDS)})"
     what = f"list_has_any({lw}, {arr(Q.WHAT_WORDS)})"
-    when = (f"(coalesce(list_bool_or(list_transform({words}, lambda _w: regexp_full_match(_w, '\\p{{Nd}}+'))), false) "
+    when = (f"(coalesce(list_bool_or(list_transform({words}, lambda _w: regexp_full_match(_w, {lit(Q.DIGIT_CLASS + '+')}))), false) "
             f"OR list_has_any({lw}, {arr(Q.WHEN_WORDS)}))")
     where = f"list_has_any({lw}, {arr(Q.WHERE_WORDS)})"
     fired = (f"list_filter([CASE WHEN {who} THEN {lit(Q.WHO_QUESTION)} END, "

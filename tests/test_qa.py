@@ -1,7 +1,5 @@
 """Question rules, answer extraction and QA rows against Python restatements."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from quire.operators import qa
@@ -16,7 +14,7 @@ def rules_oracle(chunk):
         out.append(qa.WHO_QUESTION)
     if any(w in qa.WHAT_WORDS for w in low):
         out.append(qa.WHAT_QUESTION)
-    if any(re.fullmatch(r"\d+", w) for w in words) or any(w in qa.WHEN_WORDS for w in low):
+    if any(w.isdigit() for w in words) or any(w in qa.WHEN_WORDS for w in low):
         out.append(qa.WHEN_QUESTION)
     if any(w in qa.WHERE_WORDS for w in low):
         out.append(qa.WHERE_QUESTION)
