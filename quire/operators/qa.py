@@ -39,6 +39,16 @@ def _lit_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _is_digits(w: Column) -> Column:
+    """``w.isdigit()``.  The full class (with the non-decimal digit-type
+    characters) is slow in Java's matcher, so it only runs for words that
+    start with a non-ASCII character or an ASCII digit; OR/AND short-circuit
+    per row."""
+    first = F.ascii(w)  # code point of the first character, O(1)
+    maybe = (first > 127) | first.between(48, 57)
+    return w.rlike("^\\p{Nd}+\\z") | (maybe & w.rlike(f"^{DIGIT_CLASS}+\\z"))
+
+
 def rule_questions(text, limit: int = MAX_QUESTIONS) -> Column:
     """who/what/when/where questions fired by whole whitespace tokens
     (compared lower-case), in that order, at most ``limit``; two default
@@ -47,7 +57,7 @@ def rule_questions(text, limit: int = MAX_QUESTIONS) -> Column:
         def by_lower(lw):
             who = F.arrays_overlap(lw, _lit_array(WHO_WORDS))
             what = F.arrays_overlap(lw, _lit_array(WHAT_WORDS))
-            when = F.exists(words, lambda w: w.rlike(f"^{DIGIT_CLASS}+\\z")) | \
+            when = F.exists(words, _is_digits) | \
                 F.arrays_overlap(lw, _lit_array(WHEN_WORDS))
             where = F.arrays_overlap(lw, _lit_array(WHERE_WORDS))
             return F.array_compact(F.array(

@@ -24,7 +24,7 @@ def rules_oracle(chunk):
 def test_rule_questions(spark):
     chunks = ["She went home. What now? In 2020 the city grew.",  # four fire, three kept
               "nothing fires here at all", "They left. The year 1999.", "city. 2020. she,",
-              "WHERE is the Country", "", "²³ superscript digits"]
+              "WHERE is the Country", "", "²³ superscript digits", "in 2020² only", "x １２ y", "12b"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(chunks)], "id int, text string")
     for r in df.select("id", qa.rule_questions("text").alias("q")).collect():
         assert list(r.q) == rules_oracle(chunks[r.id]), chunks[r.id]
