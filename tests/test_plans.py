@@ -45,3 +45,10 @@ def test_knn_scan_does_not_shuffle_the_corpus(spark):
     assert plan.count("Exchange") == 1
     assert "MapInArrow" in plan
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("key", ["text_prefix", "qgen_prompt", "quarantine", "min_text_filter",
+                                 "truncate_tokens", "parse_questions", "ext_filter", "path_parts"])
+def test_cheap_row_queries_do_not_shuffle(spark, key):
+    # per-row expressions run on the scan; only CPU-heavy folds spread first
+    assert "Exchange" not in _plan(E.queries()[key](spark, "/root/testdata/sf0.01"))
