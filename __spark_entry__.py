@@ -20,6 +20,11 @@ from quire.sources import files
 from quire.sources.tables import spread, table
 from quire.streaming import ingest
 
+try:  # training-data operators: registered when their subpackage is there
+    from quire.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 TASK_ID = "corpus"
 
@@ -331,7 +336,10 @@ def _wide_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _wide_ints(v) for k, v in _QUERIES.items()}
+    out = {k: _wide_ints(v) for k, v in _QUERIES.items()}
+    if llm_queries is not None:
+        out |= llm_queries.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -339,4 +347,7 @@ def oracle_sql() -> dict[str, str]:
     # the stream writes exactly what the batch chunker produces
     sql["stream_sentence_pack"] = sql["sentence_pack"]
     sql["stream_latest_status"] = sql["latest_status"]
-    return {k: v for k, v in sql.items() if k in _QUERIES}
+    out = {k: v for k, v in sql.items() if k in _QUERIES}
+    if llm_queries is not None:
+        out |= llm_queries.ORACLE_SQL
+    return out
