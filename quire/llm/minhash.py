@@ -4,8 +4,8 @@ A text's set is its distinct k-word shingles, hashed to 64 bits.  Under each of
 ``perms`` permutations both the least and the greatest hash are kept, so half
 as many evaluations give a signature of ``2 * perms`` values whose agreement
 estimates the Jaccard similarity.  ``rows`` values make a band; at a
-similarity of 0.8 the defaults (64 permutations, 32 bands of 4) miss a pair
-with a probability under 1e-7.
+similarity of 0.8 the defaults (80 permutations, 32 bands of 5) miss a pair
+with a probability of 3e-6.
 
 1. Texts of equal sets are one class, represented by its smallest id: the copies
    of a text never meet in pairs.
@@ -15,7 +15,9 @@ with a probability under 1e-7.
    components, members outside the bucket's largest component are compared
    with the members of the other components, so that a link which does not go
    through a bucket's centre is found too; inside a component nothing is left
-   to learn.
+   to learn.  This goes block by block over sketches of 512 values, and only
+   pairs that can reach the similarity (five standard deviations) come out, to
+   be confirmed on the full sets.
 4. Components of all links by alternating large-star and small-star steps.
 
 Tables between the steps are written to the shared folder, so that a lost
@@ -41,6 +43,9 @@ from quire.session import materialize
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
+#: Permutations of the longer signature, members of a bucket compared in one block.
+SKETCH, BLOCK = 256, 2048
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,6 +141,101 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return x.mapInArrow(run, "a long, b long")
 
 
+def _sketches(sets: DataFrame, perms: int, rows: int) -> DataFrame:
+    """id, sig: 8 bits of each value of a longer signature (2 * SKETCH values),
+    on which a pair's similarity is estimated before its sets are compared;
+    keys: the set's buckets, by which a pair is compared in its first one only."""
+    def run(batches):
+        a, b = permutations(SKETCH, seed=12)
+        pa_, pb_ = permutations(perms)
+        for batch in batches:
+            sig, keys = [], []
+            for x in batch.column(1):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                sig.append(_mix(signature(s, a, b)).astype(np.uint8).tobytes())
+                keys.append(band_keys(signature(s, pa_, pb_), rows).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())],
+                                             names=["id", "sig", "keys"])
+
+    return sets.mapInArrow(run, "id long, sig binary, keys binary")
+
+
+def _close_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of a bucket's members in different components, at least one
+    outside the bucket's largest, whose sketches agree so far that a similarity
+    under ``similarity`` is not five standard deviations away.
+
+    A bucket is cut into blocks of BLOCK members; a task compares one block of
+    minor members with one block of all members, so neither a hot bucket nor its
+    pairs ever stand in one task or in rows.  A pair that shares several buckets
+    comes out of the first of them: there, too, the two are in different
+    components, hence one is minor."""
+    values = 2 * SKETCH
+    floor = similarity - 5 * (similarity * (1 - similarity) / values) ** 0.5
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["key", "id", "n", "root", "minor", "sig", "keys"]
+    left = members.where("minor").select(*cols, block.alias("i"), others.alias("j"), F.lit(0).alias("side"))
+    right = members.select(*cols, block.alias("j"), others.alias("i"), F.lit(1).alias("side"))
+    x = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def run(batches):
+        cell, held = None, None
+
+        def matched(sub):
+            nonlocal cell, held
+            # one side of one cell
+            key, side = sub[0], sub[1]
+            ids, n, root, minor, sig, keys = sub[2]
+            if key != cell:
+                cell, held = key, []
+            if side == 0:
+                held.append((ids, n, root, sig, keys))
+                return
+            if not held:
+                return
+            if len(held) > 1:
+                held[:] = [tuple(np.concatenate(c) for c in zip(*held))]
+            hi, hn, hr, hs, hk = held[0]
+            for at in range(0, len(ids), 64):
+                cut = slice(at, at + 64)
+                ok = hr[:, None] != root[None, cut]
+                ok &= ~minor[None, cut] | (ids[None, cut] < hi[:, None])
+                ok &= np.minimum(hn[:, None], n[None, cut]) >= similarity * np.maximum(hn[:, None], n[None, cut])
+                p, q = np.nonzero(ok)
+                for c in range(0, len(p), 1 << 14):
+                    u, v = p[c:c + (1 << 14)], q[c:c + (1 << 14)] + at
+                    agree = np.count_nonzero(hs[u] == sig[v], axis=1) / values
+                    near = (agree * 256 - 1) / 255 >= floor
+                    u, v = u[near], v[near]
+                    first = np.argmax(hk[u] == keys[v], axis=1)
+                    here = hk[u, first] == key[0]
+                    u, v = u[here], v[here]
+                    if len(u):
+                        one, two = hi[u], ids[v]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            num = {c: cols[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "root", "minor", "i", "j", "side")}
+            sig = np.frombuffer(b"".join(s.as_buffer() for s in cols["sig"]), np.uint8).reshape(batch.num_rows, values)
+            keys = np.frombuffer(b"".join(s.as_buffer() for s in cols["keys"]), np.int64).reshape(batch.num_rows, -1)
+            turn = np.zeros(batch.num_rows, bool)
+            for c in ("key", "i", "j", "side"):
+                turn[1:] |= num[c][1:] != num[c][:-1]
+            cuts = [0, *np.nonzero(turn)[0].tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                part = tuple(num[c][s:e] for c in ("id", "n", "root", "minor")) + (sig[s:e], keys[s:e])
+                yield from matched(((num["key"][s], num["i"][s], num["j"][s]), num["side"][s], part))
+
+    return x.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every node of ``edges`` (a, b): root is the smallest id
     reachable.  Alternating large-star and small-star until nothing moves."""
@@ -175,7 +275,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = 5, similarity: float = 0.8,
-           perms: int = 64, rows: int = 4) -> DataFrame:
+           perms: int = 80, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     require(docs, doc_id, text)
     num, den = round(similarity * 100), 100
@@ -215,12 +315,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: in
         .where("several").select("key", "root", F.col("place") > 1)
     per = per.toDF("key", "root", "minor")
     open_ = materialize(now.join(per, ["key", "root"]), "open")
-    minor = open_.where("minor").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    # a pair of minor members comes up twice: once, from the larger id
-    rest = open_.join(minor, "key").where(
-        (F.col("root") != F.col("rx")) & (~F.col("minor") | (F.col("id") < F.col("x"))) & alike(F.col("n"), F.col("nx"))) \
-        .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    second = _confirm(rest.join(star, ["a", "b"], "left_anti"), sets, num, den)
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    open_ = open_.join(sizes, "key")
+    sketch = materialize(_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi"), perms, rows), "sketches")
+    rest = _close_pairs(open_.join(sketch, "id"), num / den)
+    rest = materialize(rest.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    second = _confirm(rest, sets, num, den)
     links = first.union(second).union(same)
     roots = components(links)
 
