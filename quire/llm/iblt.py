@@ -56,25 +56,32 @@ def paragraphs(text: str) -> np.ndarray:
     return np.unique(np.array(out, np.uint64))
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_SALTS = (np.arange(1, HASHES + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
-def _cells(d: np.ndarray, m: int) -> np.ndarray:
-    """A cell in each of HASHES equal parts of the m cells: (HASHES, digests)."""
-    part = np.uint64(m // HASHES)
-    return np.stack([(_mix(d, 10 + i) % part + np.uint64(i) * part).astype(np.int64) for i in range(HASHES)])
+def _hashes(d: np.ndarray) -> np.ndarray:
+    """(1 + HASHES, digests): the check, and a hash for each part of the cells."""
+    x = d + _SALTS
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def sketch(d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(h: np.ndarray, m: int) -> np.ndarray:
+    """A cell in each of HASHES equal parts of the m cells, part after part."""
+    part = m // HASHES
+    return ((h[1:] % np.uint64(part)).astype(np.int64) + part * np.arange(HASHES)[:, None]).ravel()
+
+
+def sketch(d: np.ndarray, h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """counts, xor of digests, xor of checks."""
-    at = _cells(d, m).ravel()
+    at = _cells(h, m)
     keys, checks = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-    np.bitwise_xor.at(keys, at, np.tile(d, HASHES))
-    np.bitwise_xor.at(checks, at, np.tile(_mix(d, 1), HASHES))
+    np.bitwise_xor.at(keys, at, np.concatenate([d] * HASHES))
+    np.bitwise_xor.at(checks, at, np.concatenate([h[0]] * HASHES))
     return np.bincount(at, minlength=m), keys, checks
 
 
@@ -83,35 +90,39 @@ def peel(a, b) -> tuple[np.ndarray, np.ndarray] | None:
     n, k, c = a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]
     m, mine, theirs = len(n), [], []
     while True:
-        pure = np.nonzero((np.abs(n) == 1) & (_mix(k, 1) == c))[0]
-        if not len(pure):
+        one = np.nonzero((n == 1) | (n == -1))[0]
+        h = _hashes(k[one])
+        fits = h[0] == c[one]
+        one, h = one[fits], h[:, fits]
+        if not len(one):
             break
-        d, first = np.unique(k[pure], return_index=True)
-        sign = n[pure][first]
+        d, first = np.unique(k[one], return_index=True)
+        h, sign = h[:, first], n[one[first]]
         mine.append(d[sign > 0])
         theirs.append(d[sign < 0])
-        at = _cells(d, m)
-        for row in at:
-            np.subtract.at(n, row, sign)
-            np.bitwise_xor.at(k, row, d)
-            np.bitwise_xor.at(c, row, _mix(d, 1))
+        at = _cells(h, m)
+        np.subtract.at(n, at, np.concatenate([sign] * HASHES))
+        np.bitwise_xor.at(k, at, np.concatenate([d] * HASHES))
+        np.bitwise_xor.at(c, at, np.concatenate([h[0]] * HASHES))
     if n.any() or k.any() or c.any():
         return None
     empty = np.zeros(0, np.uint64)
     return np.concatenate([empty, *mine]), np.concatenate([empty, *theirs])
 
 
-def difference(a: np.ndarray, b: np.ndarray, sketches=None, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def difference(a: "Print", b: "Print", most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Digests only in a, only in b: peeled, with four times the cells after each
-    failure.  The first size is the fingerprint's (``sketches``, if given)."""
-    m = CELLS
-    while m <= most:
-        got = peel(*(sketches if sketches and m == CELLS else (sketch(a, m), sketch(b, m))))
+    failure.  The first sketches are the fingerprints'."""
+    m, x, y = CELLS, a.cells, b.cells
+    while True:
+        got = peel(x, y)
         if got is not None:
             return got
         # a sketch cannot peel far more than its cells; the counts tell the least difference
-        m = max(4 * m, (abs(len(a) - len(b)) + HASHES) // HASHES * HASHES)
-    return np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+        m = max(4 * m, (abs(len(a.digests) - len(b.digests)) + HASHES) // HASHES * HASHES)
+        if m > most:
+            return np.setdiff1d(a.digests, b.digests, assume_unique=True), np.setdiff1d(b.digests, a.digests, assume_unique=True)
+        x, y = sketch(a.digests, a.hashes, m), sketch(b.digests, b.hashes, m)
 
 
 def fingerprint(d: np.ndarray, cells) -> str:
@@ -124,14 +135,15 @@ class Print:
 
     def __init__(self, text: str):
         self.digests = paragraphs(text)
-        self.cells = sketch(self.digests, CELLS)
+        self.hashes = _hashes(self.digests)
+        self.cells = sketch(self.digests, self.hashes, CELLS)
         self.text = fingerprint(self.digests, self.cells)
 
     def likeness(self, other: "Print") -> float:
         a, b = len(self.digests), len(other.digests)
         if not a and not b:
             return 1.0
-        gone, came = difference(self.digests, other.digests, (self.cells, other.cells))
+        gone, _ = difference(self, other)
         both = a - len(gone)
         return both / (a + b - both)
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quire.session import materialize
+
 PIECE = 1 << 20
 _LOW = 0x3000
 
@@ -117,7 +119,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, bits:
                  pa.array(np.concatenate([have[at], [docs.get(la, 0)]]), pa.int64())], names=["l", "b", "n"])
 
     parts = rows.mapInArrow(count, "l string, b long, n long")
-    sums = parts.groupBy("l", "b").agg(F.sum("n").alias("n"))
+    sums = materialize(parts.groupBy("l", "b").agg(F.sum("n").alias("n")), "ngrams")
     found = sums.where("b = -1 and n > 0").select("l", "n").limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} labels; raise max_languages (matrix size grows with it)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, chat, iblt, lang_id, minhash, mixing, packing, secret_scan, token_count
+from quire.llm import ann, chat, iblt, lang_id, minhash, mix_model, mixing, packing, secret_scan, token_count
 from quire.llm.common import remainder
 from quire.session import materialize
 from quire.sources.tables import table
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_context_mixing(spark, sf_dir):
+    return mix_model.score(_documents(spark, sf_dir))
+
+
 #: The conversation that the formatting query adds: texts that are control strings.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -76,6 +80,7 @@ def op10_minhash_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
