@@ -2,10 +2,9 @@
 
 A text is coded byte by byte along a binary code tree (Huffman, from the training
 texts' byte counts; its last symbol is the end of the text).  For each bit every
-context (last 3 bytes, last 5 bytes, the word so far) hashes with the tree's node
-into a table of ``2**bits`` bit counts.  Stretched predictions ln(p / (1 - p)) are
+context (the last 2, 4 and 6 bytes) hashes with the tree's node into a table of ``2**bits`` bit counts.  Stretched predictions ln(p / (1 - p)) are
 mixed: p = squash(sum w_i s_i), the weights w being those of a gate (how sure two
-of the contexts are) and of the text.  They start equal and are refined online:
+of the contexts are) and of the text.  They start at START and are refined online:
 after every ``block`` bytes (128) a text's weights move along the gradient of its
 coding cost, so only what came before a byte ever changes its prediction.  The
 sum of -log2 p is the text's bits; the score is its log10 probability.
@@ -39,7 +38,7 @@ from quire.llm.common import LOWER, remainder, require
 from quire.session import materialize
 
 END = 256
-ORDERS = (3, 5, 0)  # 0: the word so far
+ORDERS, START = (2, 4, 6), (0.35, 0.5, 0.33)
 GATES = 16
 _STEP = 1 << 16  # slots of a table's block
 
@@ -97,36 +96,18 @@ def contexts(x: np.ndarray) -> list[np.ndarray]:
     y = x.astype(np.uint32) + np.uint32(1)
     for order in ORDERS:
         acc = np.full(len(x), np.uint32(order + 1))
-        if order:
-            cut = np.zeros(len(x), bool)
-            for k in range(1, order + 1):
-                prev = np.zeros(len(x), np.uint32)
-                prev[k:] = y[:-k]
-                cut |= prev == END + 1
-                prev[cut] = 0
-                acc = (acc + prev) * np.uint32(0x2C1B3C6D)
-                acc ^= acc >> np.uint32(15)
-        else:
-            # the word so far: polynomial sums from the word's start, by prefix sums
-            letter = (x < 256) & (x != 32) & ((x < 9) | (x > 13))
-            low = np.where((x >= 65) & (x <= 90), y + np.uint32(32), y)
-            power = _powers(4096)
-            place = np.arange(len(x))
-            start = np.maximum.accumulate(np.where(letter, 0, place + 1))
-            start = np.concatenate([[0], start[:-1]])  # of the word before each symbol
-            deep = place - start
-            term = np.where(letter, low, 0) * power[np.minimum(np.maximum(place - np.maximum.accumulate(np.where(letter, 0, place + 1)), 0), 4095)]
-            total = np.concatenate([[0], np.cumsum(term, dtype=np.uint32)]).astype(np.uint32)
-            acc = total[place] - total[start]
-            acc = (acc ^ (acc >> np.uint32(16))) * np.uint32(0x297A2D39) + np.minimum(deep, 4095).astype(np.uint32)
+        cut = np.zeros(len(x), bool)
+        for k in range(1, order + 1):
+            prev = np.zeros(len(x), np.uint32)
+            prev[k:] = y[:-k]
+            cut |= prev == END + 1
+            prev[cut] = 0
+            acc = (acc + prev) * np.uint32(0x2C1B3C6D)
+            acc ^= acc >> np.uint32(15)
         out.append(acc)
     return out
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n - 1, 0x01000193)]).astype(np.uint32), dtype=np.uint32)
-
-
 def slots(context: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h = context[of]
     h ^= node
@@ -242,7 +223,7 @@ def stretched(tables: list[np.ndarray], add: float = 0.4) -> list[np.ndarray]:
 
 
 def score_bits(texts: list[bytes], tree: Tree, tables: list[np.ndarray], bits: int, *, block: int = 128,
-               start: float = 0.4, rate: float = 0.02) -> np.ndarray:
+               rate: float = 0.02) -> np.ndarray:
     """Bits of each text under the mixing model."""
     x, lengths = symbols(texts)
     seen = contexts(x)
@@ -251,7 +232,7 @@ def score_bits(texts: list[bytes], tree: Tree, tables: list[np.ndarray], bits: i
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
     sizes = lengths[order]
     cost = np.zeros(len(texts))
-    weight = np.full((len(ORDERS), len(texts) * GATES), start, np.float32)
+    weight = np.repeat(np.array(START, np.float32)[:, None], len(texts) * GATES, axis=1)
     group, rounds = 0, int(-(-sizes[0] // block)) if len(sizes) else 0
     k = 0
     while k < rounds:
