@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import require
+from quire.llm.common import lean, require
 from quire.session import materialize
 
 
@@ -76,7 +76,7 @@ def index(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -
                          pa.array([c.tobytes() for c in code], pa.binary()), pa.array(f),
                          pa.array([c.tobytes() for c in v], pa.binary())], names=["id", "d", "code", "f", "v"])
 
-    return x.mapInArrow(run, "id long, d int, code binary, f double, v binary")
+    return x.mapInArrow(lean(run), "id long, d int, code binary, f double, v binary")
 
 
 class _Best:
@@ -175,6 +175,6 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
         if best is not None:
             yield best.out()
 
-    near = cells.mapInArrow(run, "query_id long, vec_id long, score double")
+    near = cells.mapInArrow(lean(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -32,3 +32,23 @@ def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+
+
+def lean(kernel):
+    """An Arrow kernel whose worker gives its memory back when a partition is done
+    (workers are reused, and an executor's share must hold the largest step, not
+    the sum of all)."""
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+    return run

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import require
+from quire.llm.common import lean, require
 
 CELLS, HASHES = 12, 3
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -203,5 +203,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
                     names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return _neighbours(docs, doc_id, text, buckets).mapInArrow(
-        run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        lean(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double").withColumnRenamed("id", doc_id)

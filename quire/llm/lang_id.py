@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quire.llm.common import lean
 from quire.session import materialize
 
 PIECE = 1 << 20
@@ -39,6 +40,12 @@ class Model:
     orders: int
 
 
+def _slices(batches, rows: int = 256):
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(_LOW)), bool, _LOW)
 
@@ -92,7 +99,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, bits:
 
     def count(batches):
         letters, sums, docs = _letter_table(), {}, {}
-        for b in batches:
+        for b in _slices(batches):
             langs, texts = b.column(1).to_pylist(), b.column(0)
             codes = [_codes(t.as_py(), letters) for t in texts]
             for la, (_, some) in zip(langs, codes):
@@ -118,7 +125,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, bits:
                  pa.array(np.concatenate([at, [-1]]), pa.int64()),
                  pa.array(np.concatenate([have[at], [docs.get(la, 0)]]), pa.int64())], names=["l", "b", "n"])
 
-    parts = rows.mapInArrow(count, "l string, b long, n long")
+    parts = rows.mapInArrow(lean(count), "l string, b long, n long")
     sums = materialize(parts.groupBy("l", "b").agg(F.sum("n").alias("n")), "ngrams")
     found = sums.where("b = -1 and n > 0").select("l", "n").limit(max_languages + 1).collect()
     if len(found) > max_languages:
@@ -171,7 +178,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pr
 
     def run(batches):
         letters = _letter_table()
-        for b in batches:
+        for b in _slices(batches):
             preds, scores = score_texts(b.column(at).to_pylist(), shared.value, letters)
             if reject:
                 yield b.filter(pa.array([p != "und" for p in preds], pa.bool_()))
@@ -180,4 +187,4 @@ def detect(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pr
                     [*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
                     names=[*b.schema.names, pred, score])
 
-    return df.mapInArrow(run, StructType(fields))
+    return df.mapInArrow(lean(run), StructType(fields))

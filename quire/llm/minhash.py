@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, require
+from quire.llm.common import LOWER, lean, require
 from quire.session import materialize
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +97,7 @@ def _signed(df: DataFrame, k: int, perms: int, rows: int) -> DataFrame:
     def run(batches):
         import hashlib
         a, b = permutations(perms)
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             n, dig, keys = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), k)
@@ -108,7 +108,7 @@ def _signed(df: DataFrame, k: int, perms: int, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "dig", "keys"])
 
-    return df.mapInArrow(run, "id long, n long, dig binary, keys array<long>")
+    return df.mapInArrow(lean(run), "id long, n long, dig binary, keys array<long>")
 
 
 def _sets(df: DataFrame, k: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
                     [part.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(1)], pa.binary())],
                     names=["id", "s"])
 
-    return df.mapInArrow(run, "id long, s binary")
+    return df.mapInArrow(lean(run), "id long, s binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(lean(run), "a long, b long")
 
 
 def _sketches(sets: DataFrame, perms: int, rows: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _sketches(sets: DataFrame, perms: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())],
                                              names=["id", "sig", "keys"])
 
-    return sets.mapInArrow(run, "id long, sig binary, keys binary")
+    return sets.mapInArrow(lean(run), "id long, sig binary, keys binary")
 
 
 def _close_pairs(members: DataFrame, similarity: float) -> DataFrame:
@@ -233,7 +233,7 @@ def _close_pairs(members: DataFrame, similarity: float) -> DataFrame:
                 part = tuple(num[c][s:e] for c in ("id", "n", "root", "minor")) + (sig[s:e], keys[s:e])
                 yield from matched(((num["key"][s], num["i"][s], num["j"][s]), num["side"][s], part))
 
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, remainder, require
+from quire.llm.common import LOWER, lean, remainder, require
 from quire.session import materialize
 
 END = 256
@@ -168,7 +168,7 @@ def _vocabulary(train: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(257, np.int32)), pa.array(np.arange(257)), pa.array(hist)],
                                          names=["kind", "k", "n"])
 
-    return train.mapInArrow(run, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(lean(run), "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
 
 
 def _tables(train: DataFrame, tree: Tree, bits: int) -> list[np.ndarray]:
@@ -210,7 +210,7 @@ def _tables(train: DataFrame, tree: Tree, bits: int) -> list[np.ndarray]:
                                            pa.array([zlib.compress(fit.tobytes(), 1)], pa.binary())], names=["m", "at", "n"])
 
     kinds = "m int, at long, n binary"
-    pieces = train.mapInArrow(count, kinds).repartition("m", "at").sortWithinPartitions("m", "at").mapInArrow(add, kinds)
+    pieces = train.mapInArrow(lean(count), kinds).repartition("m", "at").sortWithinPartitions("m", "at").mapInArrow(lean(add), kinds)
     sums = [np.zeros(2 << bits, np.uint32) for _ in ORDERS]
     for r in pieces.toLocalIterator():  # contexts x 2**bits / 2**16 rows
         sums[r["m"]][r["at"]:r["at"] + 2 * _STEP] = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
@@ -327,7 +327,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
                     names=["row", "id", "held_out", "n_tokens", "n_known", "logs", "bits", "rare", "times"])
                 row += len(part)
 
-    scored = materialize(slim.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, "
+    scored = materialize(slim.mapInArrow(lean(run), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, "
                                               "bits double, rare array<long>, times array<int>"), "scored")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("k"), "w.times")
     found = each.join(words, "k").groupBy("row").agg(

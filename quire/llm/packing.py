@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import require
+from quire.llm.common import lean, require
 from quire.session import materialize
 
 END_TEXT, END_ID = "<|endoftext|>", 50256
@@ -88,7 +88,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_i
                      pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["id", "source", "part", "at", "n", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, source string, part int, at long, n long, ids binary")
+    return slim.mapInArrow(lean(run), f"id {kind}, source string, part int, at long, n long, ids binary")
 
 
 def turns(r: np.ndarray, queue: int, sizes: list[int]) -> np.ndarray:
@@ -202,6 +202,6 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id",
                     names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = x.mapInArrow(run, f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, "
+    out = x.mapInArrow(lean(run), f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, "
                             "sequence_id long, offset long")
     return out.withColumnRenamed("id", doc_id)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import require
+from quire.llm.common import lean, require
 
 SPACE = "▁"
 
@@ -115,4 +115,4 @@ def counts(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                      pa.array([count(t) for t in texts], pa.int64())], names=["id", "n_chars", "n_tokens"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, n_chars long, n_tokens long").withColumnRenamed("id", doc_id)
+    return slim.mapInArrow(lean(run), f"id {kind}, n_chars long, n_tokens long").withColumnRenamed("id", doc_id)
