@@ -61,26 +61,29 @@ def token_windows(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
     """E5: overlapping whitespace-token windows of the context.
 
     With ``question_col`` the question is kept whole in every window and only
-    the context is windowed: the context budget is ``window - len(question)``
-    (at least ``overlap + 1`` so the stride stays positive).  Output:
-    ``(*id_cols, win_no, tok_start, n_tokens, text)``.
+    the context is windowed: the context budget is ``window - len(question)``.
+    A question that leaves no more than ``overlap`` tokens has no such windows:
+    its row comes out once, with ``win_no`` -1, no tokens and a null text.
+    Output: ``(*id_cols, win_no, tok_start, n_tokens, text)``.
     """
     toks = T.py_split(text_col)
     if question_col is not None:
-        budget = F.greatest(F.lit(window) - F.size(T.py_split(question_col)), F.lit(overlap + 1))
+        budget = F.lit(window) - F.size(T.py_split(question_col))
     else:
         budget = F.lit(window)
 
     def starts_of(tok: Column, bud: Column) -> Column:
         stride = bud - overlap
         n = F.size(tok)
-        return F.transform(
+        starts = F.transform(
             F.sequence(F.lit(0), F.greatest(F.ceil((n - bud) / stride).cast("int"), F.lit(0))),
             lambda i: i * stride)
+        return F.when(bud > overlap, starts).otherwise(F.array(F.lit(-1)))
     base = df.select(*id_cols, toks.alias("_tok"), budget.alias("_bud"))
     return (T.explode_indexed(base, [*id_cols, "_tok", "_bud"], starts_of(F.col("_tok"), F.col("_bud")),
                               "win_no", "tok_start")
-            .select(*id_cols, "win_no", "tok_start",
-                    F.slice("_tok", F.col("tok_start") + 1, F.col("_bud")).alias("_w"))
-            .select(*id_cols, "win_no", "tok_start", F.size("_w").alias("n_tokens"),
+            .select(*id_cols, F.when(F.col("tok_start") >= 0, F.col("win_no")).otherwise(F.lit(-1)).alias("win_no"), "tok_start",
+                    F.when(F.col("tok_start") >= 0, F.slice("_tok", F.greatest(F.col("tok_start"), F.lit(0)) + 1,
+                                                            F.greatest("_bud", F.lit(0)))).alias("_w"))
+            .select(*id_cols, "win_no", "tok_start", F.coalesce(F.size("_w"), F.lit(0)).alias("n_tokens"),
                     F.array_join("_w", " ").alias("text")))

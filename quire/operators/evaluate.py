@@ -77,13 +77,19 @@ def score_pairs(pairs: DataFrame, pred_col: str = "prediction_text",
 
 
 def squad_em_f1(predictions: DataFrame, references: DataFrame, id_col: str = "id") -> DataFrame:
-    """H6: mean exact match and F1 (x100) over predictions aligned to
-    references on ``id``.  Duplicate ids on either side are an error upstream;
-    here they are reported in ``n_dup_ids`` rather than silently averaged."""
+    """H6: mean exact match and F1 (x100) over all references, predictions aligned
+    on ``id``: a reference without a prediction scores 0 and counts in
+    ``n_missing``.  Duplicate ids on either side are an error upstream; here they
+    are reported in ``n_dup_ids`` rather than silently averaged."""
     refs = references.select(id_col, "answer_text")
     preds = predictions.select(id_col, "prediction_text")
-    scored = score_pairs(preds.join(refs, id_col))
+    pairs = refs.join(preds.withColumn("_found", F.lit(True)), id_col, "left")
+    absent = F.col("_found").isNull()
+    scored = score_pairs(pairs.withColumn("prediction_text", F.coalesce("prediction_text", F.lit("")))) \
+        .withColumn("em", F.when(absent, F.lit(0.0)).otherwise(F.col("em"))) \
+        .withColumn("f1", F.when(absent, F.lit(0.0)).otherwise(F.col("f1")))
     return scored.agg(
+        F.count_if(absent).alias("n_missing"),
         F.count(F.lit(1)).alias("n"),
         (F.count(F.lit(1)) - F.count_distinct(id_col)).alias("n_dup_ids"),
         (F.avg("em") * 100).alias("exact_match"),

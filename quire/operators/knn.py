@@ -32,6 +32,8 @@ DEFAULT_MAX_BLOCK_BYTES = 64 << 20
 # distances are ranked on this many decimals so that mathematically equal
 # distances computed in different summation orders tie, and the id decides
 RANK_DECIMALS = 9
+# candidate pairs whose exact distances are computed at once
+CANDIDATE_SLICE = 1 << 16
 
 
 def _topk_rows(qi: np.ndarray, ci: np.ndarray, dist: np.ndarray, k: int):
@@ -79,6 +81,12 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vecs = col.flatten().to_numpy(zero_copy_only=False)
             mat = vecs.astype(np.float64, copy=False).reshape(n, dim)
+            finite = np.isfinite(mat).all(axis=1)  # a null element reads as NaN
+            if not finite.all():  # such a row alone is skipped, not its step
+                mat, ids = mat[finite], ids[finite]
+                n = len(ids)
+                if n == 0:
+                    continue
             best_q, best_c, best_d = [run_q], [run_c], [run_d]
             for lo in range(0, n, step):
                 block = mat[lo:lo + step]
@@ -88,12 +96,15 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
                 kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
                 err = 1e-9 * (1.0 + q_norm + c_norm.max())
                 qi, cj = np.nonzero(approx <= (kth + 2 * err + slack)[:, None])
-                diff = q_mat[qi] - block[cj]
-                exact = np.einsum("pd,pd->p", diff, diff)
-                a, b, c = _topk_rows(q_index[qi], ids[lo + cj], exact, k)
-                best_q.append(a)
-                best_c.append(b)
-                best_d.append(c)
+                # ties can make every pair a candidate: slices of fixed size
+                for at in range(0, len(qi), CANDIDATE_SLICE):
+                    qs, cs = qi[at:at + CANDIDATE_SLICE], cj[at:at + CANDIDATE_SLICE]
+                    diff = q_mat[qs] - block[cs]
+                    exact = np.einsum("pd,pd->p", diff, diff)
+                    a, b, c = _topk_rows(q_index[qs], ids[lo + cs], exact, k)
+                    best_q.append(a)
+                    best_c.append(b)
+                    best_d.append(c)
             run_q, run_c, run_d = _topk_rows(np.concatenate(best_q), np.concatenate(best_c),
                                              np.concatenate(best_d), k)
         if len(run_q):
@@ -112,21 +123,31 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     """Exact top-k by squared L2: ``(qid, rank, vec_id, dist)``, rank 1-based.
 
     Returns ``min(k, N)`` rows per query; ties go to the smaller corpus id.
-    Vectors whose length differs from the query dimension are not comparable
-    and are skipped (see :func:`quire.operators.corpus.index_stats`).
+    A query meets the vectors of its own dimension.  Null vectors and vectors
+    with a null or non-finite element take no part on either side (a query of
+    that kind has no rows); they never affect other rows (see
+    :func:`quire.operators.corpus.index_stats`).
     """
     spark: SparkSession = corpus.sparkSession
     out_schema = "qid long, rank int, vec_id long, dist double"
     q = queries.select(F.col(query_id).cast("long").alias("qid"),
                        F.col(query_vec).cast("array<float>").alias("qv")) \
-        .where(F.col("qv").isNotNull())
+        .where(F.col("qv").isNotNull() & F.forall(
+            "qv", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if k <= 0:
         return spark.createDataFrame([], out_schema)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), stats["dim"]
-    if n_q == 0 or not dim:
+    found = q.groupBy(F.size("qv").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("dim > 0").collect()
+    if not found:
         return spark.createDataFrame([], out_schema)
-    dim = int(dim)
+    if len(found) > 1:  # one search per dimension of the queries
+        parts = [knn_topk(corpus, queries.where(F.size(query_vec) == r["dim"]), k, corpus_id=corpus_id,
+                          corpus_vec=corpus_vec, query_id=query_id, query_vec=query_vec,
+                          max_block_bytes=max_block_bytes, rows_per_step=rows_per_step) for r in found]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    n_q, dim = int(found[0]["n"]), int(found[0]["dim"])
     n_blocks = max(1, math.ceil(n_q * dim * 4 / max_block_bytes))
 
     # the dimension check runs inside the kernel: a Spark filter on the vector

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed status domains
+# fixed values: the states a run and an inference service report
 RUN_STATES = ("pending", "running", "completed", "failed")
-INFERENCE_STATES = ("not_started", "generating_qa", "training", "evaluating", "loading",
-                    "ready", "error")
-TERMINAL_STATES = ("completed", "failed", "ready", "error")
+INFERENCE_STATES = ("initializing", "generating_qa_pairs", "fine_tuning", "evaluating",
+                    "loading_model", "inference_ready", "error")
+TERMINAL_STATES = ("completed", "failed", "inference_ready", "error")
 ERROR_STATES = ("error", "failed")
 
 

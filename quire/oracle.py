@@ -285,6 +285,16 @@ d AS (SELECT q.vec_id AS qid, c.vec_id AS vec_id,
       FROM e q, e c WHERE len(q.embedding) = len(c.embedding))
 SELECT qid, rank::BIGINT AS rank, vec_id, round(dist, 6) AS dist
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank FROM d)
+WHERE rank <= 3""",
+        "knn_topk_dirty": """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 50 NOT IN (1, 2, 3)),
+d AS (SELECT q.vec_id AS qid, c.vec_id AS vec_id,
+        list_reduce(list_transform(range(1, len(q.embedding) + 1),
+          lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)),
+          lambda a, x: a + x, 0.0::DOUBLE) AS dist
+      FROM e q, e c WHERE q.vec_id % 50 <> 4)
+SELECT qid, rank::BIGINT AS rank, vec_id, round(dist, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank FROM d)
 WHERE rank <= 3""",
         "index_stats": """
 SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
@@ -350,7 +360,7 @@ FROM events GROUP BY user_id""",
 SELECT user_id AS task_id, {iso('min(ts)')} AS started_at, {iso('max(ts)')} AS last_update_at
 FROM events GROUP BY user_id""",
         "active_tasks": """
-SELECT status, count(*) AS n_tasks, status NOT IN ('completed', 'failed', 'ready', 'error') AS active
+SELECT status, count(*) AS n_tasks, status NOT IN ('completed', 'failed', 'inference_ready', 'error') AS active
 FROM (SELECT event_type AS status,
              row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
       FROM events) WHERE rn = 1 GROUP BY status""",
@@ -385,17 +395,18 @@ FROM q GROUP BY context""",
 SELECT id, CASE WHEN (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0 THEN 'eval' ELSE 'train' END AS split
 FROM q""",
         "squad_em_f1": f"""WITH q AS ({sentence_qa_sql()}),
-ev AS (SELECT id, answer AS answer_text, ({sentence_spans('context')})[1] AS prediction_text FROM q
+ev AS (SELECT id, answer AS answer_text, CASE WHEN (('0x' || substr(md5(id), 9, 8))::BIGINT) % 3 <> 0 THEN ({sentence_spans('context')})[1] END AS prediction_text,
+              (('0x' || substr(md5(id), 9, 8))::BIGINT) % 3 = 0 AS absent FROM q
        WHERE (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0),
-nz AS (SELECT id, {normalize('prediction_text')} AS p, {normalize('answer_text')} AS g FROM ev),
-tk AS (SELECT id, p, g, {split_ws('p')} AS pt, {split_ws('g')} AS gt FROM nz),
-sc AS (SELECT id, CASE WHEN p = g THEN 1.0 ELSE 0.0 END AS em,
+nz AS (SELECT id, absent, {normalize("coalesce(prediction_text, '')")} AS p, {normalize('answer_text')} AS g FROM ev),
+tk AS (SELECT id, absent, p, g, {split_ws('p')} AS pt, {split_ws('g')} AS gt FROM nz),
+sc AS (SELECT id, absent, CASE WHEN p = g AND NOT absent THEN 1.0 ELSE 0.0 END AS em,
               coalesce(list_sum(list_transform(list_distinct(pt), lambda t:
                  least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))), 0) AS common,
               len(pt) AS np, len(gt) AS ng FROM tk)
-SELECT count(*) AS n, count(*) - count(DISTINCT id) AS n_dup_ids,
+SELECT count(*) AS n, count(*) FILTER (WHERE absent) AS n_missing, count(*) - count(DISTINCT id) AS n_dup_ids,
        round(avg(em) * 100, 6) AS exact_match,
-       round(avg(CASE WHEN common = 0 THEN 0.0
+       round(avg(CASE WHEN common = 0 OR absent THEN 0.0
                       ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END) * 100, 6) AS f1
 FROM sc""",
         "wrap_chunks": f"""WITH {wrap_chunks_cte()}

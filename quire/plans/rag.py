@@ -110,9 +110,10 @@ def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
     append them; returns the number of documents added.  The first call
     builds the whole index."""
     from quire.operators import corpus as C
-    try:
-        existing = load_index(spark, path).select(key)
-    except Exception:  # no index yet: everything is new
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        existing = load_index(spark, path).select(key)  # a failed read raises
+    else:
         existing = spark.createDataFrame([], docs.select(key).schema)
     new_docs, n = C.new_rows(docs, existing, [key])
     if n:

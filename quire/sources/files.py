@@ -27,13 +27,13 @@ def _reader(spark: SparkSession, recursive: bool, pattern: str | None):
 
 
 def _rel(base: str):
-    # binaryFile reports fully-qualified URIs (file:/..., s3a://...); strip up to the base folder
-    tail = base.rstrip("/").split("://")[-1].lstrip("/")
-    return F.regexp_replace(F.col("path"), "^.*?" + _quote(tail) + "/?", "")
-
-
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
+    # binaryFile reports fully-qualified URIs (file:/..., s3a://...): cut the
+    # qualified base folder, by length, from the paths that begin with it
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(folder).toString().rstrip("/") + "/"
+    return F.when(F.startswith("path", F.lit(full)), F.substr("path", F.lit(len(full) + 1))).otherwise(F.col("path"))
 
 
 def file_manifest(spark: SparkSession, base: str, recursive: bool = True,
