@@ -100,4 +100,56 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _escaped(c: str) -> str:
+    for plain, put in chat.ESCAPES:
+        c = f"replace({c}, '{plain}', '{put}')"
+    return c
+
+
+_UNIT = "(('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0)"
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+#: Only where SQL can express the whole result.
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS opens
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped('text')}) + CASE WHEN opens = 1 THEN 14 + 2 * length({_escaped('role')}) ELSE 5 END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id""",
+    # targets: the level at which each source is cut, by closed form over the order of fill
+    "op5_mix_sources": f"""
+WITH d AS (SELECT doc_id, source, {_SIZE} AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, ceil(count(*) / 4096.0) AS strata,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+      FROM d GROUP BY source),
+f AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS every FROM s),
+l AS (SELECT *, (every - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+g AS (SELECT *, (SELECT min_by(level, cap / w) FROM l x WHERE x.level * x.w < x.cap) AS final FROM l),
+t AS (SELECT source, source_size, strata, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END AS target FROM g),
+h AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             {_UNIT.format("'mix|' || doc_id")} AS h, strata FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, floor(h * strata)::BIGINT AS stratum FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY size, h, doc_id) AS k,
+             rate - floor(rate) AS f, {_UNIT.format("'mix|stratum|' || coalesce(source, chr(0)) || '|' || stratum")} AS u FROM k)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+       (size * (floor(rate) + floor(k * f + u) - floor((k - 1) * f + u)))::BIGINT AS taken FROM r""",
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS x FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 80 * (na.n + nb.n - n_both)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = d.doc_id""",
+}
