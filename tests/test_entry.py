@@ -43,10 +43,12 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    assert set(E.queries()) - set(E.oracle_sql()) == NO_ORACLE
+    # the training-data queries list theirs in their own tests
+    assert set(E._QUERIES) - set(E.oracle_sql()) == NO_ORACLE
+    assert set(E._QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - NO_ORACLE))
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF)
     cols = sorted(sdf.columns)
