@@ -1,11 +1,12 @@
 """LM scoring by online logistic context mixing.
 
-A text is coded byte by byte along a binary code tree (Huffman, from the training
-texts' byte counts; its last symbol is the end of the text).  For each bit every
-context (the last 2, 4 and 6 bytes) hashes with the tree's node into a table of ``2**bits`` bit counts.  Stretched predictions ln(p / (1 - p)) are
-mixed: p = squash(sum w_i s_i), the weights w being those of a gate (how sure two
+A text is coded byte by byte along binary code trees (Huffman, one for each byte
+that can stand before, from the training texts' pair counts; the last symbol is
+the end of the text).  For each bit every context (the last 2, 4 and 6 bytes)
+hashes with the tree's node into a table of ``2**bits`` bit counts.  Stretched
+predictions ln(p / (1 - p)) are mixed: p = squash(sum w_i s_i), the weights w being those of a gate (how sure two
 of the contexts are) and of the text.  They start at START and are refined online:
-after every ``block`` bytes (128) a text's weights move along the gradient of its
+after every ``block`` bytes (128, later a 32nd of what is done) a text's weights move along the gradient of its
 coding cost, so only what came before a byte ever changes its prediction.  The
 sum of -log2 p is the text's bits; the score is its log10 probability.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,44 +40,58 @@ from quire.llm.common import LOWER, lean, remainder, require
 from quire.session import materialize
 
 END = 256
-ORDERS, START = (2, 4, 6), (0.35, 0.5, 0.33)
+ORDERS, START = (2, 4, 6), (0.3, 0.45, 0.45)
 GATES = 16
 _STEP = 1 << 16  # slots of a table's block
+NEAR = 127  # a context's slots lie side by side, so that a symbol's bits meet in one place of memory
 
 
-class Tree:
-    """Code of the 257 symbols: for each the nodes passed and the bits taken."""
+class Code:
+    """A code tree for every symbol that can stand before (257 trees): for each
+    pair (before, symbol) the nodes passed and the bits taken.  A pair's count is
+    helped by its symbol's share of all symbols, so that a symbol seldom or never
+    seen after another has its usual length there."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(n) + 1, i, i) for i, n in enumerate(counts)]
+        counts = np.asarray(counts, float).reshape(257, 257)
+        share = counts.sum(0) + 1.0
+        share /= share.sum()
+        pairs, steps, at = [], [], 0
+        size, start = np.zeros(257 * 257, np.int32), np.zeros(257 * 257, np.int32)
+        for before in range(257):
+            for symbol, steps_of in enumerate(self._tree(counts[before] + 4.0 * share)):
+                size[before * 257 + symbol], start[before * 257 + symbol] = len(steps_of), at
+                steps += steps_of
+                at += len(steps_of)
+        self.size, self.start = size, start
+        # a step: its node's place in a context's slots, with the bit taken in the
+        # lowest place; the nodes near the root, the last made, differ there
+        self.step = np.array([(n >> 1 & NEAR) << 1 | n & 1 for n in steps], np.uint8)
+
+    @staticmethod
+    def _tree(weights: np.ndarray) -> list[list[int]]:
+        heap = [(float(n), i) for i, n in enumerate(weights)]
         heapq.heapify(heap)
-        kids, made = {}, len(heap)
+        kids, made = [], 257
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
-            kids[made] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], made, made))
+            kids.append((a[1], b[1]))
+            heapq.heappush(heap, (a[0] + b[0], made))
             made += 1
-        nodes, bits = {}, {}
-        stack = [(heap[0][2], (), ())]
-        while stack:
-            at, path, taken = stack.pop()
-            if at not in kids:
-                nodes[at], bits[at] = path, taken
-                continue
-            for bit, kid in enumerate(kids[at]):
-                stack.append((kid, path + (at - 257,), taken + (bit,)))
-        self.size = np.array([len(bits[i]) for i in range(257)], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.node = np.concatenate([nodes[i] for i in range(257)]).astype(np.uint32)
-        self.bit = np.concatenate([bits[i] for i in range(257)]).astype(np.uint8)
-
-    def expand(self, symbols: np.ndarray):
-        """byte index, node and bit of every coded bit, in order."""
-        size = self.size[symbols]
-        of = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
+        paths: list = [None] * made
+        paths[made - 1] = []
+        for at in range(made - 1, 256, -1):
+            for bit, kid in enumerate(kids[at - 257]):
+                paths[kid] = paths[at] + [(at - 257) << 1 | bit]
+        return paths[:257]
+
+    def expand(self, pairs: np.ndarray):
+        """index of the pair, node and bit of every coded bit, in order."""
+        size = self.size[pairs]
+        of = np.repeat(np.arange(len(pairs)), size)
         ends = np.cumsum(size)
-        at = np.arange(len(of)) + np.repeat(self.start[symbols] - (ends - size), size)
-        return of, self.node[at] * np.uint32(0x9E3779B1), self.bit[at]
+        step = self.step[np.arange(len(of)) + (self.start[pairs] - (ends - size))[of]]
+        return of, step >> 1, step & 1
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,36 +105,56 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def contexts(x: np.ndarray) -> list[np.ndarray]:
-    """For every order, a hash of what stands before each symbol.  A text's end
-    symbol parts it from the next one, as the start of a text does."""
+def history(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What stands before each symbol: the last six bytes of its own text, the
+    latest lowest, and above them their number, as one integer."""
+    b = np.zeros(len(x), np.uint64)
+    b[1:] = x[:-1]
+    for k in (1, 2):  # 1, 2, 4 bytes
+        b[k:] |= b[:-k] << np.uint64(8 * k)
+    six = b & np.uint64(0xFFFFFFFF)
+    six[4:] |= (b[:-4] & np.uint64(0xFFFF)) << np.uint64(32)
+    age = np.arange(len(x), dtype=np.int32)
+    age -= np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    np.minimum(age, 6, out=age)
+    six &= _OWN[age]
+    six |= age.astype(np.uint64) << np.uint64(48)
+    return six
+
+
+_OWN = np.array([(1 << 8 * a) - 1 for a in range(7)], np.uint64)
+
+
+def contexts(six: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For every order, a slot by the last ``order`` bytes of a history; a node's
+    slot is that with the node's place put in by exclusive or."""
     out = []
-    y = x.astype(np.uint32) + np.uint32(1)
     for order in ORDERS:
-        acc = np.full(len(x), np.uint32(order + 1))
-        cut = np.zeros(len(x), bool)
-        for k in range(1, order + 1):
-            prev = np.zeros(len(x), np.uint32)
-            prev[k:] = y[:-k]
-            cut |= prev == END + 1
-            prev[cut] = 0
-            acc = (acc + prev) * np.uint32(0x2C1B3C6D)
-            acc ^= acc >> np.uint32(15)
-        out.append(acc)
+        h = (six & np.uint64((1 << 8 * order) - 1)) + np.uint64(order << 56)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
+    return out
+
+
+def pairs_of(x: np.ndarray) -> np.ndarray:
+    """(symbol before, symbol) as one number; before a text stands an end."""
+    out = x.astype(np.int32)
+    out[1:] += x[:-1].astype(np.int32) * 257
+    out[:1] += END * 257
     return out
 
 
-def slots(context: np.ndarray, of: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = context[of]
-    h ^= node
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    h >>= np.uint32(32 - bits)
-    return h
+def distinct(x: np.ndarray, lengths: np.ndarray):
+    """The distinct (history, symbol) of some texts: history, pair and count."""
+    key, n = np.unique(history(x, lengths) << np.uint64(9) | x.astype(np.uint64), return_counts=True)
+    six, symbol = key >> np.uint64(9), (key & np.uint64(511)).astype(np.int64)
+    before = np.where(six >> np.uint64(48) == 0, END, (six & np.uint64(255)).astype(np.int64))
+    return six, before * 257 + symbol, n
 
 
-def _portions(batch_texts, most: int = 1 << 20):
+def _portions(batch_texts, most: int = 1 << 22):
     """Lists of texts of about ``most`` bytes; a longer text stands alone."""
     part, size = [], 0
     for i, t in batch_texts:
@@ -137,17 +173,14 @@ def _bytes(column) -> list[bytes]:
 
 def word_hashes(text: bytes) -> dict:
     import xxhash
-    seen: dict = {}
-    for w in text.translate(LOWER).split():
-        seen[w] = seen.get(w, 0) + 1
-    return {xxhash.xxh3_64_intdigest(w): n for w, n in seen.items()}
+    return {xxhash.xxh3_64_intdigest(w): n for w, n in Counter(text.translate(LOWER).split()).items()}
 
 
 def _vocabulary(train: DataFrame) -> DataFrame:
-    """kind 0: words (k: hash), 1: symbols (k: byte or END), n: count."""
+    """kind 0: words (k: hash), 1: pairs of symbols (k: as pairs_of), n: count."""
     def run(batches):
         import xxhash
-        words, hist = {}, np.zeros(257, np.int64)
+        words, hist = Counter(), np.zeros(257 * 257, np.int64)
 
         def flush():
             h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
@@ -157,30 +190,32 @@ def _vocabulary(train: DataFrame) -> DataFrame:
                                               names=["kind", "k", "n"])
 
         for batch in batches:
-            for t in _bytes(batch.column(0)):
-                for w in t.translate(LOWER).split():
-                    words[w] = words.get(w, 0) + 1
-                hist[:256] += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-                hist[END] += 1
-                if len(words) > 400_000:
-                    yield flush()
+            for part in _portions(enumerate(_bytes(batch.column(0)))):
+                for _, t in part:
+                    words.update(t.translate(LOWER).split())
+                    if len(words) > 400_000:
+                        yield flush()
+                hist += np.bincount(pairs_of(symbols([t for _, t in part])[0]), minlength=len(hist))
         yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(257, np.int32)), pa.array(np.arange(257)), pa.array(hist)],
+        some = np.flatnonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(hist[some])],
                                          names=["kind", "k", "n"])
 
     return train.mapInArrow(lean(run), "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
 
 
-def _tables(train: DataFrame, tree: Tree, bits: int) -> list[np.ndarray]:
+def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
     """(2**bits, 2) counts of 0 and 1 for each context, over all of ``train``."""
     def count(batches):
         sums = np.zeros((len(ORDERS), 2 << bits), np.uint32)
         for batch in batches:
             for part in _portions(enumerate(_bytes(batch.column(0)))):
-                x, _ = symbols([t for _, t in part])
-                of, node, bit = tree.expand(x)
-                for m, context in enumerate(contexts(x)):
-                    np.add.at(sums[m], (slots(context, of, node, bits) << np.uint32(1)) | bit, np.uint32(1))
+                # what follows a history is counted first, then coded once
+                six, pairs, n = distinct(*symbols([t for _, t in part]))
+                of, node, bit = code.expand(pairs)
+                times = n.astype(np.uint32)[of]
+                for m, context in enumerate(contexts(six, bits)):
+                    np.add.at(sums[m], (context[of] ^ node) << 1 | bit, times)
         for m, s in enumerate(sums):
             for at in range(0, len(s), 2 * _STEP):
                 piece = s[at:at + 2 * _STEP]
@@ -222,50 +257,64 @@ def stretched(tables: list[np.ndarray], add: float = 0.4) -> list[np.ndarray]:
     return [np.clip(np.round(16 * np.log((t[:, 1] + add) / (t[:, 0] + add))), -127, 127).astype(np.int8) for t in tables]
 
 
-def score_bits(texts: list[bytes], tree: Tree, tables: list[np.ndarray], bits: int, *, block: int = 128,
-               rate: float = 0.02) -> np.ndarray:
-    """Bits of each text under the mixing model."""
+def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: int, *, block: int = 128,
+               rate: float = 0.02, group: int = 160) -> np.ndarray:
+    """Bits of each text under the mixing model.  Texts go side by side, ``group``
+    at a time, so that a step's arrays stay small."""
     x, lengths = symbols(texts)
-    seen = contexts(x)
+    seen, pairs = contexts(history(x, lengths), bits), pairs_of(x)
     # longest first: the texts that still have a k-th block are always a prefix
     order = np.argsort(-lengths, kind="stable")
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
     sizes = lengths[order]
     cost = np.zeros(len(texts))
-    weight = np.repeat(np.array(START, np.float32)[:, None], len(texts) * GATES, axis=1)
-    group, rounds = 0, int(-(-sizes[0] // block)) if len(sizes) else 0
-    k = 0
-    while k < rounds:
-        live = int(np.searchsorted(-sizes, -k * block, side="left"))
-        first = begins[:live] + k * block
-        size = np.minimum(block, sizes[:live] - k * block)
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        of, node, bit = tree.expand(x[at])
-        doc = np.repeat(np.arange(live, dtype=np.int32), size)[of]
-        st = np.empty((len(ORDERS), len(of)), np.float32)
-        gate = doc * np.int32(GATES)
+    # tables hold sixteenths, and so do the weights
+    weight = np.repeat(np.array(START, np.float32)[:, None] / 16, len(texts) * GATES, axis=1)
+
+    def step(lo: int, hi: int, done: int, block: int) -> None:
+        size = np.minimum(block, sizes[lo:hi] - done)
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat(begins[lo:hi] + done - (ends - size), size)
+        mine = pairs[at]
+        of, node, bit = code.expand(mine)
+        # the first coded bit of each text
+        first = np.concatenate([[0], np.cumsum(code.size[mine])])[ends - size]
+        gate = np.repeat(np.arange(0, (hi - lo) * GATES, GATES), np.diff(first, append=len(of)))
+        w = weight[:, lo * GATES:hi * GATES]
+        st = []
         for m, t in enumerate(tables):
-            s = t[slots(seen[m][at], of, node, bits)]
+            s = t[seen[m][at][of] ^ node]
             if m:  # how sure the longer contexts are: four steps each
-                a = np.abs(s.astype(np.int16))
-                gate += ((a > 8).astype(np.int32) + (a > 24) + (a > 56)) * np.int32(4 if m == 1 else 1)
-            st[m] = s
-        st /= np.float32(16)
-        w = weight[:, :live * GATES]
+                a = np.abs(s)
+                sure = (a > 8).view(np.uint8) + (a > 24).view(np.uint8) + (a > 56).view(np.uint8)
+                gate += sure << 2 if m == 1 else sure
+            st.append(s.astype(np.float32))
         z = st[0] * w[0][gate]
         for m in range(1, len(ORDERS)):
             z += st[m] * w[m][gate]
         np.clip(z, -12, 12, out=z)
-        sign = bit.astype(np.float32) * 2 - 1
-        e = np.exp(-z * sign)
-        cost[:live] += np.bincount(doc, weights=np.log2(1 + e), minlength=live)
-        err = sign * (e / (1 + e))  # bit - p
+        sign = bit.astype(np.float32)
+        sign *= 2
+        sign -= 1
+        z *= sign
+        e = np.exp(-z)
+        one = 1 + e
+        cost[lo:hi] += np.add.reduceat(np.log(one), first, dtype=np.float64)
+        e /= one
+        e *= sign  # bit - p
         for m in range(len(ORDERS)):
-            w[m] += np.float32(rate) * np.bincount(gate, weights=err * st[m], minlength=live * GATES).astype(np.float32) / np.float32(4)
-        np.clip(w, -0.5, 2.0, out=w)
-        k += 1
+            w[m] += (rate / 1024 * np.bincount(gate, weights=e * st[m], minlength=(hi - lo) * GATES)).astype(np.float32)
+        np.clip(w, -0.5 / 16, 2.0 / 16, out=w)
+
+    done = 0
+    while len(sizes) and done < sizes[0]:
+        live = int(np.searchsorted(-sizes, -done, side="left"))
+        now = max(block, done // 32)  # what has settled moves less often
+        for lo in range(0, live, group):
+            step(lo, min(lo + group, live), done, now)
+        done += now
     out = np.zeros(len(texts))
-    out[order] = cost
+    out[order] = cost / np.log(2)
     return out
 
 
@@ -277,17 +326,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
     is_held = remainder(doc_id, modulus) == held
     train = docs.where(~is_held).select(F.col(text).cast("string").alias("t"))
     vocab = materialize(_vocabulary(train), "vocabulary")
-    hist = np.zeros(257, np.int64)
-    for r in vocab.where("kind = 1").collect():  # 257 rows
-        hist[r["k"]] = r["n"]
+    follow = vocab.where("kind = 1").select("k", "n").toArrow()  # 257 * 257 rows at most
+    hist = np.zeros(257 * 257, np.int64)
+    hist[follow.column("k").to_numpy()] = follow.column("n").to_numpy()
     words = vocab.where("kind = 0").select("k", "n")
     sums = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = int(hist[END])
+    ends = int(hist[END::257].sum())
     n_all, v_all = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
     top = words.orderBy(F.desc("n"), "k").limit(common).toArrow()
-    table = sc.broadcast(dict(zip(top.column("k").to_numpy().view(np.uint64).tolist(), top.column("n").to_pylist())))
-    tree = Tree(hist)
-    model = sc.broadcast((tree, stretched(_tables(train, tree, bits))))
+    logs10 = np.log10(top.column("n").to_numpy() + 1.0)
+    table = sc.broadcast(dict(zip(top.column("k").to_numpy().view(np.uint64).tolist(), logs10.tolist())))
+    made = Code(hist)
+    model = sc.broadcast((made, stretched(_tables(train, made, bits))))
 
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), is_held.alias("held_out"))
@@ -313,7 +363,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
                             ns.append(n)
                         else:
                             hits += n
-                            log += n * np.log10(c + 1.0)
+                            log += n * c
                     n_tokens.append(total + 1)
                     n_known.append(hits + (ends > 0))
                     logs.append(log + np.log10(ends + 1.0))

@@ -374,10 +374,12 @@ def test_scores(spark, sf_small):
 
 
 def test_model_is_a_distribution():
-    hist = np.ones(257, np.int64)
-    hist[97:100] = 500
-    tree = mix_model.Tree(hist)
-    assert abs(sum(2.0 ** -tree.size.astype(float)) - 1) < 1e-12
+    hist = np.ones((257, 257), np.int64)
+    hist[:, 97:100] = 500
+    hist[98, 120] = 9000
+    tree = mix_model.Code(hist)
+    # every tree is complete: each symbol has a code after each other one
+    assert np.allclose((2.0 ** -tree.size.astype(float)).reshape(257, 257).sum(1), 1, atol=1e-12)
     tables = [np.random.default_rng(m).integers(-100, 100, 1 << 12).astype(np.int8) for m in range(3)]
     # texts that end after a prefix or go on by one byte and end: together under 1
     for prefix in (b"", b"abc"):
