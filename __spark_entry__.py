@@ -6,6 +6,7 @@ row caps) and is built from the operators in :mod:`quire`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from quire import oracle
 from quire.functions import text as T
 from quire.operators import chunking, corpus, embed, evaluate, knn, qa, rag, squad, status
 from quire.plans import dataset, rag as rag_plan
-from quire.session import materialize
+from quire.session import materialize, scratch_path
 from quire.sources import files
 from quire.sources.tables import spread, table
 from quire.streaming import ingest
@@ -192,11 +193,47 @@ def q_qa_pairs(spark, sf_dir):
 
 def q_squad_nested(spark, sf_dir):
     paras = dataset.nested_dataset(_documents(spark, sf_dir), TASK_ID)
-    return paras.select("first_doc_id", "first_chunk_no", "first_q_no", "part", "title", "context",
+    return paras.select("first_doc_id", "first_chunk_no", "first_q_no", "title", "context",
                         F.size("qas").alias("n_qas"),
                         F.array_join(F.transform("qas", lambda x: x["id"]), ",").alias("qa_ids"))
 
 
+def q_squad_document(spark, sf_dir):
+    """The sentence flow written as one SQuAD document, and read back."""
+    path = scratch_path(spark, f"squad-{uuid.uuid4().hex}")
+    dataset.squad_document(_documents(spark, sf_dir), path, TASK_ID)
+    return squad.read_document(spark, path)
+
+
+def q_read_squad_flat(spark, sf_dir):
+    """Flat records written as JSON lines, and read back."""
+    path = scratch_path(spark, f"flat-{uuid.uuid4().hex}")
+    flat = dataset.wrapped_qa(_documents(spark, sf_dir)).select(
+        "id", "title", "context", "question", "answer_text", "answer_start")
+    squad.write_flat(squad.flat_records(flat), path)
+    return squad.unflatten_answers(squad.read_flat(spark, path))
+
+
+def q_index_round_trip(spark, sf_dir):
+    """The chunk index written, read back and listed without its vectors."""
+    path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    rag_plan.save_index(rag_plan.build_index(_documents(spark, sf_dir)), path)
+    return rag_plan.load_index(spark, path).select(
+        "doc_id", "chunk_no", "source", "text", F.size("embedding").alias("dim"))
+
+
+def q_answer_offset(spark, sf_dir):
+    """D5 with answers that are absent or empty: each wrapped chunk looked for in
+    its whole document (a line break inside a chunk became a space, so many are
+    absent), every seventh chunk's answer empty."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    chunks = chunking.wrap_chunks(_documents_spread(spark, sf_dir), ["doc_id"], "text", 500) \
+        .withColumnRenamed("text", "chunk")
+    answer = F.when(F.col("chunk_no") % 7 == 6, "").otherwise(F.col("chunk"))
+    return chunks.join(docs, "doc_id").select(
+        "doc_id", "chunk_no", qa.answer_offset(answer, F.col("text")).alias("answer_start"))
+
+
 def q_train_eval_split(spark, sf_dir):
     return evaluate.train_eval_split(dataset.sentence_qa(_documents(spark, sf_dir))).select("id", "split")
 
@@ -315,6 +352,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_questions": q_rule_questions,
     "qa_pairs": q_qa_pairs,
     "squad_nested": q_squad_nested,
+    "squad_document": q_squad_document,
+    "read_squad_flat": q_read_squad_flat,
+    "index_round_trip": q_index_round_trip,
+    "answer_offset": q_answer_offset,
     "train_eval_split": q_train_eval_split,
     "squad_em_f1": q_squad_em_f1,
     "wrap_chunks": q_wrap_chunks,

@@ -39,33 +39,12 @@ def min_text_filter(df: DataFrame, text_col: str = "text", min_chars: int = MIN_
     return df.where(F.length(T.py_strip(text_col)) >= min_chars)
 
 
-def new_rows(new: DataFrame, done: DataFrame, keys: Sequence[str],
-             max_broadcast_keys: int = 5_000_000) -> tuple[DataFrame, int]:
-    """A10/G5 with its size: ``(rows of new whose key is not in done, number of
-    new distinct keys)``.
-
-    Keys first: the anti join runs on key columns only, so only ids are
-    shuffled.  When the new keys number at most ``max_broadcast_keys`` (the
-    usual incremental case) they are broadcast into a null-safe semi join, so
-    the wide rows of ``new`` (document texts) are never shuffled; otherwise a
-    plain left anti join against the distinct done keys is used.
-    """
+def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``new`` whose key is not yet in ``done``: one left anti
+    join against the distinct done keys (a null key never matches, so such rows
+    stay new).  Spark broadcasts the keys by their size, or shuffles both sides."""
     keys = list(keys)
-    done_keys = done.select(*keys).distinct()
-    new_keys = new.select(*keys).join(done_keys, keys, "left_anti").distinct()
-    n_new = new_keys.count()
-    if n_new <= max_broadcast_keys:
-        # null-safe: a null key never matches ``done``, so such rows stay new
-        nk = F.broadcast(new_keys.select(*[F.col(k).alias(f"_nk_{k}") for k in keys]))
-        cond = [new[k].eqNullSafe(nk[f"_nk_{k}"]) for k in keys]
-        return new.join(nk, cond, "left_semi"), n_new
-    return new.join(done_keys, keys, "left_anti"), n_new
-
-
-def incremental_anti(new: DataFrame, done: DataFrame, keys: Sequence[str],
-                     max_broadcast_keys: int = 5_000_000) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``done`` (see :func:`new_rows`)."""
-    return new_rows(new, done, keys, max_broadcast_keys)[0]
+    return new.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def corpus_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -78,14 +57,17 @@ def corpus_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def quarantine_columns(text_col: str = "text", min_chars: int = MIN_DOC_CHARS):
+def quarantine_columns(text_col: str = "text", min_chars: int = MIN_DOC_CHARS, valid_col: str | None = None):
     """N1 rule as ``(status, reason)`` columns.  Reasons, in order: null text,
-    malformed UTF-8 (U+FFFD from a lenient decode), blank text, stripped text
-    shorter than ``min_chars``; status is ok when there is no reason."""
+    malformed UTF-8 (by the bytes: ``valid_col`` where the text was decoded
+    leniently, else the text's own; a U+FFFD that was written is valid text),
+    blank text, stripped text shorter than ``min_chars``; status is ok when
+    there is no reason."""
     t = F.col(text_col)
+    valid = F.col(valid_col) if valid_col else F.call_function("is_valid_utf8", t)
     stripped_len = F.length(T.py_strip(t))
     reason = (F.when(t.isNull(), F.lit("null_text"))
-              .when(F.instr(t, "\ufffd") > 0, F.lit("bad_utf8"))
+              .when(~valid, F.lit("bad_utf8"))
               .when(stripped_len == 0, F.lit("blank_text"))
               .when(stripped_len < min_chars, F.lit("too_short")))
     status = F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("quarantine"))
@@ -93,10 +75,10 @@ def quarantine_columns(text_col: str = "text", min_chars: int = MIN_DOC_CHARS):
 
 
 def quarantine(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
-               min_chars: int = MIN_DOC_CHARS) -> DataFrame:
+               min_chars: int = MIN_DOC_CHARS, valid_col: str | None = None) -> DataFrame:
     """Every row gets a ``status`` (ok/quarantine) and a ``reason``, so
     failed records are kept and counted rather than silently lost."""
-    status, reason = quarantine_columns(text_col, min_chars)
+    status, reason = quarantine_columns(text_col, min_chars, valid_col)
     return df.select(*id_cols, status.alias("status"), reason.alias("reason"))
 
 

@@ -38,15 +38,17 @@ CANDIDATE_SLICE = 1 << 16
 
 def _topk_rows(qi: np.ndarray, ci: np.ndarray, dist: np.ndarray, k: int):
     """Per query, the k best candidates under the global order
-    ``(round(dist, RANK_DECIMALS), id)``; ``ci`` holds corpus ids."""
-    order = np.lexsort((ci, np.round(dist, RANK_DECIMALS), qi))
+    ``(round(dist, RANK_DECIMALS), id)``; ``ci`` holds corpus ids, one row each
+    with as many columns as an id has parts."""
+    order = np.lexsort((*ci.T[::-1], np.round(dist, RANK_DECIMALS), qi))
     qs = qi[order]
     first = np.searchsorted(qs, qs, side="left")
     keep = order[(np.arange(len(qs)) - first) < k]
     return qi[keep], ci[keep], dist[keep]
 
 
-def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per_step: int):
+def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per_step: int,
+                id_cols: tuple = ("vec_id",)):
     """Arrow-batch kernel: candidates from the BLAS identity
     ``|q|^2 + |c|^2 - 2 q.c`` widened by a bound on its rounding error (so no
     true neighbour is missed), exact squared distances for the candidates
@@ -63,22 +65,23 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
         # running top-k over every batch of this task, emitted once at the end:
         # the shuffle on qid then carries at most k rows per query per task
         run_q = np.empty(0, np.int64)
-        run_c = np.empty(0, np.int64)
+        run_c = np.empty((0, len(id_cols)), np.int64)
         run_d = np.empty(0, np.float64)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            col = batch.column(1)
+            col = batch.column(len(id_cols))
             lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
             ok = np.nan_to_num(lens.astype(np.float64), nan=-1.0) == dim
             if not ok.all():  # ragged or null vectors are not comparable: skip them
                 batch = batch.filter(pa.array(ok))
-                col = batch.column(1)
+                col = batch.column(len(id_cols))
                 n = batch.num_rows
                 if n == 0:
                     continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+                            for i in range(len(id_cols))], axis=1)
             vecs = col.flatten().to_numpy(zero_copy_only=False)
             mat = vecs.astype(np.float64, copy=False).reshape(n, dim)
             finite = np.isfinite(mat).all(axis=1)  # a null element reads as NaN
@@ -109,18 +112,20 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, dim: int, rows_per
                                              np.concatenate(best_d), k)
         if len(run_q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[run_q], pa.int64()), pa.array(run_c, pa.int64()),
+                [pa.array(q_ids[run_q], pa.int64()), *[pa.array(c, pa.int64()) for c in run_c.T],
                  pa.array(run_d, pa.float64())],
-                names=["qid", "vec_id", "dist"])
+                names=["qid", *id_cols, "dist"])
     return run
 
 
 def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
-             corpus_id: str = "vec_id", corpus_vec: str = "embedding",
+             corpus_id: str | tuple = "vec_id", corpus_vec: str = "embedding",
              query_id: str = "qid", query_vec: str = "embedding",
              max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES,
              rows_per_step: int = 4096) -> DataFrame:
     """Exact top-k by squared L2: ``(qid, rank, vec_id, dist)``, rank 1-based.
+    An id of several integer columns (a tuple, as ``("doc_id", "chunk_no")``)
+    comes back in columns of these names instead of ``vec_id``.
 
     Returns ``min(k, N)`` rows per query; ties go to the smaller corpus id.
     A query meets the vectors of its own dimension.  Null vectors and vectors
@@ -129,7 +134,9 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
     :func:`quire.operators.corpus.index_stats`).
     """
     spark: SparkSession = corpus.sparkSession
-    out_schema = "qid long, rank int, vec_id long, dist double"
+    id_cols = ("vec_id",) if isinstance(corpus_id, str) else tuple(corpus_id)
+    id_schema = ", ".join(f"{c} long" for c in id_cols)
+    out_schema = f"qid long, rank int, {id_schema}, dist double"
     q = queries.select(F.col(query_id).cast("long").alias("qid"),
                        F.col(query_vec).cast("array<float>").alias("qv")) \
         .where(F.col("qv").isNotNull() & F.forall(
@@ -152,10 +159,11 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
 
     # the dimension check runs inside the kernel: a Spark filter on the vector
     # column would be pushed below a lazily computed embedding and evaluate it twice
-    c = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"),
+    given = (corpus_id,) if isinstance(corpus_id, str) else corpus_id
+    c = corpus.select(*[F.col(g).cast("long").alias(i) for g, i in zip(given, id_cols)],
                       F.col(corpus_vec).cast("array<float>").alias("cv"))
 
-    w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), F.col("vec_id"))
+    w = Window.partitionBy("qid").orderBy(F.round("dist", RANK_DECIMALS), *id_cols)
 
     def block_topk(block: DataFrame, keep: list | None = None) -> DataFrame | None:
         # bounded: one block; Arrow keeps the vectors columnar on the way to NumPy
@@ -171,12 +179,12 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
 
         def run(batches, _bc=bc):
             ids, mat = _bc.value
-            yield from _local_topk(ids, mat, k, dim, rows_per_step)(batches)
+            yield from _local_topk(ids, mat, k, dim, rows_per_step, id_cols)(batches)
 
-        cand = c.mapInArrow(run, "qid long, vec_id long, dist double")
+        cand = c.mapInArrow(run, f"qid long, {id_schema}, dist double")
         return (cand.withColumn("rank", F.row_number().over(w))
                 .where(F.col("rank") <= k)
-                .select("qid", "rank", "vec_id", "dist"))
+                .select("qid", "rank", *id_cols, "dist"))
 
     if n_blocks == 1:
         out = block_topk(q)
@@ -202,37 +210,27 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *,
         if not wrote:
             return spark.createDataFrame([], out_schema)
         out = spark.read.parquet(path)
-    out._quire_max_rows = n_q * k  # proven bound, used to decide broadcasts downstream
     return out
 
 
 def materialize(top: DataFrame) -> DataFrame:
-    """Cut the lineage of a top-k result with a reliable checkpoint in the
-    session's checkpoint folder, so several consumers (hit lookup, context
-    join) do not re-run the corpus scan and a lost executor does not either.
-    The result is bounded by ``queries x k`` rows."""
+    """Cut the lineage of a top-k result with a table in the session's checkpoint
+    folder, so several consumers (hit lookup, context join) do not re-run the
+    corpus scan and a lost executor does not either.  The result is bounded by
+    ``queries x k`` rows."""
     from quire.session import materialize as _materialize
-    bound = getattr(top, "_quire_max_rows", None)
-    out = _materialize(top)
-    out._quire_max_rows = bound
-    return out
+    return _materialize(top)
 
 
-def attach_text(topk: DataFrame, corpus: DataFrame, *, corpus_id: str = "vec_id",
-                text_col: str = "text", max_broadcast_rows: int = 2_000_000,
-                max_in_list: int = 10_000) -> DataFrame:
+def attach_text(topk: DataFrame, corpus: DataFrame, *, corpus_id: str | tuple = "vec_id",
+                text_col: str = "text") -> DataFrame:
     """Look the winning ids up in the corpus after ranking, so texts never
-    travel through the distance scan.  The top-k side is small (queries x k):
-    up to ``max_in_list`` ids become a literal ``IN`` filter pushed into the
-    index scan; otherwise the top-k side is broadcast when under
-    ``max_broadcast_rows``."""
-    bound = getattr(topk, "_quire_max_rows", None)
-    texts = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"), F.col(text_col).alias("text"))
-    if bound is not None and bound <= max_in_list:
-        ids = [r.vec_id for r in topk.select("vec_id").distinct().collect()]
-        texts = texts.where(F.col("vec_id").isin(ids))
-    right = F.broadcast(topk) if bound is not None and bound <= max_broadcast_rows else topk
-    return texts.join(right, "vec_id")
+    travel through the distance scan.  One equi-join on the id; Spark broadcasts
+    the top-k side by its size (it is bounded by queries x k)."""
+    ids = (corpus_id,) if isinstance(corpus_id, str) else tuple(corpus_id)
+    own = ("vec_id",) if isinstance(corpus_id, str) else ids
+    texts = corpus.select(*[F.col(g).cast("long").alias(i) for g, i in zip(ids, own)], F.col(text_col).alias("text"))
+    return texts.join(topk, list(own))
 
 
 def assemble_context(hits: DataFrame, sep: str = "\n") -> DataFrame:
@@ -243,9 +241,3 @@ def assemble_context(hits: DataFrame, sep: str = "\n") -> DataFrame:
             .select("qid",
                     F.array_join(F.transform("_h", lambda h: h["text"]), sep).alias("context"),
                     F.size("_h").alias("n_hits")))
-
-
-def chunk_vec_id(doc_id, chunk_no):
-    """Deterministic chunk id: document id in the high bits, ordinal in the low 20."""
-    return F.shiftleft(F.col(doc_id).cast("long"), 20) + F.col(chunk_no).cast("long")
-

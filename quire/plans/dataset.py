@@ -35,8 +35,11 @@ def wrapped_qa(docs: DataFrame, width: int = 500, title_col: str = "source") ->
 
 
 def nested_dataset(docs: DataFrame, task_id: str) -> DataFrame:
-    """B2 input: paragraphs of the sentence flow, grouped by context.  The QA
-    rows are checkpointed first: paragraph building reads them twice (context
-    sizes, then grouping) and they are the expensive part."""
-    rows = materialize(sentence_qa(docs))
-    return squad.paragraphs(rows, task_id, qa_rows=rows.count())  # count from Parquet footers
+    """B2 input: paragraphs of the sentence flow, grouped by context."""
+    return squad.paragraphs(sentence_qa(docs), task_id)
+
+
+def squad_document(docs: DataFrame, path: str, task_id: str) -> None:
+    """B2: the sentence flow's dataset as one SQuAD document in ``path``.  The QA
+    rows are written first, as the document is put together from several reads."""
+    squad.write_document(materialize(sentence_qa(docs)), path, task_id)

@@ -1,6 +1,6 @@
 """RAG plan: corpus -> wrapped chunks -> hashed embeddings -> index; queries ->
-embedding -> exact top-k -> context -> prompt -> answer.  Many queries at once,
-one lazy DataFrame plan."""
+embedding -> exact top-k -> context -> prompt -> answer.  Many queries at once;
+the ranked hits are written before their texts are fetched."""
 
 from __future__ import annotations
 
@@ -12,14 +12,15 @@ from quire.sources.tables import spread
 
 DEFAULT_K = 3
 CHUNK_WIDTH = 500
+ID = ("doc_id", "chunk_no")
 
 
 def build_index(docs: DataFrame, width: int = CHUNK_WIDTH, dim: int = embed.DEFAULT_DIM,
                 source_col: str = "source") -> DataFrame:
-    """H1: ``(vec_id, doc_id, chunk_no, source, text, embedding)``; narrow end to end.
+    """H1: ``(doc_id, chunk_no, source, text, embedding)``; narrow end to end.
 
-    ``doc_id`` must be an integer below 2**43 (the vector id packs it with the
-    chunk ordinal); number path-keyed corpora first with
+    A vector's id is the pair ``(doc_id, chunk_no)``.  ``doc_id`` must be an
+    integer; number path-keyed corpora first with
     :func:`quire.sources.tables.number_rows`."""
     from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
     if not isinstance(docs.schema["doc_id"].dataType, (LongType, IntegerType, ShortType, ByteType)):
@@ -28,46 +29,26 @@ def build_index(docs: DataFrame, width: int = CHUNK_WIDTH, dim: int = embed.DEFA
     docs = spread(docs, "doc_id")
     chunks = chunking.wrap_chunks(docs, ("doc_id",), "text", width, keep=(source_col,))
     return embed.hash_embed(chunks, "text", "embedding", dim) \
-        .withColumn("vec_id", knn.chunk_vec_id("doc_id", "chunk_no")) \
-        .select("vec_id", "doc_id", "chunk_no", F.col(source_col).alias("source"), "text", "embedding")
+        .select("doc_id", "chunk_no", F.col(source_col).alias("source"), "text", "embedding")
 
 
 def retrieve(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
              dim: int = embed.DEFAULT_DIM) -> DataFrame:
-    """``(qid, rank, vec_id, dist)`` for ``queries(qid, query)``."""
+    """``(qid, rank, doc_id, chunk_no, dist)`` for ``queries(qid, query)``."""
     q = embed.hash_embed(queries.select("qid", "query"), "query", "embedding", dim)
-    return knn.knn_topk(index, q, k, corpus_id="vec_id", corpus_vec="embedding",
+    return knn.knn_topk(index, q, k, corpus_id=ID, corpus_vec="embedding",
                         query_id="qid", query_vec="embedding")
 
 
-def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH,
-              max_broadcast_rows: int = 2_000_000, max_in_list: int = 10_000) -> DataFrame:
+def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     """Texts of the winning chunks, re-chunking only the documents that hold a
     hit (the chunker is deterministic), so a lazily defined index is not
-    wrapped twice.  The hit side is bounded by ``queries x k``.
-
-    Up to ``max_in_list`` hit documents are selected with a literal ``IN``
-    filter, which Spark pushes into the Parquet scan (row groups whose id range
-    misses every hit are skipped); beyond that a broadcast semi join is used.
-    """
-    hits = top.select("qid", "rank", "vec_id",
-                      F.shiftright("vec_id", 20).alias("doc_id"),
-                      (F.col("vec_id") - F.shiftleft(F.shiftright("vec_id", 20), 20)).cast("int")
-                      .alias("chunk_no"))
-    bound = getattr(top, "_quire_max_rows", None)
-    small = bound is not None and bound <= max_broadcast_rows
-    hit_docs = hits.select("doc_id").distinct()
-    if bound is not None and bound <= max_in_list:
-        # at most queries x k ids, read columnar from the small top-k table
-        import numpy as np
-        vec = top.select("vec_id").toArrow().column("vec_id").to_numpy()
-        ids = [int(x) for x in np.unique(vec >> 20)]
-        needed = docs.where(F.col("doc_id").isin(ids))
-    else:
-        needed = docs.join(F.broadcast(hit_docs) if small else hit_docs, "doc_id", "left_semi")
+    wrapped twice.  The hit side is bounded by ``queries x k``; the semi join
+    lets Spark broadcast it by its size and filter the scan of the documents."""
+    hits = top.select("qid", "rank", "doc_id", "chunk_no")
+    needed = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = chunking.wrap_chunks(needed, ("doc_id",), "text", width)
-    return chunks.join(F.broadcast(hits) if small else hits, ["doc_id", "chunk_no"]) \
-        .select("qid", "rank", "vec_id", "text")
+    return chunks.join(hits, ["doc_id", "chunk_no"]).select("qid", "rank", "doc_id", "chunk_no", "text")
 
 
 def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
@@ -75,7 +56,7 @@ def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     """``(qid, context, n_hits)``; texts joined after ranking, either
     from a materialised index or (``docs`` given) by re-chunking hit documents."""
     top = knn.materialize(retrieve(index, queries, k))
-    texts = hit_texts(top, docs) if docs is not None else knn.attach_text(top, index)
+    texts = hit_texts(top, docs) if docs is not None else knn.attach_text(top, index, corpus_id=ID)
     return knn.assemble_context(texts)
 
 
@@ -93,9 +74,9 @@ def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the index as Parquet (one table: ids, text, source, vector).
-    Rows are sorted by ``vec_id`` within each partition (no shuffle), so row
+    Rows are sorted by id within each partition (no shuffle), so row
     groups carry tight id ranges and id lookups skip most of them."""
-    index.sortWithinPartitions("vec_id").write.mode(mode).parquet(path)
+    index.sortWithinPartitions(*ID).write.mode(mode).parquet(path)
 
 
 def load_index(spark, path: str) -> DataFrame:
@@ -106,16 +87,29 @@ def load_index(spark, path: str) -> DataFrame:
 def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
                  dim: int = embed.DEFAULT_DIM, key: str = "doc_id") -> int:
     """Index only documents whose ``key`` (``doc_id``, or e.g. the
-    ``source`` path) is not in the stored index yet (left anti join) and
-    append them; returns the number of documents added.  The first call
-    builds the whole index."""
+    ``source`` path) was not indexed yet (left anti join) and append them;
+    returns the number of documents added.  The first call builds the whole
+    index.  Keys that were worked on stand in ``<path>/_done`` (also those of
+    documents without a chunk); a run that stopped between the two writes finds
+    its documents in the index itself and does not add them again."""
     from quire.operators import corpus as C
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        existing = load_index(spark, path).select(key)  # a failed read raises
-    else:
-        existing = spark.createDataFrame([], docs.select(key).schema)
-    new_docs, n = C.new_rows(docs, existing, [key])
+    done = f"{path.rstrip('/')}/_done"
+
+    def there(folder):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+    seen = spark.createDataFrame([], docs.select(key).schema)
+    if there(path):  # a failed read raises
+        seen = seen.unionByName(load_index(spark, path).select(key))
+    if there(done):
+        seen = seen.unionByName(spark.read.parquet(done))
+    from quire.session import materialize
+    keys = materialize(C.incremental_anti(docs.select(key), seen, [key]).distinct())
+    n = keys.count()
     if n:
-        save_index(build_index(new_docs, width, dim), path, mode="append")
+        # null-safe, as a null key is never among the keys seen
+        new = docs.alias("d").join(keys.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col(f"k.{key}")), "left_semi")
+        save_index(build_index(new, width, dim), path, mode="append")
+        keys.write.mode("append").parquet(done)
     return n

@@ -128,11 +128,12 @@ def ingest_corpus_files(spark: SparkSession, base: str, qa_path: str, quarantine
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", extension_glob(extensions))
              .option("recursiveFileLookup", "true").load(base))
-    # undecodable bytes become U+FFFD, which the quarantine rule reports as bad_utf8
+    # undecodable bytes become U+FFFD; what the rule goes by is the bytes' validity
     docs = files.select(F.col("path").alias("doc_id"),
+                        F.call_function("is_valid_utf8", F.col("content")).alias("text_ok"),
                         F.call_function("make_valid_utf8", F.col("content")).alias("text"),
                         F.lower(T.suffix("path")).alias("ext"))
-    status_col, reason_col = C.quarantine_columns("text")
+    status_col, reason_col = C.quarantine_columns("text", valid_col="text_ok")
     routed = docs.select("doc_id", "text", status_col.alias("status"), reason_col.alias("reason"))
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -157,7 +158,7 @@ def ingest_index(spark: SparkSession, docs_path: str, index_path: str, ckpt: str
     from quire.plans import rag as rag_plan
 
     def run(batch: DataFrame, epoch: int) -> None:
-        rag_plan.build_index(batch, width).sortWithinPartitions("vec_id") \
+        rag_plan.build_index(batch, width).sortWithinPartitions(*rag_plan.ID) \
             .write.mode("overwrite").parquet(f"{index_path.rstrip('/')}/epoch={epoch}")
 
     q = (stream_documents(spark, docs_path).writeStream.foreachBatch(run)

@@ -18,8 +18,8 @@ def test_incremental_index_equals_full_build(spark, sf_small, scratch):
     assert R.update_index(spark, docs.where(F.col("doc_id") < 100), path) == 0
     added = R.update_index(spark, docs, path)
     assert added == docs.count() - 100
-    stored = sorted((r.vec_id, r.text) for r in R.load_index(spark, path).select("vec_id", "text").collect())
-    full = sorted((r.vec_id, r.text) for r in R.build_index(docs).select("vec_id", "text").collect())
+    stored = sorted((r.doc_id, r.chunk_no, r.text) for r in R.load_index(spark, path).select("doc_id", "chunk_no", "text").collect())
+    full = sorted((r.doc_id, r.chunk_no, r.text) for r in R.build_index(docs).select("doc_id", "chunk_no", "text").collect())
     assert stored == full
 
 
@@ -88,8 +88,8 @@ def test_streamed_index_equals_full_build(spark, sf_small, scratch):
     ingest.ingest_index(spark, src, out, ckpt)
     docs.where(F.col("doc_id") >= 100).write.mode("append").parquet(src)
     ingest.ingest_index(spark, src, out, ckpt)
-    stored = sorted((r.vec_id, r.text) for r in R.load_index(spark, out).select("vec_id", "text").collect())
-    full = sorted((r.vec_id, r.text) for r in R.build_index(docs).select("vec_id", "text").collect())
+    stored = sorted((r.doc_id, r.chunk_no, r.text) for r in R.load_index(spark, out).select("doc_id", "chunk_no", "text").collect())
+    full = sorted((r.doc_id, r.chunk_no, r.text) for r in R.build_index(docs).select("doc_id", "chunk_no", "text").collect())
     assert stored == full
 
 

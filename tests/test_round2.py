@@ -85,3 +85,13 @@ def test_checkpoint_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_index_id_is_a_pair_and_blank_documents_are_done_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1 << 43, "alpha beta " * 100, "a"), (1, " ", "b"), (-5, "gamma delta", "c")],
+                                 "doc_id long, text string, source string")
+    path = str(tmp_path / "index")
+    assert [rag.update_index(spark, docs, path) for _ in range(3)] == [3, 0, 0]
+    top = rag.retrieve(rag.load_index(spark, path), spark.createDataFrame([(1, "gamma delta")], "qid long, query string"), 2)
+    hits = [(r.doc_id, r.chunk_no) for r in top.orderBy("rank").collect()]
+    assert hits[0] == (-5, 0) and hits[1][0] == 1 << 43  # no packing: the id comes back whole

@@ -40,16 +40,45 @@ def test_paragraphs_group_by_exact_context_in_first_seen_order(spark):
     assert (got["same text"].first_doc_id, got["same text"].first_chunk_no) == (0, 2)
 
 
-def test_hot_context_is_split_not_dropped(spark):
-    n = 2500
-    df = spark.range(n).select(
+def _hot(spark, n):
+    return spark.range(n).select(
         F.format_string("%d_chunk_0_qa_0", "id").alias("id"), F.col("id").alias("doc_id"),
-        F.lit(0).alias("chunk_no"), F.lit(0).alias("q_no"), F.lit("boilerplate").alias("context"),
-        F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit(0).alias("answer_start"))
-    paras = squad.paragraphs(df, "x", max_qas_per_paragraph=1000).collect()
-    assert len(paras) == 3
-    assert all(len(p.qas) <= 1000 * 1.5 for p in paras)
-    assert sum(len(p.qas) for p in paras) == n
+        F.lit(0).alias("chunk_no"), F.lit(0).alias("q_no"),
+        F.when(F.col("id") % 100 == 7, F.concat(F.lit('rare "ctx"\n, {"title": '), F.col("id").cast("string")))
+        .otherwise("boilerplate").alias("context"),
+        F.lit("q]}]}").alias("question"), F.lit("a").alias("answer"), F.lit(0).alias("answer_start"))
+
+
+def test_hot_context_is_one_paragraph(spark):
+    paras = {p.context: p for p in squad.paragraphs(_hot(spark, 25_000), "x").collect()}
+    assert len(paras) == 251 and len(paras["boilerplate"].qas) == 24_750
+
+
+def test_document_of_many_files_round_trip(spark, scratch, monkeypatch):
+    # files of 700 lines: a hot paragraph goes on over many files
+    monkeypatch.setattr(squad, "LINES_PER_FILE", 700)
+    df = _hot(spark, 5_000)
+    squad.write_document(df, scratch, "x")
+    import glob
+    import json
+    files = sorted(glob.glob(f"{scratch}/part-*"))
+    assert len(files) > 5
+    doc = json.loads("".join(open(f, encoding="utf-8").read() for f in files))
+    assert doc["version"] == "2.0" and [len(e["paragraphs"]) for e in doc["data"]] == [1] * 51
+    assert doc["data"][0]["paragraphs"][0]["context"] == "boilerplate"
+    ids = [q["id"] for q in doc["data"][0]["paragraphs"][0]["qas"]]
+    assert ids == [f"{i}_chunk_0_qa_0" for i in range(5_000) if i % 100 != 7]
+    want = sorted(tuple(r) for r in df.select(F.lit("Generated_Document_x"), "context", "id", "question", "answer",
+                                              "answer_start").collect())
+    assert sorted(tuple(r) for r in squad.read_document(spark, scratch).collect()) == want
+    with open(f"{scratch}-one.json", "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=2, ensure_ascii=False)
+    assert sorted(tuple(r) for r in squad.read_squad(spark, f"{scratch}-one.json").collect()) == want
+
+
+def test_empty_document(spark, scratch):
+    squad.write_document(_hot(spark, 0), scratch, "x")
+    assert squad.read_document(spark, scratch).count() == 0
 
 
 def test_flat_round_trip(spark, scratch):
@@ -111,16 +140,14 @@ def test_single_document_export_round_trip(spark, sf_small, scratch):
     flat = dataset.wrapped_qa(spark.read.parquet(f"{sf_small}/documents.parquet")).select(
         "id", "title", "context", "question", "answer_text", "answer_start")
     recs = squad.flat_records(flat)
-    n = squad.write_flat_document(recs, scratch)
-    back = squad.unflatten_answers(squad.read_flat(spark, scratch, multiline_wrapper=True))
-    assert back.count() == n
-    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in flat.collect())
+    squad.write_flat_document(recs.unionAll(recs.limit(1)), scratch)  # a repeated record too
+    back = squad.unflatten_answers(squad.read_flat_document(spark, scratch))
+    assert back.count() == flat.count() + 1
+    assert set(map(tuple, back.collect())) == set(map(tuple, flat.collect()))
     import json
     import glob
-    text = open(glob.glob(f"{scratch}/part-*")[0], encoding="utf-8").read()
-    assert list(json.loads(text)) == ["data"]
-    with pytest.raises(ValueError):
-        squad.write_flat_document(recs, scratch + "/x", max_rows=1)
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{scratch}/part-*")))
+    assert list(json.loads(text)) == ["data"] and len(json.loads(text)["data"]) == back.count()
 
 
 def test_dataset_path_format():

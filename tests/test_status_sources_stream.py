@@ -82,7 +82,7 @@ def test_listing_reading_and_quarantine(spark, scratch):
     assert set(got) == {"a/x.txt", "b/x.txt", "b/UPPER.TXT", "c/bad.txt"}
     assert got["a/x.txt"].text.startswith("hello from a") and got["a/x.txt"].text_ok
     assert not got["c/bad.txt"].text_ok
-    q = {r.doc_id: (r.status, r.reason) for r in corpus.quarantine(docs, ["doc_id"]).collect()}
+    q = {r.doc_id: (r.status, r.reason) for r in corpus.quarantine(docs, ["doc_id"], valid_col="text_ok").collect()}
     assert q["c/bad.txt"] == ("quarantine", "bad_utf8") and q["a/x.txt"] == ("ok", None)
 
 
