@@ -134,7 +134,7 @@ def contexts(six: np.ndarray, bits: int) -> list[np.ndarray]:
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
+        out.append((h >> np.uint64(64 - bits)).astype(np.uint32))
     return out
 
 
@@ -154,7 +154,7 @@ def distinct(x: np.ndarray, lengths: np.ndarray):
     return six, before * 257 + symbol, n
 
 
-def _portions(batch_texts, most: int = 1 << 22):
+def _portions(batch_texts, most: int = 1 << 21):
     """Lists of texts of about ``most`` bytes; a longer text stands alone."""
     part, size = [], 0
     for i, t in batch_texts:
@@ -168,7 +168,7 @@ def _portions(batch_texts, most: int = 1 << 22):
 
 
 def _bytes(column) -> list[bytes]:
-    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def word_hashes(text: bytes) -> dict:
@@ -215,7 +215,7 @@ def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
                 of, node, bit = code.expand(pairs)
                 times = n.astype(np.uint32)[of]
                 for m, context in enumerate(contexts(six, bits)):
-                    np.add.at(sums[m], (context[of] ^ node) << 1 | bit, times)
+                    np.add.at(sums[m], (context.astype(np.int64)[of] ^ node) << 1 | bit, times)
         for m, s in enumerate(sums):
             for at in range(0, len(s), 2 * _STEP):
                 piece = s[at:at + 2 * _STEP]
@@ -258,7 +258,7 @@ def stretched(tables: list[np.ndarray], add: float = 0.4) -> list[np.ndarray]:
 
 
 def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: int, *, block: int = 128,
-               rate: float = 0.02, group: int = 160) -> np.ndarray:
+               rate: float = 0.02, group: int = 80) -> np.ndarray:
     """Bits of each text under the mixing model.  Texts go side by side, ``group``
     at a time, so that a step's arrays stay small."""
     x, lengths = symbols(texts)
@@ -283,7 +283,7 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
         w = weight[:, lo * GATES:hi * GATES]
         st = []
         for m, t in enumerate(tables):
-            s = t[seen[m][at][of] ^ node]
+            s = t[seen[m][at].astype(np.int64)[of] ^ node]
             if m:  # how sure the longer contexts are: four steps each
                 a = np.abs(s)
                 sure = (a > 8).view(np.uint8) + (a > 24).view(np.uint8) + (a > 56).view(np.uint8)
