@@ -6,8 +6,9 @@ the end of the text).  For each bit every context (the last 2, 4 and 6 bytes)
 hashes with the tree's node into a table of ``2**bits`` bit counts.  Stretched
 predictions ln(p / (1 - p)) are mixed: p = squash(sum w_i s_i), the weights w being those of a gate (how sure two
 of the contexts are) and of the text.  They start at START and are refined online:
-after every ``block`` bytes (128, later a 32nd of what is done) a text's weights move along the gradient of its
+after every ``block`` bytes (128, whatever the text's length) a text's weights move along the gradient of its
 coding cost, so only what came before a byte ever changes its prediction.  The
+gradient is summed over a block: a block that grew would grow the step.  The
 sum of -log2 p is the text's bits; the score is its log10 probability.
 
 Training counts (n0, n1) of all training texts: a task adds its texts up in
@@ -271,7 +272,7 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
     # tables hold sixteenths, and so do the weights
     weight = np.repeat(np.array(START, np.float32)[:, None] / 16, len(texts) * GATES, axis=1)
 
-    def step(lo: int, hi: int, done: int, block: int) -> None:
+    def step(lo: int, hi: int, done: int) -> None:
         size = np.minimum(block, sizes[lo:hi] - done)
         ends = np.cumsum(size)
         at = np.arange(int(ends[-1])) + np.repeat(begins[lo:hi] + done - (ends - size), size)
@@ -309,10 +310,9 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
     done = 0
     while len(sizes) and done < sizes[0]:
         live = int(np.searchsorted(-sizes, -done, side="left"))
-        now = max(block, done // 32)  # what has settled moves less often
         for lo in range(0, live, group):
-            step(lo, min(lo + group, live), done, now)
-        done += now
+            step(lo, min(lo + group, live), done)
+        done += block
     out = np.zeros(len(texts))
     out[order] = cost / np.log(2)
     return out

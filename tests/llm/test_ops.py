@@ -391,6 +391,26 @@ def test_model_is_a_distribution():
     assert np.allclose(together, [mix_model.score_bits([t], tree, tables, 12)[0] for t in texts], rtol=1e-5)
 
 
+def test_long_text_costs_no_more_than_its_pieces():
+    """Refinement stays stable however long a text grows."""
+    r = random.Random(11)
+    vocab = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    write = lambda n: " ".join(vocab[min(int(r.paretovariate(0.8)), 3000) - 1] for _ in range(n)).encode()
+    bits, train, text = 18, [write(40_000)], write(400_000)
+    code = mix_model.Code(np.bincount(mix_model.pairs_of(mix_model.symbols(train)[0]), minlength=257 * 257))
+    six, pairs, n = mix_model.distinct(*mix_model.symbols(train))
+    of, node, bit = code.expand(pairs)
+    sums = np.zeros((len(mix_model.ORDERS), 2 << bits), np.uint32)
+    for m, context in enumerate(mix_model.contexts(six, bits)):
+        np.add.at(sums[m], (context.astype(np.int64)[of] ^ node) << 1 | bit, n.astype(np.uint32)[of])
+    tables = mix_model.stretched([s.reshape(-1, 2) for s in sums])
+    assert len(text) > 2_000_000
+    whole = mix_model.score_bits([text], code, tables, bits)[0]
+    pieces = mix_model.score_bits([text[i:i + 4000] for i in range(0, len(text), 4000)], code, tables, bits).sum()
+    print("bits a byte", whole / len(text), pieces / len(text))
+    assert whole < 1.02 * pieces
+
+
 def test_pipeline_stages_keep_columns(spark, sf_small, tmp_path):
     import corpus_pipeline as cp
     d = spark.read.parquet(f"{sf_small}/documents.parquet")
