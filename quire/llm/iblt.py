@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import lean, require
 
 CELLS, HASHES = 12, 3
+#: Columns of the digests that peeling recovers: only in the text, only in the other.
+RECOVERED = ("edited_gone", "edited_come", "next_gone", "next_come")
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -139,13 +141,22 @@ class Print:
         self.cells = sketch(self.digests, self.hashes, CELLS)
         self.text = fingerprint(self.digests, self.cells)
 
-    def likeness(self, other: "Print") -> float:
+    def compared(self, other: "Print") -> tuple[float, np.ndarray, np.ndarray]:
+        """The likeness, the digests only in this text and those only in the other."""
+        gone, come = difference(self, other)
         a, b = len(self.digests), len(other.digests)
-        if not a and not b:
-            return 1.0
-        gone, _ = difference(self, other)
         both = a - len(gone)
-        return both / (a + b - both)
+        return both / (a + b - both) if a or b else 1.0, gone, come
+
+    def likeness(self, other: "Print") -> float:
+        return self.compared(other)[0]
+
+
+def _lists(digests: list[np.ndarray]) -> pa.Array:
+    """array<long>: the 64 bits of each digest, in order."""
+    ends = np.cumsum([0] + [len(d) for d in digests])
+    every = np.concatenate([np.zeros(0, np.uint64), *[np.sort(d) for d in digests]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every.view(np.int64)))
 
 
 def edited_text(text: str, nxt: str) -> str:
@@ -180,7 +191,8 @@ def _neighbours(docs: DataFrame, key: str, text: str, buckets: int | None) -> Da
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next; one row per row of ``docs``."""
+    near_edited, near_next, and for both comparisons the recovered digests
+    (``RECOVERED``, array<long>); one row per row of ``docs``."""
     require(docs, doc_id, text)
 
     def run(batches):
@@ -193,15 +205,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
                     if held and held[0] == b:
                         e = edited_text(held[2], t)
                         q = Print(e)
+                        near_q, *edited = held[3].compared(q)
+                        near_p, *following = held[3].compared(p)
                         out.append((held[1], len(held[2]), hashlib.sha256(e.encode()).hexdigest(), held[3].text, q.text,
-                                    held[3].likeness(q), held[3].likeness(p)))
+                                    near_q, near_p, *edited, *following))
                     held = (b, k, t, p) if own else None
-                cols = list(zip(*out)) or [()] * 7
+                cols = list(zip(*out)) or [()] * (7 + len(RECOVERED))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(cols, kinds)],
-                    names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    [*[pa.array(c, kind) for c, kind in zip(cols, kinds)], *[_lists(c) for c in cols[len(kinds):]]],
+                    names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *RECOVERED])
 
     return _neighbours(docs, doc_id, text, buckets).mapInArrow(
         lean(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double").withColumnRenamed("id", doc_id)
+             "near_edited double, near_next double, " + ", ".join(f"{c} array<long>" for c in RECOVERED)).withColumnRenamed("id", doc_id)

@@ -31,8 +31,6 @@ queue), and no token is lost by it.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -159,8 +157,8 @@ def _sequence(p: int, total: int, length: int, bounds) -> tuple[int, int, int]:
 def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
          source: str = "source", *, length: int = 1024, quantum: int = 128, end_id: int = 0,
          max_queues: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset."""
+    """One row per piece: doc_id, source, start, length, ids (4 bytes each, the
+    lowest first), doc_tokens, sequence_id, offset, ids_crc32 (of ``ids``)."""
     require(docs, doc_id, text, source)
     if length % quantum:
         raise ValueError("length must be a multiple of quantum")
@@ -184,24 +182,35 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id",
                     F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
     x = x.select("id", "source", "queue", (F.col("base") + F.col("at")).alias("first"), "n", "ids")
 
+    names = ["id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.binary() if n == "ids" else pa.int64() for n in names[2:]]
+
     def run(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 cols = [batch.column(i).to_pylist() for i in range(2, 5)]
-                owner, rows = [], []
+                owner, rows, size = [], [], 0
+
+                def flush():
+                    pick = pa.array(owner, pa.int64())
+                    cols = zip(*rows) if rows else [[]] * 6
+                    return pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pick), batch.column(1).take(pick), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
+
                 for i, (queue, first, n) in enumerate(zip(*cols)):
-                    ids = np.frombuffer(batch.column(5)[i].as_buffer(), "<u2" if len(batch.column(5)[i].as_buffer()) == 2 * n else "<u4").astype("<u4")
+                    ids = np.frombuffer(batch.column(5)[i].as_buffer(), "<u2" if len(batch.column(5)[i].as_buffer()) == 2 * n else "<u4")
+                    ids = ids.astype("<u4").tobytes()
                     for s, m, seq, off in pieces_of(first, n, queue, quanta, tails, quantum, length):
                         owner.append(i)
-                        rows.append((s, m, zlib.crc32(ids[s:s + m].tobytes()), n, seq, off))
-                pick = pa.array(owner, pa.int64())
-                cols = zip(*rows) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(1).take(pick), *[pa.array(c, pa.int64()) for c in cols]],
-                    names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                        rows.append((s, m, ids[4 * s:4 * (s + m)], n, seq, off))
+                        size += m
+                        if size >= 1 << 22:
+                            yield flush()
+                            owner, rows, size = [], [], 0
+                yield flush()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = x.mapInArrow(lean(run), f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, "
+    out = x.mapInArrow(lean(run), f"id {kind}, source string, start long, length long, ids binary, doc_tokens long, "
                             "sequence_id long, offset long")
-    return out.withColumnRenamed("id", doc_id)
+    return out.withColumnRenamed("id", doc_id).withColumn("ids_crc32", F.crc32("ids"))

@@ -68,11 +68,11 @@ def op7_token_count(spark, sf_dir):
 
 def op8_packing(spark, sf_dir):
     out = packing.pack(_documents(spark, sf_dir), **tokenizer_files())
-    return out.drop("source")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_bloom_lookup(spark, sf_dir):
-    return iblt.fingerprints(_documents(spark, sf_dir))
+    return iblt.fingerprints(_documents(spark, sf_dir)).drop(*iblt.RECOVERED)
 
 
 def op10_minhash_dedup(spark, sf_dir):

@@ -310,6 +310,44 @@ def test_packing_covers_every_id_once(spark, rows):
         assert end == 64 or end & (end - 1) == 0
 
 
+def test_packing_keeps_the_ids(spark, sf_small):
+    """Sequences can be read back: each document's ids, piece by piece."""
+    import corpus_pipeline as cp
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    d = spark.read.parquet(f"{sf_small}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    found = defaultdict(list)
+    for x in cp.packed(spark, d, sf_small).collect():
+        ids = np.frombuffer(x["ids"], "<u4").tolist()
+        assert len(ids) == x["length"] and zlib.crc32(x["ids"]) == x["ids_crc32"]
+        found[x["doc_id"]].append((x["start"], ids))
+    assert set(found) == set(texts)
+    for i, pieces in found.items():
+        whole = []
+        for start, ids in sorted(pieces):
+            assert start == len(whole)
+            whole += ids
+        assert whole == tk.encode(texts[i] or "", add_special_tokens=False).ids + [0]
+    assert queries.op8_packing(spark, sf_small).columns == [
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_fingerprints_give_the_recovered_digests(spark):
+    rows = [(i, ". ".join(" ".join(words(i % 7 * 100 + j, 6)) for j in range(30)), None, None) for i in range(1, 40)] + [(0, None, None, None)]
+    texts = {i: t or "" for i, t, *_ in rows}
+    signed = lambda d: sorted(d.view(np.int64).tolist())
+    for r in iblt.fingerprints(docs(spark, rows)).collect():
+        i = r["doc_id"]
+        nxt = texts[i - 1 if i else 39]
+        own = iblt.paragraphs(texts[i])
+        for name, other in (("edited", iblt.edited_text(texts[i], nxt)), ("next", nxt)):
+            other = iblt.paragraphs(other)
+            assert sorted(r[f"{name}_gone"]) == signed(np.setdiff1d(own, other))
+            assert sorted(r[f"{name}_come"]) == signed(np.setdiff1d(other, own))
+
+
 def test_turns_are_a_fair_order():
     sizes = [5, 1, 13, 0, 7]
     got = {}
