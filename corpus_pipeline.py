@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All stages but the last
 return the columns they got.
 
-    language   rows that language identification rejects (no letter) go
+    language   rows that language identification rejects go (no letter, or a
+               posterior under a half; without labels to learn from: no letter)
     near_dups  one document of each group of near-duplicates stays
                (five-word shingles, similarity 0.8)
     secrets    secrets become a mask; n_chars, if there, follows

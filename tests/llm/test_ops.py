@@ -191,6 +191,19 @@ def test_language_held_out_accuracy_and_cases(spark, sf_small):
     assert kept.columns == docs(spark, []).columns and kept.count() == 4
 
 
+def test_rejection_uses_the_posterior(spark):
+    import corpus_pipeline as cp
+    same = [(i, "shared words of all", la, None) for i, la in enumerate("abc")]
+    own = [(10, "qqq qqqq qq", "a", None), (11, "zzz zzzz zz", "b", None), (12, "kkk kkkk kk", "c", None)]
+    model = lang_id.train(docs(spark, same + own))
+    asked = docs(spark, [(1, "shared words", None, None), (2, "qqq qq", None, None), (3, "12 34", None, None), (4, None, None, None)])
+    scores = {r["doc_id"]: r["score"] for r in lang_id.detect(asked, model).collect()}
+    assert scores[1] < 0.4 and scores[2] > 0.9
+    assert [r["doc_id"] for r in lang_id.detect(asked, model, reject=True).collect()] == [2]
+    # no label to learn from: what has a letter stays
+    assert sorted(r["doc_id"] for r in cp.language(spark, asked, "").collect()) == [1, 2]
+
+
 def test_long_text_scores_as_one(monkeypatch):
     letters = lang_id._letter_table()
     codes = [lang_id._codes("abc déf 中文 " * 50, letters)[0]]
