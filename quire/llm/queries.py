@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, chat, iblt, lang_id, minhash, mix_model, mixing, packing, secret_scan, token_count
+from quire.llm import ann, chat, iblt, lang_id, merkle, minhash, mix_model, mixing, packing, secret_scan, token_count
 from quire.llm.common import remainder
 from quire.session import materialize
 from quire.sources.tables import table
@@ -79,6 +79,20 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash.groups(_documents(spark, sf_dir), k=4)
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Every seventh document (by crc32 of its id) claims one character more."""
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("decimal(38,0)")
+    tree = merkle.manifest(_documents(spark, sf_dir), changed={"n_chars": more}, where=remainder("doc_id", 7) == 0)
+    root = F.lit(tree.root).cast("string")
+
+    def text(c):
+        return F.lower(F.hex(c))
+
+    return merkle.proofs(tree).select(
+        F.col("key").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"),
+        text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_chat_format": op2_chat_format,
@@ -90,6 +104,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_bloom_lookup": op9_bloom_lookup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -110,6 +125,16 @@ def _escaped(c: str) -> str:
 _UNIT = "(('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0)"
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
 #: Only where SQL can express the whole result.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": f"""
@@ -152,4 +177,33 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = d.doc_id""",
+    # levels by recursion; a leaf's siblings are numbered from the leaf to the root
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+               CASE WHEN n_chars IS NOT NULL AND {_CRC.format("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS now
+        FROM documents)),
+t AS (SELECT lang, 0::BIGINT AS lv, pos AS i, leaf AS h, n FROM l UNION ALL
+      SELECT lang, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lv, i // 2, n),
+s AS (SELECT lang, h AS subroot, lv AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0::BIGINT AS lv, pos AS i, subroot AS h, n FROM s UNION ALL
+      SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lv, i // 2, n),
+top AS (SELECT h AS root, lv AS height FROM u WHERE n = 1),
+steps AS (
+  SELECT l.lang, l.pos, k.lv AS step, (l.pos >> k.lv) & 1 AS side, t.h
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN LATERAL (SELECT unnest(range(s.height)) AS lv) AS k
+  LEFT JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lv = k.lv AND t.i = xor(l.pos >> k.lv, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, s.height + k.lv, (s.pos >> k.lv) & 1, u.h
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang, top, LATERAL (SELECT unnest(range(top.height)) AS lv) AS k
+  LEFT JOIN u ON u.lv = k.lv AND u.i = xor(s.pos >> k.lv, 1)),
+f AS (SELECT lang, pos, 0::BIGINT AS step, now AS h FROM l UNION ALL
+      SELECT f.lang, f.pos, f.step + 1, sha256(CASE WHEN p.h IS NULL THEN f.h WHEN p.side = 1 THEN p.h || f.h ELSE f.h || p.h END)
+      FROM f JOIN steps p ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos AND p.step = f.step),
+e AS (SELECT lang, pos, arg_max(h, step) AS folded_root FROM f GROUP BY lang, pos),
+q AS (SELECT lang, pos, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY lang, pos)
+SELECT l.doc_id, l.leaf, s.subroot, top.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = top.root AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN e ON e.lang IS NOT DISTINCT FROM l.lang AND e.pos = l.pos
+LEFT JOIN q ON q.lang IS NOT DISTINCT FROM l.lang AND q.pos = l.pos, top""",
 }
