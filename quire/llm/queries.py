@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, chat, iblt, lang_id, merkle, minhash, mix_model, mixing, packing, secret_scan, token_count
+from quire.llm import (ann, chat, iblt, lang_id, lexical, merkle, minhash, mix_model, mixing, packing, quality,
+                       secret_scan, token_count)
 from quire.llm.common import remainder
 from quire.session import materialize
 from quire.sources.tables import table
@@ -93,6 +94,18 @@ def op11_merkle_manifest(spark, sf_dir):
         text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_classifier(spark, sf_dir):
+    """Learns from the documents whose crc32(doc_id) mod 4 is not 2."""
+    feats = quality.features(_documents(spark, sf_dir), learn=remainder("doc_id", 4) != 2)
+    out = quality.score(feats, quality.train(feats, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_chat_format": op2_chat_format,
@@ -105,6 +118,8 @@ QUERIES = {
     "op9_bloom_lookup": op9_bloom_lookup,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 
@@ -125,6 +140,8 @@ def _escaped(c: str) -> str:
 _UNIT = "(('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0)"
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 #: crc32 of a text of ASCII characters, bit by bit.
 _CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
@@ -206,4 +223,16 @@ q AS (SELECT lang, pos, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS
 SELECT l.doc_id, l.leaf, s.subroot, top.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = top.root AS verified
 FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN e ON e.lang IS NOT DISTINCT FROM l.lang AND e.pos = l.pos
 LEFT JOIN q ON q.lang IS NOT DISTINCT FROM l.lang AND q.pos = l.pos, top""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY t, n_docs),
+q AS (SELECT q, item_id, t, count(*) AS times
+      FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL) GROUP BY q, item_id, t),
+s AS (SELECT q.q, q.item_id, n.r, n.doc_id, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN w USING (t) JOIN p USING (t) JOIN n ON n.r = p.r, a GROUP BY q.q, q.item_id, n.r, n.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }
