@@ -6,20 +6,21 @@ row caps) and is built from the operators in :mod:`quire`.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire import oracle
+import oracle_statements as oracle
 from quire.functions import text as T
 from quire.operators import chunking, corpus, embed, evaluate, knn, qa, rag, squad, status
 from quire.plans import dataset, rag as rag_plan
 from quire.session import materialize, scratch_path
-from quire.sources import files
+from quire.sources import extractors, files
 from quire.sources.tables import spread, table
-from quire.streaming import ingest
+from quire.streaming import ingest, tasks
 
 try:  # training-data operators: registered when their subpackage is there
     from quire.llm import queries as llm_queries
@@ -80,6 +81,15 @@ def q_knn_topk_dirty(spark, sf_dir):
     return top.select("qid", "rank", "vec_id", F.round("dist", 6).alias("dist"))
 
 
+def q_knn_topk_mixed(spark, sf_dir):
+    """Each query with its own top_k: 0 to 6, every seventh the default of 3, and one
+    that asks for more vectors than there are."""
+    emb = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    k = F.when(F.col("vec_id") == 5, 1_000_000).when(F.col("vec_id") % 7 != 6, F.col("vec_id") % 7)
+    top = knn.knn_topk(emb, emb.select(F.col("vec_id").alias("qid"), "embedding", k.alias("top_k")), 3, k_col="top_k")
+    return top.select("qid", "rank", "vec_id", F.round("dist", 6).alias("dist"))
+
+
 def q_index_stats(spark, sf_dir):
     return corpus.index_stats(_t(spark, sf_dir, "embeddings"))
 
@@ -192,10 +202,17 @@ def q_qa_pairs(spark, sf_dir):
 
 
 def q_squad_nested(spark, sf_dir):
-    paras = dataset.nested_dataset(_documents(spark, sf_dir), TASK_ID)
-    return paras.select("first_doc_id", "first_chunk_no", "first_q_no", "title", "context",
-                        F.size("qas").alias("n_qas"),
-                        F.array_join(F.transform("qas", lambda x: x["id"]), ",").alias("qa_ids"))
+    """H3/I4: the nested dataset in normal form: a row per paragraph and a row per
+    question, with their ordinals."""
+    paras, rows = dataset.nested_tables(_documents(spark, sf_dir), TASK_ID)
+    none = F.lit(None)
+    paras = paras.select(F.lit("paragraph").alias("kind"), "paragraph_no", none.cast("long").alias("position"), "title", "context",
+                         "n_qas", *[none.cast("string").alias(c) for c in ("id", "question", "answer")],
+                         none.cast("int").alias("answer_start"))
+    one = F.col("answers")[0]
+    rows = rows.select(F.lit("question").alias("kind"), "paragraph_no", "position", *[none.cast("string").alias(c) for c in ("title", "context")],
+                       none.cast("long").alias("n_qas"), "id", "question", one["text"].alias("answer"), one["answer_start"].alias("answer_start"))
+    return paras.unionByName(rows)
 
 
 def q_squad_document(spark, sf_dir):
@@ -238,6 +255,43 @@ def q_train_eval_split(spark, sf_dir):
     return evaluate.train_eval_split(dataset.sentence_qa(_documents(spark, sf_dir))).select("id", "split")
 
 
+def q_train_eval_exact(spark, sf_dir):
+    """L1 with exactly ceil(0.1 n) rows to evaluate on."""
+    return evaluate.exact_split(materialize(dataset.sentence_qa(_documents(spark, sf_dir)).select("id")), "id", 0.1, seed=0)
+
+
+def q_train_eval_by_document(spark, sf_dir):
+    """L1 by document: a quarter of the documents, and all chunks of a document on
+    one side."""
+    rows = materialize(chunking.sentence_chunks(_documents_spread(spark, sf_dir), ["doc_id"], "text").select("doc_id", "chunk_no"))
+    return evaluate.exact_split(rows, "doc_id", 0.25, seed=7)
+
+
+def q_squad_best_of(spark, sf_dir):
+    """H6 with one to three gold answers an id: the answer, for two of three ids also
+    the context's first sentence, for one of three also the question; the first
+    sentence is predicted, for some ids the answer in other words, for some nothing."""
+    rows = evaluate.train_eval_split(dataset.sentence_qa(_documents(spark, sf_dir)))
+    ev = materialize(rows.where(F.col("split") == "eval").select("id", "answer", "question", F.try_element_at(
+        T.sentence_spans("context"), F.lit(1)).alias("first"), (F.conv(F.substring(F.md5(F.col("id").cast("binary")), 9, 8), 16, 10)
+                                                               .cast("long") % 12).alias("m")))
+    gold = F.array_compact(F.array("answer", F.when(F.col("m") % 3 != 0, F.col("first")), F.when(F.col("m") % 3 == 1, F.col("question"))))
+    said = F.when(F.col("m") % 4 == 0, F.concat(F.lit("The "), "answer", F.lit("!"))).when(F.col("m") % 4 == 1, F.concat_ws(" ", "question", "answer")) \
+        .otherwise(F.col("first"))
+    out = evaluate.squad_best_of(ev.where("m <> 5").select("id", said.alias("prediction_text")), ev.select("id", gold.alias("answers")))
+    return out.select("n", "n_answers", "n_missing", "n_dup_ids", F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"))
+
+
+def q_extract_answer(spark, sf_dir):
+    """F6/D5 with empty and absent answers: every fifth turn's context is empty, and
+    the answers are looked for in the lower-cased context."""
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(
+        F.col("turn") % 5 == 4, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = qa.questions_with_answers(turns, ("conv_id", "turn"), "text")
+    return rows.select("conv_id", "turn", "q_no", "question", "answer", F.round("score", 6).alias("score"),
+                       qa.answer_offset("answer", F.lower("context")).alias("answer_start"))
+
+
 def q_squad_em_f1(spark, sf_dir):
     """Scores the first-sentence baseline against the held-out split's answers;
     about a third of the references have no prediction (by a hash of the id)."""
@@ -273,44 +327,75 @@ def q_qa_flat_json(spark, sf_dir):
 
 
 def q_train_examples(spark, sf_dir):
-    return qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
+    """Answers looked for in their whole documents; those that are not there
+    (wrapping took a line break out of them) are dropped."""
+    return qa.train_examples(dataset.anchored_qa(_documents(spark, sf_dir)))
+
+
+def _index(spark, sf_dir):
+    """The chunk index of the documents: one stored table per session, to which each
+    use adds the documents it has not yet."""
+    path = scratch_path(spark, f"rag-index-{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    return rag_plan.stored_index(spark, _documents(spark, sf_dir), path)
 
 
 def q_rag_index_stats(spark, sf_dir):
-    """H1 on the chunk index built from the documents."""
-    return corpus.index_stats(rag_plan.build_index(_documents(spark, sf_dir)))
+    """H1 on the stored chunk index."""
+    return corpus.index_stats(_index(spark, sf_dir))
 
 
 def q_qa_token_windows(spark, sf_dir):
-    """E5 as training uses it: 384-token windows with 128 overlap over each
-    training example's context, the question kept whole in every window."""
-    ex = qa.train_examples(dataset.wrapped_qa(_documents(spark, sf_dir)))
-    return chunking.token_windows(ex, ["id"], "context", 384, 128, question_col="question")
+    """E5 as training uses it: 384-token windows with 128 overlap over whole
+    documents, the question kept whole in every window, and the answer's place."""
+    ex = qa.train_examples(dataset.document_qa(_documents(spark, sf_dir)))
+    return chunking.answer_windows(ex, ["id"])
 
 
 def q_rag_context(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    return rag_plan.contexts(rag_plan.build_index(docs), _benchmark_queries(spark, sf_dir), 3, docs)
+    return rag_plan.contexts(_index(spark, sf_dir), _benchmark_queries(spark, sf_dir))
 
 
 def q_rag_prompt(spark, sf_dir):
     q = _benchmark_queries(spark, sf_dir)
-    docs = _documents(spark, sf_dir)
-    ctx = rag_plan.contexts(rag_plan.build_index(docs), q, 3, docs)
+    ctx = rag_plan.contexts(_index(spark, sf_dir), q)
     a = q.join(ctx, "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
     return a.select("qid", rag.zero_shot_prompt("context", "query").alias("zero_shot"),
                     T.truncate_tokens(rag.few_shot_prompt("context", "query"), 512).alias("few_shot_truncated"))
 
 
 def q_rag_answer(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    return rag_plan.answers(rag_plan.build_index(docs), _benchmark_queries(spark, sf_dir), 3, docs) \
+    return rag_plan.answers(_index(spark, sf_dir), _benchmark_queries(spark, sf_dir)) \
         .select("qid", "query", "context", "response")
 
 
-def q_file_manifest(spark, sf_dir):
-    """A1/A5: recursive listing of the table folder itself (path, size, mtime)."""
-    return files.file_manifest(spark, sf_dir, pattern="*.parquet").select("rel_path", "length")
+def q_rag_context_mixed(spark, sf_dir):
+    """H2 with each query's own number of hits: 0 to 4, every sixth the default."""
+    q = _benchmark_queries(spark, sf_dir).withColumn("top_k", F.when(F.col("qid") % 6 != 5, F.col("qid") % 6))
+    return rag_plan.contexts(_index(spark, sf_dir), q)
+
+
+def q_page_extract(spark, sf_dir):
+    """Pages and failed attempts of two extractors over the raw pages."""
+    raw = _t(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return files.extract_pages(raw, [extractors.html_paragraphs, extractors.html_stripped], "page_id")
+
+
+#: events as a task log: what each event type stands for
+TASK_EVENTS = {"signup": tasks.PENDING, "view": tasks.RUNNING, "click": tasks.PROGRESS,
+               "purchase": tasks.COMPLETED, "error": tasks.FAILED}
+
+
+def q_task_status(spark, sf_dir):
+    """M2: the task state machine over the events (user = task): a progress event is a
+    file done, its value the examples it gave; six hours without an event make a
+    task that is under way stale."""
+    raw = ingest.stream_documents(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    kind = F.create_map(*[F.lit(x) for pair in TASK_EVENTS.items() for x in pair])
+    events = raw.select(F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("event"),
+                        F.lit(1).alias("n"), F.floor("value").alias("examples"), F.col("props").alias("message"))
+    run = scratch_path(spark, f"tasks-{uuid.uuid4().hex}")
+    tasks.track(spark, events, f"{run}/view", f"{run}/_checkpoint", stale_after=6 * 3600, delay="1 hour")
+    return tasks.task_rows(spark, f"{run}/view", "long")
 
 
 def q_stream_sentence_pack(spark, sf_dir):
@@ -328,6 +413,7 @@ def q_stream_latest_status(spark, sf_dir):
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_topk": q_knn_topk,
     "knn_topk_dirty": q_knn_topk_dirty,
+    "knn_topk_mixed": q_knn_topk_mixed,
     "index_stats": q_index_stats,
     "argmax_em": q_argmax_em,
     "ext_filter": q_ext_filter,
@@ -357,6 +443,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_round_trip": q_index_round_trip,
     "answer_offset": q_answer_offset,
     "train_eval_split": q_train_eval_split,
+    "train_eval_exact": q_train_eval_exact,
+    "train_eval_by_document": q_train_eval_by_document,
+    "squad_best_of": q_squad_best_of,
+    "extract_answer": q_extract_answer,
     "squad_em_f1": q_squad_em_f1,
     "wrap_chunks": q_wrap_chunks,
     "hash_embed": q_hash_embed,
@@ -368,7 +458,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_context": q_rag_context,
     "rag_prompt": q_rag_prompt,
     "rag_answer": q_rag_answer,
-    "file_manifest": q_file_manifest,
+    "rag_context_mixed": q_rag_context_mixed,
+    "page_extract": q_page_extract,
+    "task_status": q_task_status,
     "stream_sentence_pack": q_stream_sentence_pack,
     "stream_latest_status": q_stream_latest_status,
 }

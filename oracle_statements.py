@@ -1,18 +1,42 @@
 """DuckDB statements that restate each registered query independently.
 
 They are the correctness oracle run next to the Spark plans (tables are
-registered as views under their own names).  They share only the character
-classes of :mod:`quire.functions.text`; the folds are re-expressed with
-``list_reduce``.  DuckDB's regex engine has no lookaround, so the word-wrap
-oracle marks hyphen and em-dash break points with a control character first.
+registered as views under their own names) and take nothing from the package under
+test: word lists, prompts and formats are stated here again.  The folds are
+re-expressed with ``list_reduce``.  DuckDB's regex engine has no lookaround, so the
+word-wrap oracle marks hyphen and em-dash break points with a control character first.
 """
 
 from __future__ import annotations
 
-from quire.functions.text import TOKEN, WS
-from quire.operators import qa as Q
-from quire.operators import rag as R
-from quire.operators import squad as S
+# --- fixed values: white space, word tokens, question rules, prompts -----------
+WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+TOKEN = r"[\p{L}\p{N}]+"
+WHO_WORDS = ["he", "she", "they", "person", "people"]
+WHAT_WORDS = ["what", "which", "how"]
+WHEN_WORDS = ["today", "yesterday", "year", "month"]
+WHERE_WORDS = ["where", "location", "place", "city", "country"]
+WHO_QUESTION = "Who is mentioned in this text?"
+WHAT_QUESTION = "What is the main topic discussed?"
+WHEN_QUESTION = "When did this occur?"
+WHERE_QUESTION = "Where did this take place?"
+DEFAULT_QUESTIONS = ["What is the main point of this text?",
+                     "What information is provided in this passage?"]
+NOT_AVAILABLE = "Not available"
+#: Digits that are not decimal (superscripts, circled and the like): No characters
+#: with a digit value, by Unicode's own property.
+DIGIT_CLASS = "[\\p{Nd}" + "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()) + "]"
+FEW_SHOT_HEAD = (
+    "Answer the question using only the context. If the context does not contain "
+    "the answer, reply 'Not available'.\n\n"
+    "Context:\nThe library opens at nine and closes at five on weekdays.\n"
+    "Question: When does the library close on weekdays?\n"
+    "Answer: At five.\n\n"
+    "Context:\nThe bridge was painted green in the spring.\n"
+    "Question: Who designed the bridge?\n"
+    "Answer: Not available\n\n"
+    "Context:\n")
+# ---------------------------------------------------------------------------------
 
 LETTER_RE2 = r"[\p{L}\p{Nl}\p{No}_]"
 WORD_RE2 = r"[\p{L}\p{N}_]"
@@ -62,6 +86,10 @@ def bucket(tok: str, dim: int = 64) -> str:
     return f"((('0x' || substr(md5({tok}), 1, 8))::BIGINT) % {dim})::INTEGER"
 
 
+def split_hash(key: str, seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 15))::BIGINT)"
+
+
 def sentence_pack(text: str, max_length: int = 512, min_length: int = 50) -> str:
     sents = (f"list_filter(list_transform(regexp_split_to_array({text}, '[.!?]+'), "
              f"lambda _s: {strip('_s')}), lambda _s: _s <> '')")
@@ -85,16 +113,16 @@ def rule_questions(text: str) -> str:
 
     def arr(xs):
         return "[" + ", ".join(lit(x) for x in xs) + "]"
-    who = f"list_has_any({lw}, {arr(Q.WHO_WORDS)})"
-    what = f"list_has_any({lw}, {arr(Q.WHAT_WORDS)})"
-    when = (f"(coalesce(list_bool_or(list_transform({words}, lambda _w: regexp_full_match(_w, {lit(Q.DIGIT_CLASS + '+')}))), false) "
-            f"OR list_has_any({lw}, {arr(Q.WHEN_WORDS)}))")
-    where = f"list_has_any({lw}, {arr(Q.WHERE_WORDS)})"
-    fired = (f"list_filter([CASE WHEN {who} THEN {lit(Q.WHO_QUESTION)} END, "
-             f"CASE WHEN {what} THEN {lit(Q.WHAT_QUESTION)} END, "
-             f"CASE WHEN {when} THEN {lit(Q.WHEN_QUESTION)} END, "
-             f"CASE WHEN {where} THEN {lit(Q.WHERE_QUESTION)} END], lambda _q: _q IS NOT NULL)")
-    return (f"(SELECT CASE WHEN len(fq) = 0 THEN {arr(Q.DEFAULT_QUESTIONS)} ELSE fq[1:3] END "
+    who = f"list_has_any({lw}, {arr(WHO_WORDS)})"
+    what = f"list_has_any({lw}, {arr(WHAT_WORDS)})"
+    when = (f"(coalesce(list_bool_or(list_transform({words}, lambda _w: regexp_full_match(_w, {lit(DIGIT_CLASS + '+')}))), false) "
+            f"OR list_has_any({lw}, {arr(WHEN_WORDS)}))")
+    where = f"list_has_any({lw}, {arr(WHERE_WORDS)})"
+    fired = (f"list_filter([CASE WHEN {who} THEN {lit(WHO_QUESTION)} END, "
+             f"CASE WHEN {what} THEN {lit(WHAT_QUESTION)} END, "
+             f"CASE WHEN {when} THEN {lit(WHEN_QUESTION)} END, "
+             f"CASE WHEN {where} THEN {lit(WHERE_QUESTION)} END], lambda _q: _q IS NOT NULL)")
+    return (f"(SELECT CASE WHEN len(fq) = 0 THEN {arr(DEFAULT_QUESTIONS)} ELSE fq[1:3] END "
             f"FROM (SELECT {fired} AS fq))")
 
 
@@ -238,7 +266,7 @@ def normalize(x: str) -> str:
     return f"array_to_string({split_ws(s)}, ' ')"
 
 
-def rag_index_ctes(width: int = 500, dim: int = 64) -> str:
+def rag_index_ctes(width: int = 500, dim: int = 64, k: str = "3") -> str:
     return f"""{wrap_chunks_cte(width)},
 ix AS (
   SELECT (doc_id << 20) + chunk_no AS vec_id, doc_id, chunk_no, text,
@@ -253,7 +281,7 @@ dist AS (
   FROM qs, ix),
 top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank
-                 FROM dist) WHERE rank <= 3),
+                 FROM dist) WHERE rank <= {k}),
 ctx AS (
   SELECT top.qid, string_agg(ix.text, chr(10) ORDER BY top.rank) AS context, count(*) AS n_hits
   FROM top JOIN ix USING (vec_id) GROUP BY top.qid)"""
@@ -383,13 +411,14 @@ SELECT doc_id, chunk_no, text FROM sc""",
 SELECT doc_id, chunk_no, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS q_no
 FROM (SELECT doc_id, chunk_no, {rule_questions('text')} AS qs FROM sc)""",
         "qa_pairs": sentence_qa_sql(),
-        "squad_nested": f"""WITH q AS ({sentence_qa_sql()})
-SELECT arg_min(doc_id, (doc_id, chunk_no, q_no)) AS first_doc_id,
-       arg_min(chunk_no, (doc_id, chunk_no, q_no)) AS first_chunk_no,
-       arg_min(q_no, (doc_id, chunk_no, q_no)) AS first_q_no,
-       'Generated_Document_corpus' AS title, context, count(*) AS n_qas,
-       string_agg(id, ',' ORDER BY doc_id, chunk_no, q_no) AS qa_ids
-FROM q GROUP BY context""",
+        "squad_nested": f"""WITH q AS ({sentence_qa_sql()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY doc_id, chunk_no, q_no) - 1 AS position,
+             count(*) OVER (PARTITION BY context) AS n_qas FROM q),
+p AS (SELECT context, n_qas, row_number() OVER (ORDER BY doc_id, chunk_no, q_no) - 1 AS paragraph_no FROM r WHERE position = 0)
+SELECT 'paragraph' AS kind, paragraph_no, NULL AS position, 'Generated_Document_corpus' AS title, context, n_qas,
+       NULL AS id, NULL AS question, NULL AS answer, NULL AS answer_start FROM p
+UNION ALL
+SELECT 'question', p.paragraph_no, r.position, NULL, NULL, NULL, r.id, r.question, r.answer, r.answer_start FROM r JOIN p USING (context)""",
         "squad_document": f"""WITH q AS ({sentence_qa_sql()})
 SELECT 'Generated_Document_corpus' AS title, context, id, question, answer, answer_start FROM q""",
         "read_squad_flat": wrapped_qa_sql(),
@@ -430,25 +459,117 @@ FROM b""",
 SELECT id, to_json({{'id': id, 'title': title, 'context': context, 'question': question,
                     'answers': {{'text': [answer_text], 'answer_start': [answer_start::INTEGER]}}}})::VARCHAR AS json
 FROM f""",
-        "train_examples": f"""WITH f AS ({wrapped_qa_sql()})
-SELECT id, context, question, answer_text, answer_start FROM f WHERE answer_start <> -1""",
+        "train_examples": f"""WITH f AS ({wrapped_qa_sql()}),
+g AS (SELECT md5(concat_ws(chr(1), doc_id::VARCHAR, chunk_no::VARCHAR, q_no::VARCHAR)) AS id, question, b.answer AS answer_text, doc_id
+      FROM (WITH {wrap_chunks_cte()}, {qa_rows_cte('(SELECT doc_id, chunk_no, source AS src, text FROM wc)', 'qa')} SELECT * FROM qa))
+SELECT g.id, d.text AS context, g.question, g.answer_text, instr(d.text, g.answer_text) - 1 AS answer_start
+FROM g JOIN documents d USING (doc_id) WHERE instr(d.text, g.answer_text) > 0 OR g.answer_text = ''""",
+        "extract_answer": f"""WITH t AS (
+  SELECT conv_id AS doc_id, turn AS chunk_no, CASE WHEN turn % 5 = 4 THEN '' ELSE coalesce(text, '') END AS text FROM conversations),
+{qa_rows_cte('(SELECT doc_id, chunk_no, NULL AS src, text FROM t)', 'qa')}
+SELECT doc_id AS conv_id, chunk_no AS turn, q_no, question, b.answer AS answer, round(b.score, 6) AS score,
+       CASE WHEN b.answer = '' THEN 0 ELSE instr(lower(context), b.answer) - 1 END AS answer_start
+FROM qa""",
+        "train_eval_exact": f"""WITH q AS ({sentence_qa_sql()})
+SELECT id, CASE WHEN row_number() OVER (ORDER BY {split_hash('id', 0)}, id) <= ceil(count(*) OVER () / 10.0) THEN 'eval' ELSE 'train' END AS split
+FROM q""",
+        "train_eval_by_document": f"""WITH {sentence_chunks_cte(None)},
+u AS (SELECT doc_id, row_number() OVER (ORDER BY {split_hash('doc_id::VARCHAR', 7)}, doc_id) AS place, count(*) OVER () AS n
+      FROM (SELECT DISTINCT doc_id FROM sc))
+SELECT sc.doc_id, sc.chunk_no, CASE WHEN place <= ceil(n / 4.0) THEN 'eval' ELSE 'train' END AS split FROM sc JOIN u USING (doc_id)""",
+        "squad_best_of": f"""WITH q AS ({sentence_qa_sql()}),
+ev AS (SELECT id, answer, question, ({sentence_spans('context')})[1] AS first, (('0x' || substr(md5(id), 9, 8))::BIGINT) % 12 AS m
+       FROM q WHERE (('0x' || substr(md5(id), 1, 8))::BIGINT) % 10 = 0),
+g AS (SELECT id, m = 5 AS absent,
+             CASE m % 4 WHEN 0 THEN 'The ' || answer || '!' WHEN 1 THEN concat_ws(' ', question, answer) ELSE first END AS said,
+             unnest(list_filter([answer, CASE WHEN m % 3 <> 0 THEN first END, CASE WHEN m % 3 = 1 THEN question END], lambda x: x IS NOT NULL)) AS gold
+      FROM ev),
+nz AS (SELECT id, absent, {normalize("coalesce(said, '')")} AS p, {normalize('gold')} AS g FROM g),
+tk AS (SELECT id, absent, p, g, {split_ws('p')} AS pt, {split_ws('g')} AS gt FROM nz),
+sc AS (SELECT id, absent, p = g AS same, coalesce(list_sum(list_transform(list_distinct(pt), lambda t:
+                 least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))), 0) AS common,
+              len(pt) AS np, len(gt) AS ng FROM tk),
+b AS (SELECT id, any_value(absent) AS absent, count(*) AS n_answers, max(CASE WHEN same AND NOT absent THEN 1.0 ELSE 0.0 END) AS em,
+             max(CASE WHEN common = 0 OR absent THEN 0.0
+                      ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END) AS f1
+      FROM sc GROUP BY id)
+SELECT count(*) AS n, sum(n_answers) AS n_answers, count(*) FILTER (WHERE absent) AS n_missing, 0 AS n_dup_ids,
+       round(avg(em) * 100, 6) AS exact_match, round(avg(f1) * 100, 6) AS f1 FROM b""",
+        "knn_topk_mixed": """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS qid, c.vec_id AS vec_id,
+        list_reduce(list_transform(range(1, len(q.embedding) + 1),
+          lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE)),
+          lambda a, x: a + x, 0.0::DOUBLE) AS dist
+      FROM e q, e c WHERE len(q.embedding) = len(c.embedding))
+SELECT qid, rank::BIGINT AS rank, vec_id, round(dist, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank FROM d)
+WHERE rank <= CASE WHEN qid = 5 THEN 1000000 WHEN qid % 7 <> 6 THEN qid % 7 ELSE 3 END""",
+        "page_extract": """
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(html, '</html>') = 0 THEN 'ValueError: document breaks off' END AS broken,
+         regexp_extract_all(html, '<p>([^<>]*)</p>', 1) AS paras,
+         CASE WHEN instr(body, '&amp;&amp;') > 0 THEN 'ValueError: repeated entities' END AS garbled, regexp_replace(body, '<[^<>]*>', ' ', 'g') AS bare
+  FROM (SELECT *, substr(html, instr(html, '<body>') + 6) AS body FROM pages)),
+r AS (SELECT *, coalesce(broken, CASE WHEN len(list_filter(paras, lambda x: x <> '')) = 0 THEN 'empty' END) AS first,
+             coalesce(garbled, CASE WHEN bare = '' THEN 'empty' END) AS second FROM p),
+pages_of AS (SELECT page_id, CASE WHEN first IS NULL THEN 0 WHEN second IS NULL THEN 1 ELSE -1 END AS attempt,
+                    CASE WHEN first IS NULL THEN paras WHEN second IS NULL THEN [bare] ELSE [''] END AS texts FROM r)
+SELECT page_id, 'failure' AS kind, NULL AS page_no, NULL AS text, 0 AS attempt, first AS reason FROM r WHERE first IS NOT NULL
+UNION ALL
+SELECT page_id, 'failure', NULL, NULL, 1, second FROM r WHERE first IS NOT NULL AND second IS NOT NULL
+UNION ALL
+SELECT page_id, 'page', unnest(range(len(texts))), unnest(texts), attempt, NULL FROM pages_of""",
+        "task_status": f"""
+WITH e AS (
+  SELECT user_id AS task_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'progress'
+                                             WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS ev, ts, event_id, floor(value)::BIGINT AS x, props
+  FROM events),
+l AS (SELECT task_id, max(ts) AS last, list({{'ev': ev, 'ts': ts, 'x': x, 'm': props}} ORDER BY ts, event_id) AS evs FROM e GROUP BY task_id),
+s AS (SELECT task_id, last, list_reduce(evs, lambda a, e:
+  CASE WHEN e.ev = 'pending' AND (a.st IS NULL OR a.st IN ('completed', 'failed')) THEN
+         {{'run': a.run + 1, 'st': 'pending', 'done': 0::BIGINT, 'made': 0::BIGINT, 'err': NULL::VARCHAR, 'b': e.ts, 'c': NULL::TIMESTAMP, 'bad': a.bad}}
+       WHEN e.ev = 'running' AND a.st = 'pending' THEN
+         {{'run': a.run, 'st': 'running', 'done': a.done, 'made': a.made, 'err': a.err, 'b': a.b, 'c': a.c, 'bad': a.bad}}
+       WHEN e.ev = 'progress' AND a.st = 'running' THEN
+         {{'run': a.run, 'st': a.st, 'done': a.done + 1, 'made': a.made + e.x, 'err': a.err, 'b': a.b, 'c': a.c, 'bad': a.bad}}
+       WHEN e.ev = 'completed' AND a.st = 'running' THEN
+         {{'run': a.run, 'st': 'completed', 'done': a.done, 'made': a.made, 'err': NULL::VARCHAR, 'b': a.b, 'c': e.ts, 'bad': a.bad}}
+       WHEN e.ev = 'failed' AND a.st IN ('pending', 'running') THEN
+         {{'run': a.run, 'st': 'failed', 'done': a.done, 'made': a.made, 'err': e.m, 'b': a.b, 'c': e.ts, 'bad': a.bad}}
+       ELSE {{'run': a.run, 'st': a.st, 'done': a.done, 'made': a.made, 'err': a.err, 'b': a.b, 'c': a.c, 'bad': a.bad + 1}} END,
+  {{'run': 0::BIGINT, 'st': NULL::VARCHAR, 'done': 0::BIGINT, 'made': 0::BIGINT, 'err': NULL::VARCHAR, 'b': NULL::TIMESTAMP, 'c': NULL::TIMESTAMP,
+   'bad': 0::BIGINT}}) AS a FROM l)
+SELECT task_id, a.run AS run_no, a.st AS status, 0 AS total_files, a.done AS processed_files, a.made AS generated_examples,
+       a.err AS error_message, {iso('a.b')} AS started_at, {iso('a.c')} AS completed_at, a.bad AS n_illegal, 0 AS n_late,
+       coalesce(a.st IN ('pending', 'running'), false)
+         AND epoch_ms(last) + 6 * 3600000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) AS stale
+FROM s""",
         "rag_index_stats": f"""WITH {wrap_chunks_cte()},
 ix AS (SELECT {dense_embedding('text')} AS embedding FROM wc)
 SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
        count(*) FILTER (WHERE embedding IS NULL) AS n_null,
        min(len(embedding)) = max(len(embedding)) AS uniform
 FROM ix""",
-        "qa_token_windows": f"""WITH f AS ({wrapped_qa_sql()}),
-ex AS (SELECT id, {split_ws('context')} AS toks,
-              greatest(384 - len({split_ws('question')}), 129) AS bud
-       FROM f WHERE answer_start <> -1),
-st AS (SELECT id, toks, bud,
-              list_transform(range(0, greatest(ceil((len(toks) - bud) / (bud - 128))::INTEGER, 0) + 1),
-                             lambda i: i * (bud - 128)) AS starts FROM ex),
-w AS (SELECT id, unnest(starts) AS tok_start, generate_subscripts(starts, 1) - 1 AS win_no, toks, bud FROM st)
-SELECT id, win_no, tok_start::BIGINT AS tok_start, len(toks[tok_start + 1 : tok_start + bud]) AS n_tokens,
-       array_to_string(toks[tok_start + 1 : tok_start + bud], ' ') AS text
-FROM w""",
+        "qa_token_windows": f"""WITH {qa_rows_cte("(SELECT doc_id, 0 AS chunk_no, NULL AS src, text FROM documents)", 'qa')},
+piece AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, {lit('(?:' + WS + ')+|[^' + WS[1:-1] + ']+')}) AS ps FROM documents)),
+spot AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS ce FROM piece),
+tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS t, ce - length(piece) AS cs, ce
+        FROM spot WHERE NOT {blank('piece')}),
+ex AS (SELECT md5(concat_ws(chr(1), qa.doc_id::VARCHAR, q_no::VARCHAR)) AS id, qa.doc_id, context, question, 384 - len({split_ws('question')}) AS bud,
+              answer_start AS a, answer_start + length(b.answer) AS z, b.answer <> '' AS answered, coalesce(n, 0) AS n
+       FROM qa LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) USING (doc_id) WHERE answer_start <> -1),
+ans AS (SELECT ex.id, min(t) AS f, max(t) AS l FROM ex JOIN tok ON tok.doc_id = ex.doc_id AND answered AND ce > a AND cs < z GROUP BY ex.id),
+win AS (SELECT *, win_no * (bud - 128) AS lo, least(win_no * (bud - 128) + bud, n) AS hi
+        FROM (SELECT *, unnest(range(greatest(ceil((n - bud) / (bud - 128))::BIGINT, 0) + 1)) AS win_no FROM ex))
+SELECT win.id, win_no, question, lo AS tok_start, hi - lo AS n_tokens, coalesce(x.cs, 0)::BIGINT AS char_start, coalesce(y.ce, 0)::BIGINT AS char_end,
+       CASE WHEN x.cs IS NULL THEN '' ELSE substr(context, x.cs::BIGINT + 1, (y.ce - x.cs)::BIGINT) END AS text,
+       CASE WHEN f >= lo AND l < hi THEN f - lo ELSE -1 END AS answer_first, CASE WHEN f >= lo AND l < hi THEN l - lo ELSE -1 END AS answer_last
+FROM win LEFT JOIN ans ON ans.id = win.id LEFT JOIN tok x ON x.doc_id = win.doc_id AND x.t = lo AND lo < hi
+LEFT JOIN tok y ON y.doc_id = win.doc_id AND y.t = hi - 1 AND lo < hi""",
+        "rag_context_mixed": f"""WITH {rag_index_ctes(k="CASE WHEN qid % 6 <> 5 THEN qid % 6 ELSE 3 END")}
+SELECT qid, context, n_hits FROM ctx""",
         "rag_context": f"""WITH {rag_index_ctes()}
 SELECT qid, context, n_hits FROM ctx""",
         "rag_prompt": f"""WITH {rag_index_ctes()},
@@ -456,12 +577,12 @@ a AS (SELECT qs.qid, qs.query, coalesce(ctx.context, '') AS context FROM qs LEFT
 SELECT qid,
        'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'
          AS zero_shot,
-       array_to_string({split_ws(lit(R._FEW_SHOT_HEAD) + " || context || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'")}[1:512], ' ')
+       array_to_string({split_ws(lit(FEW_SHOT_HEAD) + " || context || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'")}[1:512], ' ')
          AS few_shot_truncated
 FROM a""",
         "rag_answer": f"""WITH {rag_index_ctes()},
 a AS (SELECT qs.qid, qs.query, coalesce(ctx.context, '') AS context FROM qs LEFT JOIN ctx USING (qid))
 SELECT qid, query, context,
-       CASE WHEN b.overlap > 0 THEN b.answer ELSE {lit(Q.NOT_AVAILABLE)} END AS response
+       CASE WHEN b.overlap > 0 THEN b.answer ELSE {lit(NOT_AVAILABLE)} END AS response
 FROM (SELECT *, {best_sentence_cols('query', 'context')} AS b FROM a)""",
     }

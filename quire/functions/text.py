@@ -324,6 +324,13 @@ def truncate_tokens(text, budget: int = 512) -> Column:
     return F.array_join(F.slice(py_split(text), 1, budget), " ")
 
 
+def cut_tokens(text, budget: int = 512) -> Column:
+    """The text up to the end of its ``budget``-th whitespace token, as it stands."""
+    c = _col(text)
+    return F.when(F.size(py_split(c)) <= budget, c) \
+        .otherwise(F.regexp_extract(c, f"^(?:{WS}*+[^{WS[1:]}++){{0,{budget}}}", 0))
+
+
 # --- D1-D3: path parts ------------------------------------------------------
 
 def strip_query(url) -> Column:

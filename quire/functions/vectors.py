@@ -1,51 +1,15 @@
-"""Column builders for vectors: hashing trick, squared L2, argmax."""
+"""Column builders for vectors: squared L2, argmax."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import let
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def token_bucket(tok, dim: int) -> Column:
-    """Stable bucket of a token: first 32 bits of its md5, modulo ``dim``
-    (md5 hex is identical in every engine, unlike engine-specific hashes)."""
-    return F.pmod(F.conv(F.substring(F.md5(_col(tok)), 1, 8), 16, 10).cast("bigint"),
-                  F.lit(dim)).cast("int")
-
-
-def bucket_counts_dense(buckets, dim: int) -> Column:
-    """Dense ``array<int>`` of bucket frequencies from an array of bucket ids.
-
-    The ids are sorted once; in a sorted array a bucket's count is the distance
-    between its first and last position, both found by native
-    ``array_position`` scans (the last one on the reversed array).  That is
-    ``dim`` lambda evaluations per row instead of one per token, and no
-    explode or shuffle.
-    """
-    def count_all(s: Column) -> Column:
-        return let(F.reverse(s), lambda r: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.when(F.array_position(s, i) > 0,
-                             F.size(s) - F.array_position(r, i) - F.array_position(s, i) + 2)
-            .otherwise(F.lit(0)).cast("int")))
-    return let(F.array_sort(_col(buckets)), count_all)
-
-
-def l2_normalise(counts) -> Column:
-    """Counts divided by their L2 norm, narrowed to float32 (all-zero stays zero)."""
-    def scale(c):
-        norm = F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x))
-        return let(norm, lambda nv: F.transform(
-            c, lambda x: F.when(nv > 0, x / nv).otherwise(F.lit(0.0)).cast("float")))
-    return let(counts, scale)
-
-
 def squared_l2(a, b) -> Column:
     """Exact squared L2 distance, accumulated left to right in double."""
     return F.aggregate(

@@ -1,28 +1,69 @@
 """text embedding.
 
 The default embedder is a hashed bag of words (lower-cased letter/digit
-tokens, md5 bucket modulo ``dim``, L2-normalised, float32): deterministic,
-model-free and computed entirely in the JVM.  A real model plugs in through
-:func:`embed_with_model`, which runs it once per Python worker on Arrow batches.
+tokens, md5 bucket modulo ``dim``, L2-normalised, float32): deterministic and
+model-free.  A real model plugs in through :func:`embed_with_model`, which runs it
+once per Python worker on Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions import vectors as V
 
 DEFAULT_DIM = 64
 
 
+def _bucket_counts(tokens: pa.ListArray, dim: int):
+    """Row, bucket and count of every bucket that a row's tokens hit: the batch's
+    tokens as an Arrow dictionary, one hash for each distinct one, counts by CSR."""
+    flat = tokens.flatten().dictionary_encode()
+    bucket = np.fromiter((int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
+                          for t in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(tokens)), sizes)
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    cell, count = np.unique(row * dim + bucket[codes], return_counts=True)
+    row, bucket = cell // dim, cell % dim
+    norm = np.sqrt(np.bincount(row, weights=count.astype(np.float64) ** 2, minlength=len(tokens)))
+    return row, bucket, (count / norm[row]).astype(np.float32)
+
+
+def _dense(dim: int):
+    @F.arrow_udf("array<float>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        row, bucket, weight = _bucket_counts(tokens, dim)
+        out = np.zeros((len(tokens), dim), np.float32)
+        out[row, bucket] = weight
+        off = pa.array(np.arange(0, out.size + 1, dim), pa.int32(), mask=np.append(tokens.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(off, pa.array(out.ravel()))
+    return embed
+
+
+def _sparse(dim: int):
+    @F.arrow_udf("array<struct<bucket: int, weight: float>>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        row, bucket, weight = _bucket_counts(tokens, dim)
+        off = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(weight)], names=["bucket", "weight"])
+        return pa.ListArray.from_arrays(off, pairs)
+    return embed
+
+
 def embedding_column(text_col: str | Column, dim: int = DEFAULT_DIM) -> Column:
-    """Dense hashed embedding of a text column, computed row by row (no shuffle)."""
-    buckets = F.transform(T.word_tokens(text_col), lambda t: V.token_bucket(t, dim))
-    return V.l2_normalise(V.bucket_counts_dense(buckets, dim))
+    """Dense hashed embedding of a text column (null for a null text).  Tokens are
+    cut in the JVM; hashing and counting run over Arrow batches, one md5 for each
+    distinct token of a batch, so the cost does not depend on ``dim`` beyond writing
+    the vector."""
+    return _dense(dim)(T.word_tokens(text_col))
 
 
 def hash_embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
@@ -33,16 +74,10 @@ def hash_embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding"
 
 def hash_embed_sparse(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
                       dim: int = DEFAULT_DIM) -> DataFrame:
-    """Sparse form ``(*id_cols, bucket, weight)`` of the same embedding.
-
-    Only non-zero buckets are emitted; the dense vector is computed per row and
-    then exploded, so this needs no shuffle either.
-    """
-    dense = df.select(*id_cols, embedding_column(text_col, dim).alias("_v"))
-    return (T.explode_indexed(dense, id_cols, F.col("_v"), "bucket", "weight")
-            .where(F.col("weight") != 0)
-            .select(*id_cols, F.col("bucket").cast("int").alias("bucket"),
-                    F.col("weight").cast("double").alias("weight")))
+    """Sparse form ``(*id_cols, bucket, weight)`` of the same embedding: only the
+    buckets that are hit are ever made, whatever ``dim`` is; no shuffle."""
+    pairs = df.select(*id_cols, F.explode(_sparse(dim)(T.word_tokens(text_col))).alias("_p"))
+    return pairs.select(*id_cols, "_p.bucket", F.col("_p.weight").cast("double").alias("weight"))
 
 
 def embed_with_model(df: DataFrame, text_col: str, make_model: Callable,

@@ -195,5 +195,5 @@ def generate_questions(chunks: DataFrame, make_model: Callable, text_col: str =
     :func:`questions_with_answers` with ``questions=F.col(out_col)``."""
     from quire.operators.rag import generate_with_model
     prompted = chunks.withColumn("_prompt", question_prompt(text_col, n))
-    raw = generate_with_model(prompted, make_model, "_prompt", "_raw", batch_size)
+    raw = generate_with_model(prompted, make_model, "_prompt", "_raw", batch_size, token_budget=None)
     return raw.withColumn(out_col, parse_questions("_raw", n)).drop("_prompt", "_raw")

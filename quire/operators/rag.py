@@ -49,9 +49,11 @@ def default_answer(context, question) -> Column:
 
 
 def generate_with_model(df: DataFrame, make_model: Callable, prompt_col: str = "prompt",
-                        out_col: str = "response", batch_size: int = 16) -> DataFrame:
+                        out_col: str = "response", batch_size: int = 16,
+                        token_budget: int | None = PROMPT_TOKEN_BUDGET) -> DataFrame:
     """F3 plug-in: ``make_model()`` returns ``f(prompts) -> responses`` over a
-    NumPy array; prompts are cut to the token budget first (E6)."""
+    NumPy array; prompts are cut to ``token_budget`` tokens first (E6), their line
+    breaks kept; None hands them over whole."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import StringType
 
@@ -60,4 +62,5 @@ def generate_with_model(df: DataFrame, make_model: Callable, prompt_col: str = "
         return lambda prompts: model(prompts)
 
     udf = predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
-    return df.withColumn(out_col, udf(T.truncate_tokens(prompt_col, PROMPT_TOKEN_BUDGET)))
+    prompt = F.col(prompt_col) if token_budget is None else T.cut_tokens(prompt_col, token_budget)
+    return df.withColumn(out_col, udf(prompt))

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from quire.operators.positions import number_within
+from quire.session import materialize
+
 # --- fixed values: dataset format version, title and location formats ----------
 SQUAD_VERSION = "2.0"
 TITLE_FORMAT = "Generated_Document_%s"
@@ -57,7 +60,6 @@ def write_flat_document(records: DataFrame, path: str, order_by=("id",)) -> None
     """B1 as one document ``{"data": [...]}``: the part files in ``path``, put one
     after the other in the order of their names, one record per line.  Lines come
     from range-sorted partitions; no task sees more than its range."""
-    from quire.session import materialize
     rows = materialize(records.select(
         F.struct(*[F.col(c) for c in order_by]).alias("key"), F.to_json(F.struct(*records.columns)).alias("json"),
         F.monotonically_increasing_id().alias("n")))
@@ -127,13 +129,34 @@ def paragraph_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]
     return paras, rows
 
 
+def numbered_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
+    """H3/I4 in normal form with exact ordinals, at any size of a paragraph:
+
+    * paragraphs ``(paragraph_no, title, context, n_qas)``: 0-based, in the order in
+      which the contexts were first seen;
+    * questions ``(paragraph_no, position, id, question, answers)``: ``position`` is
+      the 0-based place among the paragraph's questions.
+
+    Both numbers come from range sorts (:func:`~quire.operators.positions.number_within`);
+    contexts are not part of what is sorted.  ``qa`` is read twice: pass a written table.
+    """
+    paras, rows = paragraph_tables(qa, task_id)
+    paras = number_within(materialize(paras.select("first", "title", "context", "n_qas"), "paragraphs"),
+                          [], ["first"], "paragraph_no", name="paragraphs-numbered")
+    rows = number_within(materialize(rows.select("first", "at", "id", "question", "answers"), "questions"),
+                         ["first"], ["at"], "position", name="questions-numbered")
+    rows = rows.join(paras.select("first", "paragraph_no"), "first") \
+        .select("paragraph_no", "position", "id", "question", "answers")
+    return paras.select("paragraph_no", "title", "context", "n_qas"), rows
+
+
 def paragraphs(qa: DataFrame, task_id: str) -> DataFrame:
     """H3/I4: QA rows ``(id, doc_id, chunk_no, q_no, context, question, answer,
     answer_start)`` -> one row per distinct context with its ordered ``qas``.
 
     Output: ``(first_doc_id, first_chunk_no, first_q_no, title, context,
     qas array<struct<id, question, answers array<struct<text, answer_start>>>>)``.
-    A paragraph is one value here; :func:`paragraph_tables` is the form for
+    A paragraph is one value here; :func:`numbered_tables` is the form for
     contexts with more questions than a row should hold.
     """
     qa_struct = F.struct(

@@ -34,6 +34,34 @@ def wrapped_qa(docs: DataFrame, width: int = 500, title_col: str = "source") ->
                        "question", F.col("answer").alias("answer_text"), "answer_start")
 
 
+def document_qa(docs: DataFrame, title_col: str = "source") -> DataFrame:
+    """Questions over whole documents, at most three each: ``(id, title, doc_id,
+    q_no, context, question, answer_text, answer_start)``, the context being the
+    document's text."""
+    rows = qa.questions_with_answers(spread(docs.select("doc_id", title_col, "text"), "doc_id"), ("doc_id",), "text",
+                                     keep=(title_col,))
+    return rows.select(qa.record_id("doc_id", "q_no").alias("id"), F.col(title_col).alias("title"), "doc_id", "q_no",
+                       "context", "question", F.col("answer").alias("answer_text"), "answer_start")
+
+
+def anchored_qa(docs: DataFrame, width: int = 500, title_col: str = "source") -> DataFrame:
+    """The generator flow's questions and answers over the documents they come from:
+    as :func:`wrapped_qa`, with the whole document as context and the answer looked
+    for in it.  Wrapping turned line breaks into spaces, so an answer that went over
+    a line is absent there (``answer_start`` -1).  Rows meet their document by a join
+    on ``doc_id``."""
+    rows = wrapped_qa(docs, width, title_col).drop("context", "answer_start")
+    whole = docs.select("doc_id", F.col("text").alias("context"))
+    return rows.join(whole, "doc_id").withColumn("answer_start", qa.answer_offset("answer_text", "context")) \
+        .select("id", "title", "doc_id", "chunk_no", "q_no", "context", "question", "answer_text", "answer_start")
+
+
+def nested_tables(docs: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
+    """B2 input in normal form: (paragraphs, questions) of the sentence flow with
+    their ordinals (:func:`quire.operators.squad.numbered_tables`)."""
+    return squad.numbered_tables(materialize(sentence_qa(docs), "sentence-qa"), task_id)
+
+
 def nested_dataset(docs: DataFrame, task_id: str) -> DataFrame:
     """B2 input: paragraphs of the sentence flow, grouped by context."""
     return squad.paragraphs(sentence_qa(docs), task_id)

@@ -1,6 +1,6 @@
-"""RAG plan: corpus -> wrapped chunks -> hashed embeddings -> index; queries ->
+"""RAG plan: corpus -> wrapped chunks -> hashed embeddings -> stored index; queries ->
 embedding -> exact top-k -> context -> prompt -> answer.  Many queries at once;
-the ranked hits are written before their texts are fetched."""
+the ranked hits are written before their texts are fetched from the index."""
 
 from __future__ import annotations
 
@@ -34,37 +34,26 @@ def build_index(docs: DataFrame, width: int = CHUNK_WIDTH, dim: int = embed.DEFA
 
 def retrieve(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
              dim: int = embed.DEFAULT_DIM) -> DataFrame:
-    """``(qid, rank, doc_id, chunk_no, dist)`` for ``queries(qid, query)``."""
-    q = embed.hash_embed(queries.select("qid", "query"), "query", "embedding", dim)
+    """``(qid, rank, doc_id, chunk_no, dist)`` for ``queries(qid, query)``; a
+    column ``top_k`` of the queries is each query's own number of hits (null: ``k``)."""
+    own = [F.col("top_k")] if "top_k" in queries.columns else []
+    q = embed.hash_embed(queries.select("qid", "query", *own), "query", "embedding", dim)
     return knn.knn_topk(index, q, k, corpus_id=ID, corpus_vec="embedding",
-                        query_id="qid", query_vec="embedding")
+                        query_id="qid", query_vec="embedding", k_col="top_k" if own else None)
 
 
-def hit_texts(top: DataFrame, docs: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
-    """Texts of the winning chunks, re-chunking only the documents that hold a
-    hit (the chunker is deterministic), so a lazily defined index is not
-    wrapped twice.  The hit side is bounded by ``queries x k``; the semi join
-    lets Spark broadcast it by its size and filter the scan of the documents."""
-    hits = top.select("qid", "rank", "doc_id", "chunk_no")
-    needed = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = chunking.wrap_chunks(needed, ("doc_id",), "text", width)
-    return chunks.join(hits, ["doc_id", "chunk_no"]).select("qid", "rank", "doc_id", "chunk_no", "text")
-
-
-def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
-             docs: DataFrame | None = None) -> DataFrame:
-    """``(qid, context, n_hits)``; texts joined after ranking, either
-    from a materialised index or (``docs`` given) by re-chunking hit documents."""
+def contexts(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """``(qid, context, n_hits)``.  The search reads ids and vectors of the
+    index; the texts of the ranked hits are fetched from it by their ids.  Pass a
+    stored index (:func:`stored_index`, :func:`load_index`): it is read several times."""
     top = knn.materialize(retrieve(index, queries, k))
-    texts = hit_texts(top, docs) if docs is not None else knn.attach_text(top, index, corpus_id=ID)
-    return knn.assemble_context(texts)
+    return knn.assemble_context(knn.attach_text(top, index, corpus_id=ID))
 
 
-def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
-            docs: DataFrame | None = None) -> DataFrame:
+def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """F3 with the default extractive answerer: ``(qid, query, context, prompt, response)``.
     Queries without any hit keep an empty context."""
-    ctx = contexts(index, queries, k, docs)
+    ctx = contexts(index, queries, k)
     joined = queries.select("qid", "query").join(ctx, "qid", "left") \
         .withColumn("context", F.coalesce("context", F.lit("")))
     return joined.select("qid", "query", "context",
@@ -72,6 +61,13 @@ def answers(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                          rag.default_answer("context", "query").alias("response"))
 
 
+def stored_index(spark, docs: DataFrame, path: str, **options) -> DataFrame:
+    """H1: the index in ``path``, after documents that it has not yet were added
+    (:func:`update_index`)."""
+    update_index(spark, docs, path, **options)
+    return load_index(spark, path)
+
+
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the index as Parquet (one table: ids, text, source, vector).
     Rows are sorted by id within each partition (no shuffle), so row
@@ -80,7 +76,7 @@ def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_index(spark, path: str) -> DataFrame:
-    """Read a persisted index."""
+    """Read a persisted index (an integer ``doc_id``, whatever its width)."""
     return spark.read.parquet(path)
 
 
@@ -92,7 +88,6 @@ def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
     index.  Keys that were worked on stand in ``<path>/_done`` (also those of
     documents without a chunk); a run that stopped between the two writes finds
     its documents in the index itself and does not add them again."""
-    from quire.operators import corpus as C
     done = f"{path.rstrip('/')}/_done"
 
     def there(folder):
@@ -105,10 +100,11 @@ def update_index(spark, docs: DataFrame, path: str, width: int = CHUNK_WIDTH,
     if there(done):
         seen = seen.unionByName(spark.read.parquet(done))
     from quire.session import materialize
-    keys = materialize(C.incremental_anti(docs.select(key), seen, [key]).distinct())
+    # null-safe: documents without a key are indexed once, as those of any key
+    fresh, seen = docs.select(key).distinct().alias("f"), seen.distinct().alias("s")
+    keys = materialize(fresh.join(seen, F.col(f"f.{key}").eqNullSafe(F.col(f"s.{key}")), "left_anti"))
     n = keys.count()
     if n:
-        # null-safe, as a null key is never among the keys seen
         new = docs.alias("d").join(keys.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col(f"k.{key}")), "left_semi")
         save_index(build_index(new, width, dim), path, mode="append")
         keys.write.mode("append").parquet(done)

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from quire.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-NO_ORACLE = {"file_manifest"}
+NO_ORACLE: set = set()
 
 
 def _norm(v):
@@ -63,5 +63,6 @@ def test_query_matches_oracle(spark, duck, key):
 
 
 def test_file_manifest_lists_tables(spark):
-    rows = E.queries()["file_manifest"](spark, SF).collect()
+    from quire.sources import files
+    rows = files.file_manifest(spark, SF, pattern="*.parquet").collect()
     assert {r.rel_path for r in rows} == {f"{t}.parquet" for t in TABLES}

@@ -33,12 +33,14 @@ def test_knn_matches_bruteforce(spark, sf_small):
         assert np.allclose([h[1] for h in got[qid]], [h[1] for h in hits], atol=1e-9)
 
 
-def test_knn_many_query_blocks_equal_one_block(spark, sf_small):
+def test_knn_small_groups_equal_one_group(spark, sf_small):
+    """Many cells, salts and query parts give what one group gives."""
     emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
     q = emb.select(F.col("vec_id").alias("qid"), "embedding")
-    one = knn.knn_topk(emb, q, 3).collect()
-    many = knn.knn_topk(emb, q, 3, max_block_bytes=4096).collect()
+    one = knn.knn_topk(emb, q, 3, cells=1).collect()
+    many = knn.knn_topk(emb, q, 3, cells=9, corpus_rows=5, query_rows=7).collect()
     key = lambda r: (r.qid, r.rank)
+    assert len(one) == 3 * q.count()
     assert [(r.qid, r.rank, r.vec_id) for r in sorted(one, key=key)] == \
         [(r.qid, r.rank, r.vec_id) for r in sorted(many, key=key)]
 
@@ -61,16 +63,6 @@ def test_context_assembly_in_rank_order(spark):
     assert got == {1: "first\nsecond", 2: "only"}
 
 
-def test_knn_many_blocks_written_path(spark, sf_small):
-    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
-    q = emb.select(F.col("vec_id").alias("qid"), "embedding")
-    one = knn.knn_topk(emb, q, 2).collect()
-    many = knn.knn_topk(emb, q, 2, max_block_bytes=1024).collect()  # > 8 blocks
-    key = lambda r: (r.qid, r.rank)
-    assert [(r.qid, r.rank, r.vec_id) for r in sorted(one, key=key)] == \
-        [(r.qid, r.rank, r.vec_id) for r in sorted(many, key=key)]
-
-
 def test_hash_embedding_matches_python(spark, sf_small):
     import hashlib
     import re
@@ -94,13 +86,46 @@ def test_knn_duplicates_do_not_inflate_candidates(spark):
     q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.1, 0.9])], "qid long, embedding array<float>")
     got = knn.knn_topk(corpus, q, 3).orderBy("qid", "rank").collect()
     assert [(r.qid, r.vec_id) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
-    from quire.operators.knn import _local_topk
-    import pyarrow as pa
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()),
-         pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["vec_id", "cv"])
-    out = list(_local_topk(np.array([1, 2]), np.array([[1.0, 1.0], [1.1, 0.9]]), 3, 2, 4096)([batch]))
-    assert sum(b.num_rows for b in out) == 6
+    ids, mat = np.array([[r[0]] for r in rows]), np.array([r[1] for r in rows])
+    out = list(knn._group_topk(ids, mat, np.array([[1.0, 1.0], [1.1, 0.9]]), np.array([3, 2]), np.full(2, np.inf)))
+    assert [len(o[0]) for o in out] == [5]
+    # the copies' cell is cut into groups that many tasks share
+    small = knn.knn_topk(corpus, q, 3, corpus_rows=100).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.vec_id) for r in small] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    made = knn._cells_of(corpus.select(F.col("embedding").alias("cv")), 2, 16, 100)
+    assert made.salts.max() >= 30 and made.ring_count.sum() == 9000
+
+
+def test_each_query_has_its_own_k(spark):
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [0.0, 0.0], 2), (2, [39.0, 0.0], 0), (3, [10.2, 0.0], None), (4, [5.0, 0.0], 100), (4, [5.0, 0.0], 1),
+                               (5, [5.0, 0.0], -1)], "qid long, embedding array<float>, top_k int")
+    got = knn.knn_topk(corpus, q, 3, k_col="top_k", cells=5, corpus_rows=4, query_rows=2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.qid, []).append((r["rank"], r.vec_id))
+    assert sorted(by) == [1, 3, 4]
+    assert sorted(by[1]) == [(1, 0), (2, 1)] and sorted(by[3]) == [(1, 10), (2, 11), (3, 9)]
+    assert len(by[4]) == 41 and sorted(by[4])[:2] == [(1, 5), (1, 5)]  # two rows of one id are two queries
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_ruled_out(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 100, (20, 8))
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.1, 8)).tolist()) for i in range(2000)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    q = corpus.where("vec_id < 60").select(F.col("vec_id").alias("qid"), "embedding")
+    made = knn._cells_of(corpus.select(F.col("embedding").alias("cv")), 8, 64, 1000)
+    asked = knn._asked(q.select("qid", F.lit(5).alias("top_k"), F.col("embedding").alias("qv")), 8, made)
+    each = [len(r.cells) for r in asked.collect()]
+    # pivots of the query's own cluster, and no other
+    assert len(each) == 60 and max(each) < len(made.pivots) / 3
+    ids, mat = [r[0] for r in rows], np.array([r[1] for r in rows], np.float32)
+    want = brute(ids, mat, list(range(60)), mat[:60], 5)
+    got = {}
+    for r in knn.knn_topk(corpus, q, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.vec_id)
+    assert got == {k: [i for i, _ in v] for k, v in want.items()}
 
 
 def test_squared_l2_expression_matches_numpy(spark, sf_small):

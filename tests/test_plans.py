@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"stream_sentence_pack", "stream_latest_status", "file_manifest"}
+STREAMS = {"stream_sentence_pack", "stream_latest_status", "task_status"}
 
 
 def _plan(df) -> str:
@@ -39,12 +39,21 @@ def test_scans_are_pruned(spark, key, cols):
         assert read <= cols, (key, read)
 
 
-def test_knn_scan_does_not_shuffle_the_corpus(spark):
+def test_knn_meets_in_groups_of_cells(spark):
+    import inspect
+
+    from quire.operators import knn
     plan = _plan(E.queries()["knn_topk"](spark, SF))
-    # one exchange: the partial top-k rows on qid; the corpus feeds MapInArrow directly
-    assert plan.count("Exchange") == 1
-    assert "MapInArrow" in plan
-    assert "WindowGroupLimit" in plan
+    # both sides are dealt out by (cell, salt, part), the survivors by query; no side is
+    # gathered on the driver or broadcast
+    assert "CoGroups" in plan and "WindowGroupLimit" in plan
+    assert "Broadcast" not in plan
+    assert "toArrow" not in inspect.getsource(knn) and "broadcast(" not in inspect.getsource(knn)
+
+
+def test_pages_take_one_exchange(spark):
+    for key in ("page_concat", "page_concat_nl", "corpus_union"):
+        assert _plan(E.queries()[key](spark, SF)).count("Exchange") == 1, key
 
 
 @pytest.mark.parametrize("key", ["text_prefix", "qgen_prompt", "quarantine", "min_text_filter",

@@ -69,12 +69,12 @@ def test_train_examples_drop_missing_answers(spark):
     assert [r.id for r in qa.train_examples(flat).collect()] == ["1"]
 
 
-def test_page_assembly_two_levels_and_windows_with_question(spark):
+def test_page_assembly_and_windows_with_question(spark):
     from quire.operators import chunking
     pages = spark.createDataFrame([(1, p, f"p{p}") for p in range(10)] + [(2, 0, None)],
                                   "doc long, page int, text string")
     got = {r.doc: (r.text, r.n_pages) for r in
-           chunking.assemble_pages(pages, "doc", "page", "text", "|", block=3).collect()}
+           chunking.assemble_pages(pages, "doc", "page", "text", "|").collect()}
     assert got == {1: ("|".join(f"p{p}" for p in range(10)), 10), 2: ("", 1)}
     ctx = " ".join(f"w{i}" for i in range(1000))
     df = spark.createDataFrame([(1, "a b c d", ctx)], "id int, q string, text string")

@@ -23,14 +23,13 @@ def test_incremental_index_equals_full_build(spark, sf_small, scratch):
     assert stored == full
 
 
-def test_contexts_from_stored_index_equal_rechunked(spark, sf_small, scratch):
+def test_contexts_from_stored_index_equal_the_lazy_one(spark, sf_small, scratch):
     docs = _docs(spark, sf_small)
     path = f"{scratch}/index2"
-    R.save_index(R.build_index(docs), path)
     q = spark.read.parquet(f"{sf_small}/benchmark.parquet").select(
         F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    a = {r.qid: r.context for r in R.contexts(R.load_index(spark, path), q, 3).collect()}
-    b = {r.qid: r.context for r in R.contexts(R.build_index(docs), q, 3, docs).collect()}
+    a = {r.qid: r.context for r in R.contexts(R.stored_index(spark, docs, path), q, 3).collect()}
+    b = {r.qid: r.context for r in R.contexts(R.build_index(docs), q, 3).collect()}
     assert a == b and len(a) == q.count()
 
 

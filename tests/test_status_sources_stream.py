@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import chunking, corpus, status
 from quire.sources import files
-from quire.streaming import ingest
+from quire.streaming import ingest, views
 
 
 def _events(spark):
@@ -135,7 +135,7 @@ def test_status_table_stream_incremental_equals_batch(spark, scratch):
     ev.where(F.col("seq") > 1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(ev.schema).parquet(src)
     ingest.stream_status_table(spark, stream, out, ckpt)
-    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    got = sorted(tuple(r) for r in views.read_view(spark, out).collect())
     want = sorted(tuple(r) for r in status.latest_status(ev).collect())
     assert got == want
 
