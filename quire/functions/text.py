@@ -2,12 +2,14 @@
 token windows, path parts.
 
 Everything here returns a :class:`pyspark.sql.Column` made of built-in Spark SQL
-expressions (regexes, ``transform``/``filter``/``aggregate``), so it runs inside
-the JVM next to the parquet scan and never round-trips rows through Python.
+expressions (regexes, ``transform``/``filter``/``aggregate``), which run inside
+the JVM next to the parquet scan.  Only :func:`wrap` hands the texts that its regex
+cannot wrap to an Arrow function.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,26 +20,6 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 # The same set as characters, derived from Python's own rule (29 code points).
 WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
-# Python's \w (letters, all numerics, underscore).
-WORD = r"[\p{L}\p{N}_]"
-# Python's [^\d\W]: word characters that are not decimal digits.
-LETTER = r"[\p{L}\p{Nl}\p{No}_]"
-# Characters after which a double hyphen counts as an em-dash.
-WORD_PUNCT = r"""[\p{L}\p{N}_!"'&.,?]"""
-
-# Word-wrap tokens on whitespace-normalised text: a run of spaces, an em-dash
-# between words, or a (possibly hyphen-broken) word.  This is the documented
-# tokenisation of the standard library wrapper, written for Java regex.
-WRAP_TOKEN = (
-    "( +"
-    f"|(?<={WORD_PUNCT})-{{2,}}(?={WORD})"
-    "|[^ ]+?(?:"
-    f"-(?:(?<={LETTER}{{2}}-)|(?<={LETTER}-{LETTER}-))(?={LETTER}-?{LETTER})"
-    r"|(?= |\z)"
-    f"|(?<={WORD_PUNCT})(?=-{{2,}}{WORD})"
-    "))"
-)
-
 # Whitespace other than the ASCII space that can remain after munging.
 _OTHER_SPACE = r"[\x1C-\x1F\x85\p{Z}&&[^ ]]"
 
@@ -119,135 +101,31 @@ def _munge(text: Column) -> Column:
     return F.translate(_expand_tabs(text), "\t\n\x0b\x0c\r", "     ")
 
 
-def _last_hyphen_cut(chunk: Column, space: Column) -> Column:
-    """End of the first piece when a too-long token is broken at ``space``:
-    after the last hyphen inside the window, if that hyphen is not the first
-    character and has a non-hyphen before it; otherwise at the window edge."""
-    window = chunk.substr(F.lit(1), space)
-    rpos = F.locate("-", F.reverse(window))
-    hyphen = F.when(rpos > 0, F.length(window) - rpos).otherwise(F.lit(-1))
-    ok = (hyphen > 0) & window.substr(F.lit(1), F.greatest(hyphen, F.lit(0))).rlike("[^-]")
-    return F.when(ok, hyphen + 1).otherwise(space)
-
-
-_FIELDS = ("lines", "pre", "start", "cnt", "curlen", "nparts", "tailblank", "taillen", "fresh", "idx")
-
-
-def _state(**kw) -> Column:
-    return F.struct(*[kw[f].alias(f) for f in _FIELDS])
-
-
-def _line_text(toks: Column, pre: Column, start: Column, cnt: Column) -> Column:
-    # the open line is an optional carried piece plus a run of whole tokens
-    return F.concat(pre, F.array_join(F.slice(toks, start, cnt), ""))
-
-
-def _emitted(lines, text, curlen, nparts, tailblank, taillen) -> Column:
-    """Lines after closing the open line: a trailing blank part is dropped and
-    an empty line is not emitted."""
-    remaining = F.when(tailblank, nparts - 1).otherwise(nparts)
-    out = F.when(tailblank, text.substr(F.lit(1), curlen - taillen)).otherwise(text)
-    return F.when(remaining > 0, F.concat(lines, F.array(out))).otherwise(lines)
+def _is_plain(munged: Column, width: int) -> Column:
+    """With no '-' (no hyphen or em-dash breaks), no word longer than the width, no
+    leading space and no white space other than ' ', greedy filling is exactly: each
+    line is the longest run of at most ``width`` characters that starts and ends on
+    a non-space and is followed by a space or the end."""
+    return (~munged.contains("-")) & (~munged.rlike(f"[^ ]{{{width + 1}}}")) & \
+        (~munged.startswith(" ")) & (~munged.rlike(_OTHER_SPACE))
 
 
 def wrap(text, width: int = 500) -> Column:
     """``textwrap.wrap(text, width)`` with the standard defaults.
 
-    The text is whitespace-normalised.  Plain text (no hyphen, no over-long
-    word, no leading or exotic whitespace) is wrapped by one greedy regex;
-    anything else is tokenised by :data:`WRAP_TOKEN` and folded greedily: a token that fits is appended; one that does not closes the line;
-    one longer than ``width`` fills the remaining space and is then cut into
-    width-sized, hyphen-aware pieces.  Whitespace at the start of every line but
-    the first and at the end of every line is dropped.  Blank or null text gives
-    an empty array / null.
+    Plain text (:func:`_is_plain`) is wrapped in the JVM by one greedy regex.  Any
+    other text is broken over Arrow batches by a table of token ends
+    (:mod:`quire.functions.breaks`); plain texts are not sent there.  Blank text gives
+    an empty array, null gives null."""
+    @F.arrow_udf("array<string>")
+    def broken(texts: pa.Array) -> pa.Array:
+        from quire.functions.breaks import wrap_lines
+        return pa.array([None if t is None else wrap_lines(t, width) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    The fold state keeps the open line as a token index range, so each step is
-    constant work and a line's string is built once, when it is emitted.
-    """
-    W = F.lit(width)
-    empty = F.array().cast("array<string>")
-    zero_ = F.lit(0)
-    f = F.lit(False)
-
-    def fold(toks: Column) -> Column:
-        zero = _state(lines=empty, pre=F.lit(""), start=F.lit(1), cnt=zero_, curlen=zero_,
-                      nparts=zero_, tailblank=f, taillen=zero_, fresh=F.lit(True), idx=zero_)
-
-        def step(acc: Column, t: Column) -> Column:
-            lines, pre, start, cnt = acc["lines"], acc["pre"], acc["start"], acc["cnt"]
-            curlen, nparts, tailblank, taillen = acc["curlen"], acc["nparts"], acc["tailblank"], acc["taillen"]
-            i = acc["idx"] + 1
-            n = F.length(t)
-            blank = is_blank(t)
-            empty_line = dict(pre=F.lit(""), start=i + 1, cnt=zero_, curlen=zero_, nparts=zero_,
-                              tailblank=f, taillen=zero_, fresh=f, idx=i)
-
-            dropped = _state(lines=lines, **empty_line)
-            appended = _state(lines=lines, pre=pre, start=start, cnt=cnt + 1, curlen=curlen + n,
-                              nparts=nparts + 1, tailblank=blank, taillen=n, fresh=f, idx=i)
-
-            # the token fits an empty line: close the open line, start over with t
-            closed = _emitted(lines, _line_text(toks, pre, start, cnt), curlen, nparts, tailblank, taillen)
-            restart = F.when(blank & (F.size(closed) > 0), _state(lines=closed, **empty_line)) \
-                .otherwise(_state(lines=closed, pre=F.lit(""), start=i, cnt=F.lit(1), curlen=n,
-                                  nparts=F.lit(1), tailblank=blank, taillen=n, fresh=f, idx=i))
-
-            # the token is longer than the width: fill the line, then cut the rest
-            end = _last_hyphen_cut(t, W - curlen)
-            head = t.substr(F.lit(1), end)
-            rest = t.substr(end + 1, n)
-            after_head = _emitted(lines, F.concat(_line_text(toks, pre, start, cnt), head),
-                                  curlen + F.length(head), nparts + 1, is_blank(head), F.length(head))
-
-            def cut_rest(r: Column) -> Column:
-                return F.aggregate(
-                    F.sequence(F.lit(1), (F.length(r) / W).cast("int") * 2 + 3),
-                    F.struct(empty.alias("pieces"), r.alias("rest")),
-                    lambda a, _i: F.when(
-                        F.length(a["rest"]) > W,
-                        let(_last_hyphen_cut(a["rest"], W), lambda e: F.struct(
-                            F.concat(a["pieces"], F.array(a["rest"].substr(F.lit(1), e))).alias("pieces"),
-                            a["rest"].substr(e + 1, F.length(a["rest"])).alias("rest")))
-                    ).otherwise(a))
-
-            def long_word(cut: Column) -> Column:
-                carry = cut["rest"]
-                full = F.concat(after_head, F.filter(cut["pieces"], lambda p: ~is_blank(p)))
-                # a blank remainder at the start of a later line is dropped too
-                return F.when(is_blank(rest) & (F.size(after_head) > 0),
-                              _state(lines=after_head, **empty_line)) \
-                    .when(is_blank(carry) & (F.size(full) > 0), _state(lines=full, **empty_line)) \
-                    .otherwise(_state(
-                        lines=full, pre=carry, start=i + 1, cnt=zero_, curlen=F.length(carry),
-                        nparts=F.lit(1), tailblank=is_blank(carry), taillen=F.length(carry),
-                        fresh=f, idx=i))
-
-            return (F.when(acc["fresh"] & blank & (F.size(lines) > 0), dropped)
-                    .when(curlen + n <= W, appended)
-                    .when(n <= W, restart)
-                    .otherwise(let(cut_rest(rest), long_word)))
-
-        def finish(acc: Column) -> Column:
-            return _emitted(acc["lines"], _line_text(toks, acc["pre"], acc["start"], acc["cnt"]),
-                            acc["curlen"], acc["nparts"], acc["tailblank"], acc["taillen"])
-
-        return F.aggregate(toks, zero, step, finish)
-
-    def wrap_munged(munged: Column) -> Column:
-        # Fast path.  With no '-' (no hyphen or em-dash breaks), no word longer
-        # than the width, no leading space and no whitespace other than ' ',
-        # greedy filling is exactly: each line is the longest run of at most
-        # ``width`` characters that starts and ends on a non-space and is
-        # followed by a space or the end.  Every other text takes the fold.
-        plain = (~munged.contains("-")) & (~munged.rlike(f"[^ ]{{{width + 1}}}")) & \
-            (~munged.startswith(" ")) & (~munged.rlike(_OTHER_SPACE))
-        greedy = F.regexp_extract_all(
-            munged, F.lit(f"[^ ](?:.{{0,{max(width - 2, 0)}}}[^ ])?(?= |\\z)" if width > 1
-                          else "[^ ](?= |\\z)"), 0)
-        tokens = F.regexp_extract_all(munged, F.lit(WRAP_TOKEN), 1)
-        return F.when(plain, greedy).otherwise(let(tokens, fold))
-
-    return let(_munge(_col(text)), wrap_munged)
+    text = _col(text)
+    plain = let(_munge(text), lambda m: _is_plain(m, width))
+    greedy = F.lit(f"[^ ](?:.{{0,{max(width - 2, 0)}}}[^ ])?(?= |\\z)" if width > 1 else "[^ ](?= |\\z)")
+    return F.when(plain, F.regexp_extract_all(_munge(text), greedy, 0)).otherwise(broken(F.when(~plain, text)))
 
 
 # --- E4: sentence split and greedy pack -------------------------------------
@@ -268,20 +146,25 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     chunks longer than ``min_length`` are kept.
 
     The fold runs over sentence lengths only and records where each chunk
-    starts; chunk strings are then built once from slices of the sentences
-    (``s1. s2.`` is exactly the stripped ``s1. s2. ``).
+    starts, in blocks of 256, so that a step never copies more than a block (the
+    table of full blocks is copied once in 256 chunks); chunk strings are then
+    built once from slices of the sentences (``s1. s2.`` is exactly the stripped
+    ``s1. s2. ``).
     """
     def pack(sents: Column) -> Column:
-        zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("cur"),
+        none = F.array().cast("array<int>")
+        zero = F.struct(F.array().cast("array<array<int>>").alias("full"), none.alias("starts"), F.lit(0).alias("cur"),
                         F.lit(0).alias("i"))
 
         def step(acc: Column, n: Column) -> Column:
             i = acc["i"] + 1
             fits = acc["cur"] + n < max_length
-            starts = F.when(~fits & (acc["cur"] > 0), F.concat(acc["starts"], F.array(i))) \
-                .when(i == 1, F.array(i)).otherwise(acc["starts"])
+            opens = (~fits & (acc["cur"] > 0)) | (i == 1)
+            fills = opens & (F.size(acc["starts"]) >= 256)
+            full = F.when(fills, F.concat(acc["full"], F.array(acc["starts"]))).otherwise(acc["full"])
+            starts = F.when(fills, F.array(i)).when(opens, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"])
             cur = F.when(fits, acc["cur"] + n + 2).otherwise(n + 2)
-            return F.struct(starts.alias("starts"), cur.alias("cur"), i.alias("i"))
+            return F.struct(full.alias("full"), starts.alias("starts"), cur.alias("cur"), i.alias("i"))
 
         def build(starts: Column) -> Column:
             total = F.size(sents)
@@ -290,7 +173,7 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
             return F.filter(chunks, lambda c: F.length(c) > min_length)
 
         lengths = F.transform(sents, F.length)
-        return let(F.aggregate(lengths, zero, step, lambda acc: acc["starts"]), build)
+        return let(F.aggregate(lengths, zero, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["starts"])), build)
 
     return let(sentences_stripped(text), pack)
 

@@ -137,17 +137,21 @@ def numbered_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
     * questions ``(paragraph_no, position, id, question, answers)``: ``position`` is
       the 0-based place among the paragraph's questions.
 
-    Both numbers come from range sorts (:func:`~quire.operators.positions.number_within`);
-    contexts are not part of what is sorted.  ``qa`` is read twice: pass a written table.
+    Both numbers come from range sorts (:func:`~quire.operators.positions.number_within`).
+    A context is known by its sha256 there: contexts travel once, in the paragraphs'
+    partial aggregate, and questions are sorted and joined without them.  ``qa`` is read
+    several times: pass a written table.
     """
-    paras, rows = paragraph_tables(qa, task_id)
-    paras = number_within(materialize(paras.select("first", "title", "context", "n_qas"), "paragraphs"),
-                          [], ["first"], "paragraph_no", name="paragraphs-numbered")
-    rows = number_within(materialize(rows.select("first", "at", "id", "question", "answers"), "questions"),
-                         ["first"], ["at"], "position", name="questions-numbered")
-    rows = rows.join(paras.select("first", "paragraph_no"), "first") \
-        .select("paragraph_no", "position", "id", "question", "answers")
-    return paras.select("paragraph_no", "title", "context", "n_qas"), rows
+    place = F.struct(*PLACE)
+    key = F.coalesce(F.unhex(F.sha2(F.col("context").cast("binary"), 256)), F.lit("").cast("binary")).alias("ck")
+    paras = qa.groupBy(key).agg(F.min(place).alias("first"), F.min_by("context", place).alias("context"), F.count(F.lit(1)).alias("n_qas"))
+    paras = materialize(paras, "paragraphs")
+    numbers = number_within(paras.select("ck", "first"), [], ["first"], "paragraph_no", name="paragraphs-numbered").select("ck", "paragraph_no")
+    answers = F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").cast("int").alias("answer_start")))
+    rows = number_within(qa.select(key, place.alias("at"), "id", "question", answers.alias("answers")),
+                         ["ck"], ["at"], "position", name="questions-numbered")
+    return (paras.join(numbers, "ck").select("paragraph_no", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas"),
+            rows.join(numbers, "ck").select("paragraph_no", "position", "id", "question", "answers"))
 
 
 def paragraphs(qa: DataFrame, task_id: str) -> DataFrame:
