@@ -1,6 +1,6 @@
-"""Line breaks of the standard library's word wrapper, as offsets.
+"""Breaks of long texts as offsets: word wrap and sentence packing in linear time.
 
-The text is cut into the wrapper's own tokens; a table of the tokens' ends tells, by
+Word wrap is that of the standard library.  The text is cut into the wrapper's own tokens; a table of the tokens' ends tells, by
 binary search, the last token that still fits a line.  A line is a pair of offsets
 into the text: nothing grows from line to line, and a token longer than a line is
 cut by moving an offset, so the work is linear in the text, for one endless word as
@@ -9,10 +9,13 @@ for many short ones.
 
 from __future__ import annotations
 
+import re
 import textwrap
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
+
 _WRAPPER = textwrap.TextWrapper()
 
 
@@ -54,3 +57,20 @@ def line_offsets(text: str, width: int) -> list[tuple[int, int]]:
 def wrap_lines(text: str, width: int) -> list[str]:
     text = munged(text)
     return [text[a:b] for a, b in line_offsets(text, width)]
+
+
+def pack_sentences(text: str, max_length: int, min_length: int) -> list[str]:
+    """The chunks of :func:`quire.functions.text.sentence_pack`.  Where a chunk that
+    starts at sentence ``i`` ends follows from the sentences' cumulative lengths, for
+    every ``i`` at once; the chunks are a walk along that table."""
+    sentences = [s for s in map(str.strip, re.split("[.!?]+", text)) if s]
+    n = len(sentences)
+    ends = np.cumsum([len(s) + 2 for s in sentences], dtype=np.int64)  # each is written with a separator of 2
+    starts = np.concatenate([[0], ends[:-1]])
+    # a sentence joins while the chunk's length and its own stay under max_length
+    after = np.maximum(np.searchsorted(ends, starts + max_length + 2, "left"), np.arange(1, n + 1)).tolist()
+    chunks, at = [], 0
+    while at < n:
+        chunks.append(". ".join(sentences[at:after[at]]) + ".")
+        at = after[at]
+    return [c for c in chunks if len(c) > min_length]

@@ -3,8 +3,8 @@ token windows, path parts.
 
 Everything here returns a :class:`pyspark.sql.Column` made of built-in Spark SQL
 expressions (regexes, ``transform``/``filter``/``aggregate``), which run inside
-the JVM next to the parquet scan.  Only :func:`wrap` hands the texts that its regex
-cannot wrap to an Arrow function.
+the JVM next to the parquet scan.  Two go over Arrow batches: :func:`sentence_pack`,
+and :func:`wrap` for the texts that its regex cannot wrap.
 """
 
 from __future__ import annotations
@@ -130,12 +130,6 @@ def wrap(text, width: int = 500) -> Column:
 
 # --- E4: sentence split and greedy pack -------------------------------------
 
-def sentences_stripped(text) -> Column:
-    """Split on runs of ``.``/``!``/``?``, strip, drop blanks."""
-    return F.filter(F.transform(F.split(_col(text), "[.!?]+", -1), py_strip),
-                    lambda s: s != F.lit(""))
-
-
 def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     """Greedy packing of stripped sentences, each written back as ``s + '. '``.
 
@@ -145,37 +139,17 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     own and is never split.  Finished chunks lose the trailing space; only
     chunks longer than ``min_length`` are kept.
 
-    The fold runs over sentence lengths only and records where each chunk
-    starts, in blocks of 256, so that a step never copies more than a block (the
-    table of full blocks is copied once in 256 chunks); chunk strings are then
-    built once from slices of the sentences (``s1. s2.`` is exactly the stripped
-    ``s1. s2. ``).
+    A chunk's end depends on where it starts, and a fold would carry (and copy) its
+    list of chunks from step to step; a table of next breaks over Arrow batches
+    (:func:`quire.functions.breaks.pack_sentences`) takes time linear in the text.
     """
-    def pack(sents: Column) -> Column:
-        none = F.array().cast("array<int>")
-        zero = F.struct(F.array().cast("array<array<int>>").alias("full"), none.alias("starts"), F.lit(0).alias("cur"),
-                        F.lit(0).alias("i"))
-
-        def step(acc: Column, n: Column) -> Column:
-            i = acc["i"] + 1
-            fits = acc["cur"] + n < max_length
-            opens = (~fits & (acc["cur"] > 0)) | (i == 1)
-            fills = opens & (F.size(acc["starts"]) >= 256)
-            full = F.when(fills, F.concat(acc["full"], F.array(acc["starts"]))).otherwise(acc["full"])
-            starts = F.when(fills, F.array(i)).when(opens, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"])
-            cur = F.when(fits, acc["cur"] + n + 2).otherwise(n + 2)
-            return F.struct(full.alias("full"), starts.alias("starts"), cur.alias("cur"), i.alias("i"))
-
-        def build(starts: Column) -> Column:
-            total = F.size(sents)
-            chunks = F.transform(starts, lambda st, k: F.concat(F.array_join(F.slice(
-                sents, st, F.coalesce(F.try_element_at(starts, k + 2), total + 1) - st), ". "), F.lit(".")))
-            return F.filter(chunks, lambda c: F.length(c) > min_length)
-
-        lengths = F.transform(sents, F.length)
-        return let(F.aggregate(lengths, zero, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["starts"])), build)
-
-    return let(sentences_stripped(text), pack)
+    @F.arrow_udf("array<string>")
+    def packed(texts: pa.Array) -> pa.Array:
+        from quire.functions.breaks import pack_sentences
+        return pa.array([None if t is None else pack_sentences(t, max_length, min_length) for t in texts.to_pylist()],
+                        pa.list_(pa.string()))
+
+    return packed(_col(text))
 
 
 # --- sentence spans used by the extractive answerer -------------------------

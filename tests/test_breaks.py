@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 import textwrap
 import time
 
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.breaks import line_offsets, wrap_lines
+from quire.functions.breaks import line_offsets, pack_sentences, wrap_lines
 
 PARTS = ["a", "bb", "word", "-", "--", "---", "é-è", "co-op", "x" * 9, "y-z" * 6, " ", "  ", "\t", "\n", "\x0b", "\x85", " ", "　",
          "a--b", "?--x", "'-'", "--" * 8, "😀", "1-2", "ab-1"]
@@ -23,6 +24,32 @@ def test_offsets_equal_the_standard_wrapper():
             assert wrap_lines(text, width) == textwrap.wrap(text, width), (text, width)
 
 
+def _packed(text, max_length, min_length):
+    chunks, cur = [], ""
+    for s in (x.strip() for x in re.split("[.!?]+", text)):
+        if not s:
+            continue
+        if len(cur) + len(s) < max_length:
+            cur += s + ". "
+        else:
+            chunks += [cur.strip()] if cur else []
+            cur = s + ". "
+    chunks += [cur.strip()] if cur else []
+    return [c for c in chunks if len(c) > min_length]
+
+
+def test_packing_equals_its_definition(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice(["word", "é", "x" * 40, " ", "  ", "\n", ". ", "!? ", "...", "　"]) for _ in range(r.randrange(60)))
+             for _ in range(400)]
+    for text in texts:
+        for limits in ((30, 5), (60, 0), (512, 50)):
+            assert pack_sentences(text, *limits) == _packed(text, *limits)
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, text string").repartition(2)
+    got = {r.k: r.c for r in df.select("k", T.sentence_pack("text", 60, 5).alias("c")).collect()}
+    assert got == {-1: None} | {i: _packed(t, 60, 5) for i, t in enumerate(texts)}
+
+
 def test_wrapping_time_is_linear():
     """A text of 20 MB takes little more than ten times one of 2 MB, one endless word
     included."""
