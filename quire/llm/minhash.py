@@ -7,18 +7,20 @@ estimates the Jaccard similarity.  ``rows`` values make a band; at a
 similarity of 0.8 the defaults (80 permutations, 32 bands of 5) miss a pair
 with a probability of 3e-6.
 
-1. Texts of equal sets are one class, represented by its smallest id: the copies
-   of a text never meet in pairs.
+1. Texts of equal sets are one class, known by its smallest id: the copies of a
+   text never meet in pairs, and only classes go on.
 2. In each bucket (band, values) the smallest member is compared with the
    others: a star, not all pairs.  Links are confirmed on the full sets.
-3. Components of these links.  Then, in buckets that still hold several
-   components, members outside the bucket's largest component are compared
-   with the members of the other components, so that a link which does not go
-   through a bucket's centre is found too; inside a component nothing is left
-   to learn.  This goes block by block over sketches of 512 values, and only
+3. One round of large-star and small-star gives each linked class a label; classes of
+   one label are connected.  Then, in buckets that still hold several
+   labels, members outside the bucket's largest label are compared
+   with the members of the other labels, so that a link which does not go
+   through a bucket's centre is found too; between classes of one label nothing is
+   left to learn.  This goes block by block over sketches of 512 values, and only
    pairs that can reach the similarity (five standard deviations) come out, to
    be confirmed on the full sets.
-4. Components of all links by alternating large-star and small-star steps.
+4. Components of labels and new links by alternating large-star and small-star
+   steps, until every component is a star; documents take them over from their class.
 
 Tables between the steps are written to the shared folder, so that a lost
 executor costs a task, and no list of a bucket, links or components reaches the
@@ -33,6 +35,8 @@ ties go to the smaller id.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,7 +48,7 @@ from quire.session import materialize
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 #: Permutations of the longer signature, members of a bucket compared in one block.
-SKETCH, BLOCK = 256, 2048
+SKETCH, BLOCK = 256, 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,16 +115,26 @@ def _signed(df: DataFrame, k: int, perms: int, rows: int) -> DataFrame:
     return df.mapInArrow(lean(run), "id long, n long, dig binary, keys array<long>")
 
 
-def _sets(df: DataFrame, k: int) -> DataFrame:
+def _sets(df: DataFrame, k: int, perms: int, rows: int) -> DataFrame:
+    """id, s (the set), sig: 8 bits of each value of a longer signature (2 * SKETCH
+    values), on which a pair's similarity is estimated before its sets are compared;
+    keys: the set's buckets, by which a pair is compared in its first one only."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(1)], pa.binary())],
-                    names=["id", "s"])
+        a, b = permutations(SKETCH, seed=12)
+        pa_, pb_ = permutations(perms)
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            ids, sets, sig, keys = [], [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = shingle_set(t.as_py(), k)
+                if len(s):
+                    ids.append(i)
+                    sets.append(s.tobytes())
+                    sig.append(_mix(signature(s, a, b)).astype(np.uint8).tobytes())
+                    keys.append(band_keys(signature(s, pa_, pb_), rows).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.binary()) for c in (sets, sig, keys)]],
+                                             names=["id", "s", "sig", "keys"])
 
-    return df.mapInArrow(lean(run), "id long, s binary")
+    return df.mapInArrow(lean(run), "id long, s binary, sig binary, keys binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -141,25 +155,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return x.mapInArrow(lean(run), "a long, b long")
 
 
-def _sketches(sets: DataFrame, perms: int, rows: int) -> DataFrame:
-    """id, sig: 8 bits of each value of a longer signature (2 * SKETCH values),
-    on which a pair's similarity is estimated before its sets are compared;
-    keys: the set's buckets, by which a pair is compared in its first one only."""
-    def run(batches):
-        a, b = permutations(SKETCH, seed=12)
-        pa_, pb_ = permutations(perms)
-        for batch in batches:
-            sig, keys = [], []
-            for x in batch.column(1):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                sig.append(_mix(signature(s, a, b)).astype(np.uint8).tobytes())
-                keys.append(band_keys(signature(s, pa_, pb_), rows).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())],
-                                             names=["id", "sig", "keys"])
-
-    return sets.mapInArrow(lean(run), "id long, sig binary, keys binary")
-
-
 def _close_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a < b) of a bucket's members in different components, at least one
     outside the bucket's largest, whose sketches agree so far that a similarity
@@ -236,62 +231,70 @@ def _close_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return x.mapInArrow(lean(run), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root) for every node of ``edges`` (a, b): root is the smallest id
-    reachable.  Alternating large-star and small-star until nothing moves."""
-    def both(e):
-        return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(e, large):
-        # a node's neighbours hang on the least of them and itself: the larger
-        # neighbours in a large-star step, the smaller ones in a small-star step
-        near = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        x = near.join(least, near["a"] == least["u"])
-        hung = x.where(F.col("b") > F.col("a")) if large else x.where(F.col("b") != F.col("m"))
-        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def mark(e):
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
+def _both(e: DataFrame) -> DataFrame:
+    return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """A node's neighbours hang on the least of them and itself: the larger
+    neighbours in a large-star step, the smaller ones in a small-star step."""
+    near = _both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    x = near.join(least, near["a"] == least["u"])
+    hung = x.where(F.col("b") > F.col("a")) if large else x.where(F.col("b") != F.col("m"))
+    out = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not large:
+        out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def _round(e: DataFrame) -> DataFrame:
+    return materialize(_star(_star(e, True), False), "edges")
+
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every node of the edges (a, b) has one edge to a node that has none,
+    so that ``b`` is the root of ``a``."""
+    ends = e.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("in")) \
+        .union(e.select("b", F.lit(0), F.lit(1)))
+    open_ = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)")
+    return not open_.limit(1).count()
+
+
+def _labelled(e: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of edges (a, root)."""
+    return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")) \
+        .union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for every node of ``edges`` (a, b): root is the smallest id
+    reachable.  Alternating large-star and small-star until all are stars."""
     edges = materialize(edges.where("a <> b").distinct(), "edges")
-    seen = mark(edges)
-    if not seen[0]:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    for _ in range(max_rounds):
-        edges = materialize(star(star(edges, True), False), "edges")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    if edges.limit(1).count():
+        edges = _round(edges)
+        while not _all_stars(edges):
+            edges = _round(edges)
+    return _labelled(edges)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = 5, similarity: float = 0.8,
            perms: int = 80, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     require(docs, doc_id, text)
-    num, den = round(similarity * 100), 100
+    exact = Fraction(str(similarity))
+    num, den = exact.numerator, exact.denominator
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     signed = materialize(_signed(slim, k, perms, rows), "minhash")
     full = signed.where("n > 0 and id is not null")
-    # classes of equal sets; an id with several sets links its classes
-    reps = full.groupBy("dig").agg(F.min("id").alias("rep"))
-    members = materialize(full.select("id", "dig").distinct().join(reps, "dig").select("id", "rep", "dig"), "classes")
-    same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-
-    # a class's row stands under its representative (the pair tells apart the
-    # sets of an id that has several)
-    lead = full.join(members.where("id = rep").select(F.col("id").alias("i2"), F.col("dig").alias("d2")),
-                     (F.col("id") == F.col("i2")) & (F.col("dig") == F.col("d2")), "left_semi")
-    bands = materialize(lead.dropDuplicates(["id", "dig"]).select("id", "n", F.explode("keys").alias("key")), "bands")
+    # classes of equal sets, each under its smallest id
+    lead = materialize(full.groupBy("dig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    # an id with several sets links their classes
+    several = full.groupBy("id").agg(F.min("dig").alias("lo"), F.max("dig").alias("hi")).where("lo <> hi").select("id")
+    own = full.join(several, "id", "left_semi").select("id", "dig").distinct()
+    same = own.join(lead.select("dig", F.col("id").alias("a")), "dig").select("a", F.col("id").alias("b"))
+
+    bands = lead.select("id", "n", F.explode("keys").alias("key"))
     heads = bands.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     live = materialize(bands.join(heads.select("key", "c"), "key"), "buckets")
 
@@ -302,32 +305,31 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: in
         .select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
     star = materialize(star, "pairs")
     wanted = live.select("id").distinct()
-    sets = materialize(_sets(slim.join(wanted, "id", "left_semi"), k), "sets")
-    first = materialize(_confirm(star, sets, num, den), "links")
+    sets = materialize(_sets(slim.join(wanted, "id", "left_semi"), k, perms, rows), "sets")
+    first = _round(materialize(_confirm(star, sets, num, den), "links"))
 
-    # second step: across the components that share a bucket
-    roots = components(first)
-    now = live.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    # second step: across the labels that share a bucket
+    now = live.join(_labelled(first), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy("key")
     per = per.withColumn("place", F.row_number().over(w.orderBy(F.desc("m"), "root"))) \
         .withColumn("several", F.max("place").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > 1) \
-        .where("several").select("key", "root", F.col("place") > 1)
-    per = per.toDF("key", "root", "minor")
-    open_ = materialize(now.join(per, ["key", "root"]), "open")
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    open_ = open_.join(sizes, "key")
-    sketch = materialize(_sketches(sets.join(open_.select("id").distinct(), "id", "left_semi"), perms, rows), "sketches")
-    rest = _close_pairs(open_.join(sketch, "id"), num / den)
+        .withColumn("blocks", F.ceil(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / F.lit(BLOCK))) \
+        .where("several").select("key", "root", F.col("place") > 1, F.col("blocks").cast("int"))
+    per = per.toDF("key", "root", "minor", "blocks")
+    open_ = now.join(per, ["key", "root"])
+    rest = _close_pairs(open_.join(sets.select("id", "sig", "keys"), "id"), num / den)
     rest = materialize(rest.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     second = _confirm(rest, sets, num, den)
-    links = first.union(second).union(same)
-    roots = components(links)
-
-    found = signed.select("id", "n").join(roots, "id", "left")
-    component = F.coalesce("root", "id")
-    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    roots = components(first.union(second).union(same))
+
+    # a class's component, and its documents'
+    found = lead.join(roots.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left") \
+        .select(F.col("dig").alias("d"), F.coalesce("root", "id").alias("root"))
+    out = signed.select("id", "n", "dig").join(found, F.col("dig") == F.col("d"), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
