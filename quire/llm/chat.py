@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.llm.common import require
 
 #: Characters that control strings are made of, and what stands for them.
@@ -100,12 +101,40 @@ def read_back(formatted_col: Column | str) -> Column:
     return F.flatten(F.transform(blocks, turns_of))
 
 
-def digest(x: DataFrame, conv_id: str = "conv_id", target: str = "assistant") -> DataFrame:
-    """What reading back a table of ``formatted`` gives: turns and their digests."""
-    x = x.select(conv_id, "formatted", "loss_mask", read_back("formatted").alias("turns"))
+def under_mask(formatted_col: Column | str, mask: Column | str) -> Column:
+    """The text of the masked runs, control strings put back, in order.  The string
+    is cut block by block of 256 runs, so that a run's text is looked for in its
+    block and not from the string's start."""
+    f, runs = (F.col(c) if isinstance(c, str) else c for c in (formatted_col, mask))
+    block = 256
+
+    def inner(piece, part):
+        def step(acc, r):
+            text = F.substr(piece, (acc["pos"] + 1).cast("int"), r["chars"].cast("int"))
+            return F.struct((acc["pos"] + r["chars"]).alias("pos"),
+                            F.when(r["masked"], F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"))
+        zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(part, zero, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def outer(acc, b):
+        part = F.slice(runs, b * block + 1, F.lit(block))
+        size = F.aggregate(part, F.lit(0).cast("long"), lambda n, r: n + r["chars"])
+
+        def cut(x):
+            made = let(F.substr(f, (acc["pos"] + 1).cast("int"), x["size"].cast("int")), lambda piece: inner(piece, x["part"]))
+            return F.struct((acc["pos"] + x["size"]).alias("pos"), F.concat(acc["out"], F.array(made)).alias("out"))
+        return let(F.struct(part.alias("part"), size.alias("size")), cut)
+
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(runs) - 1) / block), F.lit(0)).cast("int"))
+    return unescape(F.aggregate(blocks, zero, outer, lambda acc: F.array_join(acc["out"], "")))
+
+
+def digest(x: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """What reading back a table of ``formatted`` gives: the turns, and the text under
+    the loss mask, and their digests."""
+    x = x.select(conv_id, "formatted", read_back("formatted").alias("turns"), under_mask("formatted", "loss_mask").alias("loss"))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == target), lambda t: t["text"]), "")
-    x = x.withColumn("loss", loss)
     return x.select(conv_id, F.size("turns").cast("long").alias("n_turns"),
                     F.sha2(all_text.cast("binary"), 256).alias("turns_sha256"),
                     F.length("loss").cast("long").alias("loss_chars"),

@@ -124,6 +124,10 @@ def test_chat_round_trip(spark):
         assert at == len(back[c]["formatted"])
         esc = dict(chat.ESCAPES)
         assert masked == ["".join(esc.get(ch, ch) for ch in t[3] or "") for t in own if t[2] == "assistant"]
+    # the loss digest is what the mask covers, not what the turns say
+    flipped = out.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["chars"].alias("chars"), (~m["masked"]).alias("masked"))))
+    right, wrong = ({r["conv_id"]: r for r in chat.digest(x).collect()} for x in (out, flipped))
+    assert all(right[c]["loss_sha256"] != wrong[c]["loss_sha256"] and right[c]["turns_sha256"] == wrong[c]["turns_sha256"] for c in right)
     d = {r["conv_id"]: r for r in chat.digest(out).collect()}[-7]
     assert d["n_turns"] == 2 and d["loss_chars"] == 21
     assert d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in queries.PROBE).encode()).hexdigest()
@@ -140,17 +144,29 @@ def base_spans(t):
     return sorted(out)
 
 
+def test_loss_of_a_long_conversation(spark):
+    """Thousands of turns, the text under the mask cut out block by block."""
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], f"turn <{i}> [& é] " * (i % 4)) for i in range(4000)]
+    rows += rows[:3]  # repeated rows and ties of turn are turns of their own
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    d = chat.digest(chat.formatted(df)).first()
+    said = "".join(t for _, _, r, t in sorted(rows) if r == "assistant")
+    assert d["n_turns"] == 4003 and d["loss_chars"] == len(said) and d["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def entropy_span(run, window=20):
     bits = next(b for _, p, b in secret_scan.CLASSES if re.search(p, run))
+    allowed = [m.span() for w in secret_scan.ALLOW_WORDS for m in re.finditer("(?i)" + w, run)]
     hot = [i for i in range(len(run) - window + 1)
-           if -sum(n / window * math.log2(n / window) for n in Counter(run[i:i + window]).values()) >= bits - 1e-9]
+           if -sum(n / window * math.log2(n / window) for n in Counter(run[i:i + window]).values()) >= bits - 1e-9
+           and not any(a < i + window and b > i for a, b in allowed)]
     return (hot[0], hot[-1] + window) if hot else None
 
 
 def test_secret_spans_match_brute_force(spark):
     r = random.Random(3)
     pool = ["password", "Token", "api_key", "=", ": ", "'", "AKIA", "ABCDEFGH1234", "deadbeef" * 4, "abc", "\U0001F600é", " ", "\n",
-            "kJ8sd7Fh2Lq9Zx3Vb6Nm1Pw0", "example" + "kJ8sd7Fh2Lq9Zx3Vb6Nm", "aaaaaaaaaaaaaaaaaaaaaaaa1", "token=token: abcdefghijk"]
+            "kJ8sd7Fh2Lq9Zx3Vb6Nm1Pw0", "sample_key=", "docs/example/", "xXxX", "==", "123e4567-e89b-12d3-a456-426614174000", "example" + "kJ8sd7Fh2Lq9Zx3Vb6Nm", "aaaaaaaaaaaaaaaaaaaaaaaa1", "token=token: abcdefghijk"]
     texts = ["".join(r.choice(pool) for _ in range(r.randrange(25))) for _ in range(150)] + [None, "", "x " * 50000 + "secret=abcdefgh1"]
     df = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     names = dict(enumerate(secret_scan.KINDS))
@@ -161,14 +177,39 @@ def test_secret_spans_match_brute_force(spark):
         assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(s[1] == k for s in base) for k in range(3)]
         extra = []
-        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
-            if re.search("[0-9]", m[0]) and not any(re.search(p, m[0]) for p in secret_scan.ALLOW):
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if re.search("[0-9]", m[0]) and not any(re.search(p, m[0]) for p in secret_scan.ALLOW_FORMS):
                 s = entropy_span(m[0])
                 if s and not any(a <= m.start() + s[0] and b >= m.start() + s[1] for a, _, b in base):
                     extra.append((m.start() + s[0], 3, m.start() + s[1]))
         assert row["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + extra))
 
 
+def test_secret_scan_of_a_long_candidate(spark):
+    """One run of 300,000 characters of base64: seconds, and equal to brute force."""
+    import time
+    r = random.Random(8)
+    run = "".join(r.choice(secret_scan.ALPHABET[:64]) for _ in range(300_000))
+    key = run[:40].replace("/", "a")
+    texts = ["before " + run + " after", "sample_key=" + key, "docs/example/" + key, "q" * 5000 + "1", None]
+    df = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    start = time.perf_counter()
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.report(df).collect()}
+    took = time.perf_counter() - start
+    a, b = entropy_span(run)
+    assert f"entropy:{a + 7}:{b + 7}" in got[0].split(",") and took < 60
+    a, b = entropy_span(key)
+    assert got[1] == f"entropy:{a + 11}:{b + 11}"
+    assert any(s.startswith("entropy:") and int(s.split(":")[1]) >= 12 for s in got[2].split(","))
+    assert got[3] == got[4] == "" and secret_scan.report(df.limit(0)).count() == 0
+
+
+def test_redact_many_findings(spark):
+    rows = [(1, "".join(f"word{i} secret=abcdefgh{i} " for i in range(1500)), None, None), (2, "AKIA" + "Q" * 20 + "token=" + "z" * 9, None, None)]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()}
+    assert out[1] == "".join(f"word{i} [SECRET] " for i in range(1500)) and out[2] == "[SECRET][SECRET]"
+
+
 def test_redact_masks_and_keeps_clean(spark):
     rows = [(1, "a secret=abcdefgh12 b", "en", "s"), (2, "clean", None, None), (3, None, None, None)]
     out = {r["doc_id"]: r for r in secret_scan.redact(docs(spark, rows), length="mx_n").collect()}
