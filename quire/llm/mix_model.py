@@ -1,29 +1,34 @@
 """LM scoring by online logistic context mixing.
 
-A text is coded byte by byte along binary code trees (Huffman, one for each byte
-that can stand before, from the training texts' pair counts; the last symbol is
-the end of the text).  For each bit every context (the last 2, 4 and 6 bytes)
-hashes with the tree's node into a table of ``2**bits`` bit counts.  Stretched
-predictions ln(p / (1 - p)) are mixed: p = squash(sum w_i s_i), the weights w being those of a gate (how sure two
-of the contexts are) and of the text.  They start at START and are refined online:
-after every ``block`` bytes (128, whatever the text's length) a text's weights move along the gradient of its
-coding cost, so only what came before a byte ever changes its prediction.  The
-gradient is summed over a block: a block that grew would grow the step.  The
-sum of -log2 p is the text's bits; the score is its log10 probability.
-
-Training counts (n0, n1) of all training texts: a task adds its texts up in
-tables of fixed size, and the tables are summed block by block in Spark.  What
-the driver gets and broadcasts are the summed tables (contexts x 2**bits bytes),
-whatever the corpus's size.
-
-Base score: counts of all words of the training texts are summed by hash in
-Spark.  The ``common`` most frequent ones are broadcast and looked up while
-scoring; a text's other words, distinct and counted, join the table of counts.
+A text is coded byte by byte along binary code trees: Huffman trees, one for each byte
+that can stand before and one of its own for each of the OWN most frequent pairs of
+bytes before; the last symbol is the end of the text.  For each bit every context (the
+last 2, 4 and 6 bytes) hashes with the tree's node into a table of ``2**bits`` bit
+counts.  Stretched predictions ln(p / (1 - p)) are mixed: p = squash(sum w_i s_i), the
+weights w being those of a gate (how sure two of the contexts are) and of the text.
+They start at START and are refined online: after every ``block`` bytes (128, whatever
+the text's length) a text's weights move along the gradient of its coding cost, so
+only what came before a byte ever changes its prediction.  The gradient is summed over
+a block: a block that grew would grow the step.  The sum of -log2 p is the text's bits;
+the score is its log10 probability.
+
+1. Each text is read once for its words: their hashes and counts are written beside
+   it, in the table that all later steps read, so that a row is the same row in each.
+   With them go the counts from which the code trees are made: symbols after each
+   byte, and after the pairs that are frequent in a task.  (A tree only says into which
+   bits a byte is cut; any complete tree gives a probability.)
+2. Training counts (n0, n1) of all training texts: a task adds its texts up in
+   tables of fixed size, and the tables are summed block by block in Spark.  What
+   the driver gets and broadcasts are the summed tables (contexts x 2**bits bytes),
+   whatever the corpus's size.
+3. Base score: counts of all words of the training texts are summed by hash in
+   Spark.  The ``common`` most frequent ones are broadcast, as two sorted arrays, and
+   looked up while scoring; a text's other words join the table of counts.
 
 Defined cases: a null text is empty and scores its end; repeated rows are scored
 each; rows with a null id are training rows; without training texts every
 prediction is even and N = V = 0 (base 0 for a token: log10(1 / 1)); an empty
-table gives an empty result; texts are scored whole.
+table gives an empty result; texts are scored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,27 +48,36 @@ from quire.session import materialize
 END = 256
 ORDERS, START = (2, 4, 6), (0.3, 0.45, 0.45)
 GATES = 16
+#: Pairs of bytes with a code tree of their own.
+OWN = 256
 _STEP = 1 << 16  # slots of a table's block
 NEAR = 127  # a context's slots lie side by side, so that a symbol's bits meet in one place of memory
+_CHUNK = 1 << 15  # symbols whose contexts are made at once, in the processor's cache
 
 
 class Code:
-    """A code tree for every symbol that can stand before (257 trees): for each
-    pair (before, symbol) the nodes passed and the bits taken.  A pair's count is
-    helped by its symbol's share of all symbols, so that a symbol seldom or never
-    seen after another has its usual length there."""
+    """Code trees: for each key (tree, symbol) the nodes passed and the bits taken.
+    ``counts`` are the symbols' counts after each symbol (257 x 257), ``own`` the pairs
+    (as numbers: before the last * 257 + last) with a tree of their own, ``triples``
+    their symbols' counts.  A tree's counts are helped by its symbols' shares one step
+    back, so that a symbol seldom or never seen there has its usual length."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, own: np.ndarray = np.zeros(0, np.int64), triples: np.ndarray | None = None):
         counts = np.asarray(counts, float).reshape(257, 257)
         share = counts.sum(0) + 1.0
         share /= share.sum()
-        pairs, steps, at = [], [], 0
-        size, start = np.zeros(257 * 257, np.int32), np.zeros(257 * 257, np.int32)
-        for before in range(257):
-            for symbol, steps_of in enumerate(self._tree(counts[before] + 4.0 * share)):
-                size[before * 257 + symbol], start[before * 257 + symbol] = len(steps_of), at
+        weights = counts + 4.0 * share
+        self.tree_of = np.tile(np.arange(257, dtype=np.int32), 257)  # by the pair before
+        if len(own):
+            one = weights / weights.sum(1, keepdims=True)
+            self.tree_of[own] = np.arange(257, 257 + len(own))
+            weights = np.vstack([weights, np.asarray(triples, float).reshape(-1, 257) + 4.0 * one[own % 257]])
+        steps: list[int] = []
+        size, start = np.zeros(weights.size, np.uint8), np.zeros(weights.size, np.int32)
+        for tree, w in enumerate(weights):
+            for symbol, steps_of in enumerate(self._tree(w)):
+                size[tree * 257 + symbol], start[tree * 257 + symbol] = len(steps_of), len(steps)
                 steps += steps_of
-                at += len(steps_of)
         self.size, self.start = size, start
         # a step: its node's place in a context's slots, with the bit taken in the
         # lowest place; the nodes near the root, the last made, differ there
@@ -86,13 +100,17 @@ class Code:
                 paths[kid] = paths[at] + [(at - 257) << 1 | bit]
         return paths[:257]
 
-    def expand(self, pairs: np.ndarray):
-        """index of the pair, node and bit of every coded bit, in order."""
-        size = self.size[pairs]
-        of = np.repeat(np.arange(len(pairs)), size)
-        ends = np.cumsum(size)
-        step = self.step[np.arange(len(of)) + (self.start[pairs] - (ends - size))[of]]
-        return of, step >> 1, step & 1
+    def keys(self, pair: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.tree_of[pair] * np.int32(257) + symbol.astype(np.int32)
+
+    def expand(self, keys: np.ndarray):
+        """index of the key, node and bit of every coded bit, in order, and where each
+        key's bits end."""
+        size = self.size[keys]
+        ends = np.cumsum(size, dtype=np.int64)
+        of = np.repeat(np.arange(len(keys)), size)
+        step = self.step[(self.start[keys] - (ends - size))[of] + np.arange(len(of))]
+        return of, (step >> 1).astype(np.int64), step & 1, ends
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +124,34 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def history(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """What stands before each symbol: the last six bytes of its own text, the
-    latest lowest, and above them their number, as one integer."""
-    b = np.zeros(len(x), np.uint64)
-    b[1:] = x[:-1]
-    for k in (1, 2):  # 1, 2, 4 bytes
-        b[k:] |= b[:-k] << np.uint64(8 * k)
-    six = b & np.uint64(0xFFFFFFFF)
-    six[4:] |= (b[:-4] & np.uint64(0xFFFF)) << np.uint64(32)
+def histories(x: np.ndarray, lengths: np.ndarray):
+    """What stands before each symbol, in pieces (from, to, history): the last six
+    bytes of its own text, the latest lowest, and above them their number, as one
+    integer."""
+    starts = np.cumsum(lengths) - lengths
     age = np.arange(len(x), dtype=np.int32)
-    age -= np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    age -= np.repeat(starts.astype(np.int32), lengths)
     np.minimum(age, 6, out=age)
-    six &= _OWN[age]
-    six |= age.astype(np.uint64) << np.uint64(48)
-    return six
+    own = np.zeros(len(x) + 6, np.uint8)
+    own[6:] = x  # an end reads as 0; the age hides it
+    for lo in range(0, len(x), _CHUNK):
+        hi = min(lo + _CHUNK, len(x))
+        six = np.zeros(hi - lo, np.uint64)
+        for k in range(6):
+            six |= own[lo + 5 - k:hi + 5 - k].astype(np.uint64) << np.uint64(8 * k)
+        six &= _OWN_BYTES[age[lo:hi]]
+        six |= age[lo:hi].astype(np.uint64) << np.uint64(48)
+        yield lo, hi, six
+
+
+def history(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.uint64)
+    for lo, hi, six in histories(x, lengths):
+        out[lo:hi] = six
+    return out
 
 
-_OWN = np.array([(1 << 8 * a) - 1 for a in range(7)], np.uint64)
+_OWN_BYTES = np.array([(1 << 8 * a) - 1 for a in range(7)], np.uint64)
 
 
 def contexts(six: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -139,6 +167,25 @@ def contexts(six: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
+def slots(x: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.ndarray]:
+    """:func:`contexts` of every symbol."""
+    out = [np.empty(len(x), np.uint32) for _ in ORDERS]
+    for lo, hi, six in histories(x, lengths):
+        for o, c in zip(out, contexts(six, bits)):
+            o[lo:hi] = c
+    return out
+
+
+def befores(x: np.ndarray) -> np.ndarray:
+    """The pair of symbols before each symbol as one number; before a text stand ends.
+    (After an end, what stood before it does not count: such a pair has no tree of
+    its own.)"""
+    out = np.full(len(x), END * 257 + END, np.int32)
+    out[1:] += x[:-1].astype(np.int32) - END
+    out[2:] += (x[:-2].astype(np.int32) - END) * 257
+    return out
+
+
 def pairs_of(x: np.ndarray) -> np.ndarray:
     """(symbol before, symbol) as one number; before a text stands an end."""
     out = x.astype(np.int32)
@@ -148,11 +195,13 @@ def pairs_of(x: np.ndarray) -> np.ndarray:
 
 
 def distinct(x: np.ndarray, lengths: np.ndarray):
-    """The distinct (history, symbol) of some texts: history, pair and count."""
+    """The distinct (history, symbol) of some texts: history, pair before, symbol, count."""
     key, n = np.unique(history(x, lengths) << np.uint64(9) | x.astype(np.uint64), return_counts=True)
     six, symbol = key >> np.uint64(9), (key & np.uint64(511)).astype(np.int64)
-    before = np.where(six >> np.uint64(48) == 0, END, (six & np.uint64(255)).astype(np.int64))
-    return six, before * 257 + symbol, n
+    age = six >> np.uint64(48)
+    last = np.where(age == 0, END, (six & np.uint64(255)).astype(np.int64))
+    other = np.where(age < 2, END, (six >> np.uint64(8) & np.uint64(255)).astype(np.int64))
+    return six, other * 257 + last, symbol, n
 
 
 def _portions(batch_texts, most: int = 1 << 21):
@@ -172,37 +221,93 @@ def _bytes(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(text: bytes) -> dict:
-    import xxhash
-    return {xxhash.xxh3_64_intdigest(w): n for w, n in Counter(text.translate(LOWER).split()).items()}
+def frequent(hist: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` most frequent pairs of bytes (no end among them), as numbers, of the
+    counts of (symbol before, symbol)."""
+    found = hist.reshape(257, 257).copy()
+    found[END], found[:, END] = 0, 0
+    order = np.argsort(-found.ravel(), kind="stable")[:n]
+    return order[found.ravel()[order] > 0]
+
 
+def _read(docs: DataFrame) -> DataFrame:
+    """Rows (id, held_out, t) with their words.  kind 0: a text: row, id, held_out, t,
+    hs (hashes of its distinct words) and ns (their counts); kind 1, one a task: hs
+    and ns are the counts of pairs_of its training texts; kind 2: of the symbols
+    after its frequent pairs (pair * 257 + symbol)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
-def _vocabulary(train: DataFrame) -> DataFrame:
-    """kind 0: words (k: hash), 1: pairs of symbols (k: as pairs_of), n: count."""
     def run(batches):
         import xxhash
-        words, hist = Counter(), np.zeros(257 * 257, np.int64)
+        from pyspark import TaskContext
+        row = TaskContext.get().partitionId() << 40
+        hist, triples, group = np.zeros(257 * 257, np.int64), None, None
+        id_type = None
 
-        def flush():
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-            n = np.fromiter(words.values(), np.int64, len(words))
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(n)],
-                                              names=["kind", "k", "n"])
+        def counted(n, keys, counts):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int32()), pa.array([row], pa.int64()), pa.nulls(1, id_type), pa.array([False]), pa.nulls(1, pa.binary()),
+                 pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=names)
 
+        names = ["kind", "row", "id", "held_out", "t", "hs", "ns"]
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(0)))):
+            id_type = batch.schema.field(0).type
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for part in _portions(enumerate(_bytes(batch.column(2)))):
+                hs, ns, off = [], [], [0]
                 for _, t in part:
-                    words.update(t.translate(LOWER).split())
-                    if len(words) > 400_000:
-                        yield flush()
-                hist += np.bincount(pairs_of(symbols([t for _, t in part])[0]), minlength=len(hist))
-        yield flush()
-        some = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(hist[some])],
-                                         names=["kind", "k", "n"])
-
-    return train.mapInArrow(lean(run), "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
+                    c = Counter(t.translate(LOWER).split())
+                    hs.extend(map(xxhash.xxh3_64_intdigest, c))
+                    ns.extend(c.values())
+                    off.append(len(hs))
+                pick = pa.array([i for i, _ in part], pa.int64())
+                off = pa.array(off, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(part), np.int32)), pa.array(np.arange(row, row + len(part))), batch.column(0).take(pick),
+                     batch.column(1).take(pick), pa.array([t for _, t in part], pa.binary()),
+                     pa.ListArray.from_arrays(off, pa.array(np.array(hs, np.uint64).view(np.int64))),
+                     pa.ListArray.from_arrays(off, pa.array(np.array(ns, np.int64)))], names=names)
+                row += len(part)
+                x = symbols([t for i, t in part if not held[i]])[0]
+                if not len(x):
+                    continue
+                hist += np.bincount(pairs_of(x), minlength=len(hist))
+                if group is None:
+                    often = frequent(hist, 2 * OWN)
+                    group, triples = np.full(257 * 257, len(often)), np.zeros((len(often) + 1) * 257, np.int64)
+                    group[often] = np.arange(len(often))
+                triples += np.bincount(group[befores(x)] * 257 + x, minlength=len(triples))
+        if group is not None:
+            some = np.flatnonzero(hist)
+            yield counted(1, some, hist[some])
+            some = np.flatnonzero(triples[:len(often) * 257])
+            yield counted(2, often[some // 257] * 257 + some % 257, triples[some])
+
+    return docs.mapInArrow(lean(run), f"kind int, row long, id {kind}, held_out boolean, t binary, hs array<long>, ns array<long>")
+
+
+def _counts(read: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Summed counts of kind 1 or 2: keys (fixed numbers of them) and counts."""
+    got = read.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("hs", "ns")).alias("x")) \
+        .groupBy(F.col("x.hs").alias("k")).agg(F.sum("x.ns").alias("n"))
+    if kind == 2:  # only pairs that are frequent over all; their symbols: OWN * 257 rows at most
+        pair = F.floor(F.col("k") / 257)
+        best = got.groupBy(pair.alias("pair")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "pair").limit(OWN)
+        got = got.join(F.broadcast(best), pair == F.col("pair")).select("k", "n")
+    got = got.orderBy("k").toArrow()  # 257 * 257 rows at most
+    return got.column("k").to_numpy(), got.column("n").to_numpy()
+
+
+def code_of(read: DataFrame) -> tuple[Code, np.ndarray]:
+    """The code trees of the training texts, and the counts of (symbol before, symbol)."""
+    hist = np.zeros(257 * 257, np.int64)
+    k, n = _counts(read, 1)
+    hist[k] = n
+    k, n = _counts(read, 2)
+    own, at = np.unique(k // 257, return_inverse=True)
+    triples = np.zeros((len(own), 257), np.int64)
+    triples[at, k % 257] = n
+    return Code(hist, own, triples), hist
 
 
 def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
@@ -212,8 +317,8 @@ def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
         for batch in batches:
             for part in _portions(enumerate(_bytes(batch.column(0)))):
                 # what follows a history is counted first, then coded once
-                six, pairs, n = distinct(*symbols([t for _, t in part]))
-                of, node, bit = code.expand(pairs)
+                six, pair, symbol, n = distinct(*symbols([t for _, t in part]))
+                of, node, bit, _ = code.expand(code.keys(pair, symbol))
                 times = n.astype(np.uint32)[of]
                 for m, context in enumerate(contexts(six, bits)):
                     np.add.at(sums[m], (context.astype(np.int64)[of] ^ node) << 1 | bit, times)
@@ -263,7 +368,7 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
     """Bits of each text under the mixing model.  Texts go side by side, ``group``
     at a time, so that a step's arrays stay small."""
     x, lengths = symbols(texts)
-    seen, pairs = contexts(history(x, lengths), bits), pairs_of(x)
+    seen, keys = slots(x, lengths, bits), code.keys(befores(x), x)
     # longest first: the texts that still have a k-th block are always a prefix
     order = np.argsort(-lengths, kind="stable")
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
@@ -276,10 +381,9 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
         size = np.minimum(block, sizes[lo:hi] - done)
         ends = np.cumsum(size)
         at = np.arange(int(ends[-1])) + np.repeat(begins[lo:hi] + done - (ends - size), size)
-        mine = pairs[at]
-        of, node, bit = code.expand(mine)
+        of, node, bit, last = code.expand(keys[at])
         # the first coded bit of each text
-        first = np.concatenate([[0], np.cumsum(code.size[mine])])[ends - size]
+        first = np.concatenate([[0], last])[ends - size]
         gate = np.repeat(np.arange(0, (hi - lo) * GATES, GATES), np.diff(first, append=len(of)))
         w = weight[:, lo * GATES:hi * GATES]
         st = []
@@ -319,66 +423,56 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulus: int = 7, held: int = 2,
-          bits: int = 22, common: int = 1 << 17, block: int = 128) -> DataFrame:
+          bits: int = 22, common: int = 1 << 18, block: int = 128) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits."""
     require(docs, doc_id, text)
     sc = docs.sparkSession.sparkContext
-    is_held = remainder(doc_id, modulus) == held
-    train = docs.where(~is_held).select(F.col(text).cast("string").alias("t"))
-    vocab = materialize(_vocabulary(train), "vocabulary")
-    follow = vocab.where("kind = 1").select("k", "n").toArrow()  # 257 * 257 rows at most
-    hist = np.zeros(257 * 257, np.int64)
-    hist[follow.column("k").to_numpy()] = follow.column("n").to_numpy()
-    words = vocab.where("kind = 0").select("k", "n")
+    slim = docs.select(F.col(doc_id).alias("id"), (remainder(doc_id, modulus) == held).alias("held_out"),
+                       F.col(text).cast("string").alias("t"))
+    read = materialize(_read(slim), "read")
+    texts = read.where("kind = 0")
+    train = texts.where(~F.col("held_out"))
+    words = materialize(train.select(F.explode(F.arrays_zip("hs", "ns")).alias("x")).groupBy(F.col("x.hs").alias("k"))
+                        .agg(F.sum("x.ns").alias("n")), "vocabulary")
+    made, hist = code_of(read)
     sums = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = int(hist[END::257].sum())
     n_all, v_all = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
     top = words.orderBy(F.desc("n"), "k").limit(common).toArrow()
-    logs10 = np.log10(top.column("n").to_numpy() + 1.0)
-    table = sc.broadcast(dict(zip(top.column("k").to_numpy().view(np.uint64).tolist(), logs10.tolist())))
-    made = Code(hist)
-    model = sc.broadcast((made, stretched(_tables(train, made, bits))))
-
+    known, logs10 = top.column("k").to_numpy(), np.log10(top.column("n").to_numpy() + 1.0)
+    order = np.argsort(known)
+    table = sc.broadcast((known[order], logs10[order]))
+    model = sc.broadcast((made, stretched(_tables(train.select("t"), made, bits))))
     kind = docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), is_held.alias("held_out"))
 
     def run(batches):
-        from pyspark import TaskContext
-        row = TaskContext.get().partitionId() << 40
-        known, (code, st) = table.value, model.value
+        (known, logs10), (code, st) = table.value, model.value
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(1)))):
-                texts = [t for _, t in part]
-                cost = score_bits(texts, code, st, bits, block=block)
-                n_tokens, n_known, logs, rare, times = [], [], [], [], []
-                for t in texts:
-                    have = word_hashes(t)
-                    total = hits = 0
-                    log, hs, ns = 0.0, [], []
-                    for h, n in have.items():
-                        total += n
-                        c = known.get(h)
-                        if c is None:
-                            hs.append(h)
-                            ns.append(n)
-                        else:
-                            hits += n
-                            log += n * c
-                    n_tokens.append(total + 1)
-                    n_known.append(hits + (ends > 0))
-                    logs.append(log + np.log10(ends + 1.0))
-                    rare.append(np.array(hs, np.uint64).view(np.int64))
-                    times.append(np.array(ns, np.int32))
+            for part in _portions(enumerate(_bytes(batch.column(3))), 1 << 22):
                 pick = pa.array([i for i, _ in part], pa.int64())
+                cost = score_bits([t for _, t in part], code, st, bits, block=block)
+                hs, ns = batch.column(4).take(pick), batch.column(5).take(pick)
+                sizes = hs.value_lengths().to_numpy()
+                of, h, n = np.repeat(np.arange(len(part)), sizes), hs.flatten().to_numpy(), ns.flatten().to_numpy()
+                at = np.searchsorted(known, h)
+                here = np.zeros(len(h), bool)
+                inside = at < len(known)
+                here[inside] = known[at[inside]] == h[inside]
+
+                def total(values, rows):
+                    return np.bincount(of[rows], weights=values, minlength=len(part))
+
+                rare = pa.array(np.searchsorted(of[~here], np.arange(len(part) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(part))), batch.column(0).take(pick), batch.column(2).take(pick),
-                     pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()),
-                     pa.array(cost), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                    [*(batch.column(i).take(pick) for i in range(3)),
+                     pa.array(total(n, slice(None)).astype(np.int64) + 1), pa.array(total(n[here], here).astype(np.int64) + (ends > 0)),
+                     pa.array(total(n[here] * logs10[at[here]], here) + np.log10(ends + 1.0)), pa.array(cost),
+                     pa.ListArray.from_arrays(rare, pa.array(h[~here])), pa.ListArray.from_arrays(rare, pa.array(n[~here]))],
                     names=["row", "id", "held_out", "n_tokens", "n_known", "logs", "bits", "rare", "times"])
-                row += len(part)
 
-    scored = materialize(slim.mapInArrow(lean(run), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, "
-                                              "bits double, rare array<long>, times array<int>"), "scored")
+    scored = materialize(texts.select("row", "id", "held_out", "t", "hs", "ns").mapInArrow(
+        lean(run), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, bits double, "
+                   "rare array<long>, times array<long>"), "scored")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("k"), "w.times")
     found = each.join(words, "k").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))

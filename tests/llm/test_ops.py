@@ -469,9 +469,14 @@ def test_model_is_a_distribution():
     hist = np.ones((257, 257), np.int64)
     hist[:, 97:100] = 500
     hist[98, 120] = 9000
-    tree = mix_model.Code(hist)
-    # every tree is complete: each symbol has a code after each other one
-    assert np.allclose((2.0 ** -tree.size.astype(float)).reshape(257, 257).sum(1), 1, atol=1e-12)
+    own = np.array([97 * 257 + 98, 98 * 257 + 99])
+    triples = np.zeros((2, 257), np.int64)
+    triples[0, 120] = 5000
+    tree = mix_model.Code(hist, own, triples)
+    # every tree is complete: each symbol has a code after each other one, and after the pairs with trees of their own
+    assert np.allclose((2.0 ** -tree.size.astype(float)).reshape(257 + 2, 257).sum(1), 1, atol=1e-12)
+    x = mix_model.symbols([b"abx", b"b", b""])[0]
+    assert tree.tree_of[mix_model.befores(x)].tolist() == [256, 97, 257, 120, 256, 98, 256]
     tables = [np.random.default_rng(m).integers(-100, 100, 1 << 12).astype(np.int8) for m in range(3)]
     # texts that end after a prefix or go on by one byte and end: together under 1
     for prefix in (b"", b"abc"):
@@ -483,6 +488,57 @@ def test_model_is_a_distribution():
     assert np.allclose(together, [mix_model.score_bits([t], tree, tables, 12)[0] for t in texts], rtol=1e-5)
 
 
+def plain_bits(text, code, tables, bits, block=128, rate=0.02):
+    """The model bit by bit: what ``score_bits`` does side by side."""
+    w = {(g, m): mix_model.START[m] / 16 for g in range(mix_model.GATES) for m in range(3)}
+    x, total, grads = [*text, mix_model.END], 0.0, defaultdict(float)
+    for i, symbol in enumerate(x):
+        before = ([mix_model.END] * 2 + x[:i])[-2:]
+        tree = int(code.tree_of[before[0] * 257 + before[1]])
+        age = min(i, 6)
+        six = np.array([sum(x[i - 1 - k] << 8 * k for k in range(age)) | age << 48], np.uint64)
+        slot = [int(c[0]) for c in mix_model.contexts(six, bits)]
+        at = int(code.start[tree * 257 + symbol])
+        for s in code.step[at:at + int(code.size[tree * 257 + symbol])].tolist():
+            node, bit = s >> 1, s & 1
+            st = [int(t[c ^ node]) for t, c in zip(tables, slot)]
+            sure = [sum(abs(v) > b for b in (8, 24, 56)) for v in st]
+            gate = sure[1] * 4 + sure[2]
+            z = max(-12.0, min(12.0, sum(w[gate, m] * st[m] for m in range(3))))
+            p = 1 / (1 + math.exp(-z))
+            total -= math.log2(p if bit else 1 - p)
+            for m in range(3):
+                grads[gate, m] += (bit - p) * st[m]
+        if (i + 1) % block == 0:
+            for key, g in grads.items():
+                w[key] = max(-0.5 / 16, min(2 / 16, w[key] + rate / 1024 * g))
+            grads.clear()
+    return total
+
+
+def test_scores_equal_the_model_bit_by_bit():
+    r = np.random.default_rng(5)
+    hist = r.integers(0, 50, (257, 257))
+    own = np.unique(r.integers(0, 256, 40) * 257 + r.integers(0, 256, 40))
+    code = mix_model.Code(hist, own, r.integers(0, 90, (len(own), 257)))
+    tables = [r.integers(-120, 121, 1 << 14).astype(np.int8) for _ in range(3)]
+    texts = [b"", b"a", bytes(r.integers(0, 256, 700).tolist()), b"the same words, the same words " * 30, "é日本".encode() * 50]
+    got = mix_model.score_bits(texts, code, tables, 14)
+    assert np.allclose(got, [plain_bits(t, code, tables, 14) for t in texts], rtol=2e-4)
+
+
+def test_mixing_defined_cases(spark):
+    rows = [(1, "a b a"), (1, "a b a"), (2, None), (None, "a c"), (3, ""), (4, "word " * 30_000)]
+    df = spark.createDataFrame([(*x, 1, "z", 2.0) for x in rows], "doc_id long, text string, row long, t string, n double")
+    got = mix_model.score(df, bits=12).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    assert mix_model.score(df.limit(0), bits=12).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    alone = mix_model.score(spark.createDataFrame([(held, "no training text")], "doc_id long, text string"), bits=12).first()
+    assert (alone["train_tokens"], alone["n_known"], alone["base_score"]) == (0, 0, 0.0) and alone["held_out"]
+
+
 def test_long_text_costs_no_more_than_its_pieces():
     """Refinement stays stable however long a text grows."""
     r = random.Random(11)
@@ -490,8 +546,8 @@ def test_long_text_costs_no_more_than_its_pieces():
     write = lambda n: " ".join(vocab[min(int(r.paretovariate(0.8)), 3000) - 1] for _ in range(n)).encode()
     bits, train, text = 18, [write(40_000)], write(400_000)
     code = mix_model.Code(np.bincount(mix_model.pairs_of(mix_model.symbols(train)[0]), minlength=257 * 257))
-    six, pairs, n = mix_model.distinct(*mix_model.symbols(train))
-    of, node, bit = code.expand(pairs)
+    six, pair, symbol, n = mix_model.distinct(*mix_model.symbols(train))
+    of, node, bit, _ = code.expand(code.keys(pair, symbol))
     sums = np.zeros((len(mix_model.ORDERS), 2 << bits), np.uint32)
     for m, context in enumerate(mix_model.contexts(six, bits)):
         np.add.at(sums[m], (context.astype(np.int64)[of] ^ node) << 1 | bit, n.astype(np.uint32)[of])
