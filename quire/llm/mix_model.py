@@ -217,8 +217,11 @@ def _portions(batch_texts, most: int = 1 << 21):
         yield part
 
 
-def _bytes(column) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def _bytes(column):
+    """The texts of a column, made a few at a time; null: empty."""
+    for at in range(0, len(column), 128):
+        for t in column.slice(at, 128).cast(pa.binary()).to_pylist():
+            yield t or b""
 
 
 def frequent(hist: np.ndarray, n: int) -> np.ndarray:
@@ -315,7 +318,7 @@ def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
     def count(batches):
         sums = np.zeros((len(ORDERS), 2 << bits), np.uint32)
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(0)))):
+            for part in _portions(enumerate(_bytes(batch.column(0))), 1 << 20):
                 # what follows a history is counted first, then coded once
                 six, pair, symbol, n = distinct(*symbols([t for _, t in part]))
                 of, node, bit, _ = code.expand(code.keys(pair, symbol))
@@ -448,7 +451,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
     def run(batches):
         (known, logs10), (code, st) = table.value, model.value
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(3))), 1 << 22):
+            for part in _portions(enumerate(_bytes(batch.column(3)))):
                 pick = pa.array([i for i, _ in part], pa.int64())
                 cost = score_bits([t for _, t in part], code, st, bits, block=block)
                 hs, ns = batch.column(4).take(pick), batch.column(5).take(pick)
