@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run without the six ASCII white space characters.
@@ -52,3 +54,16 @@ def lean(kernel):
             if trim:
                 trim(0)
     return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs run inside: where rows hold
+    whole texts, a batch stands several times in the JVM and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -22,8 +22,8 @@ the score is its log10 probability.
    the driver gets and broadcasts are the summed tables (contexts x 2**bits bytes),
    whatever the corpus's size.
 3. Base score: counts of all words of the training texts are summed by hash in
-   Spark.  The ``common`` most frequent ones are broadcast, as two sorted arrays, and
-   looked up while scoring; a text's other words join the table of counts.
+   Spark.  The most frequent ones, ``common`` at most, are broadcast, as two sorted
+   arrays, and looked up while scoring; a text's other words join the table of counts.
 
 Defined cases: a null text is empty and scores its end; repeated rows are scored
 each; rows with a null id are training rows; without training texts every
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, lean, remainder, require
+from quire.llm.common import LOWER, lean, remainder, require, small_batches
 from quire.session import materialize
 
 END = 256
@@ -425,10 +425,22 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
     return out
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulus: int = 7, held: int = 2,
-          bits: int = 22, common: int = 1 << 18, block: int = 128) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits."""
-    require(docs, doc_id, text)
+def most_common(words: DataFrame, most: int) -> DataFrame:
+    """The rows (k, n) above a count that at most ``most`` rows reach: found from a
+    histogram of sixteenths of the counts' logarithms, so that no rows are sorted."""
+    level = F.floor(F.log2("n") * 16)
+    cut, total = None, 0
+    for r in sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # a thousand rows at most
+        total += r["n"]
+        if total > most:
+            break
+        cut = r["level"]
+    return words.where(level >= cut) if cut is not None else words.where("false")
+
+
+def _scored(docs: DataFrame, doc_id: str, text: str, modulus: int, held: int, bits: int, common: int, block: int):
+    """Written: each text's counts and bits, with the words that are not common; the
+    words' counts; N and V."""
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col(doc_id).alias("id"), (remainder(doc_id, modulus) == held).alias("held_out"),
                        F.col(text).cast("string").alias("t"))
@@ -441,7 +453,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
     sums = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = int(hist[END::257].sum())
     n_all, v_all = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
-    top = words.orderBy(F.desc("n"), "k").limit(common).toArrow()
+    top = most_common(words, common).toArrow()
     known, logs10 = top.column("k").to_numpy(), np.log10(top.column("n").to_numpy() + 1.0)
     order = np.argsort(known)
     table = sc.broadcast((known[order], logs10[order]))
@@ -476,6 +488,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
     scored = materialize(texts.select("row", "id", "held_out", "t", "hs", "ns").mapInArrow(
         lean(run), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, bits double, "
                    "rare array<long>, times array<long>"), "scored")
+    return scored, words, (n_all, v_all)
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulus: int = 7, held: int = 2,
+          bits: int = 22, common: int = 1 << 18, block: int = 128) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits."""
+    require(docs, doc_id, text)
+    with small_batches(docs.sparkSession, 1000):
+        scored, words, (n_all, v_all) = _scored(docs, doc_id, text, modulus, held, bits, common, block)
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("k"), "w.times")
     found = each.join(words, "k").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
