@@ -106,13 +106,20 @@ class Code:
     def expand(self, keys: np.ndarray):
         """index of the key, node and bit of every coded bit, in order, and where each
         key's bits end."""
-        size = self.size[keys]
+        size = _take(self.size, keys)
         ends = np.cumsum(size, dtype=np.int64)
         of = np.repeat(np.arange(len(keys)), size)
-        step = self.step[(self.start[keys] - (ends - size))[of] + np.arange(len(of))]
+        at = _take(_take(self.start, keys) - (ends - size), of)
+        at += np.arange(len(of))
+        step = _take(self.step, at)
         return of, (step >> 1).astype(np.int64), step & 1, ends
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``values[at]`` for places that are known to be inside: without the check."""
+    return values.take(at, mode="clip")
+
+
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes, each text with its end; lengths with that end."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
@@ -318,13 +325,20 @@ def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
     def count(batches):
         sums = np.zeros((len(ORDERS), 2 << bits), np.uint32)
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(0))), 1 << 20):
+            for part in _portions(enumerate(_bytes(batch.column(0)))):
                 # what follows a history is counted first, then coded once
                 six, pair, symbol, n = distinct(*symbols([t for _, t in part]))
-                of, node, bit, _ = code.expand(code.keys(pair, symbol))
-                times = n.astype(np.uint32)[of]
-                for m, context in enumerate(contexts(six, bits)):
-                    np.add.at(sums[m], (context.astype(np.int64)[of] ^ node) << 1 | bit, times)
+                keys, found, n = code.keys(pair, symbol), contexts(six, bits), n.astype(np.uint32)
+                for lo in range(0, len(keys), _CHUNK // 2):  # as many as the processor's cache holds
+                    cut = slice(lo, lo + _CHUNK // 2)
+                    of, node, bit, _ = code.expand(keys[cut])
+                    times = _take(n[cut], of)
+                    for m, context in enumerate(found):
+                        slot = _take(context[cut].astype(np.int64), of)
+                        slot ^= node
+                        slot <<= 1
+                        slot |= bit
+                        np.add.at(sums[m], slot, times)
         for m, s in enumerate(sums):
             for at in range(0, len(s), 2 * _STEP):
                 piece = s[at:at + 2 * _STEP]
@@ -367,7 +381,7 @@ def stretched(tables: list[np.ndarray], add: float = 0.4) -> list[np.ndarray]:
 
 
 def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: int, *, block: int = 128,
-               rate: float = 0.02, group: int = 80) -> np.ndarray:
+               rate: float = 0.02, group: int = 40) -> np.ndarray:
     """Bits of each text under the mixing model.  Texts go side by side, ``group``
     at a time, so that a step's arrays stay small."""
     x, lengths = symbols(texts)
@@ -383,35 +397,39 @@ def score_bits(texts: list[bytes], code: Code, tables: list[np.ndarray], bits: i
     def step(lo: int, hi: int, done: int) -> None:
         size = np.minimum(block, sizes[lo:hi] - done)
         ends = np.cumsum(size)
-        at = np.arange(int(ends[-1])) + np.repeat(begins[lo:hi] + done - (ends - size), size)
-        of, node, bit, last = code.expand(keys[at])
+        at = np.arange(int(ends[-1]))
+        at += np.repeat(begins[lo:hi] + done - (ends - size), size)
+        of, node, bit, last = code.expand(_take(keys, at))
         # the first coded bit of each text
         first = np.concatenate([[0], last])[ends - size]
         gate = np.repeat(np.arange(0, (hi - lo) * GATES, GATES), np.diff(first, append=len(of)))
         w = weight[:, lo * GATES:hi * GATES]
         st = []
         for m, t in enumerate(tables):
-            s = t[seen[m][at].astype(np.int64)[of] ^ node]
+            slot = _take(_take(seen[m], at).astype(np.int64), of)
+            slot ^= node
+            s = _take(t, slot)
             if m:  # how sure the longer contexts are: four steps each
                 a = np.abs(s)
                 sure = (a > 8).view(np.uint8) + (a > 24).view(np.uint8) + (a > 56).view(np.uint8)
                 gate += sure << 2 if m == 1 else sure
             st.append(s.astype(np.float32))
-        z = st[0] * w[0][gate]
+        z = _take(w[0], gate) * st[0]
         for m in range(1, len(ORDERS)):
-            z += st[m] * w[m][gate]
+            z += _take(w[m], gate) * st[m]
         np.clip(z, -12, 12, out=z)
         sign = bit.astype(np.float32)
         sign *= 2
         sign -= 1
         z *= sign
-        e = np.exp(-z)
+        e = np.exp(np.negative(z, out=z), out=z)
         one = 1 + e
-        cost[lo:hi] += np.add.reduceat(np.log(one), first, dtype=np.float64)
         e /= one
         e *= sign  # bit - p
+        cost[lo:hi] += np.add.reduceat(np.log(one, out=one), first, dtype=np.float64)
         for m in range(len(ORDERS)):
-            w[m] += (rate / 1024 * np.bincount(gate, weights=e * st[m], minlength=(hi - lo) * GATES)).astype(np.float32)
+            st[m] *= e
+            w[m] += (rate / 1024 * np.bincount(gate, weights=st[m], minlength=(hi - lo) * GATES)).astype(np.float32)
         np.clip(w, -0.5 / 16, 2.0 / 16, out=w)
 
     done = 0
@@ -463,7 +481,7 @@ def _scored(docs: DataFrame, doc_id: str, text: str, modulus: int, held: int, bi
     def run(batches):
         (known, logs10), (code, st) = table.value, model.value
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(3)))):
+            for part in _portions(enumerate(_bytes(batch.column(3))), 1 << 22):
                 pick = pa.array([i for i, _ in part], pa.int64())
                 cost = score_bits([t for _, t in part], code, st, bits, block=block)
                 hs, ns = batch.column(4).take(pick), batch.column(5).take(pick)
@@ -495,7 +513,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulu
           bits: int = 22, common: int = 1 << 18, block: int = 128) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits."""
     require(docs, doc_id, text)
-    with small_batches(docs.sparkSession, 1000):
+    with small_batches(docs.sparkSession, 2000):
         scored, words, (n_all, v_all) = _scored(docs, doc_id, text, modulus, held, bits, common, block)
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("k"), "w.times")
     found = each.join(words, "k").groupBy("row").agg(
