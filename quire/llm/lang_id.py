@@ -2,16 +2,19 @@
 
 Texts become code points, lower-cased, with every non-letter turned into a
 space.  All 1..``orders``-grams are hashed into ``2**bits`` buckets.  Training
-counts (language, bucket) in each task and sums the sparse counts in Spark, so
-at most languages x buckets rows reach the driver.  The log-probability matrix
-(languages x buckets doubles, bounded by ``max_languages``) is broadcast, and
-scoring adds the matrix rows of a text's n-grams in NumPy.
+counts (language, bucket) in each task and sums the sparse counts in Spark.  The
+log-probability matrix is made and broadcast in parts of at most ``part`` languages
+(``part`` x buckets doubles each, 64 MB by default), and scoring adds the matrix rows of
+a text's n-grams in NumPy, part after part: a row carries the best label so far and
+the logarithm of the summed likelihoods.  Any number of labels is learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
-training rows with a null text or label are ignored; without any learned
+training rows with a null text or label are ignored, one without a letter
+counts as no document; without any learned
 label every text is ``und``; a tie goes to the smaller label; repeated rows
-count each time; texts are read whole, long ones in pieces whose n-grams
-continue over the cut.
+count each time; an empty table gives an empty result; columns that are named as
+the result's are replaced by it; texts are read whole, long ones in pieces whose
+n-grams continue over the cut.
 
 Rejection (``reject``): a text goes that has no letter, or whose label's posterior
 is under ``LEAST``, so that the other languages together are likelier.  Without any
@@ -21,12 +24,13 @@ learned label there is no posterior, and every text that has a letter stays.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from quire.llm.common import lean
 from quire.session import materialize
@@ -37,11 +41,16 @@ LEAST = 0.5
 _LOW = 0x3000
 
 
-@dataclass(frozen=True)
-class Model:
+class Part(NamedTuple):
     langs: tuple
     table: np.ndarray  # (languages, buckets) log P(bucket | language)
     prior: np.ndarray  # log P(language)
+
+
+@dataclass(frozen=True)
+class Model:
+    langs: tuple
+    parts: tuple  # of Part, by label
     bits: int
     orders: int
 
@@ -98,7 +107,7 @@ def _buckets(x: np.ndarray, orders: int, bits: int):
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, bits: int = 15,
-          orders: int = 3, smooth: float = 0.1, max_languages: int = 256) -> Model:
+          orders: int = 3, smooth: float = 0.1, part: int = 256) -> Model:
     """Counts all rows of ``labelled``; eager (one aggregation)."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
@@ -133,68 +142,76 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, bits:
 
     parts = rows.mapInArrow(lean(count), "l string, b long, n long")
     sums = materialize(parts.groupBy("l", "b").agg(F.sum("n").alias("n")), "ngrams")
-    found = sums.where("b = -1 and n > 0").select("l", "n").limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} labels; raise max_languages (matrix size grows with it)")
-    langs = tuple(sorted(r["l"] for r in found))
-    index = {la: i for i, la in enumerate(langs)}
-    counts = np.zeros((len(langs), 1 << bits))
-    docs = np.array([{r["l"]: r["n"] for r in found}[la] for la in langs], float)
-    if langs:
-        got = sums.where("b >= 0").toArrow()
-        who = np.array([index.get(la, -1) for la in got.column("l").to_pylist()], int)
-        ok = who >= 0
-        counts[who[ok], got.column("b").to_numpy()[ok]] = got.column("n").to_numpy()[ok]
-    table = np.log(counts + smooth) - np.log(counts.sum(1, keepdims=True) + smooth * (1 << bits))
-    prior = np.log(docs / docs.sum()) if langs else docs
-    return Model(langs, table, prior, bits, orders)
-
-
-def score_texts(texts: list, model: Model, letters: np.ndarray) -> tuple[list, np.ndarray]:
-    """Predicted label and its posterior probability for each text."""
-    codes = [_codes(t or "", letters) for t in texts]
-    total = np.zeros((len(texts), len(model.langs)))
-    for x, starts, ends, who in _groups([c for c, _ in codes], model.orders - 1):
+    found = {r["l"]: r["n"] for r in sums.where("b = -1 and n > 0").select("l", "n").collect()}  # a row a label
+    langs, every = tuple(sorted(found)), float(sum(found.values()))
+    parts = []
+    for at in range(0, len(langs), part):
+        some = langs[at:at + part]
+        index = {la: i for i, la in enumerate(some)}
+        got = sums.where((F.col("b") >= 0) & F.col("l").isin(*some)).toArrow()  # part x buckets rows at most
+        who = np.array([index[la] for la in got.column("l").to_pylist()], int)
+        counts = np.zeros((len(some), 1 << bits))
+        counts[who, got.column("b").to_numpy()] = got.column("n").to_numpy()
+        table = np.log(counts + smooth) - np.log(counts.sum(1, keepdims=True) + smooth * (1 << bits))
+        parts.append(Part(some, table, np.log(np.array([found[la] for la in some]) / every)))
+    return Model(langs, tuple(parts), bits, orders)
+
+
+def score_part(codes: list, part: Part, bits: int, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: the best label of the part (by place), its log-likelihood with
+    the prior, and the logarithm of all the part's summed."""
+    total = np.zeros((len(codes), len(part.langs)))
+    for x, starts, ends, who in _groups([c for c, _ in codes], orders - 1):
         bounds = np.stack([starts, ends], 1).ravel()
-        for bk in _buckets(x, model.orders, model.bits):
+        for bk in _buckets(x, orders, bits):
             bk = np.append(bk, 0)  # lets the last bound be the end
-            for i, row in enumerate(model.table):
+            for i, row in enumerate(part.table):
                 np.add.at(total[:, i], who, np.add.reduceat(row[bk], bounds)[::2])
-    preds, scores = [], np.zeros(len(texts))
-    for i, (_, some) in enumerate(codes):
-        if not some or not model.langs:
-            preds.append("und")
-            continue
-        z = total[i] + model.prior
-        best = int(np.argmax(z))
-        preds.append(model.langs[best])
-        scores[i] = 1.0 / np.exp(z - z[best]).sum()
-    return preds, scores
+    total += part.prior
+    best = total.argmax(1)
+    top = total[np.arange(len(codes)), best]
+    return best, top, top + np.log(np.exp(total - top[:, None]).sum(1))
 
 
 def detect(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred",
            score: str = "score", reject: bool = False, least: float = LEAST) -> DataFrame:
     """``df`` with the predicted label and its score added.  With ``reject`` the
     rows without a letter or with a score under ``least`` go and the columns stay as they are."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
-    fields = list(df.schema.fields)
+    sc = df.sparkSession.sparkContext
     if not reject:
-        fields += [StructField(pred, StringType(), False), StructField(score, DoubleType(), False)]
-
-    def run(batches):
-        letters = _letter_table()
-        for b in _slices(batches):
-            texts = b.column(at).to_pylist()
-            if reject and not shared.value.langs:
-                yield b.filter(pa.array([_codes(t or "", letters)[1] for t in texts], pa.bool_()))
-                continue
-            preds, scores = score_texts(texts, shared.value, letters)
-            if reject:
-                yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores)], pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*b.schema.names, pred, score])
-
-    return df.mapInArrow(lean(run), StructType(fields))
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (pred, score)])
+    at, width = df.columns.index(text), len(df.columns)
+    carried = ("lid_label", "lid_best", "lid_all", "lid_letters")
+    added = [StructField(c, t) for c, t in zip(carried, (StringType(), DoubleType(), DoubleType(), BooleanType()))]
+    names = [*df.columns, *carried]
+    if set(carried) & set(df.columns):
+        raise ValueError(f"reserved column names: {carried}")
+    bits, orders = model.bits, model.orders
+
+    def kernel(shared):
+        def run(batches):
+            letters = _letter_table()
+            for b in _slices(batches):
+                codes = [_codes(t or "", letters) for t in b.column(at).to_pylist()]
+                n, part = len(codes), shared.value
+                label, best, every = [None] * n, np.full(n, -np.inf), np.full(n, -np.inf)
+                if b.num_columns > width:  # what the parts before found
+                    label, best, every = (b.column(width).to_pylist(), *(b.column(width + i).to_numpy() for i in (1, 2)))
+                if n and part is not None:
+                    place, top, all_ = score_part(codes, part, bits, orders)
+                    label = [part.langs[p] if t > o else x for p, t, o, x in zip(place, top, best, label)]  # a tie: the smaller label
+                    best, every = np.maximum(top, best), np.logaddexp(all_, every)
+                some = pa.array([c[1] for c in codes], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(label, pa.string()), pa.array(best), pa.array(every), some],
+                                                 names=names)
+        return run
+
+    schema = StructType([*df.schema.fields, *added])
+    for part in model.parts or (None,):
+        df = df.mapInArrow(lean(kernel(sc.broadcast(part))), schema)
+    posterior = F.when(F.col("lid_letters") & F.col("lid_label").isNotNull(), F.exp(F.col("lid_best") - F.col("lid_all"))).otherwise(F.lit(0.0))
+    if not reject:
+        return df.select(*[F.col(f"`{c}`") for c in names[:width]], F.when(F.col("lid_letters"), F.coalesce("lid_label", F.lit("und")))
+                         .otherwise(F.lit("und")).alias(pred), F.least(posterior, F.lit(1.0)).alias(score))
+    keep = F.col("lid_letters") & ((posterior >= least) if model.langs else F.lit(True))
+    return df.where(keep).select(*[F.col(f"`{c}`") for c in names[:width]])

@@ -325,7 +325,7 @@ def _tables(train: DataFrame, code: Code, bits: int) -> list[np.ndarray]:
     def count(batches):
         sums = np.zeros((len(ORDERS), 2 << bits), np.uint32)
         for batch in batches:
-            for part in _portions(enumerate(_bytes(batch.column(0)))):
+            for part in _portions(enumerate(_bytes(batch.column(0))), 3 << 19):
                 # what follows a history is counted first, then coded once
                 six, pair, symbol, n = distinct(*symbols([t for _, t in part]))
                 keys, found, n = code.keys(pair, symbol), contexts(six, bits), n.astype(np.uint32)
@@ -510,10 +510,10 @@ def _scored(docs: DataFrame, doc_id: str, text: str, modulus: int, held: int, bi
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, modulus: int = 7, held: int = 2,
-          bits: int = 22, common: int = 1 << 18, block: int = 128) -> DataFrame:
+          bits: int = 22, common: int = 1 << 20, block: int = 128) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits."""
     require(docs, doc_id, text)
-    with small_batches(docs.sparkSession, 2000):
+    with small_batches(docs.sparkSession, 1000):
         scored, words, (n_all, v_all) = _scored(docs, doc_id, text, modulus, held, bits, common, block)
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("k"), "w.times")
     found = each.join(words, "k").groupBy("row").agg(

@@ -2,15 +2,16 @@
 
 Each source is a queue: its documents' tokens one after the other, in the order
 of (scan task, row).  Queues are served in quanta of ``quantum`` tokens, and a
-window of ``length`` tokens takes ``length / quantum`` of them.  Queue s with
-N_s quanta gains N_s / N of credit per quantum served (N: quanta of all queues),
-so every window has the target proportions, less a deficit of under a quantum
-per queue which is carried to the next window.  With such fixed shares the turn
-of a queue's r-th quantum is known without a running state: it is the number of
-quanta that are due earlier, those r' of queue s' with
-(2 r' + 1) / N_s' < (2 r + 1) / N_s (a tie goes to the smaller queue).  So any task
-computes the windows of its own documents, and the deficits carry across
-windows, tasks and executors.
+window of ``length`` tokens takes ``length / quantum`` of them.  Queue s of weight w_s
+(``weights`` of the sources; without them its number of quanta, so that all queues
+last to the end) gains w_s / W of credit per quantum served (W: the weights of the
+queues that still have quanta), so every window has the target proportions, less a
+deficit of under a quantum per queue which is carried to the next window; when a
+queue has run dry the others go on in their proportions.  The turn of a queue's r-th
+quantum is then known without a running state: it is the number of quanta that are
+due earlier, those r' of queue s' with (2 r' + 1) / w_s' < (2 r + 1) / w_s (a tie goes
+to the smaller queue).  So any task computes the windows of its own documents, and
+the deficits carry across windows, tasks and executors.
 
 What is left of the queues when only whole windows are taken (under ``length``
 tokens and a quantum per queue) forms the last windows; the final one, if not
@@ -89,28 +90,30 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_i
     return slim.mapInArrow(lean(run), f"id {kind}, source string, part int, at long, n long, ids binary")
 
 
-def turns(r: np.ndarray, queue: int, sizes: list[int]) -> np.ndarray:
+def turns(r: np.ndarray, queue: int, sizes: list[int], weights: list[int] | None = None) -> np.ndarray:
     """Global turn of the r-th quantum of ``queue``; exact integers of any size."""
-    n = sizes[queue]
-    big = 2 * (2 * n + 1) * max(sizes) + 4 * n >= 1 << 62
+    weights = sizes if weights is None else weights
+    w = weights[queue]
+    big = 2 * (2 * sizes[queue] + 1) * max(weights) + 4 * w >= 1 << 62
     due = 2 * (r.astype(object) if big else r) + 1
     total = due * 0
-    for other, m in enumerate(sizes):
-        if m and other < queue:  # a tie is served before
-            total = total + np.minimum((due * m + n) // (2 * n), m)
-        elif m and other > queue:
-            total = total + np.minimum((due * m + n - 1) // (2 * n), m)
+    for other, (n, v) in enumerate(zip(sizes, weights)):
+        if n and other < queue:  # a tie is served before
+            total = total + np.minimum((due * v + w) // (2 * w), n)
+        elif n and other > queue:
+            total = total + np.minimum((due * v + w - 1) // (2 * w), n)
     return (total + r).astype(np.int64)
 
 
-def pieces_of(first: int, n: int, queue: int, quanta: list[int], tails: list[int], quantum: int, length: int):
+def pieces_of(first: int, n: int, queue: int, quanta: list[int], tails: list[int], quantum: int, length: int,
+              weights: list[int] | None = None):
     """(start, length, sequence, offset) arrays of a document that stands at
     ``first`` in its queue.  ``quanta``: whole quanta of each queue; ``tails``:
     start of each queue's last, partial quantum among the leftover tokens."""
     body = quanta[queue] * quantum
     r = np.arange(first // quantum, (first + n - 1) // quantum + 1)
     whole = r[r < quanta[queue]]
-    slot = turns(whole, queue, quanta)
+    slot = turns(whole, queue, quanta, weights)
     lo, hi = np.maximum(whole * quantum, first), np.minimum((whole + 1) * quantum, first + n)
     # a place on the line of all tokens: full windows, then what is left
     place = slot * quantum + lo - whole * quantum
@@ -156,9 +159,13 @@ def _sequence(p: int, total: int, length: int, bounds) -> tuple[int, int, int]:
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
          source: str = "source", *, length: int = 1024, quantum: int = 128, end_id: int = 0,
-         max_queues: int = 1024) -> DataFrame:
+         max_queues: int = 1024, weights: dict | None = None) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids (4 bytes each, the
-    lowest first), doc_tokens, sequence_id, offset, ids_crc32 (of ``ids``)."""
+    lowest first), doc_tokens, sequence_id, offset, ids_crc32 (of ``ids``).
+
+    ``weights`` (source -> number above 0; sources not named: 1) are the proportions of
+    tokens that every window keeps until a source runs dry; sources that share a
+    queue add up theirs."""
     require(docs, doc_id, text, source)
     if length % quantum:
         raise ValueError("length must be a multiple of quantum")
@@ -174,6 +181,16 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id",
     totals = {r["queue"]: r["m"] for r in parts.groupBy("queue").agg(F.sum("m").alias("m")).collect()}  # max_queues rows
     sizes = [totals[q] for q in range(len(totals))]
     quanta = [m // quantum for m in sizes]
+    shares = None
+    if weights is not None:
+        if not all(v > 0 for v in weights.values()):
+            raise ValueError("weights must be above 0")
+        given = F.create_map(*[F.lit(x) for k, v in weights.items() if k is not None for x in (k, float(v))]) \
+            if any(k is not None for k in weights) else F.create_map().cast("map<string,double>")
+        own = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(F.coalesce(F.try_element_at(given, F.col("source")), F.lit(1.0)))
+        got = {r["queue"]: r["w"] for r in parts.select("source", "queue").distinct().groupBy("queue").agg(F.sum(own).alias("w")).collect()}
+        most = max(got.values(), default=1.0)
+        shares = [max(1, round(got[q] / most * 1_000_000)) for q in range(len(got))]
     tails = [0]
     for m in sizes:
         tails.append(tails[-1] + m % quantum)
@@ -201,7 +218,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id",
                 for i, (queue, first, n) in enumerate(zip(*cols)):
                     ids = np.frombuffer(batch.column(5)[i].as_buffer(), "<u2" if len(batch.column(5)[i].as_buffer()) == 2 * n else "<u4")
                     ids = ids.astype("<u4").tobytes()
-                    for s, m, seq, off in pieces_of(first, n, queue, quanta, tails, quantum, length):
+                    for s, m, seq, off in pieces_of(first, n, queue, quanta, tails, quantum, length, shares):
                         owner.append(i)
                         rows.append((s, m, ids[4 * s:4 * (s + m)], n, seq, off))
                         size += m
