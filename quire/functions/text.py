@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.breaks import pack_sentences, wrap_lines
+
 # --- fixed character classes ------------------------------------------------
 # Python's str.isspace() set: the Unicode separators (Zs/Zl/Zp) plus the ASCII
 # and C1 control characters Python treats as whitespace.  Java regex and RE2
@@ -119,7 +121,6 @@ def wrap(text, width: int = 500) -> Column:
     an empty array, null gives null."""
     @F.arrow_udf("array<string>")
     def broken(texts: pa.Array) -> pa.Array:
-        from quire.functions.breaks import wrap_lines
         return pa.array([None if t is None else wrap_lines(t, width) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     text = _col(text)
@@ -145,7 +146,6 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     """
     @F.arrow_udf("array<string>")
     def packed(texts: pa.Array) -> pa.Array:
-        from quire.functions.breaks import pack_sentences
         return pa.array([None if t is None else pack_sentences(t, max_length, min_length) for t in texts.to_pylist()],
                         pa.list_(pa.string()))
 
