@@ -3,8 +3,8 @@ token windows, path parts.
 
 Everything here returns a :class:`pyspark.sql.Column` made of built-in Spark SQL
 expressions (regexes, ``transform``/``filter``/``aggregate``), which run inside
-the JVM next to the parquet scan.  Two go over Arrow batches: :func:`sentence_pack`,
-and :func:`wrap` for the texts that its regex cannot wrap.
+the JVM next to the parquet scan.  Only :func:`wrap` goes over Arrow batches, for the
+texts that its regex cannot wrap.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.breaks import pack_sentences, wrap_lines
+from quire.functions.breaks import wrap_lines
 
 # --- fixed character classes ------------------------------------------------
 # Python's str.isspace() set: the Unicode separators (Zs/Zl/Zp) plus the ASCII
 # and C1 control characters Python treats as whitespace.  Java regex and RE2
 # both accept this spelling, so the same class is used in Spark and DuckDB.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+_WS = WS[1:-1]
 # The same set as characters, derived from Python's own rule (29 code points).
 WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 # Whitespace other than the ASCII space that can remain after munging.
@@ -100,16 +101,17 @@ def _expand_tabs(text: Column, tabsize: int = 8) -> Column:
 
 def _munge(text: Column) -> Column:
     """Tabs expanded, then each of TAB LF VT FF CR replaced by one space."""
-    return F.translate(_expand_tabs(text), "\t\n\x0b\x0c\r", "     ")
+    return F.regexp_replace(_expand_tabs(text), "[\t\n\x0b\x0c\r]", " ")
 
 
-def _is_plain(munged: Column, width: int) -> Column:
+def _is_plain(text: Column, width: int) -> Column:
     """With no '-' (no hyphen or em-dash breaks), no word longer than the width, no
-    leading space and no white space other than ' ', greedy filling is exactly: each
-    line is the longest run of at most ``width`` characters that starts and ends on
-    a non-space and is followed by a space or the end."""
-    return (~munged.contains("-")) & (~munged.rlike(f"[^ ]{{{width + 1}}}")) & \
-        (~munged.startswith(" ")) & (~munged.rlike(_OTHER_SPACE))
+    leading space and, once munged, no white space other than ' ', greedy filling is
+    exactly: each line is the longest run of at most ``width`` characters that starts
+    and ends on a non-space and is followed by a space or the end.  Told from the text
+    as it stands: munging only turns white space into spaces."""
+    return (~text.contains("-")) & (~text.rlike("^[ \t\n\x0B\f\r]")) & \
+        (~text.rlike(f"[^ \t\n\x0B\f\r]{{{width + 1}}}")) & (~text.rlike(_OTHER_SPACE))
 
 
 def wrap(text, width: int = 500) -> Column:
@@ -124,9 +126,9 @@ def wrap(text, width: int = 500) -> Column:
         return pa.array([None if t is None else wrap_lines(t, width) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     text = _col(text)
-    plain = let(_munge(text), lambda m: _is_plain(m, width))
     greedy = F.lit(f"[^ ](?:.{{0,{max(width - 2, 0)}}}[^ ])?(?= |\\z)" if width > 1 else "[^ ](?= |\\z)")
-    return F.when(plain, F.regexp_extract_all(_munge(text), greedy, 0)).otherwise(broken(F.when(~plain, text)))
+    # a plain text's place in the batch is null, so that what is plain is asked once
+    return F.coalesce(broken(F.when(~_is_plain(text, width), text)), F.regexp_extract_all(_munge(text), greedy, 0))
 
 
 # --- E4: sentence split and greedy pack -------------------------------------
@@ -141,25 +143,29 @@ def sentence_pack(text, max_length: int = 512, min_length: int = 50) -> Column:
     chunks longer than ``min_length`` are kept.
 
     A chunk's end depends on where it starts, and a fold would carry (and copy) its
-    list of chunks from step to step; a table of next breaks over Arrow batches
-    (:func:`quire.functions.breaks.pack_sentences`) takes time linear in the text.
+    list of chunks from step to step.  Written back in a row, the sentences hold a
+    '.' at their ends only, so one greedy regex cuts the chunks, linear in the text:
+    the longest run of at most ``max_length`` characters that ends on a '.', or else
+    one sentence.  It runs in the JVM: no text or chunk is held by a Python worker.
     """
-    @F.arrow_udf("array<string>")
-    def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else pack_sentences(t, max_length, min_length) for t in texts.to_pylist()],
-                        pa.list_(pa.string()))
-
-    return packed(_col(text))
+    stripped = F.regexp_extract_all(_col(text), F.lit(f"[^.!?{_WS}](?:[^.!?]*[^.!?{_WS}])?"), 0)
+    room = max(max_length - 2, 0)
+    greedy = F.lit(f"(?s)[^ ].{{0,{room}}}\\.|[^ ][^.]*+\\." if max_length > 1 else "[^ ][^.]*+\\.")
+    chunks = F.regexp_extract_all(F.concat(F.array_join(stripped, ". "), F.lit(".")), greedy, 0)
+    return F.filter(chunks, lambda c: F.length(c) > min_length)
 
 
 # --- sentence spans used by the extractive answerer -------------------------
 
 def sentence_spans(text) -> Column:
     """Sentences as they appear in the text (terminators kept), stripped,
-    blanks dropped; every element is a substring of ``text``."""
-    return F.filter(
-        F.transform(F.regexp_extract_all(_col(text), F.lit(r"[^.!?]+[.!?]*"), 0), py_strip),
-        lambda s: s != F.lit(""))
+    blanks dropped; every element is a substring of ``text``.
+
+    Each is a run of ``[^.!?]+[.!?]*`` without the white space at its ends, cut by one
+    regex: a run with a terminator, a blank one with a terminator (of which the
+    terminators are left), and the text's last run without one."""
+    return F.regexp_extract_all(_col(text), F.lit(
+        f"[^.!?{_WS}][^.!?]*+[.!?]++|(?<=[{_WS}])[.!?]++|[^.!?{_WS}](?:[^.!?]*[^.!?{_WS}])?"), 0)
 
 
 # --- E5 / E6: token windows and token budget --------------------------------
