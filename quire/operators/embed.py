@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,27 @@ from quire.functions import text as T
 DEFAULT_DIM = 64
 
 
+@lru_cache(maxsize=1 << 16)
+def _token_hash(token: str) -> int:
+    """The first 32 bits of a token's md5, kept for the tokens last seen by the worker."""
+    return int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+
+
 def _bucket_counts(tokens: pa.ListArray, dim: int):
     """Row, bucket and count of every bucket that a row's tokens hit: the batch's
     tokens as an Arrow dictionary, one hash for each distinct one, counts by CSR."""
     flat = tokens.flatten().dictionary_encode()
-    bucket = np.fromiter((int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
-                          for t in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+    bucket = np.fromiter(map(_token_hash, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary)) % dim
     sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(tokens)), sizes)
     codes = flat.indices.to_numpy(zero_copy_only=False)
-    cell, count = np.unique(row * dim + bucket[codes], return_counts=True)
+    at = row * dim + bucket[codes]
+    if len(tokens) * dim <= 4 * len(at):  # a count for every cell takes less than sorting the hits
+        every = np.bincount(at, minlength=1)
+        cell = np.flatnonzero(every)
+        count = every[cell]
+    else:
+        cell, count = np.unique(at, return_counts=True)
     row, bucket = cell // dim, cell % dim
     norm = np.sqrt(np.bincount(row, weights=count.astype(np.float64) ** 2, minlength=len(tokens)))
     return row, bucket, (count / norm[row]).astype(np.float32)
