@@ -12,7 +12,7 @@ form, one row per paragraph, for consumers that want a paragraph as one value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -117,16 +117,24 @@ def paragraph_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]
     * questions ``(first, at, is_last, id, question, answers)``: ``first`` names the
       paragraph, ``at`` is the question's place.  The join to the contexts' one
       row each splits a hot context's questions (AQE skew join).
+
+    A context is known by its sha256: contexts travel once, in the paragraphs' partial
+    aggregate, which is written, and questions are joined without them.
     """
     place = F.struct(*PLACE)
-    paras = (qa.groupBy("context")
-             .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n_qas"))
-             .select("first", "last", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas"))
+    key = _context_key()
+    paras = materialize(qa.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("context", place).alias("context"),
+                                            F.count(F.lit(1)).alias("n_qas")), "paragraphs")
     answers = F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").cast("int").alias("answer_start")))
-    rows = qa.join(paras.select("context", "first", "last"), "context") \
-        .select("first", place.alias("at"), (place == F.col("last")).alias("is_last"), "id", "question",
-                answers.alias("answers"))
-    return paras, rows
+    rows = qa.where("context is not null").select(key, place.alias("at"), "id", "question", answers.alias("answers")) \
+        .join(paras.select("ck", "first", "last"), "ck") \
+        .select("first", "at", (F.col("at") == F.col("last")).alias("is_last"), "id", "question", "answers")
+    return paras.select("first", "last", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas"), rows
+
+
+def _context_key() -> Column:
+    """A context's sha256 (empty for null), for which it stands in joins and sorts."""
+    return F.coalesce(F.unhex(F.sha2(F.col("context").cast("binary"), 256)), F.lit("").cast("binary")).alias("ck")
 
 
 def numbered_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +151,7 @@ def numbered_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
     several times: pass a written table.
     """
     place = F.struct(*PLACE)
-    key = F.coalesce(F.unhex(F.sha2(F.col("context").cast("binary"), 256)), F.lit("").cast("binary")).alias("ck")
+    key = _context_key()
     paras = qa.groupBy(key).agg(F.min(place).alias("first"), F.min_by("context", place).alias("context"), F.count(F.lit(1)).alias("n_qas"))
     paras = materialize(paras, "paragraphs")
     numbers = number_within(paras.select("ck", "first"), [], ["first"], "paragraph_no", name="paragraphs-numbered").select("ck", "paragraph_no")
