@@ -72,4 +72,4 @@ def test_questions_of_a_document_are_joined_without_contexts(spark):
     made = spark.createDataFrame([("i", 1, 0, 0, "c", "q", "a", 0)],
                                  "id string, doc_id long, chunk_no int, q_no int, context string, question string, answer string, answer_start int")
     _, rows = squad.paragraph_tables(made, "t")
-    assert "hashpartitioning(ck" in _plan(rows) and "hashpartitioning(context" not in _plan(rows)
+    assert "Join [ck#" in _plan(rows) and "Join [context#" not in _plan(rows)
