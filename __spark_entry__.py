@@ -216,9 +216,9 @@ def q_squad_nested(spark, sf_dir):
 
 
 def q_squad_document(spark, sf_dir):
-    """The sentence flow written as one SQuAD document, and read back."""
+    """The sentence flow written as one SQuAD document (part files in gzip), and read back."""
     path = scratch_path(spark, f"squad-{uuid.uuid4().hex}")
-    dataset.squad_document(_documents(spark, sf_dir), path, TASK_ID)
+    dataset.squad_document(_documents(spark, sf_dir), path, TASK_ID, "gzip")
     return squad.read_document(spark, path)
 
 

@@ -6,16 +6,20 @@ known by the place ``(doc_id, chunk_no, q_no)`` of their first question, and
 questions that name their paragraph's place and their own.  Sorting by the two
 places gives first-seen order, so a context that repeats across a large share of
 the corpus (boilerplate, licence text) is never gathered: documents are written
-line by line from range-sorted partitions.  :func:`paragraphs` is the nested row
-form, one row per paragraph, for consumers that want a paragraph as one value.
+line by line from range-dealt partitions, which a large paragraph spans.
+:func:`paragraphs` is the nested row form, one row per paragraph, for consumers that
+want a paragraph as one value.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from quire.functions import text as T
 from quire.operators.positions import number_within
 from quire.session import materialize
 
@@ -26,6 +30,11 @@ DATASET_PATH_FORMAT = "generated_datasets/squad_dataset_%s"
 # ---------------------------------------------------------------------------------
 #: Lines per file of a written document, so that a reader can hold a file.
 LINES_PER_FILE = 100_000
+#: zlib's level (Hadoop's name) of documents in gzip: half the time of the default for 5 % more.
+GZIP_LEVEL = "FOUR"
+#: A paragraph is written by one task if it has so many questions at most, or this part
+#: of all questions; so LARGE_PART bounds the number of larger ones.
+LARGE_PARAGRAPH, LARGE_PART = 1_000, 20_000
 
 ANSWERS_FLAT = Ty.StructType([
     Ty.StructField("text", Ty.ArrayType(Ty.StringType())),
@@ -75,8 +84,12 @@ def _write_lines(body: DataFrame, ends: list, order: list, path: str) -> None:
     spark = body.sparkSession
     outer = spark.createDataFrame(ends, "value string, section int")
     lines = body.unionByName(outer, allowMissingColumns=True)
-    lines.orderBy(*order).select("value").write.mode("overwrite") \
-        .option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+    _write_text(lines.orderBy(*order).select("value"), path)
+
+
+def _write_text(lines: DataFrame, path: str, compression: str | None = None) -> None:
+    lines.write.mode("overwrite").option("maxRecordsPerFile", LINES_PER_FILE) \
+        .option("zlib.compress.level", GZIP_LEVEL).text(path, compression=compression)
 
 
 def read_flat(spark: SparkSession, path: str, multiline_wrapper: bool = False) -> DataFrame:
@@ -115,21 +128,47 @@ def paragraph_tables(qa: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]
     * paragraphs ``(first, last, title, context, n_qas)``: the places of the first
       and the last question, a partial aggregate per distinct context;
     * questions ``(first, at, is_last, id, question, answers)``: ``first`` names the
-      paragraph, ``at`` is the question's place.  The join to the contexts' one
-      row each splits a hot context's questions (AQE skew join).
+      paragraph, ``at`` is the question's place.
 
-    A context is known by its sha256: contexts travel once, in the paragraphs' partial
-    aggregate, which is written, and questions are joined without them.
+    A context is known by its sha256, and questions are joined without contexts.
     """
-    place = F.struct(*PLACE)
-    key = _context_key()
-    paras = materialize(qa.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("context", place).alias("context"),
-                                            F.count(F.lit(1)).alias("n_qas")), "paragraphs")
+    keys = _paragraph_keys(qa, F.max(F.struct(*PLACE)).alias("last"))
+    contexts = qa.groupBy(_context_key()).agg(F.min_by("context", F.struct(*PLACE)).alias("context"))
+    paras = keys.join(contexts, "ck").select("first", "last", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas")
     answers = F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").cast("int").alias("answer_start")))
-    rows = qa.where("context is not null").select(key, place.alias("at"), "id", "question", answers.alias("answers")) \
-        .join(paras.select("ck", "first", "last"), "ck") \
-        .select("first", "at", (F.col("at") == F.col("last")).alias("is_last"), "id", "question", "answers")
-    return paras.select("first", "last", F.lit(TITLE_FORMAT % task_id).alias("title"), "context", "n_qas"), rows
+    rows = _keyed_questions(qa.withColumn("answers", answers), keys.select("ck", "first", "last"), "id", "question", "answers")
+    return paras, rows.select("first", "at", (F.col("at") == F.col("last")).alias("is_last"), "id", "question", "answers")
+
+
+def _paragraph_keys(qa: DataFrame, *more: Column) -> DataFrame:
+    """``(ck, first, n_qas)`` and ``more`` of every distinct context, written: a partial
+    aggregate that contexts don't take part in."""
+    return materialize(qa.groupBy(_context_key()).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n_qas"), *more),
+                       "paragraphs", "zstd")
+
+
+def _keyed_questions(qa: DataFrame, keys: DataFrame, *cols: str | Column) -> DataFrame:
+    """Every question that has a context: its place ``at``, ``cols`` and what ``keys``
+    has of its paragraph.  The join to the contexts' one row each splits a hot
+    context's questions (AQE skew join)."""
+    return qa.where("context is not null").select(_context_key(), F.struct(*PLACE).alias("at"), *cols).join(keys, "ck")
+
+
+def cut_answers(qa: DataFrame) -> DataFrame:
+    """``qa`` with answers that stand in their context at ``answer_start`` known by their
+    length ``cut``, and null as text; :func:`whole_answers` gives them back."""
+    there = F.substring("context", F.col("answer_start").cast("int") + 1, F.length("answer")) == F.col("answer")
+    cut = F.when((F.col("answer_start") >= 0) & there, F.length("answer"))
+    return qa.withColumn("cut", cut).withColumn("answer", F.when(F.col("cut").isNull(), F.col("answer")))
+
+
+def whole_answers(qa: DataFrame) -> DataFrame:
+    """The rows that :func:`cut_answers` was given."""
+    return qa.withColumn("answer", _answer_of(F.col("answer"), F.col("context"), F.col("answer_start"), F.col("cut"))).drop("cut")
+
+
+def _answer_of(answer: Column, context: Column, start: Column, cut: Column) -> Column:
+    return F.when(cut.isNull(), answer).otherwise(F.substring(context, start.cast("int") + 1, cut))
 
 
 def _context_key() -> Column:
@@ -185,55 +224,108 @@ def paragraphs(qa: DataFrame, task_id: str) -> DataFrame:
                                                x["answers"].alias("answers"))).alias("qas"))
 
 
-_OPEN = r"^(, )?\{\"title\": "
+#: Where a line opens a paragraph, and what a question's line has first or after ", ".
+#: Neither stands inside of a JSON string, where quotes are escaped.
+_OPENING, _ASKING = '{"title": ', '{"id":'
 
 
-def write_document(qa: DataFrame, path: str, task_id: str) -> None:
+def write_document(qa: DataFrame, path: str, task_id: str, compression: str | None = None) -> None:
     """B2: the document ``{"version": ..., "data": [...]}``, one ``data`` entry per
     distinct context in first-seen order.  ``path`` holds part files that give the
-    document when put one after the other in the order of their names.  A line
-    opens a paragraph or is one question, and lines come from range-sorted
-    partitions, so no paragraph or document is ever held whole.  ``qa`` is read
-    several times: pass a written table."""
-    paras, rows = paragraph_tables(qa, task_id)
-    start = paras.agg(F.min("first").alias("x")).first()["x"]
-    one = F.lit(True) if start is None else F.col("first") == F.struct(
-        *[F.lit(start[c]).cast(qa.schema[c].dataType).alias(c) for c in PLACE])
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    opened = paras.select(
-        F.lit(1).alias("section"), "first", F.lit(0).alias("step"), F.col("first").alias("at"),
-        F.concat(F.when(one, "").otherwise(", "), F.lit('{"title": '), text("title"),
-                 F.lit(', "paragraphs": [{"context": '), text("context"), F.lit(', "qas": [')).alias("value"))
-    asked = rows.select(
-        F.lit(1).alias("section"), "first", F.lit(1).alias("step"), "at",
-        F.concat(F.to_json(F.struct("id", "question", "answers")),
-                 F.when(F.col("is_last"), "]}]}").otherwise(", ")).alias("value"))
-    _write_lines(opened.unionByName(asked), [('{"version": "%s", "data": [' % SQUAD_VERSION, 0), ("]}", 2)],
-                 ["section", "first", "step", "at"], path)
+    document when put one after the other in the order of their names (with
+    ``compression`` "gzip", the document's gzip file).  A line opens a paragraph or is
+    one question.  ``qa`` is read several times: pass a written table.
+
+    Rows are dealt out once, by ranges of their paragraph's first place.  A context
+    comes from the rows that may be the first to have it, and is dropped where no
+    question has that place for its paragraph's first.  Questions come without their
+    context, and answers that stand in it as a start and a length, for a paragraph's
+    questions meet its context in their task.  Only those of large paragraphs, but for
+    the first, are dealt out by their own place too and bring their answer, so that no
+    paragraph or document is ever held whole."""
+    keys = _paragraph_keys(qa)
+    mark = F.xxhash64("ck").alias("mark")  # tells apart contexts of one first place
+    some = keys.where(F.length("ck") > 0)
+    known = some.agg(F.sum("n_qas").alias("n"), F.min(F.struct("first", mark)).alias("start"), F.min("first.q_no").alias("low"),
+                     F.max("first.q_no").alias("high")).first()
+    many = max(LARGE_PARAGRAPH, (known["n"] or 0) // LARGE_PART)
+    large = F.broadcast(some.where(F.col("n_qas") > many).select("ck", F.lit(True).alias("large")))
+
+    own = [F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
+    first_seen = qa.where(F.col("context").isNotNull() & (F.col("q_no").isNull() | F.col("q_no").between(known["low"], known["high"]))) \
+        .select(_context_key(), F.struct(*PLACE).alias("first"), "context")
+    opened = first_seen.select(F.lit(1).alias("section"), *own, mark, "context")
+
+    answered = cut_answers(qa.withColumn("whole", F.col("answer"))).withColumn("ck", _context_key()).join(large, "ck", "left")
+    rows = _keyed_questions(answered, keys.select("ck", "first"), "id", "question",
+                            F.when(F.col("large"), F.col("whole")).otherwise(F.col("answer")).alias("answer"),
+                            F.col("answer_start").cast("int").alias("start"),
+                            F.when(F.col("large").isNull(), F.col("cut")).alias("cut"), "large")
+    near = F.col("at.doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("at.chunk_no").eqNullSafe(F.col("first.chunk_no"))
+    asked = rows.select(F.lit(1).alias("section"), *own, mark, F.when(F.col("large") & (F.col("at") != F.col("first")), F.col("at")).alias("apart"),
+                        F.struct(*[F.when(~near, F.col(f"at.{c}")).alias(c) for c in PLACE[:2]], F.col("at.q_no").alias("q_no"),
+                                 "id", "question", "answer", "start", "cut").alias("qa"))
+    ends = qa.sparkSession.createDataFrame(
+        [('{"version": "%s", "data": [' % SQUAD_VERSION, 0), ("]}" if known["start"] is None else "]}]}]}", 2)],
+        "context string, section int")
+
+    # what is dealt out by ranges of the keys needs no other exchange to be grouped by them
+    at = ["section", *[f"first_{c}" for c in PLACE], "mark", "apart"]
+    dealt = asked.unionByName(opened, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True).repartitionByRange(*at)
+    paras = dealt.groupBy(*at).agg(F.first("context", ignorenulls=True).alias("context"), F.array_sort(F.collect_list("qa")).alias("qas")) \
+        .sortWithinPartitions(*at)
+    one = F.lit(False)
+    if known["start"] is not None:
+        one = F.col("mark") == known["start"]["mark"]
+        for c in PLACE:
+            one &= F.col(f"first_{c}").eqNullSafe(F.lit(known["start"]["first"][c]).cast(qa.schema[c].dataType))
+    context = F.coalesce("context", F.raise_error(F.lit("a paragraph without its context")).cast("string"))
+    text = T.let(F.to_json(F.struct(context.alias("x"))), lambda j: F.substr(j, F.lit(6), F.length(j) - 6))  # of {"x":"text"}
+    head = F.concat(F.when(one, "").otherwise("]}]}, "), F.lit(_OPENING + json.dumps(TITLE_FORMAT % task_id, ensure_ascii=False)),
+                    F.lit(', "paragraphs": [{"context": '), text, F.lit(', "qas": ['))
+
+    def line(x: Column, i: Column) -> Column:
+        answer = _answer_of(x["answer"], F.col("context"), x["start"], x["cut"])
+        answers = F.array(F.struct(answer.alias("text"), x["start"].alias("answer_start")))
+        lead = F.when(F.col("apart").isNotNull() | (i > 0), ", ").otherwise("")
+        return F.concat(lead, F.to_json(F.struct(x["id"].alias("id"), x["question"].alias("question"), answers.alias("answers"))))
+
+    lines = F.when(F.col("section") != 1, F.array("context")) \
+        .when(F.size("qas") == 0, F.array().cast("array<string>")) \
+        .when(F.col("apart").isNotNull(), F.transform("qas", line)) \
+        .otherwise(F.concat(F.array(head), F.transform("qas", line)))
+    _write_text(paras.select(F.explode_outer(lines).alias("value")).where("value is not null"), path, compression)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """The rows ``(title, context, id, question, answer, answer_start)`` of a
-    document of :func:`write_document`.  A file's questions take the paragraph
-    opened last before them; those ahead of a file's first opening take the last
-    one of the files before (one row per file is ordered for that)."""
-    lines = (spark.read.option("wholetext", True).text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")))
+    document of :func:`write_document`.  A file is cut where lines open a paragraph, and
+    a piece's questions take the paragraph that it opens: nothing is shuffled.  What
+    stands ahead of a file's first opening takes the last one of the files before (one
+    row per file is ordered for that)."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     head = Ty.StructType([Ty.StructField("title", Ty.StringType()), Ty.StructField("paragraphs", Ty.ArrayType(
         Ty.StructType([Ty.StructField("context", Ty.StringType())])))])
-    parsed = F.from_json(F.concat(F.regexp_replace("line", "^, ", ""), F.lit("]}]}")), head)
-    opens = F.when(F.col("line").rlike(_OPEN), F.struct(parsed["title"].alias("title"),
-                                                        parsed["paragraphs"][0]["context"].alias("context")))
-    lines = lines.select("file", "pos", "line", opens.alias("opened"))
-    above = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+    def opened(piece: Column) -> Column:
+        entry = F.from_json(F.concat(F.lit(_OPENING), F.substring_index(piece, "\n", 1), F.lit("]}]}")), head)
+        return F.struct(entry["title"].alias("title"), entry["paragraphs"][0]["context"].alias("context"))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows.select("p", F.explode_outer(F.split("piece", "\n")).alias("line")) \
+            .select("p", F.ltrim("line", F.lit(", ")).alias("line")).where(F.col("line").startswith(_ASKING)) \
+            .select("p", F.from_json("line", _QA).alias("qa"))
+
+    within = files.select(F.posexplode_outer(F.split("value", "\\" + _OPENING)).alias("pos", "piece")).where("pos > 0") \
+        .select(opened(F.col("piece")).alias("p"), "piece")
+    ahead = files.select("file", F.substring_index("value", _OPENING, 1).alias("piece")).where(F.length("piece") > 0)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = lines.groupBy("file").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("pos"))).alias("end")) \
-        .select("file", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    asked = lines.withColumn("here", F.last("opened", ignorenulls=True).over(above)) \
-        .where(F.col("line").startswith('{"id":')).join(files, "file") \
-        .select(F.coalesce("here", "carried").alias("p"),
-                F.from_json(F.regexp_replace("line", r"(, |\]\}\]\})$", ""), _QA).alias("qa"))
-    return _qa_rows(asked.select("p.title", "p.context", "qa"))
+    last = F.substring_index("value", _OPENING, -1)
+    ends = files.select("file", F.when(F.contains("value", F.lit(_OPENING)), F.substring_index(last, "\n", 1)).alias("end")) \
+        .select("file", F.last("end", ignorenulls=True).over(before).alias("end")).select("file", opened(F.col("end")).alias("p"))
+    # by merging: a file in gzip looks small, but what stands ahead may be all of it
+    found = asked(within).unionByName(asked(ahead.join(ends.hint("merge"), "file")))
+    return _qa_rows(found.select("p.title", "p.context", "qa"))
 
 
 def read_squad(spark: SparkSession, path: str) -> DataFrame:

@@ -67,7 +67,9 @@ def nested_dataset(docs: DataFrame, task_id: str) -> DataFrame:
     return squad.paragraphs(sentence_qa(docs), task_id)
 
 
-def squad_document(docs: DataFrame, path: str, task_id: str) -> None:
+def squad_document(docs: DataFrame, path: str, task_id: str, compression: str | None = None) -> None:
     """B2: the sentence flow's dataset as one SQuAD document in ``path``.  The QA
-    rows are written first, as the document is put together from several reads."""
-    squad.write_document(materialize(sentence_qa(docs)), path, task_id)
+    rows are written first, as the document is put together from several reads;
+    answers are written there as their place in the context."""
+    qa_rows = materialize(squad.cut_answers(sentence_qa(docs).drop("score")), "squad-rows", "zstd")
+    squad.write_document(squad.whole_answers(qa_rows), path, task_id, compression)

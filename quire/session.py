@@ -59,9 +59,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
-def materialize(df, name: str | None = None):
+def materialize(df, name: str | None = None, compression: str | None = None):
     """Cut lineage by writing ``df`` as a Parquet table into the session's
-    checkpoint folder (shared storage on a cluster) and reading it back.
+    checkpoint folder (shared storage on a cluster) and reading it back;
+    ``compression`` is the table's, else the session's.
 
     One pass: Spark's eager reliable ``checkpoint()`` runs the plan once to
     count and again to write unless the data is cached; a written table is
@@ -71,5 +72,5 @@ def materialize(df, name: str | None = None):
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"materialized/{name or 'df'}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)
